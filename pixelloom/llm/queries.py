@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .packing import op2_packing
+from .quality_rules import OP3_SQL, op3_quality_rules
+from .url_filter import OP4_SQL, op4_url_filter
 
-QUERIES = {"op7_line_dedup": op7_line_dedup}
-ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_url_filter": op4_url_filter,
+    "op7_line_dedup": op7_line_dedup,
+}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_line_dedup": OP7_SQL}
