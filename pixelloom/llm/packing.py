@@ -19,7 +19,7 @@ from .common import stored, table
 
 CAPACITY = 2048
 #: Lengths above CAPACITY / LARGE_PART are large: grouped, rounded up and packed by configurations.
-LARGE_PART, GROUPS = 8, 64
+LARGE_PART, GROUPS = 3, 256
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,7 +88,7 @@ def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) ->
     return chosen
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 500) -> list[tuple[np.ndarray, int]]:
     """Configurations and how often to use each, so that ``demand`` is covered: linear programme by column generation, rounded down, and the rest by best configurations of what is left."""
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
@@ -96,7 +96,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         inverse = np.linalg.inv(basis)
         prices = np.ones(k) @ inverse
         column = best_configuration(sizes, prices, capacity)
-        if prices @ column <= 1 + 1e-9:
+        if prices @ column <= 1 + 1e-6:
             break
         amounts, step = inverse @ demand, inverse @ column
         ratio = np.where(step > 1e-9, amounts / np.where(step > 1e-9, step, 1), np.inf)
