@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .packing import op2_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_line_dedup": OP7_SQL}
