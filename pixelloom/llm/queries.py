@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op1_byte_bpe
+from .jaccard_join import op9_jaccard_join
 from .language_id import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .packing import op2_packing
@@ -9,10 +11,12 @@ from .quality_rules import OP3_SQL, op3_quality_rules
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_line_dedup": OP7_SQL}
