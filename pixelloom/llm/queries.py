@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op1_byte_bpe
+from .embedding_dedup import op5_embedding_dedup
 from .jaccard_join import op9_jaccard_join
 from .language_id import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
