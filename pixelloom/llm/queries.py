@@ -8,6 +8,7 @@ from .jaccard_join import op9_jaccard_join
 from .language_id import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .packing import op2_packing
+from .quality_model import op6_quality_model
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .url_filter import OP4_SQL, op4_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_quality_model": op6_quality_model,
     "op7_line_dedup": op7_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
