@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,23 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Dat
     return rows.mapInArrow(_score(model), f"{id_col} {dict(rows.dtypes)[id_col]}, lang_pred string, score double")
 
 
+def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score`` added, as ``predict`` gives them; an input that has them is rejected."""
+    if {"lang_pred", "lang_score"} & set(docs.columns):
+        raise ValueError("the input already has lang_pred or lang_score")
+    if model is None:
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
+    score = _score(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def language(texts: pd.Series) -> pd.DataFrame:
+        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), pa.array(texts, pa.string(), from_pandas=True)], names=["id", "text"])
+        return pa.Table.from_batches(score(iter([batch]))).select(["lang_pred", "score"]).to_pandas()
+
+    out = docs.withColumn("_language", language(text_col))
+    return out.select(*[f"`{c}`" for c in docs.columns], F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("lang_score"))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: learned from rows whose crc32 of the id is not divisible by 5, for all rows.
 

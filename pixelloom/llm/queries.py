@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op1_byte_bpe
 from .embedding_dedup import op5_embedding_dedup
+from .html_extract import op8_html_extraction
 from .jaccard_join import op9_jaccard_join
 from .language_id import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_model": op6_quality_model,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
 }
