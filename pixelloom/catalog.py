@@ -2,5 +2,408 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle as O
+from .functions import astrometry as A
+from .functions import display as D
+from .operators import background as B
+from .operators import calibration as C
+from .operators import geometry as G
+from .operators import mosaic as M
+from .operators import neighbours as N
+from .operators import postprocess as P
+from .operators import psf, quality, registration, sets, stacking
+from .sources import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+LINE_SIZE, SYNTH_SIZE = (V.SIDE, V.SIDE), (V.SYNTH_SIDE, V.SYNTH_SIDE)
+PIX, IMG = O.PIX, O.IMG
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, and never minus zero."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# Stacking.
+
+_AGG = "SELECT stack_id, y, x, c, round({0}, 6) AS v FROM {1} GROUP BY ALL"
+for _name, _expr in (("mean", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("median", "median(v)")):
+    query(f"stack_{_name}", O.query(O.EMB, O.REJECT, select=_AGG.format(_expr, "pr")))(lambda s, d, m=_name: stacking.stack(V.emb_px(s, d), m))
+    query(f"stack_{_name}_rgb", O.query(O.LINE, O.REJECT, select=_AGG.format(_expr, "pr")))(lambda s, d, m=_name: stacking.stack(V.line_px(s, d), m))
+
+_DEV = "(1.4826022185056018 * dev)"
+_LAST = f"SELECT stack_id, y, x, c, round(avg(v), 6) AS v FROM (SELECT DISTINCT {PIX} FROM px) LEFT JOIN {{0}} USING ({PIX}) GROUP BY ALL"
+_CLIP = O.rounds("pr", f"CASE WHEN v BETWEEN med - 2.5 * {_DEV} AND med + 2.5 * {_DEV} THEN v END", PIX, 5)
+query("stack_sigma_clip", O.query(O.LINE, O.REJECT, *_CLIP, select=_LAST.format("r4")))(lambda s, d: stacking.stack(V.line_px(s, d), "sigma_clip"))
+_WINSOR = O.rounds("pr", "least(greatest(v, med - 2.5 * greatest(1.4826 * dev, 1e-10)), med + 2.5 * greatest(1.4826 * dev, 1e-10))", PIX, 5)
+query("stack_winsorised", O.query(O.LINE, O.REJECT, *_WINSOR, select=_LAST.format("r4")))(lambda s, d: stacking.stack(V.line_px(s, d), "winsorised"))
+_TRIM = f"""SELECT stack_id, y, x, c, round(CASE WHEN nf < 3 THEN avg(v) WHEN 2 * (nf * 10 // 100) >= nf THEN median(v)
+    ELSE avg(v) FILTER (WHERE r > nf * 10 // 100 AND r <= nf - nf * 10 // 100) END, 6) AS v
+  FROM (SELECT *, row_number() OVER (PARTITION BY {PIX} ORDER BY v NULLS LAST) AS r FROM pr)
+  JOIN (SELECT stack_id, count(DISTINCT frame_id) AS nf FROM px GROUP BY 1) USING (stack_id) GROUP BY {PIX}, nf"""
+query("stack_percentile_clip", O.query(O.EMB, O.REJECT, select=_TRIM))(lambda s, d: stacking.stack(V.emb_px(s, d), "percentile_clip"))
+query("stack_percentile_clip_rgb", O.query(O.LINE, O.REJECT, select=_TRIM.replace("10 // 100", "20 // 100")))(lambda s, d: stacking.stack(V.line_px(s, d), "percentile_clip", low=20, high=20))
+query("stack_two_frames", O.query(O.LINE.replace("FROM lineitem", "FROM lineitem WHERE l_linenumber <= 2"), O.REJECT, select=_TRIM))(
+    lambda s, d: stacking.stack(V.line_px(s, d).filter("frame_id < 2"), "percentile_clip")
+)
+_WEIGHTED = f"""SELECT stack_id, y, x, c, round(coalesce(sum(w * v) / nullif(sum(w), 0), 0), 6) AS v FROM pr JOIN {{0}} WHERE v IS NOT NULL GROUP BY ALL"""
+
+
+@query("stack_weighted_mean", O.query(O.LINE, O.REJECT, select=_WEIGHTED.format("(SELECT unnest(range(7)) AS frame_id, 1 / (1 + unnest(range(7))) AS w) USING (frame_id)")))
+def _weighted(s: SparkSession, d: str) -> DataFrame:
+    weights = s.range(7).select(F.lit(0).alias("stack_id"), F.col("id").cast("int").alias("frame_id"), (1 / (1 + F.col("id"))).alias("w"))
+    return stacking.stack(V.line_px(s, d), "weighted", weights=weights)
+
+
+_NOISE = """(SELECT frame_id, strip, 1 / pow(greatest(1.4826 * mad(m), 1e-10), 2) AS w FROM (
+    SELECT frame_id, y // 8 AS strip, y, x, avg(v) AS m FROM pr GROUP BY ALL) GROUP BY ALL) n ON n.frame_id = pr.frame_id AND n.strip = pr.y // 8"""
+query("stack_noise_weighted", O.query(O.LINE, O.REJECT, select=_WEIGHTED.format(_NOISE)))(lambda s, d: stacking.stack(V.line_px(s, d), "noise_weighted", strip_rows=8))
+query("prereject_counts", O.query(O.LINE, O.REJECT, select="SELECT frame_id, count(*) AS n, count(v) AS kept FROM pr GROUP BY 1"))(
+    lambda s, d: stacking.reject_outliers(V.line_px(s, d)).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("kept"))
+)
+for _scale, _low, _high in ((2, 0, 2), (6, 1, 5)):
+    _sql = f"""SELECT stack_id, (y * {_scale} + dy)::INT AS y, (x * {_scale} + dx)::INT AS x, c,
+      round(CASE WHEN dy >= {_low} AND dy < {_high} AND dx >= {_low} AND dx < {_high} THEN m ELSE 0 END, 6) AS v
+      FROM (SELECT stack_id, y, x, c, coalesce(avg(v) FILTER (WHERE v <> 0), 0) AS m FROM px GROUP BY ALL), range({_scale}) a(dy), range({_scale}) b(dx)"""
+    query(f"drizzle_x{_scale}", O.query(O.LINE, select=_sql))(lambda s, d, k=_scale: stacking.drizzle(V.line_px(s, d), k))
+
+# Calibration: frames 0-2 are darks, 3-4 flats, 5-6 lights.
+
+_MASTERS = """dark AS MATERIALIZED (SELECT y, x, c, median(v) AS d FROM px WHERE frame_id < 3 GROUP BY ALL),
+flat AS MATERIALIZED (SELECT y, x, c, f / avg(f) OVER () AS f FROM (SELECT y, x, c, avg(v) AS f FROM px WHERE frame_id IN (3, 4) GROUP BY ALL)),
+pair AS MATERIALIZED (SELECT frame_id, v, d FROM px JOIN dark USING (y, x, c) WHERE frame_id > 4 AND v > 0 AND d > 0),
+fit AS MATERIALIZED (
+  SELECT frame_id, CASE WHEN any_value(n) >= 100 AND count(*) >= 100 AND var_pop(d) >= 1e-6 THEN least(greatest(regr_slope(v, d), 0.5), 2) ELSE 1 END AS k
+  FROM pair JOIN (SELECT frame_id, quantile_cont(v, 0.4) AS cut, count(*) AS n FROM pair GROUP BY 1) USING (frame_id) WHERE v <= cut GROUP BY 1),
+scale AS (SELECT frame_id, coalesce(k, 1)::DOUBLE AS k FROM (SELECT DISTINCT frame_id FROM px WHERE frame_id > 4) LEFT JOIN fit USING (frame_id))"""
+
+
+def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    px = V.line_px(s, d)
+    return px.filter("frame_id > 4"), C.combine(px.filter("frame_id < 3"), "median"), C.master_flat(px.filter("frame_id in (3, 4)"))
+
+
+query("master_dark_median", O.query(O.LINE, _MASTERS, select="SELECT y, x, c, round(d, 6) AS v FROM dark"))(lambda s, d: _parts(s, d)[1])
+query("master_flat", O.query(O.LINE, _MASTERS, select="SELECT y, x, c, round(f, 6) AS v FROM flat"))(lambda s, d: _parts(s, d)[2])
+query("flat_divisor", O.query(O.LINE, _MASTERS, select="SELECT y, x, c, round(CASE WHEN f > 0.5 THEN f ELSE 1 END, 6) AS v FROM flat"))(
+    lambda s, d: _parts(s, d)[2].withColumn("v", C.flat_divisor(F.col("v"), 0.5))
+)
+query("dark_scale", O.query(O.LINE, _MASTERS, select="SELECT frame_id, round(k, 6) AS k FROM scale"))(lambda s, d: C.dark_scale(*_parts(s, d)[:2], least=100))
+query("calibrate_light", O.query(O.LINE, _MASTERS, select="""SELECT stack_id, frame_id, y, x, c, round((v - k * coalesce(d, 0)) / CASE WHEN f > 0.01 THEN f ELSE 1 END, 6) AS v
+  FROM px JOIN scale USING (frame_id) LEFT JOIN dark USING (y, x, c) LEFT JOIN flat USING (y, x, c)"""))(lambda s, d: C.calibrate(*_parts(s, d), least=100))
+
+# Neighbourhoods.
+
+_IMAGE = "img AS MATERIALIZED (SELECT stack_id, 0 AS frame_id, y, x, c, avg(v) AS v FROM px GROUP BY ALL)"
+
+
+def _image(s: SparkSession, d: str) -> DataFrame:
+    return stacking.stack(V.line_px(s, d), "mean", prereject=False).withColumn("frame_id", F.lit(0))
+
+
+def _mono(s: SparkSession) -> DataFrame:
+    return V.synth_px(s).filter("c = 0")
+
+
+def _axis(n: int, to: int) -> str:
+    at = f"(o * {(n - 1)} / {to - 1})"
+    low = f"least(floor({at}), {n - 2})"
+    return f"(SELECT o, ({low} + k)::INT AS i, CASE k WHEN 0 THEN 1 - ({at} - {low}) ELSE {at} - {low} END AS w FROM range({to}) a(o), range(2) b(k))"
+
+
+def _resized(source: str, n: int, h: int, w: int) -> str:
+    y = f"(SELECT {IMG}, x, o::INT AS y, sum(w * v) / sum(w) AS v FROM {source} JOIN {_axis(n, h)} ON y = i WHERE w > 0 GROUP BY ALL)"
+    return f"SELECT {IMG}, y, o::INT AS x, round(sum(w * v) / sum(w), 6) AS v FROM {y} JOIN {_axis(n, w)} ON x = i WHERE w > 0 GROUP BY ALL"
+
+
+query("resize_bilinear", O.query(O.LINE, _IMAGE, select=_resized("img", 32, 48, 40)))(lambda s, d: N.resize(_image(s, d), LINE_SIZE, (48, 40)))
+query("zoom_before_solve", O.query(O.LINE, _IMAGE, select=_resized("(SELECT stack_id, frame_id, y, x, 0 AS c, avg(v) AS v FROM img GROUP BY ALL)", 32, 38, 38)))(
+    lambda s, d: N.resize(_image(s, d).groupBy("stack_id", "frame_id", "y", "x").agg(F.lit(0).alias("c"), F.avg("v").alias("v")), LINE_SIZE, (38, 38))
+)
+query("zoom_cubic")(lambda s, d: N.resize(_image(s, d), LINE_SIZE, (48, 40), 3))
+for _pattern, _sites in N.PATTERNS.items():
+    _of = lambda y, x, p=_sites: f"CASE WHEN {y} % 2 = 0 THEN CASE WHEN {x} % 2 = 0 THEN {p[0]} ELSE {p[1]} END ELSE CASE WHEN {x} % 2 = 0 THEN {p[2]} ELSE {p[3]} END END"
+    _sql = f"""SELECT 0 AS stack_id, 0 AS frame_id, col AS c, oy::INT AS y, ox::INT AS x, round(avg(v) FILTER (WHERE {_of('y', 'x')} = col), 6) AS v
+      FROM (SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
+      JOIN (SELECT y, x, v FROM px WHERE c = {_of('y', 'x')}) USING (y, x), (SELECT unnest([0, 1, 2]) AS col) GROUP BY ALL"""
+    query(f"debayer_{_pattern.lower()}", O.query(O.SYNTH, select=_sql))(lambda s, d, p=_pattern: N.debayer(V.synth_mosaic(s, pattern=p), SYNTH_SIZE, p))
+
+_OUT = f"SELECT {IMG}, y, x, round(v, 6) AS v FROM "
+query("gaussian_blur", O.query(O.LINE, _IMAGE, O.blur("img", "b", "2.5", 32, IMG), select=_OUT + "b"))(lambda s, d: N.gaussian_blur(_image(s, d), LINE_SIZE, 2.5))
+for _name, _amount in P.SHARPEN.items():
+    _sql = f"SELECT {IMG}, y, x, round(i.v + {_amount} * least(greatest(i.v - b.v, 0), 0.15 * i.v), 6) AS v FROM img i JOIN b USING ({IMG}, y, x)"
+    query(f"sharpen_{_name}", O.query(O.LINE, _IMAGE, O.blur("img", "b", "(3.5 / 2.3548)", 32, IMG), select=_sql))(lambda s, d, k=_name: P.sharpen(_image(s, d), LINE_SIZE, 3.5, k))
+query("median3x3", O.query(O.MONO, select=f"""SELECT {IMG}, oy::INT AS y, ox::INT AS x, round(median(v), 6) AS v FROM (
+  SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
+  JOIN mono USING (y, x) GROUP BY ALL"""))(lambda s, d: N.window_3x3(_mono(s), SYNTH_SIZE, F.median("v")))
+query("local_maxima", O.query(O.MONO, O.maxima("mono", "p", 3, 64), select="SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM p WHERE v > 0.15"))(lambda s, d: N.local_maxima(_mono(s), SYNTH_SIZE, 3, 0.15))
+_DETECT = """flat AS MATERIALIZED (SELECT stack_id, frame_id, y, x, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS v FROM mono)"""
+query("source_detect", O.query(O.MONO, _DETECT, O.blur("flat", "b", "2.5", 64, "stack_id, frame_id"), O.maxima("b", "p", 5, 64), select="""SELECT stack_id, frame_id, x, y, round(f.v, 6) AS v
+  FROM p JOIN flat f USING (stack_id, frame_id, y, x), (SELECT greatest(median(v) + 0.9 * stddev_pop(v), 0.01) AS t FROM b) WHERE p.v > t"""))(lambda s, d: N.detect_sources(_mono(s).drop("c"), SYNTH_SIZE))
+
+# Background, colour, crops.
+
+query("background_grid", O.query(O.SYNTH, O.background("px", "bg", 64, 6), select=f"SELECT {IMG}, cy AS y, cx AS x, round(v, 6) AS v FROM bg_g"))(lambda s, d: B.cell_sky(V.synth_px(s), SYNTH_SIZE))
+_FLAT = f"flat AS MATERIALIZED (SELECT {IMG}, y, x, v - bg AS v FROM px JOIN bg USING ({IMG}, y, x))"
+_PED = f"ped AS MATERIALIZED (SELECT {IMG}, list_sort(list(v))[count(*) // 1000 + 1] AS p FROM flat GROUP BY ALL)"
+query("remove_gradient_mono", O.query(O.MONO.replace("mono AS", "all_px AS").replace("px AS", "rgb AS", 1).replace("all_rgb", "all_px").replace("FROM px WHERE", "FROM rgb WHERE").replace("all_px AS", "px AS"), O.background("px", "bg", 64, 6), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
+    lambda s, d: B.remove_gradient(_mono(s), SYNTH_SIZE)
+)
+_RGB = f"""light AS MATERIALIZED (SELECT stack_id, frame_id, y, x, avg(v) AS v FROM flat GROUP BY ALL),
+ped AS (SELECT stack_id, frame_id, list_sort(list(v))[count(*) // 1000 + 1] AS p FROM light GROUP BY ALL),
+low AS MATERIALIZED (SELECT {IMG}, y, x, greatest(v - p, 0) AS v FROM flat JOIN ped USING (stack_id, frame_id)),
+{{corners}},
+sky AS (SELECT {IMG}, coalesce(s, 0) AS s FROM (SELECT DISTINCT {IMG} FROM low) LEFT JOIN (SELECT {IMG}, median(v) AS s FROM cor WHERE v >= 0 GROUP BY ALL) USING ({IMG}))"""
+_RGB_OUT = f"SELECT {IMG}, y, x, round(greatest(v - (s - m), 0), 6) AS v FROM low JOIN sky USING ({IMG}) JOIN (SELECT stack_id, frame_id, min(s) AS m FROM sky GROUP BY ALL) USING (stack_id, frame_id)"
+query("remove_gradient_rgb", O.query(O.SYNTH, O.background("px", "bg", 64, 6), _FLAT, _RGB.format(corners=O.corners("low", "cor", 64)), select=_RGB_OUT))(lambda s, d: B.remove_gradient(V.synth_px(s), SYNTH_SIZE, colour=True))
+query("local_normalise", O.query(O.LINE, O.background("px", "bg", 32, 12), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
+    lambda s, d: B.local_normalise(V.line_px(s, d), LINE_SIZE)
+)
+_FACTORS = f"""low AS (SELECT *, count(*) FILTER (WHERE v >= 0) OVER (PARTITION BY {IMG}) AS n FROM cor),
+fac AS MATERIALIZED (SELECT {IMG}, CASE WHEN m < 1e-8 THEN 1 ELSE m / greatest(s, 1e-8) END AS factor FROM (
+  SELECT *, avg(s) OVER (PARTITION BY stack_id, frame_id) AS m FROM (
+    SELECT {IMG}, CASE WHEN n < 10 THEN 0 ELSE sky END AS s FROM (SELECT DISTINCT {IMG}, n FROM low) LEFT JOIN cs USING ({IMG}))))"""
+_BAL = [O.SYNTH, O.corners("px", "cor", 64), O.sky("(SELECT * FROM cor WHERE v >= 0)", "cs", IMG, "2.5"), _FACTORS]
+query("colour_balance_factors", O.query(*_BAL, select=f"SELECT {IMG}, round(factor, 6) AS factor FROM fac"))(lambda s, d: B.balance_factors(V.synth_px(s), SYNTH_SIZE))
+query("colour_balance_auto", O.query(*_BAL, select=f"SELECT {IMG}, y, x, round(greatest(v * factor, 0), 6) AS v FROM px JOIN fac USING ({IMG})"))(lambda s, d: B.auto_balance(V.synth_px(s), SYNTH_SIZE))
+query("colour_balance_manual", O.query(O.LINE, select="SELECT stack_id, frame_id, y, x, c, round(greatest(v * CASE c WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.75 END, 0), 6) AS v FROM px"))(
+    lambda s, d: B.manual_balance(V.line_px(s, d), 1.5, 1.0, 0.75)
+)
+_FRAME = "edged AS MATERIALIZED (SELECT * EXCLUDE v, CASE WHEN y BETWEEN 5 AND 50 AND x BETWEEN 9 AND 60 THEN v WHEN y < 3 THEN 0 END AS v FROM px)"
+
+
+def _edged(s: SparkSession) -> DataFrame:
+    inside = F.col("y").between(5, 50) & F.col("x").between(9, 60)
+    return V.synth_px(s).withColumn("v", F.when(inside, F.col("v")).when(F.col("y") < 3, 0.0))
+
+
+query("auto_crop", O.query(O.SYNTH, _FRAME, select="""SELECT stack_id, frame_id, (y - y0)::INT AS y, (x - x0)::INT AS x, c, round(v, 6) AS v FROM edged, (
+  SELECT min(y) + 2 AS y0, max(y) - 2 AS y1, min(x) + 2 AS x0, max(x) - 2 AS x1 FROM (SELECT y, x FROM edged GROUP BY ALL HAVING count(v) = 3 AND max(v) > 0))
+  WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"""))(lambda s, d: G.auto_crop(_edged(s), colour=True))
+query("manual_crop", O.query(O.SYNTH, select="SELECT stack_id, frame_id, (y - 8)::INT AS y, (x - 20)::INT AS x, c, round(v, 6) AS v FROM px WHERE y >= 8 AND y < 40 AND x >= 20 AND x < 44"))(lambda s, d: G.crop(V.synth_px(s), 8, 20, 32, 24))
+query("trim_shapes", O.query(O.LINE, select="""SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM px, (
+  SELECT min(h) AS h, min(w) AS w FROM (SELECT max(y) AS h, max(x) AS w FROM px WHERE y <= 20 + frame_id GROUP BY frame_id)) WHERE y <= 20 + frame_id AND y <= h AND x <= w"""))(
+    lambda s, d: G.trim_frames(V.line_px(s, d).filter("y <= 20 + frame_id"))
+)
+query("union_corners", O.query(O.LINE, O.corners("px", "cor", 32), select="SELECT c, count(*) AS n, round(sum(v), 6) AS v FROM cor GROUP BY 1"))(
+    lambda s, d: B.corners(V.line_px(s, d), LINE_SIZE).groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+)
+
+# Frames.
+
+_SCORES = """scores AS MATERIALIZED (SELECT frames.*, n < 3 OR (fwhm <= wide AND eccentricity <= least(long, 0.8)) AS keep FROM frames, (
+  SELECT median(fwhm) + 2 * stddev_pop(fwhm) AS wide, median(eccentricity) + 2 * stddev_pop(eccentricity) AS long, count(*) AS n FROM frames))"""
+_scores = lambda s, d: quality.guarded(quality.score_frames(V.event_frames(s, d)))
+_ids = lambda s, d: V.event_frames(s, d).select("frame_id", "n_stars")
+query("frame_scores", O.query(O.FRAMES, _SCORES, select="SELECT frame_id, round(fwhm, 6) AS fwhm, n_stars, round(eccentricity, 6) AS eccentricity, round(roundness, 6) AS roundness, keep FROM scores"))(_scores)
+query("frame_reject_semi", O.query(O.FRAMES, _SCORES, select="SELECT frame_id, n_stars FROM frames SEMI JOIN (SELECT frame_id FROM scores WHERE keep) USING (frame_id)"))(lambda s, d: quality.accepted(_ids(s, d), _scores(s, d)))
+query("frame_reject_anti", O.query(O.FRAMES, _SCORES, select="SELECT frame_id, n_stars FROM frames ANTI JOIN (SELECT frame_id FROM scores WHERE keep) USING (frame_id)"))(lambda s, d: quality.rejected(_ids(s, d), _scores(s, d)))
+query("frame_counts", O.query(O.FRAMES, _SCORES, select="SELECT count(*) FILTER (WHERE keep) AS accepted, count(*) FILTER (WHERE NOT keep) AS rejected, count(*) AS total FROM scores"))(lambda s, d: quality.frame_counts(_scores(s, d)))
+query("median_fwhm", O.query(O.FRAMES, select="SELECT round(2 * coalesce(median(fwhm), 2.5), 6) AS fwhm FROM frames"))(lambda s, d: quality.median_fwhm(V.event_frames(s, d), 2))
+query("psf_weights", O.query(O.FRAMES, select="SELECT frame_id, round(roundness / greatest(fwhm, 0.1), 6) AS w FROM frames"))(lambda s, d: quality.psf_weights(V.event_frames(s, d)))
+
+# Display.
+
+_LIGHT = "light AS MATERIALIZED (SELECT stack_id, y, x, 0.299 * max(v) FILTER (WHERE c = 0) + 0.587 * max(v) FILTER (WHERE c = 1) + 0.114 * max(v) FILTER (WHERE c = 2) AS v FROM img GROUP BY ALL)"
+_stack = lambda s, d: stacking.stack(V.line_px(s, d), "mean", prereject=False)
+query("luminance", O.query(O.LINE, _IMAGE, _LIGHT, select="SELECT stack_id, y, x, round(v, 6) AS v FROM light"))(lambda s, d: D.luminance(_stack(s, d), ["stack_id"]))
+query("auto_stretch_rgb", O.query(O.LINE, _IMAGE, _LIGHT, O.STRETCH_PARAMS, select=O.STRETCHED))(lambda s, d: D.auto_stretch(_stack(s, d), ["stack_id"], colour=True))
+_EMB_IMAGE = "img AS MATERIALIZED (SELECT stack_id, y, x, c, avg(v) AS v FROM px GROUP BY ALL), light AS (SELECT * FROM img)"
+_emb = lambda s, d: stacking.stack(V.emb_px(s, d), "mean", prereject=False)
+query("auto_stretch_mono", O.query(O.EMB, _EMB_IMAGE, O.STRETCH_PARAMS, select=O.STRETCHED))(lambda s, d: D.auto_stretch(_emb(s, d), ["stack_id"]))
+query("locked_stretch", O.query(O.LINE, "img AS (SELECT * FROM px WHERE frame_id = 1)", "light AS (SELECT * FROM px WHERE frame_id = 0 AND c = 0)", O.STRETCH_PARAMS, select=O.STRETCHED))(
+    lambda s, d: D.apply_stretch(V.line_px(s, d).filter("frame_id = 1").drop("frame_id"), D.stretch_params(V.line_px(s, d).filter("frame_id = 0 and c = 0"), ["stack_id"]), ["stack_id"])
+)
+query("linear_stretch", O.query(O.LINE, _IMAGE, select="""SELECT stack_id, y, x, c, CASE WHEN b > a THEN floor(least(greatest((v - a) / nullif(b - a, 0), 0), 1) * 255)::INT ELSE 0 END AS v
+  FROM img JOIN (SELECT stack_id, quantile_cont(v, 0.005) AS a, quantile_cont(v, 0.995) AS b FROM img GROUP BY 1) USING (stack_id)"""))(lambda s, d: D.linear_stretch(_stack(s, d), ["stack_id"]))
+query("mtf", """WITH g AS (SELECT i, (i % 100 + 0.5::DOUBLE) / 100 AS x, (i // 100 * 2 + 1) / 20 AS m FROM range(1000) t(i))
+SELECT i AS id, round(least(greatest((m - 1) * x / ((m * 2 - 1) * x - m), 0), 1), 6) AS v, round(least(greatest(x * (m - 1) / (m * x * 2 - m - x), 0.001), 0.999), 6) AS b FROM g""")(
+    lambda s, d: s.range(1000).select("id", ((F.col("id") % 100 + 0.5) / 100).alias("x"), ((F.floor(F.col("id") / 100) * 2 + 1) / 20).alias("m")).select("id", D.midtone_transfer(F.col("x"), F.col("m")).alias("v"), D.midtone_balance(F.col("x"), F.col("m")).alias("b"))
+)
+query("histogram_mono", O.query(O.EMB, select="""SELECT stack_id, least(floor((v - a) / (b - a) * 256), 255)::INT AS bin, count(*) AS n
+  FROM px JOIN (SELECT stack_id, min(v) AS a, max(v) AS b FROM px GROUP BY 1) USING (stack_id) WHERE b > a GROUP BY ALL"""))(lambda s, d: D.histogram(V.emb_px(s, d), ["stack_id"]))
+query("histogram_rgb", O.query(O.LINE, select="SELECT c, least(floor(v * 256), 255)::INT AS bin, count(*) AS n FROM px WHERE v BETWEEN 0 AND 1 GROUP BY ALL"))(lambda s, d: D.histogram(V.line_px(s, d), ["c"], limits=(0.0, 1.0)))
+query("image_stats", O.query(O.LINE, select="SELECT frame_id, c, round(min(v), 6) AS low, round(max(v), 6) AS top, round(avg(v), 6) AS mean, round(median(v), 6) AS median FROM px GROUP BY ALL"))(lambda s, d: D.image_stats(V.line_px(s, d), ["frame_id", "c"]))
+query("moffat_kernel", """WITH k AS (SELECT dy, dx, pow(1 + (dy*dy + dx*dx) / pow(3.2 / (2 * sqrt(pow(2, 1 / 3.5) - 1)), 2), -3.5) AS w FROM range(-6, 7) a(dy), range(-6, 7) b(dx))
+SELECT dy::INT AS dy, dx::INT AS dx, round(w / sum(w) OVER (), 6) AS w FROM k""")(lambda s, d: s.range(1).select(F.inline(D.moffat_kernel(3.2))))
+
+# Star reduction.
+
+_STARS = f"""light AS MATERIALIZED (SELECT stack_id, frame_id, y, x, avg(v) AS v FROM px GROUP BY ALL),
+{O.blur('light', 'lb', '3.0', 64, 'stack_id, frame_id')},
+hp AS MATERIALIZED (SELECT stack_id, frame_id, y, x, l.v - lb.v AS v FROM light l JOIN lb USING (stack_id, frame_id, y, x)),
+{O.maxima('hp', 'pk', 3, 64)},
+spot AS MATERIALIZED (SELECT stack_id, frame_id, y, x, CASE WHEN p.v > t THEN 1 ELSE 0 END::DOUBLE AS v FROM hp LEFT JOIN pk p USING (stack_id, frame_id, y, x),
+  (SELECT greatest(2 * 1.4826 * median(abs(v)), 0.002 * max(v)) AS t FROM hp)),
+{O.blur('spot', 'mk', '10.5', 64, 'stack_id, frame_id')},
+{O.blur('px', 'nb', '25.0', 64, IMG)},
+{O.blur('px', 'fb', '100.0', 64, IMG)}"""
+query("star_reduce", O.query(O.SYNTH, _STARS, select=f"""SELECT {IMG}, y, x, round(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0), 6) AS v FROM (
+  SELECT {IMG}, y, x, px.v, nb.v AS n, fb.v AS f, least(greatest(mk.v * 2 * pi() * 10.5 * 10.5, 0), 1) AS m
+  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x))"""))(lambda s, d: P.reduce_stars(V.synth_px(s), SYNTH_SIZE, 0.5))
+
+# Mosaic: two overlapping halves of the made-up frame as panels on the sky.
+
+_SCALE = 0.001
+
+
+def _panels(s: SparkSession) -> tuple[DataFrame, DataFrame]:
+    px = V.synth_px(s)
+    rows = [(0, 40, 64, [20.0, 32.0], [150.0, 20.0], [-_SCALE, 0.0, 0.0, _SCALE]), (1, 40, 64, [16.0, 30.0], [149.97, 20.002], [-_SCALE, 0.00002, 0.00002, _SCALE])]
+    panels = s.createDataFrame(rows, "panel_id int, width int, height int, crpix array<double>, crval array<double>, cd array<double>")
+    parts = [px.filter(F.col("x").between(24 * k, 24 * k + 39)).select(F.lit(k).alias("panel_id"), "y", (F.col("x") - 24 * k).alias("x"), "c", "v") for k in (0, 1)]
+    return parts[0].unionAll(parts[1]), panels
+
+
+def _to_sky(x: str, y: str, p: str) -> str:
+    """SQL for ra, dec of a pixel; ``p`` prefixes the columns px0, px1, r0, d0, a, b, e, f of a panel."""
+    xi = f"radians(({x} + 1 - {p}px0) * {p}a + ({y} + 1 - {p}px1) * {p}b)"
+    eta = f"radians(({x} + 1 - {p}px0) * {p}e + ({y} + 1 - {p}px1) * {p}f)"
+    below = f"(cos(radians({p}d0)) - {eta} * sin(radians({p}d0)))"
+    ra = f"({p}r0 + degrees(atan2({xi}, {below})))"
+    dec = f"degrees(atan2(sin(radians({p}d0)) + {eta} * cos(radians({p}d0)), sqrt(pow({xi}, 2) + pow({below}, 2))))"
+    return f"{ra} AS ra, {dec} AS dec"
+
+
+_PANEL_SQL = f"""panels(panel_id, width, height, px0, px1, r0, d0, a, b, e, f) AS (VALUES
+  (0, 40, 64, 20e0, 32e0, 150e0, 20e0, -{_SCALE}::DOUBLE, 0e0, 0e0, {_SCALE}::DOUBLE), (1, 40, 64, 16e0, 30e0, 149.97::DOUBLE, 20.002::DOUBLE, -{_SCALE}::DOUBLE, 2e-5, 2e-5, {_SCALE}::DOUBLE)),
+sky AS (SELECT {_to_sky('cx', 'cy', '')} FROM (SELECT *, i * (width - 1) AS cx, j * (height - 1) AS cy FROM panels, range(2) q(i), range(2) u(j))),
+step AS (SELECT min(sqrt(pow((n.ra - h.ra) * cos(radians(h.dec)), 2) + pow(n.dec - h.dec, 2))) AS s
+  FROM (SELECT panel_id, {_to_sky('width / 2', 'height / 2', '')} FROM panels) h JOIN (SELECT panel_id, {_to_sky('(width / 2 + 1)', 'height / 2', '')} FROM panels) n USING (panel_id)),
+grid AS MATERIALIZED (SELECT ow, oh, ow / 2 AS opx0, oh / 2 AS opx1, or0, od0, -s AS oa, 0e0 AS ob, 0e0 AS oe, s AS of FROM (
+  SELECT (floor(1.05 * (max(ra) - min(ra)) * cos(radians((min(dec) + max(dec)) / 2)) / any_value(s)) + 1)::INT AS ow, (floor(1.05 * (max(dec) - min(dec)) / any_value(s)) + 1)::INT AS oh,
+         (min(ra) + max(ra)) / 2 AS or0, (min(dec) + max(dec)) / 2 AS od0, any_value(s) AS s FROM sky, step))"""
+_BACK = """place AS MATERIALIZED (SELECT *, px0 - 1 + (xi * f - eta * b) / (a * f - b * e) AS ix, px1 - 1 + (eta * a - xi * e) / (a * f - b * e) AS iy FROM (
+  SELECT *, degrees(cos(radians(dec)) * sin(radians(ra - r0)) / below) AS xi, degrees((sin(radians(dec)) * cos(radians(d0)) - cos(radians(dec)) * sin(radians(d0)) * cos(radians(ra - r0))) / below) AS eta FROM (
+    SELECT *, sin(radians(dec)) * sin(radians(d0)) + cos(radians(dec)) * cos(radians(d0)) * cos(radians(ra - r0)) AS below FROM out, panels)))"""
+_MOSAIC = [O.SYNTH, _PANEL_SQL, f"""out AS (SELECT oy, ox, {_to_sky('ox', 'oy', 'o')} FROM (SELECT *, unnest(range(oh)) AS oy FROM grid) CROSS JOIN (SELECT unnest(range(ow)) AS ox FROM grid))""", _BACK, """hit AS MATERIALIZED (
+  SELECT panel_id, oy, ox, width, height, (floor(iy) + j)::INT AS y, (floor(ix) + i)::INT AS x,
+         CASE i WHEN 1 THEN ix - floor(ix) ELSE 1 - (ix - floor(ix)) END * CASE j WHEN 1 THEN iy - floor(iy) ELSE 1 - (iy - floor(iy)) END AS k
+  FROM place, range(2) q(i), range(2) u(j) WHERE ix >= 0 AND ix < width - 1 AND iy >= 0 AND iy < height - 1)""", """rep AS (
+  SELECT h.panel_id, oy, ox, c, sum(k * v) AS v, sum(k * least((h.y + 1) / 30, (height - h.y) / 30, (h.x + 1) / 30, (width - h.x) / 30, 1)) AS w
+  FROM hit h JOIN px ON px.y = h.y AND px.x = h.x + 24 * h.panel_id GROUP BY ALL)"""]
+query("feather_weights", O.query(O.SYNTH, select="SELECT y, x, round(least((y + 1) / 30, (64 - y) / 30, (x + 1) / 30, (64 - x) / 30, 1), 6) AS w FROM px WHERE c = 0"))(
+    lambda s, d: _mono(s).select("y", "x", M.feather(F.col("y"), F.col("x"), F.lit(64), F.lit(64)).alias("w"))
+)
+query("mosaic_grid", O.query(_PANEL_SQL, select="SELECT ow AS o_width, oh AS o_height, round(or0, 6) AS ra, round(od0, 6) AS dec, round(of * 1000, 6) AS step FROM grid"))(
+    lambda s, d: M.output_grid(_panels(s)[1]).select("o_width", "o_height", F.col("o_crval")[0].alias("ra"), F.col("o_crval")[1].alias("dec"), (F.col("o_cd")[3] * 1000).alias("step"))
+)
+query("mosaic_blend", O.query(*_MOSAIC, select="SELECT oy::INT AS y, ox::INT AS x, c, round(coalesce(sum(v * w) / nullif(sum(w), 0), 0), 6) AS v FROM rep GROUP BY ALL"))(lambda s, d: M.build_mosaic(*_panels(s)))
+
+# Selections and sets.
+
+query("top_stars", O.query(O.SYNTH, select="SELECT c, y, x, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY v DESC, y, x) AS rank FROM px) WHERE rank <= 60"))(
+    lambda s, d: sets.top_k(V.synth_px(s).select("c", "y", "x", "v"), ["c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
+)
+query("kth_pedestal", O.query(O.LINE, select="SELECT frame_id, c, round(list_sort(list(v))[count(*) // 100 + 1], 6) AS pedestal FROM px GROUP BY ALL"))(lambda s, d: B.kth_smallest(V.line_px(s, d), ["frame_id", "c"], per=100))
+query("ordered_distinct", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(
+    lambda s, d: sets.ordered_distinct(V.table(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+)
+query("path_minus", "SELECT DISTINCT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")(
+    lambda s, d: sets.append_new(V.table(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), V.table(s, d, "customer").select("c_custkey"), "c_custkey", "c_custkey")
+)
+
+# Astrometry.
+
+_numbers = lambda s, d: V.table(s, d, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 360000 / 1000.0 + 0.0001).alias("ra"), ((F.col("p_partkey") * 104729 % 180000) / 1000.0 - 90 + 0.0002).alias("dec"))
+_NUMBERS = "n AS (SELECT p_partkey, p_partkey * 7919 % 360000 / 1e3 + 1e-4 AS ra, p_partkey * 104729 % 180000 / 1e3 - 90 + 2e-4 AS dec FROM part)"
+query("ra_hms", O.query(_NUMBERS, "h AS (SELECT *, ra / 15 AS t, floor(ra / 15) AS h FROM n)", select="SELECT p_partkey, printf('%02d %02d %05.2f', h::INT, floor((t - h) * 60)::INT, ((t - h) * 60 - floor((t - h) * 60)) * 60) AS hms FROM h"))(
+    lambda s, d: _numbers(s, d).select("p_partkey", A.ra_hms(F.col("ra")).alias("hms"))
+)
+query("dec_dms", O.query(_NUMBERS, "h AS (SELECT *, abs(dec) AS t, floor(abs(dec)) AS h FROM n)", select="SELECT p_partkey, printf('%s%02d %02d %04.1f', CASE WHEN dec >= 0 THEN '+' ELSE '-' END, h::INT, floor((t - h) * 60)::INT, ((t - h) * 60 - floor((t - h) * 60)) * 60) AS dms FROM h"))(
+    lambda s, d: _numbers(s, d).select("p_partkey", A.dec_dms(F.col("dec")).alias("dms"))
+)
+query("plate_scale", "SELECT p_partkey, round(x, 6) AS scale, round(x * 0.75, 3) AS low, round(x * 1.25, 3) AS high FROM (SELECT p_partkey, CASE WHEN p_size > 1 THEN 3.76 / (p_size * 1e1 + 0.37) * 206.265 END AS x FROM part)")(
+    lambda s, d: V.table(s, d, "part").select("p_partkey", A.plate_scale(F.lit(3.76), F.when(F.col("p_size") > 1, F.col("p_size") * 10 + 0.37).otherwise(0.5)).alias("s")).select("p_partkey", "s.scale", "s.low", "s.high")
+)
+query("scale_hints", "SELECT p_partkey, round(p_retailprice / CASE p_size % 3 WHEN 0 THEN 1.2 ELSE 1 END / CASE p_size % 2 WHEN 0 THEN 2 ELSE 1 END, 6) AS hint FROM part")(
+    lambda s, d: V.table(s, d, "part").select("p_partkey", A.scale_hint(F.col("p_retailprice"), F.when(F.col("p_size") % 3 == 0, "arcsecperpix").otherwise("degwidth"), F.col("p_size") % 2 == 0).alias("hint"))
+)
+
+
+@query("wcs_header", O.query(_NUMBERS, select="""SELECT p_partkey, t.k AS k, round(t.v, 6) AS v FROM (SELECT p_partkey, unnest([
+  {k: 'CD1_1', v: -s * cos(radians(ra)) * flip}, {k: 'CD1_2', v: s * sin(radians(ra))}, {k: 'CD2_1', v: -s * sin(radians(ra)) * flip}, {k: 'CD2_2', v: -s * cos(radians(ra))},
+  {k: 'CRPIX1', v: 2000e0}, {k: 'CRPIX2', v: 1500e0}]) AS t FROM (SELECT p_partkey, ra, (dec + 100) * 1.2 / 3600 AS s, CASE WHEN dec < 0 THEN -1 ELSE 1 END AS flip FROM n))"""))
+def _header(s: SparkSession, d: str) -> DataFrame:
+    made = A.derived_header(F.col("dec") + 100, F.col("ra"), F.col("dec") < 0, F.lit(4000), F.lit(3000))
+    return _numbers(s, d).select("p_partkey", F.explode(made).alias("k", "v"))
+
+
+def _solved(s: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    header = F.create_map(*[x for k, v in {"SIMPLE": F.lit("T"), "CRPIX1": key, "CD1_1": F.concat(F.lit("0.00"), key), "CDELT1": key, "OBJECT": F.col("p_name")}.items() for x in (F.lit(k), v)])
+    return V.table(s, d, "part").select("p_partkey", F.explode(A.solved_header(header)).alias("k", "v"))
+
+
+query("solved_header", """SELECT p_partkey, unnest(['CRPIX1', 'CD1_1', 'OBJECT']) AS k, unnest([printf('%.9f', p_partkey / 1.2), printf('%.9f', ('0.00' || p_partkey)::DOUBLE * 1.2), p_name]) AS v FROM part""")(_solved)
+query("annotation_class", """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'messier' WHEN p_partkey % 5 = 1 THEN 'messier' WHEN p_partkey % 5 = 2 THEN 'ngc' ELSE 'other' END AS class FROM part""")(
+    lambda s, d: V.table(s, d, "part").select("p_partkey", A.annotation_class(
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("M"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 5 == 1, F.lit("m 31")).otherwise(F.lit("Main")),
+        F.when(F.col("p_partkey") % 5 == 2, "NGC").otherwise("asteroid")).alias("class"))
+)
+
+
+@query("annotations_json", """SELECT event_id, 'k' AS name, (props::JSON->>'$.k')::DOUBLE AS pixel_x, 0e0 AS pixel_y, 30e0 AS radius, 'star' AS type FROM events
+UNION ALL SELECT event_id, CASE WHEN event_type = 'view' THEN 'view' ELSE 'Unknown' END, 0, 1.5, 2, CASE WHEN event_type = 'view' THEN 'view' ELSE '' END FROM events""")
+def _annotations(s: SparkSession, d: str) -> DataFrame:
+    first = F.concat(F.lit('{"names":["k","z"],"type":"star","pixelx":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    second = F.concat(F.lit('{"pixely":1.5,"radius":2'), F.when(F.col("event_type") == "view", ',"type":"view"').otherwise(""), F.lit("}"))
+    text = F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))
+    return V.table(s, d, "events").select("event_id", F.inline(A.annotations(text)))
+
+
+@query("session_defaults", """SELECT event_id, coalesce(event_type, 'sigma_clip') AS method, coalesce((props::JSON->>'$.k')::DOUBLE, 2.5) AS low, 2.5::DOUBLE AS high FROM events""")
+def _session(s: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('{"method":"'), F.col("event_type"), F.lit('","sigma_low":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    got = F.from_json(text, "method string, sigma_low double, sigma_high double")
+    return V.table(s, d, "events").select("event_id", F.coalesce(got["method"], F.lit("sigma_clip")).alias("method"), F.coalesce(got["sigma_low"], F.lit(2.5)).alias("low"), F.coalesce(got["sigma_high"], F.lit(2.5)).alias("high"))
+
+
+query("wcs_merge", "SELECT n_nationkey, unnest(['A', 'B', 'C']) AS k, unnest([n_name, 'new', n_nationkey::VARCHAR]) AS v FROM nation")(
+    lambda s, d: V.table(s, d, "nation").select("n_nationkey", F.explode(A.wcs_merge(
+        F.create_map(F.lit("A"), F.col("n_name"), F.lit("B"), F.lit("old")), F.create_map(F.lit("B"), F.lit("new"), F.lit("C"), F.col("n_nationkey").cast("string")))).alias("k", "v"))
+)
+query("solve_summary", "SELECT n_nationkey, 'Center: RA 10 00 00.00, Dec +20 30 00.0' || chr(10) || 'Scale: 1.500 arcsec/px' || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'Objects: ' || n_name || ', M31' ELSE '' END AS text FROM nation")(
+    lambda s, d: V.table(s, d, "nation").select("n_nationkey", A.summary(F.lit(150.0), F.lit(20.5), F.lit(1.5), F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name", F.lit("M31"))).otherwise(F.array().cast("array<string>"))).alias("text"))
+)
+
+# Star profiles, denoising, registration: numerical kernels.
+
+_MOMENT = """cut AS (SELECT s.y AS sy, s.x AS sx, p.y - s.y AS dy, p.x - s.x AS dx, p.v - min(p.v) OVER (PARTITION BY s.y, s.x) AS f
+  FROM pk s JOIN (SELECT y, x, v FROM mono) p ON p.y BETWEEN s.y - 5 AND s.y + 5 AND p.x BETWEEN s.x - 5 AND s.x + 5),
+mom AS (SELECT sy, sx, sum(f) AS flux, sum(f*dx*dx)/sum(f) AS xx, sum(f*dy*dy)/sum(f) AS yy, sum(f*dx*dy)/sum(f) AS xy FROM cut GROUP BY ALL)"""
+query("moment_psf", O.query(O.MONO, "pk AS MATERIALIZED (" + O.maxima("mono", "p", 5, 64).split("AS MATERIALIZED (", 1)[1][:-1] + " AND v > 0.2)", _MOMENT, select="""SELECT 0 AS stack_id, 0 AS frame_id, sy AS y, sx AS x, round(flux, 6) AS flux,
+  round(sqrt((xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy)) * 2.3548, 6) AS major, round(sqrt(greatest((xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy), 0)) * 2.3548, 6) AS minor FROM mom"""))(
+    lambda s, d: psf.moment_psf(_mono(s).drop("c"), N.local_maxima(_mono(s).drop("c"), SYNTH_SIZE, 5, 0.2).select("stack_id", "frame_id", "y", "x"))
+)
+query("psf_fit")(lambda s, d: psf.fit_stars(_mono(s).drop("c"), SYNTH_SIZE))
+query("frame_psf")(lambda s, d: psf.frame_psf(_mono(s).drop("c"), SYNTH_SIZE))
+for _name in P.DENOISE:
+    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.synth_px(s), k, tile=32))
+
+
+@query("align_frames")
+def _aligned(s: SparkSession, d: str) -> DataFrame:
+    px = V.synth_px(s)
+    moved = px.withColumns({"frame_id": F.lit(1), "y": F.col("y") + 3, "x": F.col("x") - 2}).filter("y < 64 and x >= 0")
+    return registration.align_frames(px.unionAll(moved), SYNTH_SIZE)[0]
+
+
+
