@@ -1,4 +1,7 @@
-"""The whole way from frames to a finished image, as one lazy plan, and its settings."""
+"""The whole way from frames to a finished image, and its settings.
+
+A stage reads its input more than once, so the result of each is written to the shared folder before the next plans on it.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import background, calibration, geometry, neighbours, postprocess, psf, quality, registration, stacking
+from ..sources.stage import staged
 
 FRAME = ["stack_id", "frame_id"]
 
@@ -51,19 +55,20 @@ def run(lights: DataFrame, size: tuple[int, int], config: Config, dark: DataFram
     px = calibration.calibrate(lights, dark, flat) if dark is not None or flat is not None else lights
     if config.bayer:
         px = neighbours.debayer(px, size, config.bayer)
+    px = staged(px, "calibrated")
     colour = px.agg(F.max("c")).first()[0] not in (None, 0)
     scores = None
     if config.reject or config.method == "weighted":
         mono = px.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v"))
-        scores = quality.score_frames(psf.frame_psf(mono, size))
+        scores = staged(quality.score_frames(staged(psf.frame_psf(mono, size), "psf")), "scores")
     if config.reject:
         px = quality.accepted(px, quality.guarded(scores))
     if config.normalise:
-        px = background.local_normalise(px, size, colour)
+        px = staged(background.local_normalise(px, size, colour), "normalised")
     if config.align:
         frames = [r["frame_id"] for r in px.select("frame_id").distinct().orderBy("frame_id").collect()]  # ids of frames, not pixels
         if frames:
-            px, _ = registration.align_frames(px, size, frames[max(0, min(config.reference, len(frames) - 1))])
+            px = staged(registration.align_frames(px, size, frames[max(0, min(config.reference, len(frames) - 1))])[0], "aligned")
     if config.drizzle:
         image, size = stacking.drizzle(px, config.scale, config.fraction), (size[0] * config.scale, size[1] * config.scale)
     elif config.method == "weighted":
@@ -72,22 +77,22 @@ def run(lights: DataFrame, size: tuple[int, int], config: Config, dark: DataFram
         image = stacking.stack(px, config.method, low=config.low, high=config.high)
     else:
         image = stacking.stack(px, config.method)
-    return postprocess_image(image.withColumn("frame_id", F.lit(0)), size, config, colour)
+    return postprocess_image(staged(image.withColumn("frame_id", F.lit(0)), "stacked"), size, config, colour)
 
 
 def postprocess_image(image: DataFrame, size: tuple[int, int], config: Config, colour: bool = False, fwhm: float | None = None) -> DataFrame:
     """Gradient, colour balance, sharpening, denoising, star reduction, crop, each where asked for."""
     out = image
     if config.gradient:
-        out = background.remove_gradient(out, size, colour=colour)
+        out = staged(background.remove_gradient(out, size, colour=colour), "processed")
     if config.balance and colour:
-        out = background.auto_balance(out, size)
+        out = staged(background.auto_balance(out, size), "processed")
     if config.sharpen:
-        out = postprocess.sharpen(out, size, fwhm or 2.5 * (config.scale if config.drizzle else 1), config.sharpen)
+        out = staged(postprocess.sharpen(out, size, fwhm or 2.5 * (config.scale if config.drizzle else 1), config.sharpen), "processed")
     if config.denoise:
-        out = postprocess.denoise(out, config.denoise)
+        out = staged(postprocess.denoise(out, config.denoise), "processed")
     if config.star_reduction > 0:
-        out = postprocess.reduce_stars(out, size, config.star_reduction)
+        out = staged(postprocess.reduce_stars(out, size, config.star_reduction), "processed")
     if config.crop:
         out = geometry.auto_crop(out, colour)
     return out
