@@ -63,7 +63,8 @@ def match_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url") -> Data
     Columns of the input other than those three pass through.
     """
     host, path = host_path(F.col(url_col))
-    out = urls.withColumns({"host": host, "path": path})
+    own = [f"`{c}`" for c in urls.columns if c not in ("host", "path", "entry")]
+    out = urls.select(*own, host.alias("host"), path.alias("path"))
     labels = F.size(F.split("host", r"\.", -1))
     shapes = [tuple(r) for r in listed.select(labels, F.char_length("path")).distinct().collect()]  # few: host depths and path lengths
     count = listed.count()
@@ -87,7 +88,7 @@ def match_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url") -> Data
     possible = tried.withColumn("block", _block(F.col("key"), blocks)).join(bits, "block").filter(hit).select("host", "path", "key")
     exact = possible.join(listed.select("key", "action", "rank"), "key")
     best = exact.groupBy("host", "path").agg(F.min_by(F.struct("key", "action", "rank"), F.struct("rank", -F.char_length("key"), "action")).alias("entry"))
-    return out.join(best, ["host", "path"], "left").select(*[f"`{c}`" for c in urls.columns if c not in ("host", "path", "entry")], "host", "path", "entry")
+    return out.join(best, ["host", "path"], "left").select(*own, "host", "path", "entry")
 
 
 def entries(spark: SparkSession, rules: list[tuple[str, str]], blocked: list[str]) -> DataFrame:
