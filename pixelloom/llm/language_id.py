@@ -59,12 +59,12 @@ def fit(cells: list[np.ndarray], languages: list[str], landmarks: int = LANDMARK
     names = sorted(set(languages))
     of = {name: [i for i, x in enumerate(languages) if x == name] for name in names}
     turns = [own[j] for j in range(max(map(len, of.values()))) for own in of.values() if j < len(own)][:landmarks]
-    x = kernel_rows(cells).astype(np.float64)
-    marks = x[turns]
+    marks = kernel_rows([cells[i] for i in turns]).astype(np.float64)
     value, vector = np.linalg.eigh(marks @ marks.T)
     good = value > 1e-8 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # K_mm^(-1/2)
-    features = x @ marks.T @ root
+    parts = range(0, len(cells), BATCH)  # never all rows at once
+    features = np.concatenate([kernel_rows(cells[lo : lo + BATCH]) @ marks.T @ root for lo in parts])
     target = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
     count = np.maximum(1, np.array([len(of[n]) for n in names]))
     weight = (1 / count)[[names.index(n) for n in languages]][:, None]  # languages weigh alike
