@@ -15,14 +15,15 @@ def cell_sky(px: DataFrame, size: tuple[int, int], grid: int = 6, keys: list[str
     """``keys, y, x, v``: the sky of each cell of a grid of at least ``grid`` cells a side.
 
     Positive values, clipped at 3 deviations; with fewer than 5 of them the median of the cell, or 0.  A sky of 0 or
-    less is replaced by the median of the image.
+    less, or of a cell without any pixel, is replaced by the median of the image.
     """
     high, wide = max(1, size[0] // grid), max(1, size[1] // grid)
     cells = px.groupBy(*keys, F.floor(F.col("y") / high).cast("int").alias("cy"), F.floor(F.col("x") / wide).cast("int").alias("cx"))
     found = cells.agg(F.array_sort(F.collect_list(F.when(F.col("v") > 0, F.col("v")))).alias("pos"), F.median("v").alias("all"))
     sky = F.when(F.size("pos") < 5, F.coalesce("all", F.lit(0.0))).otherwise(S.sky_level(F.col("pos")))
-    whole = px.groupBy(*keys).agg(F.median("v").alias("whole"))
-    out = found.withColumn("sky", sky).join(whole, keys)
+    rows, columns = grid_size(size, grid)
+    whole = px.groupBy(*keys).agg(F.median("v").alias("whole")).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    out = whole.withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).join(found.withColumn("sky", sky), [*keys, "cy", "cx"], "left")
     return out.select(*keys, F.col("cy").alias("y"), F.col("cx").alias("x"), F.when(F.col("sky") > 0, F.col("sky")).otherwise(F.col("whole")).alias("v"))
 
 

@@ -91,11 +91,12 @@ def background(source: str, name: str, n: int, grid: int, keys: str = IMG) -> st
     table = ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for (i, j), w in cubic_weights(cells, n).items())
     return sky(f"(SELECT {keys}, (y // {side})::INT AS cy, (x // {side})::INT AS cx, v FROM {source} WHERE v > 0)", f"{name}_s", f"{keys}, cy, cx", "3") + f""",
 {name}_g AS MATERIALIZED (
-  SELECT {keys}, cy, cx, CASE WHEN s > 0 THEN s ELSE whole END AS v FROM (
+  SELECT {keys}, cy::INT AS cy, cx::INT AS cx, CASE WHEN s > 0 THEN s ELSE whole END AS v
+  FROM (SELECT * FROM (SELECT {keys}, median(v) AS whole FROM {source} GROUP BY ALL), range({cells}) a(cy), range({cells}) b(cx))
+  LEFT JOIN (
     SELECT {keys}, cy, cx, CASE WHEN np < 5 THEN coalesce(a, 0) ELSE sky END AS s FROM (
       SELECT {keys}, (y // {side})::INT AS cy, (x // {side})::INT AS cx, median(v) AS a, count(*) FILTER (WHERE v > 0) AS np FROM {source} GROUP BY ALL)
-    LEFT JOIN {name}_s USING ({keys}, cy, cx))
-  JOIN (SELECT {keys}, median(v) AS whole FROM {source} GROUP BY ALL) USING ({keys})),
+    LEFT JOIN {name}_s USING ({keys}, cy, cx)) USING ({keys}, cy, cx)),
 {name}_m AS MATERIALIZED (
   SELECT {keys}, oy, ox, median(v) AS v FROM (
     SELECT oy, ox, least(greatest(oy + dy, 0), {cells - 1}) AS cy, least(greatest(ox + dx, 0), {cells - 1}) AS cx
