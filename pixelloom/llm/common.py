@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: The six characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = " \t\n\x0b\x0c\r"
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,10 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    While it is written, batches for Python hold at most BATCH_ROWS rows: whole texts and sets are long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
