@@ -52,7 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and where they lie in sequences."""
-    return packing.pack_documents(docs.select("doc_id", "text"))
+    return packing.pack_documents(docs.select("doc_id", "text"), added=packing.ADDED)
 
 
 STAGES = [

@@ -23,17 +23,21 @@ LARGE_PART, GROUPS = 3, 256
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The one added token of ``byte_bpe_50k.json``: its tokenizer reads the string in a text as this id.
+ADDED = (("<|endoftext|>", 50256),)
+
+
 @functools.cache
-def encoder(path: str) -> tiktoken.Encoding:
-    """Byte-level BPE by the rank file at ``path``; strings of special tokens are ordinary text."""
+def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
+    """Byte-level BPE by the rank file at ``path``; ``added`` are strings that are one token each, all others are ordinary text."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
-def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, capacity: int, added: tuple[tuple[str, int], ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = functools.partial(encoder(path, added).encode, allowed_special="all")
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -49,9 +53,9 @@ def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return cut
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row for each piece of each document: its ids and an end id 0, cut only beyond ``capacity``; the first piece takes the remainder."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, capacity), _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, capacity, added), _PIECES)
 
 
 # The plan: made on the driver from the count of each length, so its size depends on the capacity alone.
@@ -239,11 +243,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     return ranked.mapInArrow(_place(segments), f"{_PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise ``docs`` (``doc_id, text``; a null text is empty and still gives its end id) and pack the pieces."""
-    return pack(token_pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """Tokenise ``docs`` (``doc_id, text``; a null text is empty and still gives its end id) and pack the pieces.
+
+    Strings in ``added`` are one token each wherever a text has them; op2 and the pipeline give ``ADDED``.
+    """
+    return pack(token_pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity, added), capacity)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The rank file holds the vocabulary of byte_bpe_50k.json; tests hold the ids of both against each other.
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), added=ADDED)

@@ -109,6 +109,27 @@ def test_packing_is_gapless_and_keeps_every_token(spark):
     assert packing.pack_documents(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_op2_and_pipeline_read_the_added_token_as_the_tokenizer_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # as the contract takes it, without further settings
+    assert tok.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    end = "<|endoftext|>"
+    texts = ODD + [f"hello {end} world", end, end * 3, f"a  {end}  b\n{end}\n", f"<|{end}|>", "<|endoftext|", "<|ENDOFTEXT|>", f"word {end} " * 900]
+    docs_of(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.QUERIES["op2_packing"](spark, str(tmp_path)), C.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))):
+        rows = out.collect()
+        for i, text in enumerate(texts):
+            ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+            own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+            assert sum(r.length for r in own) == len(ids)
+            for r in own:
+                part = ids[r.start : r.start + r.length]
+                assert zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == r.ids_crc32
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_everything_once(seed):
     rng = np.random.default_rng(seed)
