@@ -1,11 +1,14 @@
 """A training corpus from ``documents``: language, quality, repeated lines, near copies, then packed sequences.
 
 Each stage works on all that the one before kept, and all but the last return the columns of ``documents``.
-Rows with a null ``doc_id`` cannot be told apart by it: the stages that select by id let them all pass.
+The stages that select do so by row, so that rows of null or repeated ids each have a verdict of their own.
 """
 
 from __future__ import annotations
 
+from contextlib import suppress
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,21 @@ from pixelloom.llm.common import crc_mod, stored, table
 MIN_LANGUAGE_SCORE = 0.3
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``, or null."""
-    return docs.filter(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, which tells rows apart and is the same whenever it is read.
+
+    Rows of files that are read as they are have their place there: file and index.  Where they come in another way
+    or have no such index, they are stored with a number.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        with suppress(AnalysisException):
+            return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return stored(docs.withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
+
+
+def with_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (of ``numbered``) whose ``_row`` is in ``rows``, without it."""
+    return docs.join(rows.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +46,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.judge(docs.select("doc_id", "source", "text"))
-    return with_ids(docs, judged.filter("kept").select("doc_id"))
+    docs = numbered(docs)
+    judged = quality_rules.judge(docs.select("doc_id", "source", "text", "_row"), row_col="_row")
+    return with_rows(docs, judged.filter("kept"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +60,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near copies, once."""
-    found = jaccard_join.classes(docs.select("doc_id", "text"))
-    kept = with_ids(docs, found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"))
-    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.filter(F.col("doc_id").isNull()))
+    """One row of each class of near copies, that of the smallest id (a null one last); rows without a word all stay."""
+    docs = numbered(docs)
+    return with_rows(docs, jaccard_join.classes(docs.select("doc_id", "text", "_row"), row_col="_row").filter("kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

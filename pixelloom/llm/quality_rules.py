@@ -79,12 +79,12 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(list(lines.values()))
         columns = np.array(figures, np.int64).reshape(-1, 5).T
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([h or "" for h in hosts], pa.string()), pa.array(prints, pa.int64()), *map(pa.array, columns), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
-            names=["doc_id", "host", "print", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "key_words"],
+            [*map(batch.column, batch.schema.names[3:]), ids, pa.array([h or "" for h in hosts], pa.string()), pa.array(prints, pa.int64()), *map(pa.array, columns), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
+            names=[*batch.schema.names[3:], "doc_id", "host", "print", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "key_words"],
         )
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, depleted_percent: int = DEPLETED_PERCENT, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, depleted_percent: int = DEPLETED_PERCENT, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, row_col: str | None = None) -> DataFrame:
     """Figures and a verdict for each row of ``docs`` (``doc_id, source, text``; other columns are left aside).
 
     ``base_failed`` is true below ``min_words`` words or with over ``repeat_percent`` % repeated words.  Then the
@@ -94,13 +94,17 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_
     ``depleted_percent`` % of its words is depleted and rejected.
 
     A null text has no words and fails the base rules; a null source is the host ``''``; a null id is below all
-    others.  Repeated rows each give a row: they are told apart by a row number made once and stored.  The figures
+    others.  Repeated rows each give a row: they are told apart by a row number made once and stored, or by
+    ``row_col``, which is then returned; of equal ids that hold a line the smallest number keeps it.  The figures
     and hashes (not the texts) are stored in the shared folder, so texts are read and walked once.  Hot hosts
     and lines are counted with partial sums before the shuffle.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), "text").mapInArrow(_figures, _SCHEMA)
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "figures")
-    lines = rows.select("row", "host", "print", F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint")).alias("id"), F.explode(F.arrays_zip("keys", "key_words")).alias("l"))
+    own = [F.col(row_col).alias("row")] if row_col else []
+    fields = f"row {docs.schema[row_col].dataType.simpleString()}, " if row_col else ""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), "text", *own).mapInArrow(_figures, fields + _SCHEMA)
+    rows = stored(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()), "figures")
+    at = F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint"))
+    lines = rows.select("row", "host", "print", (F.struct(at.alias("id"), "row") if row_col else at).alias("id"), F.explode(F.arrays_zip("keys", "key_words")).alias("l"))
     lines = lines.select("row", "host", "print", "id", F.col("l.keys").alias("key"), F.col("l.key_words").alias("words"))
     often = lines.groupBy("key").agg(F.count_distinct("print").alias("n"), F.min("id").alias("holder"), F.first("host").alias("host")).filter(F.col("n") > min_docs)
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
@@ -109,7 +113,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_
     out = rows.drop("keys", "key_words", "print", "host").join(lost, "row", "left").withColumn("n_lost", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_lost") * 100 <= F.col("n_words") * depleted_percent))
-    return out.drop("row", "lost")
+    return out.drop("lost").withColumnRenamed("row", row_col) if row_col else out.drop("row", "lost")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,26 @@ def test_pipeline_stages_against_plain_python(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).count() == len(pieces)
 
 
+@pytest.mark.parametrize("read", [True, False])
+def test_pipeline_selects_rows_of_null_and_repeated_ids_by_their_own_verdict(spark, tmp_path, read):
+    import corpus_pipeline as C
+
+    good = [" ".join(f"g{k}x{j}" for j in range(60)) for k in range(9)]
+    junk = "same three words " * 40
+    rows = [(1, good[0]), (1, junk), (1, good[1]), (None, good[2]), (None, good[2]), (None, junk), (None, good[3]), (4, good[3]), (5, good[4]), (5, good[4]), (5, good[5]), (None, None)]
+    docs = docs_of(spark, rows)
+    if read:
+        docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    kept = C.keep_quality(spark, docs, "")
+    assert got(kept) == sorted([r for r in rows if r[1] not in (junk, None)], key=key) and kept.columns == docs.columns
+    once = C.drop_near_copies(spark, docs.filter("text is null or text not like 'same%'"), "")
+    want = [(1, good[0]), (1, good[1]), (None, good[2]), (4, good[3]), (5, good[4]), (5, good[5]), (None, None)]
+    assert got(once) == sorted(want, key=key) == got(C.drop_near_copies(spark, spark.createDataFrame(docs.filter("text is null or text not like 'same%'").collect(), docs.schema), ""))
+
+
 def test_every_contract_column_is_there(spark):
     cols = lambda n: set(queries.QUERIES[n](spark, SF).columns)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= cols("op1_byte_bpe")
