@@ -6,13 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = " \t\n\x0b\x0c\r"
-_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,19 +38,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    While it is written, batches for Python hold at most BATCH_ROWS rows: whole texts and sets are long.
+
+class Scratch:
+    """The intermediate tables of one job in the shared folder, each removed once nothing reads it any more.
+
+    What the lazy result of a job reads is left there, for the owner of the folder to clear.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)))
-    try:
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/{job}-{uuid.uuid4().hex}"
+        self.held: dict[str, DataFrame] = {}
+        self.made = 0
+
+    def store(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.top}/{self.made}-{tag}"
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+        self.held[path] = out = self.spark.read.schema(df.schema).parquet(path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables whose readers have all been stored themselves."""
+        for path, one in list(self.held.items()):
+            if any(one is t for t in tables):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+                del self.held[path]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these, which the result reads."""
+        self.drop(*[one for one in self.held.values() if not any(one is t for t in tables)])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is made of a text may be larger than it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def others(df: DataFrame, *added: str) -> list[Column]:
+    """The columns of ``df`` but for those that ``added`` replaces (names compare without case, as Spark's do)."""
+    new = {name.lower() for name in added}
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns if name.lower() not in new]
 
 
 def ascii_lower(text: Column) -> Column:
