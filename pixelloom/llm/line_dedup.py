@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, ascii_lower, table
+from .common import WORD_SPACE, ascii_lower, others, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -26,29 +26,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     A key of at least ``min_chars`` code points that at least ``min_docs`` documents hold loses its lines in all
     of them but the one with the largest id.  Documents are told apart by id: rows that repeat an id are one
     document when keys are counted, and each still gives a row.  A null id counts as one document, below all others.
-    A null or empty text is one empty line.  Columns of the input pass through unchanged; an input that already has
-    a column of one of the added names is rejected.
+    A null or empty text is one empty line.  Columns of the input pass through unchanged, whatever their names; those
+    of the three added names are replaced.
 
     Only digests of keys are shuffled for the counts, combined before the shuffle; a text is shuffled once, by id.
-    A very common line is a skewed join key whose rows adaptive execution splits.
+    The common keys, one row each, are stored before lines are joined to them: the join is then broadcast, or its
+    sides have shuffles of their own and adaptive execution splits a very common line.
     """
-    clash = {"dedup_n_lines", "dedup_n_dropped", "dedup_text", "_id", "_lines", "_keys", "_drop"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the input already has {sorted(clash)}")
-    doc = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("bigint")).alias("_id")
+    doc = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("bigint"))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     long_keys = F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars)
-    held = docs.select(doc, F.explode(F.array_distinct(F.transform(long_keys, _digest))).alias("k"))
-    held = held.select("_id", "k.a", "k.b")
-    common = held.groupBy("a", "b").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
-    drop = held.join(common, ["a", "b"]).filter(F.col("_id") != F.col("keeper")).groupBy("_id").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
+    held = docs.select(doc.alias("id"), F.explode(F.array_distinct(F.transform(long_keys, _digest))).alias("k"))
+    held = held.select("id", "k.a", "k.b")
+    common = held.groupBy("a", "b").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    common = stored(common, "common-lines")
+    drop = held.join(common, ["a", "b"]).filter(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
     # Keys are made again here from the text: cheaper than to shuffle them with it.
-    out = docs.withColumn("_id", doc).join(drop, "_id", "left").withColumn("_lines", lines)
-    gone = lambda x: (F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("_drop"), _digest(line_key(x)))
-    out = out.withColumn("_keys", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~gone(x))))
-    n = F.size("_lines").cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], n.alias("dedup_n_lines"), (n - F.size("_keys")).alias("dedup_n_dropped"), F.array_join("_keys", "\n").alias("dedup_text"))
+    rows = docs.select(F.struct(*others(docs)).alias("row"), doc.alias("id")).join(drop, "id", "left")
+    rows = rows.withColumn("lines", F.split(F.coalesce(F.col("row")[text_col], F.lit("")), "\n", -1))
+    lost = lambda x: (F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("gone"), _digest(line_key(x)))
+    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~lost(x))))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("dedup_n_lines", "dedup_n_dropped", "dedup_text")]
+    n = F.size("lines").cast("long")
+    return rows.select(*kept, n.alias("dedup_n_lines"), (n - F.size("left")).alias("dedup_n_dropped"), F.array_join("left", "\n").alias("dedup_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
