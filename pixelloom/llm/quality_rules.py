@@ -10,17 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, stored, table
+from .common import WORD_SPACE, Scratch, sliced, table
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: A line is boilerplate of its host when more than MIN_DOCS different texts and more than SHARE_PERCENT % of the host's documents hold it.
-MIN_DOCS, SHARE_PERCENT = 50, 2
-#: A document is depleted when more than this share of its words is boilerplate.
+#: A line is boilerplate of its host when more than LINE_DOCS of the host's documents hold it, however large the host is.
+LINE_DOCS = 5
+#: A document is depleted when more than this share of its words is boilerplate, or fewer than MIN_WORDS words are not.
 DEPLETED_PERCENT = 70
 SYMBOLS = "#*$%&|<>"
 
 FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_SCHEMA = f"doc_id long, host string, print long, {FIGURES}, keys array<long>, key_words array<int>"
+_SCHEMA = f"doc_id long, {FIGURES}, keys array<struct<a:long,b:long>>, key_words array<int>"
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -66,53 +66,62 @@ def text_figures(text: str) -> tuple[int, int, int, int, int, dict[bytes, int]]:
 
 
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Figures of each text; its lines as 128-bit hashes of host and line, with their words."""
+    for batch in sliced(batches):
         ids, hosts, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-        prints, figures, keys, counts = [], [], [], []
+        figures, ends, digests, counts = [], [0], [], []
         for host, text in zip(hosts, texts):
-            text = text.as_py() or ""
-            *own, lines = text_figures(text)
+            *own, lines = text_figures(text.as_py() or "")
             prefix = (host or "").encode() + b"\0"
-            prints.append(xxhash.xxh3_64_intdigest(text.encode()) - 2**63)
             figures.append(own)
-            keys.append([xxhash.xxh3_64_intdigest(prefix + k) - 2**63 for k in lines])
-            counts.append(list(lines.values()))
+            digests += [xxhash.xxh3_128_digest(prefix + k) for k in lines]
+            counts += lines.values()
+            ends.append(len(counts))
         columns = np.array(figures, np.int64).reshape(-1, 5).T
+        a, b = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        offsets = pa.array(ends, pa.int32())
+        keys = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]))
+        words = pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))
         yield pa.RecordBatch.from_arrays(
-            [*map(batch.column, batch.schema.names[3:]), ids, pa.array([h or "" for h in hosts], pa.string()), pa.array(prints, pa.int64()), *map(pa.array, columns), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
-            names=[*batch.schema.names[3:], "doc_id", "host", "print", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "key_words"],
+            [*map(batch.column, batch.schema.names[3:]), ids, *map(pa.array, columns), keys, words],
+            names=[*batch.schema.names[3:], "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "key_words"],
         )
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, depleted_percent: int = DEPLETED_PERCENT, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, row_col: str | None = None) -> DataFrame:
+def judge(docs: DataFrame, line_docs: int = LINE_DOCS, depleted_percent: int = DEPLETED_PERCENT, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, row_col: str | None = None) -> DataFrame:
     """Figures and a verdict for each row of ``docs`` (``doc_id, source, text``; other columns are left aside).
 
     ``base_failed`` is true below ``min_words`` words or with over ``repeat_percent`` % repeated words.  Then the
-    normalised lines of all documents are hashed and counted for each host (``source``) over different texts, so
-    that exact copies count once.  A line above both limits is removed from every document of the host but the one
-    with the smallest id that holds it (so a group of copies is never removed whole); a document that loses over
-    ``depleted_percent`` % of its words is depleted and rejected.
+    normalised lines of all documents are hashed and counted for each host (``source``), each row as a document.  A
+    line that over ``line_docs`` documents of the host hold is removed from all of them but the one with the smallest
+    id (so a group of copies is never removed whole).  A document that loses over ``depleted_percent`` % of its words,
+    or of which fewer than ``min_words`` stay, is depleted and rejected.  The limit is a count, so it is the same in
+    a host of a thousand documents and in one of a thousand million.
 
     A null text has no words and fails the base rules; a null source is the host ``''``; a null id is below all
     others.  Repeated rows each give a row: they are told apart by a row number made once and stored, or by
-    ``row_col``, which is then returned; of equal ids that hold a line the smallest number keeps it.  The figures
-    and hashes (not the texts) are stored in the shared folder, so texts are read and walked once.  Hot hosts
-    and lines are counted with partial sums before the shuffle.
+    ``row_col``, which is then returned; of equal ids that hold a line the smallest number in ``row_col`` keeps it,
+    without ``row_col`` all rows of that id.  A very long
+    text or line is one row like others: what is kept of a line is its hash.  The figures and hashes (not the texts)
+    are stored in the shared folder, so texts are read and walked once.  Hot lines are counted with partial sums
+    before the shuffle, and the frequent ones, one row each, are stored before lines are joined to them, so that the
+    join is broadcast or splits a hot line.
     """
+    scratch = Scratch(docs.sparkSession, "quality")
     own = [F.col(row_col).alias("row")] if row_col else []
     fields = f"row {docs.schema[row_col].dataType.simpleString()}, " if row_col else ""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), "text", *own).mapInArrow(_figures, fields + _SCHEMA)
-    rows = stored(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()), "figures")
+    rows = scratch.store(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()), "figures")
     at = F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint"))
-    lines = rows.select("row", "host", "print", (F.struct(at.alias("id"), "row") if row_col else at).alias("id"), F.explode(F.arrays_zip("keys", "key_words")).alias("l"))
-    lines = lines.select("row", "host", "print", "id", F.col("l.keys").alias("key"), F.col("l.key_words").alias("words"))
-    often = lines.groupBy("key").agg(F.count_distinct("print").alias("n"), F.min("id").alias("holder"), F.first("host").alias("host")).filter(F.col("n") > min_docs)
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    often = often.join(hosts, "host").filter(F.col("n") * 100 > F.col("docs") * share_percent).select("key", "holder")
-    lost = lines.select("row", "id", "key", "words").join(often, "key").filter(F.col("id") != F.col("holder")).groupBy("row").agg(F.sum("words").alias("lost"))
-    out = rows.drop("keys", "key_words", "print", "host").join(lost, "row", "left").withColumn("n_lost", F.coalesce("lost", F.lit(0)).cast("long"))
+    lines = rows.select("row", (F.struct(at.alias("id"), "row") if row_col else at).alias("id"), F.explode(F.arrays_zip("keys", "key_words")).alias("l"))
+    lines = lines.select("row", "id", "l.keys.a", "l.keys.b", F.col("l.key_words").alias("words"))
+    often = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("holder")).filter(F.col("n") > line_docs).drop("n")
+    often = scratch.store(often, "frequent-lines")
+    lost = lines.join(often, ["a", "b"]).filter(F.col("id") != F.col("holder")).groupBy("row").agg(F.sum("words").alias("lost"))
+    out = rows.drop("keys", "key_words").join(lost, "row", "left").withColumn("n_lost", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_lost") * 100 <= F.col("n_words") * depleted_percent))
+    depleted = (F.col("n_lost") * 100 > F.col("n_words") * depleted_percent) | (F.col("n_words") - F.col("n_lost") < min_words)
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
     return out.drop("lost").withColumnRenamed("row", row_col) if row_col else out.drop("row", "lost")
 
 
@@ -123,7 +132,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, coalesce(source, '') AS host, text,
+  SELECT doc_id, coalesce(source, '') AS host,
          unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
@@ -149,9 +158,7 @@ sums AS (
          count(*) FILTER (WHERE nth > 1) AS n_dup_lines
   FROM keyed GROUP BY doc_id),
 often AS (
-  SELECT host, k, min(doc_id) AS holder FROM keyed JOIN (
-    SELECT coalesce(source, '') AS host, count(*) AS docs FROM documents GROUP BY 1) USING (host)
-  GROUP BY host, k, docs HAVING count(DISTINCT text) > 50 AND count(DISTINCT text) * 100 > docs * 2),
+  SELECT host, k, min(doc_id) AS holder FROM keyed GROUP BY host, k HAVING count(DISTINCT doc_id) > 5),
 lost AS (
   SELECT doc_id, sum(len(words)) AS n FROM keyed JOIN often USING (host, k) WHERE doc_id <> holder GROUP BY doc_id),
 rows AS (
@@ -161,6 +168,6 @@ rows AS (
          coalesce(l.n, 0)::BIGINT AS n_lost
   FROM documents d LEFT JOIN sums s USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN lost l USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost <= 70 * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost <= 70 * n_words AND n_words - n_lost >= 50 AS kept
 FROM rows
 """
