@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, Scratch, others, table
 
 #: (action, canonical URL): what op4 applies first; the longest that fits wins.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Sites whose pages are blocked where no rule fits.
-LISTED = ["ads-track.example.com/", "adult-x.example.com/", "casino-win.example.net/", "cheap-pills.example.net/", "free-bets.example.net/", "spam-farm.example.org/"]
+#: Names of unwanted sites, fixed values, and the zones under which each of them is listed: all that ``pages`` uses.
+#: Where no rule fits, pages of these sites and of their subdomains are blocked.
+SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+ZONES = ["example.com", "example.net", "example.org"]
+LISTED = [f"{site}.{zone}/" for site in SITES for zone in ZONES]
 
 WORDS, BITS_PER_KEY = 4, 16
 #: The filter is broadcast up to this many blocks of WORDS * 64 bits (some 20 MB); a larger one is joined by block.
@@ -55,47 +58,53 @@ def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 def match_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
     """``urls`` with ``host``, ``path`` and ``entry`` (the fitting list entry as a struct, or null).
 
-    ``listed`` has ``key`` (a canonical URL), ``host``, ``path``, ``action`` and ``rank``; an entry fits its host
-    and all subdomains where the path starts with its path.  Of those that fit, the lowest rank, then the longest
-    key, wins; of equal keys any one, by action.  The candidates of a URL are its host suffixes and path prefixes of
-    the shapes (labels, path length) that occur in the list.  They are probed against the blocked Bloom filter and
-    only possible hits reach the exact join with the list.  A null URL has an empty host and path and fits nothing.
-    Columns of the input other than those three pass through.
+    ``listed``, a table of any size, has ``key`` (a canonical URL), ``host``, ``path``, ``action`` and ``rank``; an
+    entry fits its host and all subdomains where the path starts with its path.  Of those that fit, the lowest rank,
+    then the longest key, wins; of equal keys any one, by action.  A URL is judged once for all rows of its host and
+    path.  Its candidates are the pairs of a host suffix and a path prefix whose shape (labels, path length) occurs in
+    the list: for each number of labels the list's path lengths are one row of a small table, joined by that number.
+    Candidates are probed against the blocked Bloom filter and only possible hits reach the exact join with the list.
+    A null URL, or one without ``://``, has an empty host and path and fits nothing; empty tables give empty results
+    or no entry.  Repeated rows each give a row.  Columns of the input pass through but for those three names, which
+    are replaced.
     """
-    host, path = host_path(F.col(url_col))
-    own = [f"`{c}`" for c in urls.columns if c not in ("host", "path", "entry")]
+    scratch = Scratch(urls.sparkSession, "urls")
+    own, (host, path) = others(urls, "host", "path", "entry"), host_path(F.col(url_col))
     out = urls.select(*own, host.alias("host"), path.alias("path"))
-    labels = F.size(F.split("host", r"\.", -1))
-    shapes = [tuple(r) for r in listed.select(labels, F.char_length("path")).distinct().collect()]  # few: host depths and path lengths
-    count = listed.count()
-    if not shapes:
-        return out.withColumn("entry", F.lit(None).cast("struct<key:string,action:string,rank:int>"))
-    parts = F.split("host", r"\.", -1)
-    made = [
-        F.when((F.size(parts) >= n) & (F.char_length("path") >= k), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, k)))
-        for n, k in sorted(shapes)
-    ]
+    listed = scratch.store(listed.select("key", "action", "rank", F.size(F.split("host", r"\.", -1)).alias("labels"), F.char_length("path").alias("chars")), "list")
+    # At most as many rows as hosts have labels, each with the path lengths found at that depth.
+    shapes = listed.groupBy("labels").agg(F.sort_array(F.collect_set("chars")).alias("lengths"))
     sites = out.filter(F.col("host") != "").select("host", "path").distinct()
-    tried = sites.select("host", "path", F.explode(F.array_compact(F.array(*made))).alias("key"))
-
-    blocks = max(1, count * BITS_PER_KEY // (WORDS * 64) + 1)
-    bits = bloom_blocks(listed, "key", blocks)
-    bits = F.broadcast(bits) if blocks <= BROADCAST_BLOCKS else bits
+    tried = sites.withColumn("labels", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.", -1))))).join(F.broadcast(shapes), "labels")
+    tried = tried.withColumn("chars", F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))))
+    tail = F.expr("substring_index(host, '.', -labels)")
+    tried = tried.select("host", "path", F.concat(tail, F.expr("substring(path, 1, chars)")).alias("key"))
+
+    blocks = max(1, listed.count() * BITS_PER_KEY // (WORDS * 64) + 1)
+    bits = scratch.store(bloom_blocks(listed, "key", blocks), "filter")
+    probed = F.broadcast(bits) if blocks <= BROADCAST_BLOCKS else bits
     masks = _masks(F.col("key"))
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
-    possible = tried.withColumn("block", _block(F.col("key"), blocks)).join(bits, "block").filter(hit).select("host", "path", "key")
+    possible = tried.withColumn("block", _block(F.col("key"), blocks)).join(probed, "block").filter(hit).select("host", "path", "key")
     exact = possible.join(listed.select("key", "action", "rank"), "key")
     best = exact.groupBy("host", "path").agg(F.min_by(F.struct("key", "action", "rank"), F.struct("rank", -F.char_length("key"), "action")).alias("entry"))
+    best = scratch.store(best, "best")
+    scratch.drop(listed, bits)
     return out.join(best, ["host", "path"], "left").select(*own, "host", "path", "entry")
 
 
 def entries(spark: SparkSession, rules: list[tuple[str, str]], blocked: list[str]) -> DataFrame:
-    """A list table: rules (rank 0), then blocked sites (rank 1)."""
+    """A list table of short literal lists: rules (rank 0), then blocked sites (rank 1).  Large lists are read from files."""
     rows = [(canonical(u), a, 0) for a, u in rules] + [(canonical(u), "block", 1) for u in blocked]
     out = spark.createDataFrame(rows, "key string, action string, rank int")
-    return out.withColumns({"host": F.substring_index("key", "/", 1), "path": F.expr("substring(key, locate('/', key))")})
+    return list_table(out)
+
+
+def list_table(rows: DataFrame) -> DataFrame:
+    """The table that ``match_urls`` takes from ``key`` (canonical), ``action`` and ``rank``."""
+    return rows.withColumns({"host": F.substring_index("key", "/", 1), "path": F.expr("substring(key, locate('/', key))")})
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +123,13 @@ parts AS (
          translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          substr(rest, length(split_part(rest, '/', 1)) + 1) AS path
   FROM split),
-listed(rank, action, lhost, lpath) AS (VALUES
+listed(rank, action, lhost, lpath) AS (
+  VALUES
   (0, 'block', 'com', '/en/'), (0, 'allow', 'example.com', '/en/7'), (0, 'block', 'net', '/de/'),
-  (0, 'block', 'example.net', '/de/8'), (0, 'block', 'org', '/es/'), (1, 'block', 'ads-track.example.com', '/'),
-  (1, 'block', 'adult-x.example.com', '/'), (1, 'block', 'casino-win.example.net', '/'),
-  (1, 'block', 'cheap-pills.example.net', '/'), (1, 'block', 'free-bets.example.net', '/'),
-  (1, 'block', 'spam-farm.example.org', '/')),
+  (0, 'block', 'example.net', '/de/8'), (0, 'block', 'org', '/es/')
+  UNION ALL SELECT 1, 'block', site || '.example.' || zone, '/'
+  FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) AS s(site),
+       (VALUES ('com'), ('net'), ('org')) AS z(zone)),
 fit AS (
   SELECT r, rank, action, lhost || lpath AS key,
          row_number() OVER (PARTITION BY r ORDER BY rank, length(lhost || lpath) DESC) AS n
