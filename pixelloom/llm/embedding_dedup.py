@@ -9,32 +9,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Scratch, table
 from .components import components
 
 COSINE = 0.95
-#: The sample that codebooks and the number of visited cells are fitted on; vectors aimed at for each cell; most codes for a half.
-SAMPLE, CELL_ROWS, MOST_CODES, KMEANS_ROUNDS = 8192, 400, 1024, 12
+#: Vectors aimed at for each cell; most codes for a half; rows of the sample that codebooks are fitted on, at least and for each code.
+CELL_ROWS, MOST_CODES, SAMPLE, CODE_ROWS, KMEANS_ROUNDS = 400, 1024, 8192, 32, 12
 #: Cells are visited until this share of made-up neighbours at the very threshold is reached.
 RECALL, TRIALS = 0.95, 2048
 #: Rows of one side of a tile.
 TILE = 1024
-NO_ID = -(2**63)
 
 
-def unit_rows(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows as unit vectors in double precision, and which of them are vectors at all (finite, not zero, of ``dim`` values)."""
-    out, good = np.zeros((len(rows), dim)), np.zeros(len(rows), bool)
-    for i, row in enumerate(rows):
-        if row is not None and len(row) == dim and None not in row:
-            v = np.asarray(row, np.float64)
-            if np.isfinite(v).all() and (most := np.abs(v).max()) > 0:
-                v = v / most  # keeps squares of tiny and huge values in range
-                out[i], good[i] = v / np.sqrt(v @ v), True
-    return out, good
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    out = np.array(rows, np.float64)
+    out /= np.abs(out).max(1)[:, None]  # keeps squares of tiny and huge values in range
+    out /= np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
+    return out
+
+
+def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(vectors.flatten()).reshape(-1, dim)
 
 
 def codebook(points: np.ndarray, codes: int, rounds: int = KMEANS_ROUNDS) -> np.ndarray:
@@ -82,14 +81,18 @@ class Index:
         return out
 
 
-def fit(units: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RECALL) -> Index:
-    """Codebooks on either half of a sample of unit vectors, for an index of ``rows`` rows, and the visits it takes.
+def codes_for(rows: int, cell_rows: int = CELL_ROWS) -> int:
+    return int(min(MOST_CODES, max(1, math.sqrt(rows / cell_rows))))
+
+
+def fit(units: np.ndarray, codes: int, cosine: float = COSINE, recall: float = RECALL) -> Index:
+    """Codebooks on either half of a sample of unit vectors, ``codes`` each, and the visits it takes.
 
     For the visits, neighbours at a cosine of just ``cosine`` in random directions are made up for sampled vectors;
     cells are visited until the share ``recall`` of the neighbours' own cells is among them.  Real links are nearer.
     """
     half = units.shape[1] // 2
-    codes = int(min(MOST_CODES, max(1, math.sqrt(rows / CELL_ROWS)), max(1, len(units))))
+    codes = min(codes, len(units))
     out = Index(codebook(units[:, :half], codes), codebook(units[:, half:], codes), 1)
     draw = np.random.default_rng(11)
     base = units[draw.integers(0, len(units), TRIALS)]
@@ -109,22 +112,19 @@ def fit(units: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RE
     return out
 
 
-_TILE_ROW = "cell long, block int, probes_block int, row long, probes array<long>, unit array<double>, home boolean"
+_TILE_ROW = "cell, block, probes_block, row, n, probes, v, home"
 
 
 def _cells(index: Index, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cells that each vector (row, n, v) visits, its own first."""
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                units, good = unit_rows(part.column(1).to_pylist(), dim)
-                if not good.any():
-                    continue
-                units = units[good]
-                visited = index.visit(units)
-                rows = part.column(0).filter(pa.array(good))
-                as_list = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])
-                yield pa.RecordBatch.from_arrays([rows, as_list(visited).cast(pa.list_(pa.int64())), as_list(units).cast(pa.list_(pa.float64()))], names=["row", "probes", "unit"])
+                visited = index.visit(unit_rows(matrix(part.column("v"), dim))).astype(np.int32)
+                probes = pa.FixedSizeListArray.from_arrays(pa.array(visited.ravel()), visited.shape[1]).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, probes], names=["row", "n", "v", "probes"])
 
     return cells
 
@@ -148,95 +148,113 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verify(cosine: float, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Tiles (cell, block, probe block) sorted with the cell's own rows first: how many new links each row has, and
     edges that tie the linked ones: rows (a, b, n) with b null for the counts."""
 
-    def tile(home: list, visiting: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = np.array([r[0] for r in home], np.int64)
-        other = np.array([r[0] for r in visiting], np.int64)
-        dots = np.array([r[2] for r in visiting]) @ np.array([r[2] for r in home]).T
-        met = (dots >= cosine) & (other[:, None] != own)
+    def tile(home: list, visiting: list) -> pa.RecordBatch | None:
+        own, other = (np.array([r[0] for r in side], np.int64) for side in (home, visiting))
+        here, there = (unit_rows(np.stack([r[3] for r in side])) for side in (home, visiting))
+        met = (there @ here.T >= cosine) & (other[:, None] != own)
         i, j = np.nonzero(met)
-        if len(i):  # where the two visit each other's cell, the pair counts only in the tile that the smaller row visits
-            probes, homes = np.array([r[1] for r in home])[j], np.array([r[1][0] for r in visiting])[i]
-            again = (probes == homes[:, None]).any(1) & (other[i] > own[j])
-            met[i[again], j[again]] = False
-        return met, own, other
+        if not len(i):
+            return None
+        # Where the two visit each other's cell, the pair counts only in the tile that the smaller row visits.
+        probes, homes = np.array([r[2] for r in home])[j], np.array([r[2][0] for r in visiting])[i]
+        again = (probes == homes[:, None]).any(1) & (other[i] > own[j])
+        met[i[again], j[again]] = False
+        ids = np.concatenate([own, other])
+        counts = np.concatenate([np.array([r[1] for r in visiting], np.int64) @ met, met @ np.array([r[1] for r in home], np.int64)])
+        ids, counts = ids[counts > 0], counts[counts > 0]
+        tied = spanning(met)
+        a = np.concatenate([ids, other[[i for i, _ in tied]]])
+        b = pa.array([None] * len(ids) + own[[j for _, j in tied]].tolist(), pa.int64())
+        n = np.concatenate([counts, np.zeros(len(tied), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home, visiting = None, [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if not home or not visiting:
-                return
-            met, own, other = tile(home, visiting)
-            if not met.any():
-                return
-            ids, counts = np.concatenate([own, other]), np.concatenate([met.sum(0), met.sum(1)])
-            ids, counts = ids[counts > 0], counts[counts > 0]
-            tied = spanning(met)
-            a = np.concatenate([ids, other[[i for i, _ in tied]]])
-            b = pa.array([None] * len(ids) + own[[j for _, j in tied]].tolist(), pa.int64())
-            n = np.concatenate([counts, np.zeros(len(tied), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(n, pa.int64())], names=["a", "b", "n"])
-
         for batch in batches:
-            units = np.stack(batch.column("unit").to_numpy(zero_copy_only=False)) if batch.num_rows else []
-            for *now, row, probes, unit, is_home in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "probes_block", "row", "probes")), units, batch.column("home").to_pylist()):
+            vectors = matrix(batch.column("v"), dim)
+            columns = [batch.column(c).to_pylist() for c in ("cell", "block", "probes_block", "row", "n", "probes", "home")]
+            for *now, row, n, probes, is_home, v in zip(*columns, vectors):
                 if now != key:
-                    yield from done()
+                    if home and visiting and (out := tile(home, visiting)):
+                        yield out
                     key, home, visiting = now, [], []
-                (home if is_home else visiting).append((row, probes, unit))
-        yield from done()
+                (home if is_home else visiting).append((row, n, probes, v))
+        if home and visiting and (out := tile(home, visiting)):
+            yield out
 
     return verify
 
 
-def links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def usable(v: Column, dim: int) -> Column:
+    """Whether a vector is one at all: ``dim`` finite values, not all zero."""
+    infinite = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce((F.size(v) == dim) & ~F.exists(v, infinite) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for each row of ``vectors``.
 
-    Codebooks for the two halves of the vectors are fitted on a bounded sample (``sample`` rows by hash of the id) and
-    every row is indexed in the cell of its two nearest codes.  Each row visits its nearest cells in turn, and pairs
-    met are verified by their cosine in double precision, so nothing below ``cosine`` links.  Cells are compared in
-    tiles of at most about ``TILE`` rows a side, and a tile gives counts and edges that tie its links, not all pairs.
+    Equal vectors are folded into one with their number.  Codebooks for the two halves of the vectors are fitted on a
+    bounded sample (``sample`` rows, or ``CODE_ROWS`` for each code, by hash of the row) and every distinct vector is
+    indexed in the cell of its two nearest codes, about ``cell_rows`` to a cell.  Each visits its nearest cells in turn,
+    and pairs met are verified by their cosine in double precision, so nothing below ``cosine`` links.  Cells are
+    compared in tiles of at most about ``TILE`` vectors a side, which gives counts and edges that tie its links, not
+    all pairs.  Vectors are shuffled in the type they have in the table.
 
-    The dimension is that of most rows.  A vector that is null, zero, of another dimension, or has null or non-finite
-    values links with nothing: 0 links, its own id as component.  Repeated ids are told apart as rows; a null id is
-    never a component.  An empty table gives an empty result.
+    The dimension is that of most rows (1 included).  A vector that is null, zero, of another dimension, or has null or
+    non-finite values links with nothing: 0 links, its own id as component.  Repeated ids are told apart as rows; a
+    null id is never a component of others.  Other columns are left aside; an empty table gives an empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    sizes = rows.filter(F.size("v") > 1).groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "embeddings")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).withColumn("row", F.monotonically_increasing_id())
+    rows = scratch.store(rows.withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.lit("vector"), "v")), "vectors")
+    sizes = rows.filter(F.size("v") > 0).groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     plain = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if sizes is None:
         return plain
-    dim, count = sizes["dim"], sizes["n"]
-    drawn = rows.filter((F.size("v") == dim) & (F.xxhash64(F.lit("sample"), "row") / 2.0**64 + 0.5 <= min(1.0, sample / count))).select("row", "v").orderBy("row").limit(2 * sample).collect()
-    units, good = unit_rows([r["v"] for r in drawn], dim)
-    if not good.any():
-        units, good = np.eye(dim)[:1], np.ones(1, bool)
-    index = fit(units[good], count, cosine)
-
-    placed = stored(rows.select("row", "v").mapInArrow(_cells(index, dim), "row long, probes array<long>, unit array<double>"), "cells")
-    blocks = placed.groupBy(F.col("probes")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    visits = placed.select("row", F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("probe_blocks"))
-    plan = F.broadcast(blocks.join(visits, "cell"))  # at most MOST_CODES squared cells
+    dim = sizes["dim"]
+    good = rows.filter(usable(F.col("v"), dim))
+    folded = scratch.store(good.groupBy("a", "b").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    count = folded.count()
+    if not count:
+        return plain
+    single = good.select("row", "v").join(folded.select(F.col("first").alias("row"), "n"), "row").select("row", "n", "v")
+    codes = codes_for(count, cell_rows)
+    sample = max(sample, CODE_ROWS * codes)
+    drawn = single.filter(F.xxhash64(F.lit("sample"), "row") / 2.0**64 + 0.5 <= min(1.0, sample / count)).orderBy("row").limit(2 * sample).select("v").toArrow()
+    units = unit_rows(matrix(drawn.column("v").combine_chunks(), dim)) if drawn.num_rows else np.eye(dim)[:1]
+    index = fit(units, codes, cosine)
+
+    kind = rows.schema["v"].dataType.simpleString()
+    placed = scratch.store(single.mapInArrow(_cells(index, dim), f"row long, n long, v {kind}, probes array<int>"), "cells")
+    cells = placed.select("row", F.explode("probes").alias("cell"), (F.col("probes")[0] == F.col("cell")).alias("home"))
+    plan = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("probe_blocks"))
+    plan = F.broadcast(scratch.store(plan.filter(F.col("blocks") > 0), "plan"))  # at most MOST_CODES squared cells
     home = placed.withColumn("cell", F.col("probes")[0]).join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     home = home.withColumn("probes_block", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1))).withColumn("home", F.lit(True))
-    probe = placed.withColumn("cell", F.explode("probes")).join(plan, "cell").withColumn("probes_block", F.pmod(F.xxhash64("row"), F.col("probe_blocks")).cast("int"))
+    probe = placed.withColumn("cell", F.explode("probes")).withColumn("probes", F.slice("probes", 1, 1)).join(plan, "cell")
+    probe = probe.withColumn("probes_block", F.pmod(F.xxhash64("row"), F.col("probe_blocks")).cast("int"))
     probe = probe.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("home", F.lit(False))
-    names = [x.split()[0] for x in _TILE_ROW.split(", ")]
+    names = _TILE_ROW.split(", ")
     tiles = home.select(names).unionAll(probe.select(names)).repartition("cell", "block", "probes_block").sortWithinPartitions("cell", "block", "probes_block", F.desc("home"), "row")
-    found = stored(tiles.mapInArrow(_verify(cosine), "a long, b long, n long"), "links")
-
-    counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n"))
-    labels = components(found.filter(F.col("b").isNotNull()).select("a", "b"))
-    out = rows.select("id", "row").join(counts, "row", "left").join(labels.withColumnRenamed("node", "row"), "row", "left")
-    out = out.withColumn("class", F.coalesce("label", "row"))
-    least = out.filter(F.col("label").isNotNull()).groupBy("class").agg(F.min("id").alias("first"))
-    out = out.join(least, "class", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("first")))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = scratch.store(tiles.mapInArrow(_verify(cosine, dim), "a long, b long, n long"), "links")
+
+    counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("linked"))
+    labels = components(found.filter(F.col("b").isNotNull()).select("a", "b"), scratch)
+    classes = folded.join(counts, "first", "left").join(labels.withColumnRenamed("node", "first"), "first", "left")
+    classes = scratch.store(classes.select("a", "b", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "first").alias("class")), "classes")
+    known = rows.withColumn("good", usable(F.col("v"), dim)).drop("v")
+    known = scratch.store(known.filter("good").join(classes, ["a", "b"]).select("id", "row", "n_links", "class"), "linked")
+    least = scratch.store(known.groupBy("class").agg(F.min("id").alias("least")), "least")
+    scratch.keep(rows, known, least)
+    out = known.join(least, "class").select("id", "n_links", F.when(F.col("n_links") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    out = out.unionAll(rows.filter(~usable(F.col("v"), dim)).select("id", F.lit(0).cast("long"), "id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
