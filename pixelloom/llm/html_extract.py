@@ -2,187 +2,291 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sliced, stored, table
 from .url_filter import host_path
 
-#: One comment or declaration, or one tag with its attributes.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: A start or end tag: attributes are names, or names with a value that is quoted, or bare up to white space or ``>``.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their end tag, and none of it is shown as running text.
 RAW = frozenset("script style title textarea xmp noembed noframes iframe".split())
 #: Elements whose content is never main text.
-DROPPED = frozenset("script style title textarea xmp noembed noframes iframe head nav footer aside form button select template noscript svg canvas object audio video map dialog menu datalist label fieldset".split())
+DROPPED = RAW | frozenset("head nav footer aside button select template noscript svg math canvas object audio video map dialog menu datalist label".split())
+#: Elements that hold either a control or a whole page.
+FORMS = frozenset(["form", "fieldset"])
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("article main section div td body".split())
-#: Words in a class, id or role that mark what is not main text.
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|gdpr|headers?|masthead|menus?|modal|"
-    r"nav|navbar|navigation|newsletters?|notices?|popups?|promos?|promotions?|recommended|related|replies|share|sharing|sidebars?|sidenav|skip|social|sponsored|sponsors?|"
-    r"subscribe|subscription|tags|toolbars?|topbar|widgets?|complementary|contentinfo|search|alert)(?:$|[\s_-])"
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
+CONTAINERS = frozenset("article main section div td form fieldset body".split())
+CELLS, TABLE_PARTS = frozenset(["td", "th", "caption"]), frozenset("table caption thead tbody tfoot tr td th".split())
+#: Words in a class, id or role that mark what is not main text, and words that say nothing beside them.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer footers gdpr header "
+    "headers masthead menu menus modal nav navbar navigation newsletter newsletters notice notices popup popups promo promos promotion promotions recommended related replies reply respond share sharing "
+    "sidebar sidebars sidenav skip social sponsored sponsor sponsors subscribe subscription tags toolbar toolbars topbar widget widgets complementary contentinfo search alert alerts".split()
 )
+PLAIN = frozenset(
+    "a all area articles bar block body bottom box btn button buttons card center col column container content count false feed fixed form global group icon icons inner item items "
+    "left link links list main module no outer overlay page panel posts primary region right row secondary section signup site slot sticky stories strip the thread top unit user wrap wrapper".split()
+)
+_TITLED = frozenset("post entry article content title story".split())
+#: Blocks longer than this are running text, unless over LINKED of it lies in links.
+RUNNING, LINKED = 60, 0.3
 #: An open element is closed by a start tag of these.
 _CLOSES = {
     "p": BLOCK - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]),
 }
-_INLINE_SCOPE = frozenset("td th table body html article section main div".split())
 
 
 class Element:
-    __slots__ = ("name", "marks", "path", "parent", "dropped", "blocks", "chars", "linked", "paragraphs", "inside")
+    """An open or closed element; ``first`` to ``last`` are the blocks it holds, ``order`` to ``end`` the elements."""
+
+    __slots__ = ("name", "marks", "parent", "path", "depth", "block", "cell", "inside", "hidden", "soft", "first", "last", "order", "end")
 
     def __init__(self, name: str, marks: str, parent: Element | None):
         self.name, self.marks, self.parent = name, marks, parent
-        kind = name + "".join("." + m for m in sorted(set(re.sub(r"\d+", "#", marks).split())))
-        self.path = f"{parent.path}>{kind}" if parent else kind
-        self.inside = name in ("article", "main") or bool(parent and parent.inside)
-        self.dropped = bool(parent and parent.dropped) or name in DROPPED or (name == "header" and not (parent and parent.inside)) or (name not in ("article", "main", "body", "html") and bool(_BOILER.search(marks)))
-        self.blocks: list[tuple[int, str]] = []
-        self.chars = self.linked = self.paragraphs = 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self.depth if name in BLOCK or not parent else parent.block  # depth of the innermost block element
+        self.cell = self.depth if name in CELLS else parent.cell if parent else 0
+        words = set(marks.split())
+        self.inside = name in ("article", "main") or "article" in words or "main" in words or bool(parent and parent.inside)
+        level = 0 if name in ("article", "main", "body", "html") else marked(words, self.inside)
+        hard = name in DROPPED or (name == "header" and not (parent and parent.inside)) or level == 2
+        self.hidden = bool(parent and parent.hidden) or hard
+        self.soft = not hard and (level == 1 or name in FORMS)
+
+    @property
+    def kind(self) -> str:
+        """The element without what tells one page's from another's: its name and sorted marks, digits alike."""
+        return self.name + "".join("." + m for m in sorted(set(re.sub(r"\d+", "#", self.marks).split())))
+
+
+@functools.lru_cache(1 << 16)
+def mark_level(word: str) -> int:
+    """2 for a class made of MARKS and PLAIN words, 1 for one that has other words beside them, 0 for any other."""
+    parts = [x for x in re.split(r"[-_:]+", word) if x and not x.isdigit()]
+    if not any(x in MARKS for x in parts) or ("header" in parts and _TITLED & set(parts)):
+        return 0
+    return 2 if all(x in MARKS or x in PLAIN for x in parts) else 1
+
+
+def marked(words: set[str], inside: bool) -> int:
+    return max((mark_level(w) for w in words if not (inside and w in ("header", "headers"))), default=0)
 
 
 def marks_of(attributes: str) -> str:
-    """Class, id and role, in lower case; camel case and digits apart."""
+    """Class, id and role, in lower case; camel case apart."""
     if "=" not in attributes:
         return ""
     found = [a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
-    return re.sub(r"(?<=[a-z])(?=[A-Z])", "-", unescape(" ".join(found))).lower()
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "-", unescape(" ".join(found))).lower().replace(">", " ")
 
 
-def parse(html: str) -> list[Element]:
-    """The containers of a page, the body first, each with the blocks of text it holds outside of what is dropped.
+class Page:
+    """The containers of a page, the body first, and its blocks of text outside of what is dropped.
 
-    A block is (place on the page, text): the text between two block tags, references decoded, white space as one
-    space.  End tags without a start are left aside, open elements end with the page.
+    A block is the text between two block tags, references decoded, white space as one space.  Each is kept once, in
+    page order, and a container is an interval of them, so that time and memory follow the length of the page however
+    deep it nests.  End tags without a start are left aside, open elements end with the page.  What is marked in
+    doubt (``soft``) is judged by its content once the page has been read.
     """
-    body = Element("body", "", None)
-    containers, stack, at, low = [body], [body], 0, html.lower() if html else ""
-    pieces: list[str] = []
-    links = piece_links = place = 0
-
-    def flush() -> None:
-        nonlocal pieces, piece_links, place
-        if pieces:
-            text = " ".join(unescape("".join(pieces)).split())
-            pieces = []
-            if text and not stack[-1].dropped:
-                place += 1
-                for box in stack:
-                    if box.name in CONTAINERS:
-                        box.blocks.append((place, text))
-                        box.chars += len(text)
-                        box.linked += min(len(text), piece_links)
-                        box.paragraphs += len(text) > 60
-        piece_links = 0
-
-    def push(name: str, marks: str) -> None:
-        box = Element(name, marks, stack[-1])
-        stack.append(box)
-        if name in CONTAINERS and not box.dropped:
-            containers.append(box)
-
-    def pop_to(depth: int) -> None:
-        if any(e.name in BLOCK or e.dropped for e in stack[depth:]):
-            flush()
-        del stack[depth:]
-
-    def add(text: str) -> None:
-        nonlocal piece_links
-        if text:
-            pieces.append(text)
-            piece_links += len(text) * bool(links)
-
-    while m := _TOKEN.search(html, at):
-        add(html[at : m.start()])
-        at = m.end()
-        end, name, attributes = m[1], m[2], m[3]
-        if name is None:
-            continue
-        name = name.lower()
-        if end:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name or (name not in BLOCK and stack[i].name in _INLINE_SCOPE)), 0)
-            if depth and stack[depth].name == name:
-                pop_to(depth)
-            elif name in BLOCK:
-                flush()
-            if name == "a":
-                links = 0
-            continue
+
+    def __init__(self, html: str):
+        self.blocks: list[str] = []
+        self.links: list[int] = []
+        self.elements: list[Element] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.stack: list[Element] = []
+        self.open: dict[str, list[int]] = {}  # depths of open elements by name
+        self.pieces: list[str] = []
+        self.linked, self.in_link = 0, False
+        self.push("body", "")
+        self.read(html)
+        self.pop_to(0)
+        self.judge()
+
+    def push(self, name: str, marks: str) -> None:
+        parent = self.stack[-1] if self.stack else None
+        new = Element(name, marks, parent)
+        new.first, new.last, new.order = len(self.blocks), -1, len(self.elements)
+        new.path = self.paths.setdefault((parent.path if parent else -1, new.kind), len(self.paths))
+        self.elements.append(new)
+        self.stack.append(new)
+        self.open.setdefault(name, []).append(new.depth)
+
+    def pop_to(self, depth: int) -> None:
+        """Close elements from ``depth`` on; text is cut off where one of them is a block or dropped."""
+        if any(e.name in BLOCK or e.hidden or e.soft for e in self.stack[depth:]):
+            self.flush()
+        for e in self.stack[depth:]:
+            self.open[e.name].pop()
+            e.last, e.end = len(self.blocks), len(self.elements)
+        del self.stack[depth:]
+
+    def flush(self) -> None:
+        if self.pieces:
+            text = " ".join(unescape("".join(self.pieces)).split())
+            self.pieces = []
+            if text:
+                self.blocks.append(text)
+                self.links.append(min(len(text), self.linked))
+        self.linked = 0
+
+    def text(self, text: str) -> None:
+        if self.stack[-1].name == "head" and text.strip():
+            self.pop_to(self.stack[-1].depth)
+        if text and not self.stack[-1].hidden:
+            self.pieces.append(text)
+            self.linked += len(text) * self.in_link
+
+    def read(self, html: str) -> None:
+        at, seen, last = 0, 0, html.rfind(">")
+        while (at := html.find("<", at)) >= 0 and at < last:
+            if html.startswith("<!--", at):
+                self.text(html[seen:at])
+                stop = at + 4 if html.startswith((">", "->"), at + 4) else html.find("-->", at + 4)
+                seen = at = len(html) if stop < 0 else html.find(">", stop) + 1
+            elif m := _TAG.match(html, at):
+                self.text(html[seen:at])
+                seen = at = self.end_tag(m[2].lower(), m.end()) if m[1] else self.start_tag(html, m[2].lower(), m[3], m.end())
+            elif html.startswith(("<!", "<?", "</"), at):
+                self.text(html[seen:at])
+                seen = at = html.find(">", at) + 1
+            else:
+                at += 1
+        if html.startswith("<!--", at if at >= 0 else len(html)):  # a comment that never ends
+            self.text(html[seen:at])
+            return
+        self.text(html[seen:])
+
+    def end_tag(self, name: str, at: int) -> int:
+        depths, top = self.open.get(name), self.stack[-1]
+        if name == "a":
+            self.in_link = False
+        if name in BLOCK:
+            self.flush()
+        if depths and depths[-1]:
+            depth = depths[-1]
+            if name in TABLE_PARTS or (depth >= top.cell if name in BLOCK or name in DROPPED else depth > top.block):
+                self.pop_to(depth)
+        return at
+
+    def start_tag(self, html: str, name: str, attributes: str, at: int) -> int:
+        if self.stack[-1].name == "head" and name not in IN_HEAD:
+            self.pop_to(self.stack[-1].depth)
         if name in RAW:
-            stop = low.find(f"</{name}", at)
-            stop = len(html) if stop < 0 else stop
-            close = html.find(">", stop)
-            at = len(html) if close < 0 else close + 1
-            continue
-        if name in ("html", "body"):
-            flush()
-            continue
+            end = _END[name].search(html, at)
+            if end is None:
+                return at if attributes.endswith("/") else len(html)
+            close = html.find(">", end.end())
+            if name not in ("script", "style"):
+                self.flush()
+            return len(html) if close < 0 else close + 1
         if name in BLOCK:
-            open_p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in _CLOSES or stack[i].name in BLOCK), 0)
-            if open_p and name in _CLOSES.get(stack[open_p].name, ()):
-                pop_to(open_p)
-            flush()
+            self.flush()
+            while (box := self.stack[self.stack[-1].block]).depth and name in _CLOSES.get(box.name, ()):
+                self.pop_to(box.depth)
+        if name in ("html", "body") or name in VOID:
+            return at
         if name == "a":
-            links = 1
-        if name in VOID or attributes.endswith("/"):
-            continue
+            self.in_link = True
+        if name in ("svg", "math") and attributes.endswith("/"):
+            return at
         marks = marks_of(attributes)
-        if name in BLOCK or name in DROPPED or (marks and _BOILER.search(marks)):
-            if name in DROPPED:
-                flush()
-            push(name, marks)
-    add(html[at:])
-    flush()
-    return containers
-
-
-def score(box: Element) -> float:
-    """Running text that is not in links, with a little more for what calls itself the article."""
-    text = box.chars - 2 * box.linked
-    named = 1.5 if box.name in ("article", "main") or re.search(r"article|content|entry|post|story", box.marks) else 1.0
-    return max(0.0, text) * named * (1 + min(10, box.paragraphs) / 20)
-
-
-def best(containers: list[Element]) -> Element:
-    """The container of the highest score; a part that holds nearly all of a larger one's text is taken before it."""
-    top = max(containers, key=score)
-    for box in reversed(containers):
-        if box.chars >= 0.9 * top.chars and score(box) >= score(top) * 0.6 and box.path.startswith(top.path + ">"):
-            return box
-    return top
-
-
-def text_at(containers: list[Element], path: str | None) -> str:
-    """The blocks below the elements at ``path``, in page order; of the page's own best container where none holds text."""
-    blocks = {b for box in containers if box.path == path for b in box.blocks}
-    return "\n".join(t for _, t in sorted(blocks)) if blocks else "\n".join(t for _, t in best(containers).blocks)
+        if name in BLOCK or name in DROPPED or (marks and marked(set(marks.split()), True)):
+            self.flush() if name in DROPPED else None
+            self.push(name, marks)
+        return at
+
+    def judge(self) -> None:
+        """Which blocks stay, and sums of characters, characters in links and running blocks before each block."""
+        size = np.array([len(b) for b in self.blocks], np.int64)
+        links = np.array(self.links, np.int64)
+        running = (size > RUNNING) & (links <= LINKED * size)
+        before = lambda x: np.concatenate([[0], np.cumsum(x)])
+        chars, linked, runs = before(size), before(links), before(running * size)
+        gone = np.zeros(len(size) + 1, np.int64)
+        for e in self.elements:
+            if e.soft and e.last > e.first:
+                own, text = runs[e.last] - runs[e.first], chars[e.last] - chars[e.first]
+                if 2 * own <= runs[-1] if e.name in FORMS else not own or linked[e.last] - linked[e.first] > LINKED * text:
+                    gone[e.first] += 1
+                    gone[e.last] -= 1
+        self.stays = np.cumsum(gone)[:-1] == 0
+        self.chars, self.linked_chars, self.runs = before(size * self.stays), before(links * self.stays), before(running & self.stays)
+
+    def size(self, e: Element) -> int:
+        return int(self.chars[e.last] - self.chars[e.first])
+
+    def score(self, e: Element) -> float:
+        """Text that is not in links, with a little more for what calls itself the article."""
+        text = self.size(e) - 2 * int(self.linked_chars[e.last] - self.linked_chars[e.first])
+        named = 1.5 if e.name in ("article", "main") or _NAMED.search(e.marks) else 1.0
+        return max(0.0, text) * named * (1 + min(10, int(self.runs[e.last] - self.runs[e.first])) / 20)
+
+    def best(self) -> Element:
+        """The container of the highest score; a part that holds nearly all of a larger one's text is taken before it."""
+        boxes = [e for e in self.elements if e.name in CONTAINERS and not e.hidden]
+        scores = [self.score(e) for e in boxes]
+        at = max(range(len(boxes)), key=scores.__getitem__)
+        top, least = boxes[at], self.size(boxes[at])
+        for box, value in zip(reversed(boxes), reversed(scores)):
+            if top.order < box.order < top.end and self.size(box) >= 0.9 * least and value >= scores[at] * 0.6:
+                return box
+        return top
+
+    def path_of(self, e: Element | None) -> str:
+        kinds = []
+        while e:
+            kinds.append(e.kind)
+            e = e.parent
+        return ">".join(reversed(kinds))
+
+    def text_of(self, boxes: list[Element]) -> str:
+        return "\n".join(self.blocks[i] for e in boxes for i in range(e.first, e.last) if self.stays[i])
+
+    def text_at(self, path: str | None) -> str:
+        """The blocks of the elements at ``path``, in page order; of the page's own best container where none holds text."""
+        at = -1
+        for kind in (path or "").split(">"):
+            at = self.paths.get((at, kind), -2)
+        found = self.text_of([e for e in self.elements if e.path == at and not e.hidden])
+        return found or self.text_of([self.best()])
+
+
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
+_NAMED = re.compile(r"article|content|entry|post|story")
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         paths, weights = [], []
         for html in batch.column(1):
-            box = best(parse(html.as_py() or ""))
-            paths.append(box.path if box.chars else None)
-            weights.append(1.0 - box.linked / box.chars if box.chars else 0.0)
+            page = Page(html.as_py() or "")
+            box = page.best()
+            size = page.size(box)
+            paths.append(page.path_of(box) if size else None)
+            weights.append(1.0 - int(page.linked_chars[box.last] - page.linked_chars[box.first]) / size if size else 0.0)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(weights, pa.float64())], names=["host", "path", "weight"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [text_at(parse(html.as_py() or ""), path.as_py()) for html, path in zip(batch.column(2), batch.column(3))]
+    for batch in sliced(batches):
+        texts = [Page(html.as_py() or "").text_at(path.as_py()) for html, path in zip(batch.column(2), batch.column(3))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -200,7 +304,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Each page's containers are scored by their text outside of links; the generalised path (tags with classes, digits
     alike) of the best one is the page's vote, and every page is extracted again by the path its host has chosen.  A
     page without text there keeps its own best container.  A null html is empty and gives an empty text; a null URL,
-    or one without ``://``, is of the host ``''``.  Repeated rows each give a row.
+    or one without ``://``, is of the host ``''``.  Repeated rows each give a row; an empty table gives an empty one;
+    other columns are left aside.  A very long or deeply nested page takes time by its length.  Equal scores go to the
+    container that starts first, equal votes to the shorter path, then by name.
 
     Winners are one row a host, written to the shared folder, so that Spark knows their size when it plans their join.
     """
