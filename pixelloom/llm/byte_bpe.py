@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import others, table
 
 #: Distinct words whose ids are kept in the dictionary, their longest, and the documents they are found in; other words
 #: that a task remembers.  They bear on speed alone.
@@ -158,7 +158,7 @@ def split_words(text: Column, pattern: str) -> Column:
 def frequent_words(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
     """The KEPT_WORDS most frequent words of about SAMPLE_DOCS documents, with how often each occurs."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    near = docs.filter((F.xxhash64(F.substring(text_col, 1, 64), F.length(text_col)) / 2.0**64 + 0.5) <= share)
+    near = docs.filter((F.xxhash64(text_col, F.monotonically_increasing_id()) / 2.0**64 + 0.5) <= share)
     words = near.select(F.explode(split_words(F.col(text_col), pattern)).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.octet_length("word") <= KEPT_WORD_BYTES)
     return counts.orderBy(F.desc("n"), "word").limit(KEPT_WORDS)
@@ -170,11 +170,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     The text is cut into words by ``pattern`` and each word is encoded alone, without special tokens.  The frequent
     distinct words (of a bounded sample; a matter of speed only) are folded by Spark's higher-order functions, each
     once, and their ids kept in a dictionary of bounded size.  Words outside of it are merged by a heap where they
-    stand, so that neither texts nor words are shuffled and no dictionary grows with the input.  Other columns pass
-    through; an input that has ``out_col`` is rejected.
+    stand, so that neither texts nor words are shuffled and no dictionary grows with the input.  A very long text or
+    word takes time by its length (times its logarithm).  Repeated rows each give a row, an empty table an empty one.
+    Other columns pass through; a column named ``out_col`` is replaced.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"the input already has {out_col}")
     ranks = Map({k.hex().upper(): r for k, r in ranks_of(path).items()}, "int")
     found = frequent_words(docs.select(F.col(text_col).alias("text")), pattern, "text")
     folded = found.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism).select("word", ranks.bound(lambda get: fold_word(F.col("word"), get)).alias("ids"))
@@ -182,7 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     ids = got.column("ids").combine_chunks()
     ends, packed = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype("<i4").tobytes()
     kept = {w: packed[a:b] for w, a, b in zip(got.column("word").to_pylist(), ends, ends[1:])}
-    return docs.withColumn(out_col, _encoder(kept, path, pattern)(text_col))
+    return docs.select(*others(docs, out_col), _encoder(kept, path, pattern)(text_col).alias(out_col))
 
 
 def decode(ids: Column, path: str) -> Column:

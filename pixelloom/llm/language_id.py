@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, others, sliced, table
 
 #: Lengths of the character n-grams of the blended spectrum, and hash cells for each document's presence vector.
 GRAMS, CELLS = (1, 2, 3), 1 << 14
@@ -21,7 +21,7 @@ TRAIN_PER_LANGUAGE, LANDMARKS, RIDGE = 500, 256, 1e-2
 #: Documents scored in one matrix product.
 BATCH = 64
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def presence(text: str) -> np.ndarray:
@@ -79,7 +79,7 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """Kernel rows times landmarks times weights; the last two are multiplied once, before."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 16 * BATCH):
             texts = batch.column(1)
             pred, scores = [], []
             for lo in range(0, batch.num_rows, BATCH):
@@ -96,26 +96,27 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         cells = [presence(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.int32())), batch.column(2)], names=["lang", "cells", "turn"])
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
-    """Learn from ``docs`` (``doc_id, text, lang``): of each language the ``per_language`` documents of the lowest hash
-    of id, or about as many.  Only their presence vectors (at most CELLS cells each) come to the driver.  None if
-    no row has a language and a letter."""
+    """Learn from ``docs`` (``doc_id, text, lang``): of each language about ``per_language`` rows, those of the lowest
+    hash of id and text, of equal rows one; never more than twice as many for all languages together.  Only their
+    presence vectors (at most CELLS cells each) come to the driver.  None if no row has a language and a letter."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    turn = F.xxhash64(F.lit("train"), "doc_id")
+    turn = F.xxhash64(F.lit("train"), "doc_id", "text")
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
     # A hash lies below its share of the range for about per_language documents, whatever the size of the input.
     chosen = rows.withColumn("turn", turn).filter((F.col("turn") / 2.0**64 + 0.5) <= share)
-    got = chosen.select("lang", "text", "turn").mapInArrow(_cells, "lang string, cells array<int>, turn long").toPandas().sort_values(["turn", "lang"], kind="stable")
+    cells = chosen.select("lang", "text", "turn").mapInArrow(_cells, "lang string, cells array<int>, turn long").dropDuplicates(["lang", "turn"])
+    got = cells.orderBy("turn", "lang").limit(2 * per_language * len(counts)).toPandas().sort_values(["turn", "lang"], kind="stable")
     if got.empty:
         return None
     return fit([np.asarray(c) for c in got["cells"]], got["lang"].tolist(), landmarks)
@@ -123,7 +124,8 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: in
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
     """``id_col, lang_pred, score`` for each row of ``docs``.  A null text, or one without a letter, is ``und`` with
-    score 0; so is every text if nothing could be learned.  Ties go to the first language by name."""
+    score 0; so is every text if nothing could be learned.  Ties go to the first language by name.  Repeated rows
+    each give a row, a very long text is one row of the matrix products like any other, an empty table an empty one."""
     rows = docs.select(id_col, "text")
     if model is None:
         return rows.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -131,11 +133,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Dat
 
 
 def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` added, as ``predict`` gives them; an input that has them is rejected."""
-    if {"lang_pred", "lang_score"} & set(docs.columns):
-        raise ValueError("the input already has lang_pred or lang_score")
+    """``docs`` with ``lang_pred`` and ``lang_score`` added, as ``predict`` gives them; columns of these names are replaced."""
+    kept = others(docs, "lang_pred", "lang_score")
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+    language = language_of(model)(F.col(text_col))
+    out = docs.select(F.struct(*kept).alias("row"), language.alias("language"))
+    return out.select("row.*", F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("lang_score"))
+
+
+def language_of(model: Model) -> Callable:
+    """A function of a text column: a struct of ``lang_pred`` and ``score``."""
     score = _score(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -143,8 +151,7 @@ def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), pa.array(texts, pa.string(), from_pandas=True)], names=["id", "text"])
         return pa.Table.from_batches(score(iter([batch]))).select(["lang_pred", "score"]).to_pandas()
 
-    out = docs.withColumn("_language", language(text_col))
-    return out.select(*[f"`{c}`" for c in docs.columns], F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("lang_score"))
+    return language
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Scratch, sliced, table
 
 CAPACITY = 2048
 #: Lengths above CAPACITY / LARGE_PART are large: grouped, rounded up and packed by configurations.
@@ -38,7 +38,7 @@ def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Enco
 def _pieces(path: str, capacity: int, added: tuple[tuple[str, int], ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = functools.partial(encoder(path, added).encode, allowed_special="all")
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), 0], "<u4")
@@ -228,7 +228,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     An empty input gives an empty result; null ids and repeated documents are packed like others.
     """
     spark = pieces.sparkSession
-    rows = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows = Scratch(spark, "packing").store(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     salts = max(64, sum(counts.values()) // 50_000)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
@@ -243,14 +243,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     return ranked.mapInArrow(_place(segments), f"{_PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, added: tuple[tuple[str, int], ...] = ADDED) -> DataFrame:
     """Tokenise ``docs`` (``doc_id, text``; a null text is empty and still gives its end id) and pack the pieces.
 
-    Strings in ``added`` are one token each wherever a text has them; op2 and the pipeline give ``ADDED``.
+    Strings in ``added`` are one token each wherever a text has them, as in the tokenizer of the default vocabulary.
+    Other columns are left aside.  A very long text is encoded whole and cut into pieces of ``capacity``; repeated
+    rows are packed each; an empty table gives an empty one.
     """
     return pack(token_pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity, added), capacity)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The rank file holds the vocabulary of byte_bpe_50k.json; tests hold the ids of both against each other.
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), added=ADDED)
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

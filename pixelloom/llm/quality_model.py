@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, sliced, table
 
 #: Most labelled documents to learn from, taken by hash of id.
 SAMPLE = 12_000
@@ -141,13 +141,13 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(_rows(batch)), pa.list_(pa.float64()))], names=["label", "row"])
+    for batch in sliced(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(_rows(batch)), pa.list_(pa.float64())), batch.column("turn")], names=["label", "row", "turn"])
 
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_rows(batch)), pa.float64())], names=["id", "score"])
 
     return score
@@ -156,11 +156,12 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from at most ``sample`` labelled documents, those of the lowest hash of id; only their statistics come to
     the driver.  Rows with a null id or a label other than 0 and 1 are left out; of an id labelled twice the larger
-    label counts.  With nothing to learn from, every score is 0.5."""
+    label counts, and of rows that repeat an id at most ``sample`` are taken in all, by hash of text.  With nothing to
+    learn from, every score is 0.5."""
     good = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))
     drawn = F.broadcast(good.orderBy(F.xxhash64(F.lit("label"), "id"), "id").limit(sample))  # at most sample rows of two numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id").select("label", "text")
-    got = rows.mapInArrow(_statistics, "label double, row array<double>").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id").select("label", "text", F.xxhash64(F.lit("row"), "id", "text").alias("turn"))
+    got = rows.mapInArrow(_statistics, "label double, row array<double>, turn long").orderBy("turn", "label").limit(sample).collect()
     if not got:
         return Model(0.0, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)))
     found = np.array([[r["label"], *r["row"]] for r in got])
@@ -169,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score`` for each row of ``docs``: from the text alone.  A null text is empty; repeated rows each give a row."""
+    """``id_col, score`` for each row of ``docs``: from the text alone.  A null text is empty; repeated rows each give a row; a
+    very long text is scored by the statistics of all of it; ties of gain go to the first feature and lowest cut."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_score(model), "id long, score double").withColumnRenamed("id", id_col)
 
