@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -57,8 +58,8 @@ def test_bpe_is_tiktokens(spark):
     for r in got.collect():
         assert r.ids == enc.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode() and r.words == "x"
     assert byte_bpe.encode(docs.limit(0), MULTI).count() == 0
-    with pytest.raises(ValueError):
-        byte_bpe.encode(docs.withColumn("ids", F.lit(1)), MULTI)
+    clash = byte_bpe.encode(docs.withColumn("Ids", F.lit("old")).unionAll(docs.withColumn("Ids", F.lit("old"))), MULTI)
+    assert clash.columns == [*docs.columns, "ids"] and clash.count() == 2 * len(texts)
 
 
 def test_fold_and_heap_agree(spark):
@@ -85,7 +86,6 @@ def test_packing_is_gapless_and_keeps_every_token(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rng = random.Random(2)
     texts = ODD + [" ".join(rng.choices(["alpha", "beta", "ß", "x1"], k=rng.choice([3, 30, 700, 2600]))) for _ in range(40)]
     rows = packing.pack_documents(docs_of(spark, list(enumerate(texts)))).collect()
@@ -148,11 +148,26 @@ def test_quality_figures_of_odd_texts(spark):
     assert quality_rules.judge(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
 
 
-def test_boilerplate_of_a_host_is_removed_but_not_from_its_first_document(spark):
-    line = "home about contact terms privacy careers press blog help login join now today here"
-    rows = [(i, "\n".join([line] * 1 + [f"w{i} v{i} u{i}"]) + " " + " ".join(f"k{i}x{j}" for j in range(40 if i < 40 else 2))) for i in range(80)]
-    out = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, rows), min_docs=10, min_words=10).collect()}
-    assert out[0].n_lost == 0 and out[1].n_lost == 14 and out[1].kept and not out[79].kept
+def test_lines_above_the_limit_deplete_documents_of_a_large_host_but_not_their_first(spark, tmp_path, duck):
+    """With the limits of op3, over a host of a thousand documents, by Spark and by SQL."""
+    line = " ".join(f"menu{k}" for k in range(45))
+    own = lambda i, n: " ".join(f"k{i}x{j}" for j in range(n))
+    many = [(10_000 + i, own(i, 60), "en", "big", 0) for i in range(1000)]
+    few = [(20_000 + i, f"{line}\n  {line.upper()} \n{own(i, 10)}", "en", "big", 0) for i in range(6)]
+    other = [(30_000 + i, f"{line}\n{own(i, 10)}", "en", "small", 0) for i in range(5)]
+    rich = [(20_100, f"{line}\n{own('r', 60)}", "en", "big", 0), (20_101, "", "en", "big", 0), (20_102, None, None, None, None)]
+    docs = spark.createDataFrame(many + few + other + rich, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionAll(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(docs.columns))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.QUERIES["op3_quality_rules"](spark, str(tmp_path))
+    out = {r.doc_id: r for r in df.collect()}
+    assert [out[20_000 + i].kept for i in range(6)] == [True] + [False] * 5 and not any(out[20_000 + i].base_failed for i in range(6))
+    assert all(out[30_000 + i].kept and out[30_000 + i].n_lost == 0 for i in range(5)) and all(out[10_000 + i].kept for i in range(1000))
+    assert out[20_100].kept and out[20_100].n_lost == 45
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(quality_rules.OP3_SQL)
+    assert sorted(want.fetchall()) == sorted(tuple(r) for r in df.select(want.columns).collect())
 
 
 def test_urls(spark):
@@ -165,23 +180,53 @@ def test_urls(spark):
     assert url_filter.match_urls(pages, listed.limit(0)).filter("entry is not null").count() == 0
 
 
-def test_embedding_links_against_brute_force(spark):
+def test_many_list_entries_and_blocks_against_brute_force(spark):
+    """5,000 entries of several depths and path lengths: false positives of the filter never become hits."""
+    rng = random.Random(5)
+    keys = {f"{'s%d.' % rng.randrange(40) if rng.random() < 0.5 else ''}h{rng.randrange(3000)}.{rng.choice(['com', 'net'])}/" + "".join(rng.choice("ab/") for _ in range(rng.choice([0, 0, 1, 3]))) for _ in range(5000)}
+    listed = {k: ("block" if i % 3 else "allow", i % 2) for i, k in enumerate(sorted(keys))}
+    rows = spark.createDataFrame([(k, a, r) for k, (a, r) in listed.items()], "key string, action string, rank int")
+    urls = [f"https://{'x.' * rng.randrange(2)}s{rng.randrange(40)}.H{rng.randrange(3000)}.{rng.choice(['com', 'org'])}/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(6))) for _ in range(3000)]
+    urls += urls[:5] + [None, "", "x", "http://", "http:///a"]
+    pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, Host string")
+    out = url_filter.match_urls(pages, url_filter.list_table(rows))
+    assert out.columns == ["page_id", "url", "host", "path", "entry"]
+
+    def want(host, path):
+        labels = host.split(".")
+        found = [(r, -len(k), k) for n in range(1, len(labels) + 1) for m in range(1, len(path) + 1) if (k := ".".join(labels[-n:]) + path[:m]) in listed for r in [listed[k][1]]] if host else []
+        return min(found)[2] if found else None
+
+    got = {r.page_id: (r.entry.key if r.entry else None, want(r.host, r.path)) for r in out.collect()}
+    assert len(got) == len(urls) and all(a == b for a, b in got.values()) and sum(a is not None for a, _ in got.values()) > 200
+    assert len(listed) * url_filter.BITS_PER_KEY // (url_filter.WORDS * 64) > 200
+
+
+@pytest.mark.parametrize("cell_rows", [400, 10])
+def test_embedding_links_against_brute_force(spark, cell_rows):
+    """In one cell and over more than 100 cells, with copies, odd vectors and repeated and null ids."""
     rng = np.random.default_rng(4)
     base = rng.normal(size=(900, 16))
     near = np.repeat(base[:30], 10, 0) + rng.normal(scale=0.05, size=(300, 16))
-    v = np.concatenate([base, near, np.repeat(base[40:41], 50, 0)])
-    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0], []]
+    v = np.concatenate([base, near, np.repeat(base[40:41], 50, 0)]).astype(np.float32)
+    assert cell_rows == 400 or embedding_dedup.codes_for(1201, cell_rows) ** 2 >= 100
+    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0], [], [float("inf")] * 16]
     rows = [(i, list(map(float, x)), "k") for i, x in enumerate(v)] + [(len(v) + i, x, "k") for i, x in enumerate(odd)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string")
-    got = {r.vec_id: r for r in embedding_dedup.links(df).collect()}
-    u = v / np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links string")
+    got = {r.vec_id: r for r in embedding_dedup.links(df, cell_rows=cell_rows).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
     link = u @ u.T >= 0.95
     want = link.sum(1) - 1
     have = np.array([got[i].n_links for i in range(len(v))])
+    print("recall", cell_rows, have.sum() / want.sum())
     assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
     assert all(got[len(v) + i].n_links == 0 and got[len(v) + i].kept for i in range(len(odd)))
-    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
-    assert embedding_dedup.links(df.limit(0)).count() == 0
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values()) and len(got) == len(rows)
+    assert {got[i].component_id for i in [40, *range(1200, 1250)]} == {40}
+    assert embedding_dedup.links(df.limit(0)).count() == 0 and embedding_dedup.links(df.filter("embedding is null")).count() == 1
+    twice = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [2.0, 4.0]), (None, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embedding_dedup.links(twice).collect())) == [(0, 0, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1)]
+    assert {r.component_id for r in embedding_dedup.links(spark.createDataFrame([(5, [2.0]), (6, [3.0]), (7, [-1.0])], "vec_id long, embedding array<double>")).collect()} == {5, 7}
 
 
 def test_cells_are_visited_nearest_first():
@@ -210,6 +255,9 @@ def test_line_dedup_of_odd_rows(spark):
     assert got[5].dedup_n_dropped == 0 and got[0].dedup_n_dropped == 2 and got[0].dedup_text == "own 0" and got[None].dedup_n_dropped == 1
     assert (got[7].dedup_n_lines, got[7].dedup_text, got[8].dedup_n_lines) == (1, "", 1) and got[0].words == "x"
     assert line_dedup.dedup_lines(docs_of(spark, rows).limit(0)).count() == 0
+    clash = docs_of(spark, rows).withColumns({"_id": F.lit(1), "a.b": F.lit(2), "dedup_text": F.lit("old"), "id": F.lit(3), "row": F.lit(4), "gone": F.lit(5), "lines": F.lit(6)})
+    out = line_dedup.dedup_lines(clash.unionAll(clash))
+    assert out.count() == 2 * len(rows) and {r.dedup_n_lines for r in out.filter("doc_id < 6").collect()} == {3} and {(r["_id"], r["a.b"], r.gone) for r in out.collect()} == {(1, 2, 5)}
 
 
 PAGE = """<html><head><title>t</title></head><body><div id="menu"><a href=x>Home</a></div><div class="post-12"><h1>Title &amp; more</h1><p>First   <b>bold</b>
@@ -225,6 +273,59 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("İ" * 12 + "<script>x</script>after<p>tail", "İ" * 12 + "after\ntail"),
+    ("<p data-x=don't>Hello world of text</p><p>it's here</p><p>tail</p>", "Hello world of text\nit's here\ntail"),
+    ("<html><head><title>x</title><body><p>no end of head", "no end of head"),
+    ("<form action=/x/>" + "<p>" + "running text " * 9 + "</p></form>", "running text " * 8 + "running text"),
+    ("<article><p>" + "long text " * 9 + "<div class='related-work'>" + "more of it " * 9 + "</div><div class='search-tips'>" + "even more " * 9 + "</div><div class='related-posts'><a href=x>" + "Other page " * 9 + "</a></div></article>", "long text " * 8 + "long text\n" + "more of it " * 8 + "more of it\n" + "even more " * 8 + "even more"),
+    ("a < b and c <i>d</i> e <!-- x --> f <!-- never", "a < b and c d e f"),
+    ("x<SCRIPT>a</Script >y<ſcript>z", "xy<ſcript>z"),
+    ("one<p>two<li>three<p>four<li>five<table><tr><td>six</div><td>seven</table>", "one\ntwo\nthree\nfour\nfive\nsix\nseven"),
+    ("", ""), (" ", ""), ("<", "<"), ("</", "</"), ("<p", "<p"), ("&lt;p&gt; &amp;amp; &#x41;", "<p> &amp; A"),
+])
+def test_text_of_odd_pages(html, want):
+    assert html_extract.Page(html).text_at(None) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "x" + "</span>" * 8000, "<div>" * 8000 + "</p>" * 8000 + "x", "<div class='a1 b'>" * 8000 + "x" + "</div>" * 8000, "<span class=share>" * 8000 + "</b>" * 8000, "<p <p " * 8000, '<a href="' * 8000, "<!--" * 8000, "<ul><li>" * 8000 + "</ol>" * 8000])
+def test_bad_pages_take_no_long_time(page):
+    began = time.process_time()
+    html_extract.Page(page).text_at(None)
+    assert time.process_time() - began < 1
+
+
+def test_pages_against_a_plain_reading(spark):
+    """All pages of sf0.01 by the standard library's parser: the blocks of the article, in order."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("p", "h1", "h2", "br", "li", "div", "article", "blockquote"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag in ("p", "h1", "h2", "li", "div", "article", "blockquote"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html)
+        assert got[r.page_id] == "\n".join(" ".join(b.split()) for b in plain.blocks if b.split())
+
+
 def test_jaccard_classes_against_brute_force(spark):
     rng = random.Random(3)
     rows = []
@@ -281,10 +382,12 @@ def test_languages_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
     assert len(out) == 1000 and (out[out.held_out].lang_pred == out[out.held_out].lang).mean() > 0.95
-    odd = docs_of(spark, [(i, t) for i, t in enumerate(["", None, "123 !!", "ß"])])
+    odd = docs_of(spark, [(i, t) for i, t in enumerate(["", None, "½ ² ① 12 !!", "ß"])]).withColumn("Lang_Pred", F.lit("old"))
     model = language_id.train(docs.select("doc_id", "text", "lang"))
     assert [r.lang_pred for r in language_id.predict(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
     assert [r.lang_pred for r in language_id.annotate(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
+    assert language_id.annotate(odd.unionAll(odd), model).columns == [*odd.columns[:-1], "lang_pred", "lang_score"] and language_id.annotate(odd.limit(0), model).count() == 0
+    assert language_id.identify(odd.limit(0)).count() == 0 and language_id.identify(odd.withColumn("doc_id", F.lit(None).cast("long"))).count() == 4
     assert {r.lang_pred for r in language_id.predict(odd, language_id.train(odd.limit(0))).collect()} == {"und"}
 
 
@@ -300,11 +403,19 @@ def test_pipeline_stages_against_plain_python(spark, tmp_path):
         docs = seen[name][1]
         assert name == "packing" or docs.columns == seen["language_id"][0].columns
     before, after = ({r.doc_id: r.text for r in d.collect()} for d in seen["quality_rules"])
-    base = {i for i, t in before.items() if len(w := (t or "").encode().split()) >= 50 and 100 * quality_rules.repeat_words(w) <= 50 * len(w)}
+    base = {i for i, t in before.items() if len(w := (t or "").encode().split()) >= C.MIN_WORDS and 100 * quality_rules.repeat_words(w) <= 50 * len(w)}
     assert set(after) <= base and len(after) > 0.9 * len(base)
     before, after = ({r.doc_id: r.text for r in d.collect()} for d in seen["jaccard_join"])
     again = {r.doc_id: r.component_id for r in jaccard_join.classes(seen["jaccard_join"][1]).collect()}
     assert set(after) <= set(before) and all(k == v for k, v in again.items())
+    before, after_lines = ({r.doc_id: r.text for r in d.collect()} for d in seen["line_dedup"])
+    keys = {i: [k if len(k := line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) >= 40 else None for line in t.split("\n")] for i, t in before.items()}
+    holders = {}
+    for i, own in keys.items():
+        for k in set(own) - {None}:
+            holders.setdefault(k, []).append(i)
+    lost = lambda i, k: k is not None and len(holders[k]) >= 5 and max(holders[k]) != i
+    assert after_lines == {i: "\n".join(line for line, k in zip(t.split("\n"), keys[i]) if not lost(i, k)) for i, t in before.items()}
     pieces = seen["packing"][1].collect()
     enc = encoding(P.path("byte_bpe_50k.tiktoken"))
     assert sum(r.length for r in pieces) == sum(len(enc.encode_ordinary(t)) + 1 for t in after.values())
@@ -331,6 +442,59 @@ def test_pipeline_selects_rows_of_null_and_repeated_ids_by_their_own_verdict(spa
     assert got(once) == sorted(want, key=key) == got(C.drop_near_copies(spark, spark.createDataFrame(docs.filter("text is null or text not like 'same%'").collect(), docs.schema), ""))
 
 
+def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"_id": F.lit(1), "lang_pred": F.lit("x"), "row": F.lit(2), "_row": F.lit(3), "dedup_text": F.lit("y"), "Doc": F.lit(4)})
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "a" / "documents.parquet"))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, now, "")
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert {(r["_id"], r["lang_pred"], r["row"], r["_row"], r["dedup_text"], r["Doc"]) for r in now.collect()} == {(1, "x", 2, 3, "y", 4)}
+    assert C.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_quality_model_of_odd_tables(spark):
+    odd = docs_of(spark, [*enumerate(ODD), (None, "no id"), (3, "again")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(3, 0), (None, 1), (5, 7)], "doc_id long, quality int")
+    out = quality_model.score_quality(odd, labels)
+    assert out.count() == len(ODD) + 2 and out.filter("score is null or score < 0 or score > 1").count() == 0
+    assert quality_model.score_quality(odd.limit(0), labels).count() == 0
+
+
+def test_trees_against_a_plain_walk():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(400, 20))
+    model = quality_model.fit(rows, (rows[:, 3] + 0.3 * rows[:, 7] > 0).astype(float), trees=12)
+
+    def walk(row):
+        total = model.base
+        for feature, cut, value in zip(model.feature, model.cut, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += value[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(rows), [walk(r) for r in rows]) and ((model.score(rows) > 0.5) == (rows[:, 3] + 0.3 * rows[:, 7] > 0)).mean() > 0.95
+
+
+def test_language_scores_against_the_plain_kernel(spark):
+    """The batched products give what the presence kernel with every landmark gives, text by text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").limit(60).collect()
+    cells = [language_id.presence(r.text) for r in docs]
+    model = language_id.fit(cells, [r.lang for r in docs], landmarks=20)
+    grams = lambda t: {tuple(c[i : i + n]) for c in [" ".join(t.lower().split())] for n in language_id.GRAMS for i in range(len(c) - n + 1)}
+    assert all(len(c) <= len(grams(r.text)) and len(c) > 0.9 * min(len(grams(r.text)), 800) for c, r in zip(cells, docs))
+    values = language_id.kernel_rows(cells) @ model.weights + model.bias
+    one = np.array([sum(model.weights[c] for c in own) / np.sqrt(len(own)) + model.bias for own in cells])
+    assert np.allclose(values, one, atol=1e-3) and (values.argmax(1) == [model.languages.index(r.lang) for r in docs]).mean() > 0.9
+
+
 def test_every_contract_column_is_there(spark):
     cols = lambda n: set(queries.QUERIES[n](spark, SF).columns)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= cols("op1_byte_bpe")
