@@ -13,61 +13,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import jaccard_join, language_id, line_dedup, packing, quality_rules
-from pixelloom.llm.common import crc_mod, stored, table
+from pixelloom.llm.common import crc_mod, others, stored, table
 
 #: A text unlike all that was learned scores about a quarter.
 MIN_LANGUAGE_SCORE = 0.3
+#: Short documents are no fault in a corpus that is packed: only those of hardly any words go.
+MIN_WORDS = 5
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, which tells rows apart and is the same whenever it is read.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells rows apart and is the same whenever it is read, and its name, a free one.
 
     Rows of files that are read as they are have their place there: file and index.  Where they come in another way
     or have no such index, they are stored with a number.
     """
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         with suppress(AnalysisException):
-            return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
-    return stored(docs.withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
+            return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), name
+    return stored(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered"), name
 
 
-def with_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (of ``numbered``) whose ``_row`` is in ``rows``, without it."""
-    return docs.join(rows.select("_row"), "_row", "left_semi").drop("_row")
+def with_rows(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` (of ``numbered``) whose number is in ``rows``, without it."""
+    return docs.join(rows.select(name), name, "left_semi").drop(name)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some learned language claims; texts without a letter, and those that no language claims, go."""
-    learn = docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang")
-    out = language_id.annotate(docs, language_id.train(learn))
-    claimed = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)
-    return out.filter(claimed).drop("lang_pred", "lang_score")
+    model = language_id.train(docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.filter(F.lit(False))
+    rows = docs.select(F.struct(*others(docs)).alias("doc"), language_id.language_of(model)(F.col("text")).alias("language"))
+    claimed = (F.col("language.lang_pred") != language_id.UNKNOWN) & (F.col("language.score") >= MIN_LANGUAGE_SCORE)
+    return rows.filter(claimed).select("doc.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    docs = numbered(docs)
-    judged = quality_rules.judge(docs.select("doc_id", "source", "text", "_row"), row_col="_row")
-    return with_rows(docs, judged.filter("kept"))
+    """Documents that the quality rules keep, with a lower bound of words than op3's."""
+    rows, name = numbered(docs)
+    judged = quality_rules.judge(rows.select("doc_id", "source", "text", name), min_words=MIN_WORDS, row_col=name)
+    return with_rows(rows, judged.filter("kept"), name)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that recur across them; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("dedup_text"))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*others(docs)).alias("doc")))
+    new = {"text": F.col("dedup_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length("dedup_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies, that of the smallest id (a null one last); rows without a word all stay."""
-    docs = numbered(docs)
-    return with_rows(docs, jaccard_join.classes(docs.select("doc_id", "text", "_row"), row_col="_row").filter("kept"))
+    rows, name = numbered(docs)
+    return with_rows(rows, jaccard_join.classes(rows.select("doc_id", "text", name), row_col=name).filter("kept"), name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and where they lie in sequences."""
-    return packing.pack_documents(docs.select("doc_id", "text"), added=packing.ADDED)
+    return packing.pack_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [
