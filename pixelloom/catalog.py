@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -324,12 +324,10 @@ query("path_minus", "SELECT DISTINCT c_custkey FROM customer EXCEPT SELECT o_cus
 
 _numbers = lambda s, d: V.table(s, d, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 360000 / 1000.0 + 0.0001).alias("ra"), ((F.col("p_partkey") * 104729 % 180000) / 1000.0 - 90 + 0.0002).alias("dec"))
 _NUMBERS = "n AS (SELECT p_partkey, p_partkey * 7919 % 360000 / 1e3 + 1e-4 AS ra, p_partkey * 104729 % 180000 / 1e3 - 90 + 2e-4 AS dec FROM part)"
-query("ra_hms", O.query(_NUMBERS, "h AS (SELECT *, ra / 15 AS t, floor(ra / 15) AS h FROM n)", select="SELECT p_partkey, printf('%02d %02d %05.2f', h::INT, floor((t - h) * 60)::INT, ((t - h) * 60 - floor((t - h) * 60)) * 60) AS hms FROM h"))(
-    lambda s, d: _numbers(s, d).select("p_partkey", A.ra_hms(F.col("ra")).alias("hms"))
-)
-query("dec_dms", O.query(_NUMBERS, "h AS (SELECT *, abs(dec) AS t, floor(abs(dec)) AS h FROM n)", select="SELECT p_partkey, printf('%s%02d %02d %04.1f', CASE WHEN dec >= 0 THEN '+' ELSE '-' END, h::INT, floor((t - h) * 60)::INT, ((t - h) * 60 - floor((t - h) * 60)) * 60) AS dms FROM h"))(
-    lambda s, d: _numbers(s, d).select("p_partkey", A.dec_dms(F.col("dec")).alias("dms"))
-)
+_HMS = "printf('%02dh %02dm %05.2fs', trunc({0} / 15)::INT, trunc(({0} / 15 - trunc({0} / 15)) * 60)::INT, ({0} / 15 - trunc({0} / 15) - trunc(({0} / 15 - trunc({0} / 15)) * 60) / 60e0) * 3600)"
+_DMS = """printf('%s%02dd %02d%s %04.1f"', CASE WHEN {0} >= 0 THEN '+' ELSE '-' END, trunc(abs({0}))::INT, trunc((abs({0}) - trunc(abs({0}))) * 60)::INT, chr(39), (abs({0}) - trunc(abs({0})) - trunc((abs({0}) - trunc(abs({0}))) * 60) / 60e0) * 3600)"""
+query("ra_hms", O.query(_NUMBERS, select=f"SELECT p_partkey, {_HMS.format('ra')} AS hms FROM n"))(lambda s, d: _numbers(s, d).select("p_partkey", A.ra_hms(F.col("ra")).alias("hms")))
+query("dec_dms", O.query(_NUMBERS, select=f"SELECT p_partkey, {_DMS.format('dec')} AS dms FROM n"))(lambda s, d: _numbers(s, d).select("p_partkey", A.dec_dms(F.col("dec")).alias("dms")))
 query("plate_scale", "SELECT p_partkey, round(x, 6) AS scale, round(x * 0.75, 3) AS low, round(x * 1.25, 3) AS high FROM (SELECT p_partkey, CASE WHEN p_size > 1 THEN 3.76 / (p_size * 1e1 + 0.37) * 206.265 END AS x FROM part)")(
     lambda s, d: V.table(s, d, "part").select("p_partkey", A.plate_scale(F.lit(3.76), F.when(F.col("p_size") > 1, F.col("p_size") * 10 + 0.37).otherwise(0.5)).alias("s")).select("p_partkey", "s.scale", "s.low", "s.high")
 )
@@ -338,25 +336,52 @@ query("scale_hints", "SELECT p_partkey, round(p_retailprice / CASE p_size % 3 WH
 )
 
 
-@query("wcs_header", O.query(_NUMBERS, select="""SELECT p_partkey, t.k AS k, round(t.v, 6) AS v FROM (SELECT p_partkey, unnest([
-  {k: 'CD1_1', v: -s * cos(radians(ra)) * flip}, {k: 'CD1_2', v: s * sin(radians(ra))}, {k: 'CD2_1', v: -s * sin(radians(ra)) * flip}, {k: 'CD2_2', v: -s * cos(radians(ra))},
-  {k: 'CRPIX1', v: 2000e0}, {k: 'CRPIX2', v: 1500e0}]) AS t FROM (SELECT p_partkey, ra, (dec + 100) * 1.2 / 3600 AS s, CASE WHEN dec < 0 THEN -1 ELSE 1 END AS flip FROM n))"""))
-def _header(s: SparkSession, d: str) -> DataFrame:
-    made = A.derived_header(F.col("dec") + 100, F.col("ra"), F.col("dec") < 0, F.lit(4000), F.lit(3000))
-    return _numbers(s, d).select("p_partkey", F.explode(made).alias("k", "v"))
+_SOLUTION = """g AS (SELECT p_partkey, ra, dec, dec + 90.1 AS pa, p_size * 1e1 AS fw, p_size * 8e0 AS fh, p_retailprice / 1e3 AS scale, p_size % 2 = 0 AS flipped,
+  CASE p_size % 3 WHEN 0 THEN 4656 ELSE 0 END AS w, CASE p_size % 3 WHEN 0 THEN 3520 ELSE 0 END AS h, p_name, p_retailprice FROM n JOIN part USING (p_partkey)),
+pairs AS (SELECT p_partkey, unnest([
+  {k: 'CTYPE1', n: NULL, t: 'RA---TAN'}, {k: 'CTYPE2', n: NULL, t: 'DEC--TAN'}, {k: 'EQUINOX', n: 2000e0, t: NULL}, {k: 'RADESYS', n: NULL, t: 'ICRS'}, {k: 'CRVAL1', n: ra, t: NULL},
+  {k: 'CRVAL2', n: dec, t: NULL}, {k: 'OBJCTRA', n: NULL, t: {HMS}}, {k: 'OBJCTDEC', n: NULL, t: {DMS}}, {k: 'RA', n: ra, t: NULL}, {k: 'DEC', n: dec, t: NULL}, {k: 'PLTSOLVD', n: NULL, t: 'T'},
+  {k: 'FLDWIDTH', n: fw, t: NULL}, {k: 'FLDHGHT', n: fh, t: NULL}, {k: 'PIXSCALE', n: scale * 1.2, t: NULL}, {k: 'PA', n: pa, t: NULL}]) AS u FROM g)""".replace("{HMS}", _HMS.format("ra")).replace("{DMS}", _DMS.format("dec"))
+
+
+def _solution(s: SparkSession, d: str, wcs: Column) -> DataFrame:
+    """Keywords of a made-up solution for each part."""
+    rows = _numbers(s, d).join(V.table(s, d, "part"), "p_partkey")
+    seen = F.col("p_size") % 3 == 0
+    made = A.solution_header(
+        F.col("ra"), F.col("dec"), F.col("dec") + 90.1, F.col("p_size") * 10.0, F.col("p_size") * 8.0, F.col("p_retailprice") / 1000, F.col("p_size") % 2 == 0, wcs,
+        F.when(seen, 4656).otherwise(0), F.when(seen, 3520).otherwise(0))
+    return rows.select("p_partkey", F.explode(made).alias("k", "v")).select("p_partkey", "k", F.col("v.number").alias("number"), F.col("v.text").alias("text"))
+
 
+query("wcs_header", O.query(_NUMBERS, _SOLUTION, select="""SELECT p_partkey, u.k AS k, round(u.n, 6) AS number, u.t AS text FROM (SELECT * FROM pairs UNION ALL SELECT p_partkey, unnest([
+  {k: 'CD1_1', n: -s * cos(radians(pa)) * flip, t: NULL}, {k: 'CD1_2', n: s * sin(radians(pa)), t: NULL}, {k: 'CD2_1', n: -s * sin(radians(pa)) * flip, t: NULL}, {k: 'CD2_2', n: -s * cos(radians(pa)), t: NULL},
+  {k: 'CRPIX1', n: CASE WHEN w > 0 THEN w ELSE fw * 60 / (scale * 1.2) END / 2, t: NULL}, {k: 'CRPIX2', n: CASE WHEN h > 0 THEN h ELSE fh * 60 / (scale * 1.2) END / 2, t: NULL}])
+  FROM (SELECT *, scale * 1.2 / 3600 AS s, CASE WHEN flipped THEN -1 ELSE 1 END AS flip FROM g))"""))(lambda s, d: _solution(s, d, F.lit(None).cast("map<string,string>")))
 
-def _solved(s: SparkSession, d: str) -> DataFrame:
-    key = F.col("p_partkey").cast("string")
-    header = F.create_map(*[x for k, v in {"SIMPLE": F.lit("T"), "CRPIX1": key, "CD1_1": F.concat(F.lit("0.00"), key), "CDELT1": key, "OBJECT": F.col("p_name")}.items() for x in (F.lit(k), v)])
-    return V.table(s, d, "part").select("p_partkey", F.explode(A.solved_header(header)).alias("k", "v"))
 
+def _solver_header() -> Column:
+    price = F.col("p_retailprice").cast("string")
+    parts = {"SIMPLE": F.lit("T"), "COMMENT": F.lit("x"), "NAXIS1": F.lit("9"), "CRPIX1": price, "CRPIX2": F.lit("n/a"), "CD1_1": F.lit("0.00041"), "CD2_1": F.lit("-2.5e-06"), "CDELT1": price, "CRVAL1": price, "RADESYS": F.lit("FK5"), "OBJECT": F.col("p_name")}
+    plain = {"CDELT1": price, "CDELT2": F.lit("2"), "IMAGEW": F.lit("5")}
+    make = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)])
+    return F.when(F.col("p_size") % 2 == 0, make(parts)).otherwise(make(plain))
 
-query("solved_header", """SELECT p_partkey, unnest(['CRPIX1', 'CD1_1', 'OBJECT']) AS k, unnest([printf('%.9f', p_partkey / 1.2), printf('%.9f', ('0.00' || p_partkey)::DOUBLE * 1.2), p_name]) AS v FROM part""")(_solved)
-query("annotation_class", """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'messier' WHEN p_partkey % 5 = 1 THEN 'messier' WHEN p_partkey % 5 = 2 THEN 'ngc' ELSE 'other' END AS class FROM part""")(
+
+query("solved_header", O.query(_NUMBERS, _SOLUTION, select="""SELECT p_partkey, k, round(n, 6) AS number, t AS text FROM (
+  SELECT p_partkey, u.k AS k, u.n AS n, u.t AS t FROM pairs JOIN g USING (p_partkey) WHERE NOT (flipped AND u.k IN ('CRVAL1', 'RADESYS'))
+  UNION ALL SELECT p_partkey, unnest(['CRPIX1', 'CRPIX2', 'CD1_1', 'CD2_1', 'CRVAL1', 'RADESYS', 'OBJECT']),
+    unnest([p_retailprice / 1.2, NULL, 41e-5 * 1.2, -25e-7 * 1.2, p_retailprice, NULL, NULL]), unnest([NULL, 'n/a', NULL, NULL, NULL, 'FK5', p_name]) FROM g WHERE flipped
+  UNION ALL SELECT p_partkey, unnest(['CDELT1', 'CDELT2']), unnest([p_retailprice * 1.2, 2 * 1.2::DOUBLE]), NULL FROM g WHERE NOT flipped)"""))(lambda s, d: _solution(s, d, _solver_header()))
+
+# Names and kinds of objects, told apart in SQL by a rule of its own: what follows the first letter, trimmed, is of digits alone.
+_OBJECT = """CASE p_size % 8 WHEN 0 THEN 'M' || p_partkey WHEN 1 THEN 'm 31 x' WHEN 2 THEN 'M2-9' WHEN 3 THEN 'M31a' WHEN 4 THEN 'NGC ' || p_partkey WHEN 5 THEN 'Main' WHEN 6 THEN 'M' || chr(9) || '45 ' ELSE 'm' END"""
+query("annotation_class", f"""SELECT p_partkey, CASE WHEN starts_with(name, 'm ') OR (starts_with(name, 'm') AND len(trim(substr(name, 2), chr(9) || ' ')) > 0
+    AND len(translate(trim(substr(name, 2), chr(9) || ' '), '0123456789', '')) = 0) THEN 'messier' WHEN list_contains(['ic', 'ngc', 'hd', 'bright_star', 'messier', 'other'], kind) THEN kind ELSE 'other' END AS class
+  FROM (SELECT p_partkey, lower({_OBJECT}) AS name, lower(CASE p_partkey % 4 WHEN 0 THEN 'NGC' WHEN 1 THEN 'bright_star' WHEN 2 THEN 'ugc' ELSE 'IC' END) AS kind FROM part)""")(
     lambda s, d: V.table(s, d, "part").select("p_partkey", A.annotation_class(
-        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("M"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 5 == 1, F.lit("m 31")).otherwise(F.lit("Main")),
-        F.when(F.col("p_partkey") % 5 == 2, "NGC").otherwise("asteroid")).alias("class"))
+        F.element_at(F.array(F.concat(F.lit("M"), "p_partkey"), F.lit("m 31 x"), F.lit("M2-9"), F.lit("M31a"), F.concat(F.lit("NGC "), "p_partkey"), F.lit("Main"), F.lit("M\t45 "), F.lit("m")), F.col("p_size") % 8 + 1),
+        F.element_at(F.array(F.lit("NGC"), F.lit("bright_star"), F.lit("ugc"), F.lit("IC")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("class"))
 )
 
 
@@ -376,13 +401,22 @@ def _session(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "events").select("event_id", F.coalesce(got["method"], F.lit("sigma_clip")).alias("method"), F.coalesce(got["sigma_low"], F.lit(2.5)).alias("low"), F.coalesce(got["sigma_high"], F.lit(2.5)).alias("high"))
 
 
-query("wcs_merge", "SELECT n_nationkey, unnest(['A', 'B', 'C']) AS k, unnest([n_name, 'new', n_nationkey::VARCHAR]) AS v FROM nation")(
-    lambda s, d: V.table(s, d, "nation").select("n_nationkey", F.explode(A.wcs_merge(
-        F.create_map(F.lit("A"), F.col("n_name"), F.lit("B"), F.lit("old")), F.create_map(F.lit("B"), F.lit("new"), F.lit("C"), F.col("n_nationkey").cast("string")))).alias("k", "v"))
+query("wcs_merge", """SELECT n_nationkey, k, arg_max(v, over) AS v FROM (
+  SELECT n_nationkey, unnest(['A', 'B']) AS k, unnest([n_name, 'old']) AS v, 0 AS over FROM nation
+  UNION ALL SELECT n_nationkey, unnest(['B', 'C']), unnest([n_regionkey::VARCHAR, n_nationkey::VARCHAR]), 1 FROM nation) GROUP BY ALL""")(
+    lambda s, d: V.table(s, d, "nation").select("n_nationkey", F.explode(A.merged(
+        F.create_map(F.lit("A"), F.col("n_name"), F.lit("B"), F.lit("old")), F.create_map(F.lit("B"), F.col("n_regionkey").cast("string"), F.lit("C"), F.col("n_nationkey").cast("string")))).alias("k", "v"))
+)
+query("solve_summary", O.query(_NUMBERS, select=f"""SELECT p_partkey, array_to_string(list_filter([
+  printf('RA:          %s  (%.6f deg)', {_HMS.format('ra')}, ra), printf('Dec:         %s  (%.6f deg)', {_DMS.format('dec')}, dec), printf('Orientation: %.2f deg (E of N)', ra),
+  printf('Field size:  %.2f%s x %.2f%s', p_size * 1.5e0, chr(39), p_size::DOUBLE, chr(39)), printf('Pixel scale: %.3f arcsec/px', (p_retailprice + 3e-3) / 1000), 'Parity:      ' || CASE WHEN dec < 0 THEN 'Flipped' ELSE 'Normal' END,
+  CASE WHEN p_size % 2 = 0 THEN 'Objects:     ' || array_to_string(list_transform(range(least(p_size % 13, 10)), lambda i: p_name || i), ', ') END,
+  CASE WHEN p_size % 3 = 0 THEN 'WCS:         Available (2 keywords)' END], lambda x: x IS NOT NULL AND x <> 'Objects:     '), chr(10)) AS text FROM n JOIN part USING (p_partkey)"""))(
+    lambda s, d: _numbers(s, d).join(V.table(s, d, "part"), "p_partkey").select("p_partkey", A.summary(
+        F.col("ra"), F.col("dec"), F.col("ra"), F.col("p_size") * 1.5, F.col("p_size").cast("double"), (F.col("p_retailprice") + 0.003) / 1000, F.when(F.col("dec") < 0, "Flipped").otherwise("Normal"),
+        F.when((F.col("p_size") % 2 == 0) & (F.col("p_size") % 13 > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("p_size") % 13 - 1, F.lit(0))), lambda i: F.concat("p_name", i.cast("string")))),
+        F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("A"), F.lit("1"), F.lit("B"), F.lit("2")))).alias("text"))
 )
-query("solve_summary", "SELECT n_nationkey, 'Center: RA 10 00 00.00, Dec +20 30 00.0' || chr(10) || 'Scale: 1.500 arcsec/px' || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'Objects: ' || n_name || ', M31' ELSE '' END AS text FROM nation")(
-    lambda s, d: V.table(s, d, "nation").select("n_nationkey", A.summary(F.lit(150.0), F.lit(20.5), F.lit(1.5), F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name", F.lit("M31"))).otherwise(F.array().cast("array<string>"))).alias("text"))
-)
 
 # Star profiles, denoising, registration: numerical kernels.
 

@@ -9,23 +9,23 @@ from pyspark.sql import functions as F
 #: Images are enlarged by this before they are solved; header keys that a solution does not carry over.
 SOLVE_ZOOM = 1.2
 STRUCTURAL = ["SIMPLE", "BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "EXTEND", "HISTORY", "COMMENT", "", "IMAGEW", "IMAGEH"]
-KINDS = ["messier", "ngc", "ic", "hd", "bright", "ugc", "tycho2"]
+KINDS = ["ic", "ngc", "hd", "bright_star", "messier", "other"]
 
 
 def ra_hms(degrees: Column) -> Column:
-    """``HH MM SS.ss``; parts are cut off, the seconds rounded."""
+    """``HHh MMm SS.SSs``; hours and minutes are cut off, the seconds rounded."""
     hours = degrees / 15.0
     h = F.floor(hours).cast("int")
     m = F.floor((hours - h) * 60).cast("int")
-    return F.format_string("%02d %02d %05.2f", h, m, ((hours - h) * 60 - m) * 60)
+    return F.format_string("%02dh %02dm %05.2fs", h, m, (hours - h - m / 60.0) * 3600)
 
 
 def dec_dms(degrees: Column) -> Column:
-    """``+DD MM SS.s``."""
+    """``+DDd MM' SS.S"``."""
     a = F.abs(degrees)
     d = F.floor(a).cast("int")
     m = F.floor((a - d) * 60).cast("int")
-    return F.format_string("%s%02d %02d %04.1f", F.when(degrees >= 0, "+").otherwise("-"), d, m, ((a - d) * 60 - m) * 60)
+    return F.format_string("%s%02dd %02d' %04.1f\"", F.when(degrees >= 0, "+").otherwise("-"), d, m, (a - d - m / 60.0) * 3600)
 
 
 def plate_scale(micron: Column, focal_mm: Column, spread: float = 0.25) -> Column:
@@ -39,30 +39,61 @@ def scale_hint(value: Column, unit: Column, drizzled: Column) -> Column:
     return value / F.when(unit == "arcsecperpix", SOLVE_ZOOM).otherwise(1.0) / F.when(drizzled, 2.0).otherwise(1.0)
 
 
-def solved_header(header: Column) -> Column:
-    """A solution's header (map of text) for the image before it was enlarged: reference pixel and scales corrected,
-    structural keys dropped, CDELT dropped where there is a CD matrix."""
-    kept = F.map_filter(header, lambda k, _: ~k.isin(*STRUCTURAL) & ~(k.isin("CDELT1", "CDELT2") & F.map_contains_key(header, F.lit("CD1_1"))))
-    number = lambda v: v.try_cast("double")
+def _number(x: Column) -> Column:
+    return F.struct(x.cast("double").alias("number"), F.lit(None).cast("string").alias("text"))
 
-    def value(k: Column, v: Column) -> Column:
-        scaled = F.when(k.isin("CRPIX1", "CRPIX2"), number(v) / SOLVE_ZOOM).when(k.isin("CD1_1", "CD1_2", "CD2_1", "CD2_2", "CDELT1", "CDELT2"), number(v) * SOLVE_ZOOM)
-        return F.when(scaled.isNull(), v).otherwise(F.format_string("%.9f", scaled))
 
-    return F.transform_values(kept, value)
+def _text(x: Column | str) -> Column:
+    return F.struct(F.lit(None).cast("double").alias("number"), (x if isinstance(x, Column) else F.lit(x)).alias("text"))
 
 
-def derived_header(scale: Column, orientation: Column, flipped: Column, width: Column, height: Column) -> Column:
-    """Map of numbers from the solved pixel scale (arc seconds, enlarged image), position angle and parity."""
-    s, angle, flip = scale * SOLVE_ZOOM / 3600.0, F.radians(orientation), F.when(flipped, -1.0).otherwise(1.0)
-    parts = {"CD1_1": -s * F.cos(angle) * flip, "CD1_2": s * F.sin(angle), "CD2_1": -s * F.sin(angle) * flip, "CD2_2": -s * F.cos(angle), "CRPIX1": width / 2.0, "CRPIX2": height / 2.0}
+def _map(parts: dict[str, Column]) -> Column:
     return F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)])
 
 
+def solution_header(ra: Column, dec: Column, orientation: Column, field_w: Column, field_h: Column, pixel_scale: Column, flipped: Column, wcs: Column, width: Column, height: Column) -> Column:
+    """All keywords of a plate solution for the image before it was enlarged: a map of ``struct<number, text>``.
+
+    ``wcs`` is the solver's own header (a map of text) or NULL; ``width`` and ``height`` are those of the image, 0 if
+    not known; fields are in arc minutes, the scale in arc seconds a pixel of the enlarged image.  Of the solver's
+    header structural keys are left out, the reference pixel and scales are brought to the original image, and CDELT
+    goes where there is a CD matrix; its other keys win over the general ones.  Without it the CD matrix follows from
+    scale, position angle and parity, and the reference pixel is the centre: of the image, of the field, or of 4000 x 3000.
+    """
+    original = pixel_scale * SOLVE_ZOOM
+    general = _map({
+        "CTYPE1": _text("RA---TAN"), "CTYPE2": _text("DEC--TAN"), "EQUINOX": _number(F.lit(2000.0)), "RADESYS": _text("ICRS"), "CRVAL1": _number(ra), "CRVAL2": _number(dec),
+        "OBJCTRA": _text(ra_hms(ra)), "OBJCTDEC": _text(dec_dms(dec)), "RA": _number(ra), "DEC": _number(dec), "PLTSOLVD": _text("T"),
+        "FLDWIDTH": _number(field_w), "FLDHGHT": _number(field_h), "PIXSCALE": _number(original), "PA": _number(orientation),
+    })
+    has_cd = F.map_contains_key(wcs, F.lit("CD1_1"))
+    own = F.map_filter(wcs, lambda k, _: ~k.isin(*STRUCTURAL) & ~(k.isin("CDELT1", "CDELT2") & has_cd))
+
+    def value(k: Column, v: Column) -> Column:
+        number = v.try_cast("double")
+        scaled = F.when(k.isin("CRPIX1", "CRPIX2"), number / SOLVE_ZOOM).when(k.isin("CD1_1", "CD1_2", "CD2_1", "CD2_2", "CDELT1", "CDELT2"), number * SOLVE_ZOOM).otherwise(number)
+        return F.when(number.isNull(), _text(v)).otherwise(_number(scaled))
+
+    s, angle, flip = original / 3600.0, F.radians(orientation), F.when(flipped, -1.0).otherwise(1.0)
+    field = (field_w > 0) & (original > 0)
+    side = lambda known, wide, least: F.when((width > 0) & (height > 0), known).when(field, wide * 60.0 / original).otherwise(least)
+    derived = _map({
+        "CD1_1": _number(-s * F.cos(angle) * flip), "CD1_2": _number(s * F.sin(angle)), "CD2_1": _number(-s * F.sin(angle) * flip), "CD2_2": _number(-s * F.cos(angle)),
+        "CRPIX1": _number(side(width, field_w, 4000.0) / 2.0), "CRPIX2": _number(side(height, field_h, 3000.0) / 2.0),
+    })
+    # A solver's header without any key counts as none.
+    return merged(general, F.when(F.size(wcs) > 0, F.transform_values(own, value)).otherwise(derived))
+
+
+def merged(header: Column, over: Column) -> Column:
+    """A header with the keys of another over its own."""
+    return F.map_concat(F.map_filter(header, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
 def annotation_class(name: Column, kind: Column) -> Column:
-    """``messier`` by name, else a known kind, else ``other``."""
+    """``messier`` by name (``m`` and a blank, or ``m`` and nothing but a number), else a known kind, else ``other``."""
     low = F.lower(name)
-    return F.when(low.startswith("m ") | low.rlike(r"^m\d+"), "messier").when(F.lower(kind).isin(*KINDS), F.lower(kind)).otherwise("other")
+    return F.when(low.startswith("m ") | low.rlike(r"^m\s*[0-9]+\s*$"), "messier").when(F.lower(kind).isin(*KINDS), F.lower(kind)).otherwise("other")
 
 
 def annotations(json: Column) -> Column:
@@ -74,12 +105,16 @@ def annotations(json: Column) -> Column:
     ))
 
 
-def summary(ra: Column, dec: Column, scale: Column, objects: Column) -> Column:
-    """A block of text; the line of objects (first 10) only where there are any."""
-    lines = [F.format_string("Center: RA %s, Dec %s", ra_hms(ra), dec_dms(dec)), F.format_string("Scale: %.3f arcsec/px", scale)]
-    return F.concat_ws("\n", *lines, F.when(F.size(objects) > 0, F.concat(F.lit("Objects: "), F.array_join(F.slice(objects, 1, 10), ", "))))
-
-
-def wcs_merge(header: Column, wcs: Column) -> Column:
-    """Header keys with those of a solution over them."""
-    return F.map_concat(F.map_filter(header, lambda k, _: ~F.map_contains_key(wcs, k)), wcs)
+def summary(ra: Column, dec: Column, orientation: Column, field_w: Column, field_h: Column, scale: Column, parity: Column, objects: Column, wcs: Column) -> Column:
+    """The solution as a block of text; lines of objects (the first 10) and of the solver's header only where there are any."""
+    lines = [
+        F.format_string("RA:          %s  (%.6f deg)", ra_hms(ra), ra),
+        F.format_string("Dec:         %s  (%.6f deg)", dec_dms(dec), dec),
+        F.format_string("Orientation: %.2f deg (E of N)", orientation),
+        F.format_string("Field size:  %.2f' x %.2f'", field_w, field_h),
+        F.format_string("Pixel scale: %.3f arcsec/px", scale),
+        F.concat(F.lit("Parity:      "), parity),
+        F.when(F.size(objects) > 0, F.concat(F.lit("Objects:     "), F.array_join(F.slice(objects, 1, 10), ", "))),
+        F.when(F.size(wcs) > 0, F.format_string("WCS:         Available (%d keywords)", F.size(wcs))),
+    ]
+    return F.concat_ws("\n", *lines)
