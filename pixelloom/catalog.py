@@ -18,7 +18,10 @@ from .operators import mosaic as M
 from .operators import neighbours as N
 from .operators import postprocess as P
 from .operators import psf, quality, registration, sets, stacking
+from .plans import session
+from .sources import fits
 from .sources import views as V
+from .sources.stage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,7 +108,7 @@ query("master_flat", O.query(O.LINE, _MASTERS, select="SELECT y, x, c, round(f,
 query("flat_divisor", O.query(O.LINE, _MASTERS, select="SELECT y, x, c, round(CASE WHEN f > 0.5 THEN f ELSE 1 END, 6) AS v FROM flat"))(
     lambda s, d: _parts(s, d)[2].withColumn("v", C.flat_divisor(F.col("v"), 0.5))
 )
-query("dark_scale", O.query(O.LINE, _MASTERS, select="SELECT frame_id, round(k, 6) AS k FROM scale"))(lambda s, d: C.dark_scale(*_parts(s, d)[:2], least=100))
+query("dark_scale", O.query(O.LINE, _MASTERS, select="SELECT frame_id, round(k, 6) AS k FROM scale"))(lambda s, d: C.dark_scale(*_parts(s, d)[:2], least=100).drop("stack_id"))
 query("calibrate_light", O.query(O.LINE, _MASTERS, select="""SELECT stack_id, frame_id, y, x, c, round((v - k * coalesce(d, 0)) / CASE WHEN f > 0.01 THEN f ELSE 1 END, 6) AS v
   FROM px JOIN scale USING (frame_id) LEFT JOIN dark USING (y, x, c) LEFT JOIN flat USING (y, x, c)"""))(lambda s, d: C.calibrate(*_parts(s, d), least=100))
 
@@ -394,11 +397,36 @@ def _annotations(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "events").select("event_id", F.inline(A.annotations(text)))
 
 
-@query("session_defaults", """SELECT event_id, coalesce(event_type, 'sigma_clip') AS method, coalesce((props::JSON->>'$.k')::DOUBLE, 2.5) AS low, 2.5::DOUBLE AS high FROM events""")
+_SESSION = [k for k, v in session.FIELDS.items() if not isinstance(v, list)]
+_PLAIN = {"stacking_method": "'sigma_clip'", "sigma_low": "2.5::DOUBLE", "sigma_high": "2.5::DOUBLE", "percentile_low": "10::DOUBLE", "percentile_high": "10::DOUBLE", "camera_type": "'mono'", "bayer_pattern": "'RGGB'", "output_path": "'stacked.fits'", "reference_frame": "0", "denoise_strength": "'medium'", "deconv_strength": "'medium'", "master_dark_path": "''", "master_flat_path": "''"}
+_GIVEN = {"stacking_method": "event_type", "sigma_low": "(props::JSON->>'$.k')::DOUBLE", "reference_frame": "CASE WHEN user_id % 2 = 0 THEN user_id END", "drizzle": "user_id % 3 = 0", "output_path": "CASE WHEN user_id % 2 = 0 THEN 'out.fits' END"}
+
+
+@query("session_defaults", "SELECT event_id, " + ", ".join(f"coalesce({_GIVEN.get(k, 'NULL')}, {_PLAIN.get(k, 'false')}) AS {k}" for k in _SESSION) + " FROM events")
 def _session(s: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit('{"method":"'), F.col("event_type"), F.lit('","sigma_low":'), F.get_json_object("props", "$.k"), F.lit("}"))
-    got = F.from_json(text, "method string, sigma_low double, sigma_high double")
-    return V.table(s, d, "events").select("event_id", F.coalesce(got["method"], F.lit("sigma_clip")).alias("method"), F.coalesce(got["sigma_low"], F.lit(2.5)).alias("low"), F.coalesce(got["sigma_high"], F.lit(2.5)).alias("high"))
+    even = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(',"reference_frame":'), F.col("user_id"), F.lit(',"output_path":"out.fits"'))).otherwise(',"output_path":null')
+    text = F.concat(F.lit('{"stacking_method":"'), F.col("event_type"), F.lit('","unknown":1,"sigma_low":'), F.get_json_object("props", "$.k"), F.lit(',"drizzle":'), (F.col("user_id") % 3 == 0).cast("string"), even, F.lit("}"))
+    return V.table(s, d, "events").select("event_id", session.parse(text).alias("t")).select("event_id", *[f"t.{k}" for k in _SESSION])
+
+
+@query("session_files", """SELECT c_custkey AS session_id, role, position, path FROM (
+  SELECT c_custkey, 'light_paths' AS role, p - 1 AS position, p * 7 AS path FROM customer, range(1, 4) r(p) UNION ALL SELECT c_custkey, 'flat_paths', 0, c_custkey FROM customer)
+  WHERE path IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20)""")
+def _session_files(s: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('{"light_paths":["7","14","21"],"flat_paths":["'), F.col("c_custkey"), F.lit('"]}'))
+    rows = V.table(s, d, "customer").select(F.col("c_custkey").alias("session_id"), session.parse(text).alias("settings"))
+    there = V.table(s, d, "supplier").filter("s_nationkey < 20").select(F.col("s_suppkey").cast("string").alias("path"))
+    return session.present_files(rows, there).select("session_id", "role", "position", F.col("path").cast("long").alias("path"))
+
+
+@query("fits_roundtrip", O.query(O.LINE, select="SELECT frame_id, y, x, c, round(v::FLOAT::DOUBLE, 6) AS v FROM px UNION ALL SELECT frame_id, y, x, c, NULL FROM (SELECT DISTINCT frame_id, y::INT AS y, x::INT AS x, c FROM (SELECT DISTINCT frame_id FROM px), range(32) a(y), range(32) b(x), range(3) k(c)) ANTI JOIN px USING (frame_id, y, x, c)"))
+def _roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Frames written as FITS files and read back: 32-bit values, missing pixels NULL."""
+    folder = shared_folder(s, "fits-roundtrip")
+    px = V.line_px(s, d).select(F.concat(F.col("frame_id").cast("string"), F.lit(".fits")).alias("path"), "y", "x", "c", "v", *[F.lit(n).alias(k) for k, n in (("height", V.SIDE), ("width", V.SIDE), ("channels", 3))])
+    fits.save_images(px, folder)
+    back = s.read.format("fits").load(folder)
+    return back.select(F.regexp_extract("path", r"(\d+)\.fits$", 1).cast("int").alias("frame_id"), "y", "x", "c", "v")
 
 
 query("wcs_merge", """SELECT n_nationkey, k, arg_max(v, over) AS v FROM (

@@ -77,6 +77,31 @@ def remove_gradient(px: DataFrame, size: tuple[int, int], grid: int = 6, colour:
     return out.select(*IMAGE, "y", "x", value.alias("v"))
 
 
+def clean_corners(px: DataFrame, size: tuple[int, int], share: float = 0.2, grid: int = 8) -> DataFrame:
+    """A second pass over what is left of amplifier glow: in each corner (``share`` of a side, two pixels a cell at
+    least) a background of ``grid`` cells is subtracted and the rest clipped at 0; the centre is not touched.  Where
+    corners overlap, on tiny images, they are taken in turn."""
+    h, w = max(grid * 2, int(size[0] * share)), max(grid * 2, int(size[1] * share))
+    own = min(h, size[0]), min(w, size[1])
+    if own[0] * own[1] < 4 * grid * grid:
+        return px
+    places = [(y, x) for y in (0, max(0, size[0] - h)) for x in (0, max(0, size[1] - w))]
+    apart = 2 * own[0] <= size[0] and 2 * own[1] <= size[1]
+    out = px
+    for part in [places] if apart else [[p] for p in places]:
+        number = F.lit(None).cast("int")
+        for k, (y, x) in enumerate(part):
+            number = F.when(F.col("y").between(y, y + own[0] - 1) & F.col("x").between(x, x + own[1] - 1), k).otherwise(number)
+        marked = out.withColumn("corner", number)
+        top, left = (F.element_at(F.array(*[F.lit(p[i]) for p in part]), F.col("corner") + 1) for i in (0, 1))
+        inside = marked.filter(F.col("corner").isNotNull()).withColumns({"y": F.col("y") - top, "x": F.col("x") - left})
+        under = background(inside, own, grid, [*IMAGE, "corner"]).withColumnRenamed("v", "bg")
+        value = F.when(F.col("v").isNotNull(), F.greatest(F.col("v") - F.col("bg"), F.lit(0.0)))
+        cleaned = inside.join(under, [*IMAGE, "corner", "y", "x"]).select(*IMAGE, (F.col("y") + top).alias("y"), (F.col("x") + left).alias("x"), value.alias("v"))
+        out = marked.filter(F.col("corner").isNull()).select(*IMAGE, "y", "x", "v").unionByName(cleaned)
+    return out
+
+
 def _shifted(rows: DataFrame) -> DataFrame:
     value = F.when(F.col("v").isNotNull(), F.greatest(F.col("v") - F.col("pedestal"), F.lit(0.0)))
     return rows.select(*IMAGE, "y", "x", value.alias("v"))

@@ -30,19 +30,21 @@ def flat_divisor(v: Column, least: float = 0.01) -> Column:
 
 
 def dark_scale(lights: DataFrame, dark: DataFrame, least: int = 1000, share: float = 0.4) -> DataFrame:
-    """``frame_id, k``: slope of light over dark on the sky pixels of each frame, within 0.5 and 2.
+    """``frame_id, k`` (and ``stack_id`` where lights have it): slope of light over dark on the sky pixels of each
+    frame, within 0.5 and 2.
 
     Pixels count where both are positive; the sky is what lies at or below the ``share`` quantile.  With fewer than
     ``least`` pixels, or hardly any variance of the dark, the scale is 1.
     """
+    on = [k for k in ("stack_id", "frame_id") if k in lights.columns]
     both = lights.join(dark.withColumnRenamed("v", "d"), ["y", "x", "c"]).filter((F.col("v") > 0) & (F.col("d") > 0))
-    cut = both.groupBy("frame_id").agg(F.percentile("v", share).alias("cut"), F.count(F.lit(1)).alias("valid"))
-    sky = both.join(cut, "frame_id").filter(F.col("v") <= F.col("cut")).groupBy("frame_id")
+    cut = both.groupBy(*on).agg(F.percentile("v", share).alias("cut"), F.count(F.lit(1)).alias("valid"))
+    sky = both.join(cut, on).filter(F.col("v") <= F.col("cut")).groupBy(*on)
     fits = sky.agg(F.covar_pop("v", "d").alias("cov"), F.var_pop("d").alias("var"), F.count(F.lit(1)).alias("n"), F.first("valid").alias("valid"))
     slope = F.least(F.greatest(F.try_divide("cov", "var"), F.lit(0.5)), F.lit(2.0))
     usable = (F.col("valid") >= least) & (F.col("n") >= least) & (F.col("var") >= 1e-6)
-    found = fits.select("frame_id", F.when(usable, slope).otherwise(1.0).alias("k"))
-    return lights.select("frame_id").distinct().join(found, "frame_id", "left").select("frame_id", F.coalesce("k", F.lit(1.0)).alias("k"))
+    found = fits.select(*on, F.when(usable, slope).otherwise(1.0).alias("k"))
+    return lights.select(on).distinct().join(found, on, "left").select(*on, F.coalesce("k", F.lit(1.0)).alias("k"))
 
 
 def calibrate(lights: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None = None, least: int = 1000) -> DataFrame:
@@ -56,7 +58,8 @@ def calibrate(lights: DataFrame, dark: DataFrame | None = None, flat: DataFrame
     if dark is not None:
         master, on = keys(dark)
         wide = master if "c" in master.columns else master.crossJoin(F.broadcast(lights.select("c").distinct()))
-        out = out.join(dark_scale(lights, wide, least), "frame_id").join(master.withColumnRenamed("v", "d"), on, "left")
+        scale = dark_scale(lights, wide, least)
+        out = out.join(scale, scale.columns[:-1]).join(master.withColumnRenamed("v", "d"), on, "left")
         out = out.withColumn("v", F.col("v") - F.col("k") * F.coalesce("d", F.lit(0.0))).drop("d", "k")
     if flat is not None:
         master, on = keys(flat)

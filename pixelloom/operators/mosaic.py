@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BORDER, MOST_SIDE, MARGIN = 30, 20_000, 1.05
@@ -93,3 +93,55 @@ def build_mosaic(px: DataFrame, panels: DataFrame) -> DataFrame:
     """``y, x, c, v``: the weighted mean of the panels where any reaches (elsewhere the mosaic is 0)."""
     rows = reproject(px, panels, output_grid(panels))
     return rows.groupBy("y", "x", "c").agg(F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")), F.lit(0.0)).alias("v"))
+
+
+def panels_of(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``px`` and ``panels`` of plate-solved images (``path, header, y, x, c, v``, the header on one pixel of each).
+
+    A panel is named by the rank of its path.  The scale is the CD matrix, else CDELT with PC or CROTA2.  A header
+    without celestial axes is an error.
+    """
+    from pyspark.sql import Window
+
+    heads = images.filter(F.col("header").isNotNull()).select("path", "header")
+    heads = heads.withColumn("panel_id", F.row_number().over(Window.orderBy("path")) - 1)  # one row an image
+    text = lambda k: F.upper(F.try_element_at("header", F.lit(k)))
+    number = lambda k, least=0.0: F.coalesce(F.try_element_at("header", F.lit(k)).try_cast("double"), F.lit(least))
+    celestial = text("CTYPE1").startswith("RA") & text("CTYPE2").startswith("DEC")
+    error = F.raise_error(F.concat("path", F.lit(" has no valid celestial solution; solve this panel first"))).cast("boolean")
+    turn = F.radians(number("CROTA2"))
+    has = lambda *keys: sum((F.map_contains_key("header", F.lit(k)).cast("int") for k in keys), F.lit(0)) > 0
+    cd = F.array(*[number(f"CD{i}_{j}") for i in (1, 2) for j in (1, 2)])
+    pc = F.array(*[number(f"CDELT{i}", 1.0) * number(f"PC{i}_{j}", float(i == j)) for i in (1, 2) for j in (1, 2)])
+    rotated = F.array(number("CDELT1", 1.0) * F.cos(turn), -number("CDELT2", 1.0) * F.sin(turn), number("CDELT1", 1.0) * F.sin(turn), number("CDELT2", 1.0) * F.cos(turn))
+    scale = F.when(has("CD1_1", "CD1_2", "CD2_1", "CD2_2"), cd).when(has("CROTA2"), rotated).otherwise(pc)
+    panels = heads.filter(F.when(F.coalesce(celestial, F.lit(False)), True).otherwise(error)).select(
+        "panel_id", number("NAXIS1").cast("int").alias("width"), number("NAXIS2").cast("int").alias("height"),
+        F.array(number("CRPIX1"), number("CRPIX2")).alias("crpix"), F.array(number("CRVAL1"), number("CRVAL2")).alias("crval"), scale.alias("cd"))
+    px = images.join(heads.select("path", "panel_id"), "path").select("panel_id", "y", "x", "c", "v")
+    return px, panels
+
+
+def grid_header() -> Column:
+    """The header (a map of text) of a mosaic on the grid whose columns are there."""
+    text = lambda x: x.cast("string")
+    parts = {"WCSAXES": F.lit("2"), "CTYPE1": F.lit("RA---TAN"), "CTYPE2": F.lit("DEC--TAN"), "CUNIT1": F.lit("deg"), "CUNIT2": F.lit("deg")}
+    for i in (1, 2):
+        parts |= {f"CRPIX{i}": text(F.col("o_crpix")[i - 1]), f"CRVAL{i}": text(F.col("o_crval")[i - 1])}
+        parts |= {f"CD{i}_{j}": text(F.col("o_cd")[2 * i + j - 3]) for j in (1, 2)}
+    return F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)])
+
+
+def mosaic_files(spark: SparkSession, paths: list[str] | str, output: str) -> None:
+    """A mosaic of plate-solved FITS files, written with its own solution; 0 where no panel reaches."""
+    from ..sources import fits
+    from ..sources.stage import staged
+
+    px, panels = panels_of(staged(fits.read_stored(spark, paths), "panel-pixels"))
+    panels = staged(panels, "panels")
+    grid = staged(output_grid(panels), "grid")
+    image = build_mosaic(px, panels).crossJoin(F.broadcast(grid))  # one row of grid
+    folder, _, name = output.rpartition("/")
+    channels = staged(px.agg((F.max("c") + 1).alias("channels")), "channels")
+    rows = image.crossJoin(F.broadcast(channels)).select(F.lit(name).alias("path"), grid_header().alias("header"), F.col("o_height").alias("height"), F.col("o_width").alias("width"), "channels", "y", "x", "c", "v")
+    fits.save_images(rows, folder, fill=0.0)

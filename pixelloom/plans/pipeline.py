@@ -5,8 +5,7 @@ A stage reads its input more than once, so the result of each is written to the
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ FRAME = ["stack_id", "frame_id"]
 
 @dataclass
 class Config:
-    """Settings; those of a saved session that are missing keep these values (the method, ``sigma_clip``)."""
+    """Settings; ``plans.session`` makes them of a saved session."""
 
     method: str = "median"
     low: float = 2.5
@@ -40,16 +39,6 @@ class Config:
     star_reduction: float = 0.0
 
 
-def save_session(config: Config) -> str:
-    return json.dumps(asdict(config))
-
-
-def load_session(text: str) -> Config:
-    found = json.loads(text)
-    known = {f.name for f in fields(Config)}
-    return Config(**{"method": "sigma_clip", **{k: v for k, v in found.items() if k in known}})
-
-
 def run(lights: DataFrame, size: tuple[int, int], config: Config, dark: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
     """Calibrate, debayer, reject, normalise, align, stack, then ``postprocess``."""
     px = calibration.calibrate(lights, dark, flat) if dark is not None or flat is not None else lights
@@ -66,13 +55,13 @@ def run(lights: DataFrame, size: tuple[int, int], config: Config, dark: DataFram
     if config.normalise:
         px = staged(background.local_normalise(px, size, colour), "normalised")
     if config.align:
-        frames = [r["frame_id"] for r in px.select("frame_id").distinct().orderBy("frame_id").collect()]  # ids of frames, not pixels
-        if frames:
-            px = staged(registration.align_frames(px, size, frames[max(0, min(config.reference, len(frames) - 1))])[0], "aligned")
+        chosen = px.select("frame_id").distinct().orderBy("frame_id").limit(max(0, config.reference) + 1).agg(F.max("frame_id")).first()[0]
+        if chosen is not None:
+            px = staged(registration.align_frames(px, size, chosen)[0], "aligned")
     if config.drizzle:
         image, size = stacking.drizzle(px, config.scale, config.fraction), (size[0] * config.scale, size[1] * config.scale)
     elif config.method == "weighted":
-        image = stacking.stack(px, "weighted", weights=quality.psf_weights(scores).join(px.select(*FRAME).distinct(), "frame_id"))
+        image = stacking.stack(px, "weighted", weights=quality.psf_weights(scores))
     elif config.method in ("sigma_clip", "winsorised", "percentile_clip"):
         image = stacking.stack(px, config.method, low=config.low, high=config.high)
     else:

@@ -1,27 +1,29 @@
 """FITS images as a Spark data source: ``spark.read.format("fits")`` and ``df.write.format("fits")``.
 
-One input partition a file.  Rows are pixels, with the path as frame name and the header as a map on the first pixel row
-of each image line block.  Colour images are stored channels first and read as channels.
+One input partition a file.  Rows are pixels, with the path as frame name; the header is a map on the pixel (0, 0, 0) of
+each image and NULL elsewhere.  Colour images are stored channels first and read as channels.  Files lie in any store
+that pyarrow opens by its address.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 BLOCK, CARD = 2880, 80
 #: Types by BITPIX, big-endian.
 TYPES = {8: ">u1", 16: ">i2", 32: ">i4", -32: ">f4", -64: ">f8"}
 SUFFIXES = (".fits", ".fit", ".fts")
-SCHEMA = "path string, y int, x int, c int, v double"
+SCHEMA = "path string, header map<string,string>, y int, x int, c int, v double"
+PIXELS_A_BATCH = 1 << 16
 
 
 def parse_header(block: bytes) -> dict[str, object]:
@@ -106,26 +108,64 @@ def _card(key: str, value: object) -> bytes:
     return f"{key:<8}= {text}".encode("ascii", "replace")[:CARD].ljust(CARD)
 
 
-def write_image(image: np.ndarray, extra: dict[str, object] | None = None) -> bytes:
-    """A 32-bit float file of (height, width) or (height, width, channels), channels first."""
-    data = image if image.ndim == 2 or image.shape[2] > 1 else image[:, :, 0]
-    if data.ndim == 3:
-        data = np.moveaxis(data, 2, 0)
-    cards = [_card("SIMPLE", True), _card("BITPIX", -32), _card("NAXIS", data.ndim)]
-    cards += [_card(f"NAXIS{i + 1}", int(n)) for i, n in enumerate(data.shape[::-1])]
-    if data.ndim == 3:
+def image_header(height: int, width: int, channels: int, extra: dict[str, object] | None = None) -> bytes:
+    """The header block of a 32-bit float image, channels first."""
+    sides = [width, height] + ([channels] if channels > 1 else [])
+    cards = [_card("SIMPLE", True), _card("BITPIX", -32), _card("NAXIS", len(sides))]
+    cards += [_card(f"NAXIS{i + 1}", int(n)) for i, n in enumerate(sides)]
+    if channels > 1:
         cards.append(_card("COLORTYP", "RGB"))
-    fixed = {"SIMPLE", "BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "NAXIS3", "END"}
-    cards += [_card(k[:8].upper(), v) for k, v in (extra or {}).items() if k.upper() not in fixed]
+    fixed = {"SIMPLE", "BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "NAXIS3", "BSCALE", "BZERO", "BLANK", "END"} | ({"COLORTYP"} if channels > 1 else set())
+    cards += [_card(k[:8].upper(), v) for k, v in (extra or {}).items() if k and k.upper() not in fixed]
     head = b"".join(cards) + b"END".ljust(CARD)
-    body = np.ascontiguousarray(data, ">f4").tobytes()
-    return head.ljust(-(-len(head) // BLOCK) * BLOCK) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+    return head.ljust(-(-len(head) // BLOCK) * BLOCK)
+
+
+def write_image(image: np.ndarray, extra: dict[str, object] | None = None) -> bytes:
+    """A 32-bit float file of (height, width) or (height, width, channels), channels first."""
+    data = image[:, :, None] if image.ndim == 2 else image
+    body = np.ascontiguousarray(np.moveaxis(data, 2, 0), ">f4").tobytes()
+    return image_header(*data.shape, extra) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+
+
+def typed(value: str) -> object:
+    """A header value from its text."""
+    if value in ("T", "True"):
+        return True
+    if value in ("F", "False"):
+        return False
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            pass
+    return value
 
 
 def header_lines(header: dict[str, object]) -> list[str]:
     return [f"{k:<8} = {v!r}" for k, v in header.items() if k]
 
 
+def _batches(path: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    """The pixels of one file, row by row of the image, in batches of bounded size."""
+    header, image = read_image(data)
+    h, w, channels = image.shape
+    flat = image.reshape(-1)
+    words = [(k, str(v)) for k, v in header.items()]
+    for lo in range(0, flat.size, PIXELS_A_BATCH):
+        at = np.arange(lo, min(lo + PIXELS_A_BATCH, flat.size))
+        y, rest = np.divmod(at, w * channels)
+        x, c = np.divmod(rest, channels)
+        n = len(at)
+        heads = pa.array([words if i == 0 and lo == 0 else None for i in range(n)], pa.map_(pa.string(), pa.string()))
+        values = pa.array(np.where(np.isfinite(flat[at]), flat[at], np.nan), pa.float64(), from_pandas=True)
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n), heads, *[pa.array(a, pa.int32()) for a in (y, x, c)], values], names=["path", "header", "y", "x", "c", "v"])
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -136,40 +176,104 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
 
     def partitions(self) -> list[_File]:
-        found = sorted(p for p in glob.glob(os.path.join(self.root, "*"))) if os.path.isdir(self.root) else [self.root]
-        return [_File(p) for p in found if p.lower().endswith(SUFFIXES)]
+        store, top = _store(self.root)
+        info = store.get_file_info(top)
+        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(top))
+        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.lower().endswith(SUFFIXES)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            _, image = read_image(f.read())
-        h, w, channels = image.shape
-        for c in range(channels):
-            y, x = np.mgrid[:h, :w]
-            v = image[:, :, c].ravel()
-            columns = [pa.array([partition.path] * (h * w)), pa.array(y.ravel(), pa.int32()), pa.array(x.ravel(), pa.int32()), pa.array(np.full(h * w, c), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(np.isfinite(v), v, np.nan), pa.float64(), from_pandas=True)], names=["path", "y", "x", "c", "v"])
+        with _store(self.root)[0].open_input_stream(partition.path) as f:
+            data = f.read()
+        yield from _batches(partition.path, data)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]] = field(default_factory=list)  # (where it was written, where it belongs)
 
 
-class _Writer(DataSourceWriter):
-    """Each partition holds whole images (rows partitioned by ``path``)."""
+class _Writer(DataSourceArrowWriter):
+    """Images as ``save_images`` deals them: each whole in one partition, in the order of the file, with its size.
+
+    Pixels go to a file of the task as they come; the driver moves the files to their names when all tasks are done,
+    so that a lost or repeated task leaves nothing, and refuses two files of one name.
+    """
 
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
+        self.root, self.job, self.fill = options["path"].rstrip("/"), uuid.uuid4().hex, float(options.get("fill", "nan"))
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, root = _store(self.root)
+        out, now, done, file = _Written(), None, 0, None
+
+        def close() -> None:
+            if file is not None:
+                fill(total)
+                file.write(b"\0" * (-4 * total % BLOCK))
+                file.close()
+
+        def fill(to: int) -> None:
+            """Missing pixels up to a place."""
+            nonlocal done
+            while done < to:
+                n = min(to - done, PIXELS_A_BATCH)
+                file.write(np.full(n, self.fill, ">f4").tobytes())
+                done += n
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        images: dict[str, list] = {}
-        for r in rows:
-            images.setdefault(r["path"], []).append((r["y"], r["x"], r["c"], r["v"]))
-        os.makedirs(self.root, exist_ok=True)
-        for name, cells in images.items():
-            at = np.array([c[:3] for c in cells])
-            image = np.full(at.max(0) + 1, np.nan, np.float32)
-            image[tuple(at.T)] = [np.nan if c[3] is None else c[3] for c in cells]
-            target = os.path.join(self.root, os.path.basename(name))
-            with open(target + ".part", "wb") as f:
-                f.write(write_image(image))
-            os.replace(target + ".part", target)
-        return WriterCommitMessage()
+        for batch in batches:
+            paths = np.array(batch.column("path").to_pylist(), object)
+            starts = [0, *(np.flatnonzero(paths[1:] != paths[:-1]) + 1)] if len(paths) else []
+            for lo, hi in zip(starts, [*starts[1:], len(paths)]):
+                part = batch.slice(lo, hi - lo)
+                if paths[lo] != now:
+                    close()
+                    now, done = paths[lo], 0
+                    height, width, channels = (part.column(k)[0].as_py() for k in ("height", "width", "channels"))
+                    total = height * width * channels
+                    name = now.rstrip("/").rsplit("/", 1)[-1]
+                    if name in [target.rsplit("/", 1)[-1] for _, target in out.files]:
+                        raise ValueError(f"rows of {now} come apart, or two paths end in {name}: write with save_images")
+                    out.files.append((f"{root}/_temporary/{self.job}/{uuid.uuid4().hex}", f"{root}/{name}"))
+                    store.create_dir(f"{root}/_temporary/{self.job}")
+                    file = store.open_output_stream(out.files[-1][0])
+                    file.write(image_header(height, width, channels, {k: typed(v) for k, v in part.column("header")[0].as_py() or ()}))
+                y, x, c = (part.column(k).to_numpy() for k in "yxc")
+                at = (c.astype(np.int64) * height + y) * width + x
+                if at[0] < done or (np.diff(at) <= 0).any() or at[-1] >= total:
+                    raise ValueError(f"pixels of {now} are out of order or repeat: write with save_images")
+                for b in range(0, len(at), PIXELS_A_BATCH):
+                    own = at[b : b + PIXELS_A_BATCH]
+                    values = part.column("v").slice(b, len(own)).to_numpy(zero_copy_only=False)
+                    gaps = np.flatnonzero(np.diff(own, prepend=done - 1) > 1)
+                    for i, j in zip([0, *gaps], [*gaps, len(own)]):  # stretches without a missing pixel
+                        if i < j:
+                            fill(int(own[i]))
+                            file.write(values[i:j].astype(">f4").tobytes())
+                            done += j - i
+        close()
+        return out
+
+    def _clear(self) -> None:
+        store, root = _store(self.root)
+        if store.get_file_info(f"{root}/_temporary/{self.job}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/_temporary/{self.job}")
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        store, root = _store(self.root)
+        files = [f for m in messages if m for f in m.files]
+        targets = [target for _, target in files]
+        if len(set(targets)) < len(targets):
+            self._clear()
+            raise ValueError("an image was written by two tasks: write with save_images")
+        store.create_dir(root)
+        for place, target in files:
+            if store.get_file_info(target).is_file:
+                store.delete_file(target)
+            store.move(place, target)
+        self._clear()
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._clear()
 
 
 class FitsSource(DataSource):
@@ -183,7 +287,7 @@ class FitsSource(DataSource):
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: object, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(dict(self.options))
 
 
@@ -191,23 +295,57 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FitsSource)
 
 
-def read_stored(spark: SparkSession, path: str) -> DataFrame:
+def save_images(px: DataFrame, folder: str, fill: float = float("nan")) -> None:
+    """Write pixels (``path, y, x, c, v`` and maybe ``header``, a map of text) as one file for each path, by its last part.
+
+    Sizes are those of the largest place of each image, or the columns ``height, width, channels`` where there are any.  Images are dealt to tasks whole and sorted there by Spark,
+    which may spill, and streamed to their file, so that no image lies in the memory of a task; a missing pixel is ``fill``.
+    """
+    register(px.sparkSession)
+    sizes = px.groupBy("path").agg(*[(F.max(n) if n in px.columns else F.max(k) + 1).alias(n) for k, n in (("y", "height"), ("x", "width"), ("c", "channels"))], (F.first("header", True) if "header" in px.columns else F.lit(None).cast("map<string,string>")).alias("header"))
+    rows = px.select("path", "y", "x", "c", F.col("v").cast("double").alias("v")).join(sizes, "path")
+    rows = rows.repartition("path").sortWithinPartitions("path", "c", "y", "x")
+    rows.select("path", "header", "height", "width", "channels", "y", "x", "c", "v").write.format("fits").option("fill", fill).mode("append").save(folder)
+
+
+def save_image(px: DataFrame, path: str, header: Column | None = None) -> None:
+    """Write one image (``y, x, c, v``) to ``path``, whose suffix names the format."""
+    folder, _, name = path.rpartition("/")
+    if not name.lower().endswith(SUFFIXES):
+        raise ValueError(f"unsupported output format: {name!r}; supported: {', '.join(SUFFIXES)}")
+    save_images(px.select(F.lit(name).alias("path"), "y", "x", "c", "v", *([header.alias("header")] if header is not None else [])), folder or ".")
+
+
+def load_image(spark: SparkSession, path: str) -> DataFrame:
+    """One image; an unsupported suffix is an error, as is a file without an image."""
+    if not path.lower().endswith(SUFFIXES):
+        raise ValueError(f"unsupported format: {path!r}; supported: {', '.join(SUFFIXES)}")
+    return read_stored(spark, path)
+
+
+def read_stored(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """FITS files in any store that Spark reads (``binaryFile``): ``path, header, y, x, c, v``."""
 
     def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                header, image = read_image(content.as_py())
-                h, w, channels = image.shape
-                y, x, c = (a.ravel() for a in np.mgrid[:h, :w, :channels])
-                for lo in range(0, len(y), 65536):
-                    part = slice(lo, lo + 65536)
-                    n = len(y[part])
-                    heads = pa.array([[(k, str(v)) for k, v in header.items()] if not lo and not i else None for i in range(n)], pa.map_(pa.string(), pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), heads, *[pa.array(a[part], pa.int32()) for a in (y, x, c)], pa.array(image.ravel()[part], pa.float64(), from_pandas=True)], names=["path", "header", "y", "x", "c", "v"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fits,fit,fts}").load(path).select("path", "content")
-    return files.mapInArrow(pixels, "path string, header map<string,string>, y int, x int, c int, v double")
+                yield from _batches(name, content.as_py())
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fits,fit,fts,FITS,FIT,FTS}").load(path).select("path", "content")
+    return files.mapInArrow(pixels, SCHEMA)
+
+
+def rewrite_headers(spark: SparkSession, folder: str, headers: DataFrame) -> None:
+    """Put keywords (``path, extra``: last part of a path and a map of text) over those of the files they name, in place."""
+    px = read_stored(spark, folder).withColumn("path", F.regexp_extract("path", r"([^/]+)$", 1))
+    heads = px.filter(F.col("header").isNotNull()).select("path", "header").join(headers, "path")
+    new = heads.select("path", F.map_concat(F.map_filter("header", lambda k, _: ~F.map_contains_key(F.col("extra"), k)), F.col("extra")).alias("header"))
+    save_images(px.drop("header").join(new, "path"), folder)
+
+
+def header_text(header: Column) -> Column:
+    """A map of ``struct<number, text>`` as the map of text that files take."""
+    return F.transform_values(header, lambda _, v: F.coalesce(v["text"], v["number"].cast("string")))
 
 
 def collect_files(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.operators import background, calibration, geometry, mosaic, neighbours, postprocess, psf, quality, registration, sets, stacking
-from pixelloom.plans import pipeline
+from pixelloom.plans import pipeline, session
 from pixelloom.sources import fits
 from pixelloom.streaming import live
 
@@ -166,14 +166,96 @@ def test_fits_round_trip(spark, tmp_path):
         header, back = fits.read_image(fits.write_image(a, {"OBJECT": "it's M31", "EXPTIME": 1.5}))
         assert np.array_equal(back.squeeze(), a) and header["OBJECT"] == "it's M31" and header["EXPTIME"] == 1.5
     fits.register(spark)
-    px = pixels(spark, np.arange(12.0).reshape(1, 3, 4)).select(F.lit("a.fits").alias("path"), "y", "x", "c", "v")
-    px.coalesce(1).write.format("fits").mode("append").save(str(tmp_path / "out"))
-    back = spark.read.format("fits").load(str(tmp_path / "out"))
-    assert sorted(r.v for r in back.collect()) == list(range(12))
-    assert fits.read_stored(spark, str(tmp_path / "out")).filter("header is not null").count() == 1
-    assert fits.collect_files(spark, str(tmp_path / "out")).count() == 1
+    heads = F.create_map(F.lit("OBJECT"), F.lit("M31"), F.lit("GAIN"), F.lit("1.5"), F.lit("NAXIS1"), F.lit("99"))
+    px = pixels(spark, np.arange(36.0).reshape(3, 3, 4)).withColumn("path", F.concat(F.lit("/x/"), "frame_id", F.lit(".fits"))).withColumn("header", heads)
+    px.filter("not (y = 1 and x > 1) and not (y = 0 and x = 0 and frame_id = 1)").repartition(5).createOrReplaceTempView("holes")
+    out = str(tmp_path / "out")
+    fits.save_images(spark.table("holes"), out)
+    for back in (spark.read.format("fits").load(out), fits.read_stored(spark, out)):
+        got = {(r.path[-6], r.y, r.x): r.v for r in back.collect()}
+        assert got == {(str(f), y, x): None if (y == 1 and x > 1) or (y, x, f) == (0, 0, 1) else 12.0 * f + 4 * y + x for f in range(3) for y in range(3) for x in range(4)}
+        assert [(h.header["OBJECT"], h.header["GAIN"], h.header["NAXIS1"]) for h in back.filter("header is not null").collect()] == [("M31", "1.5", "4")] * 3
+    assert fits.collect_files(spark, out).count() == 3 and sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["0.fits", "1.fits", "2.fits", "_temporary"]
+    fits.rewrite_headers(spark, out, spark.createDataFrame([("1.fits", {"OBJECT": "M33", "CRVAL1": "10.5"})], "path string, extra map<string,string>"))
+    heads = {h.path[-6]: h.header for h in fits.read_stored(spark, out).filter("header is not null").collect()}
+    assert heads["1"]["OBJECT"] == "M33" and float(heads["1"]["CRVAL1"]) == 10.5 and heads["1"]["GAIN"] == "1.5" and heads["0"]["OBJECT"] == "M31"
     with pytest.raises(ValueError):
         fits.read_image(b"nothing")
+    with pytest.raises(ValueError, match="unsupported"):
+        fits.save_image(px, f"{out}/x.tiff")
+
+
+def test_an_image_dealt_to_two_tasks_is_refused_and_leaves_nothing(spark, tmp_path):
+    fits.register(spark)
+    px = pixels(spark, np.arange(12.0).reshape(1, 3, 4)).select(F.lit("a.fits").alias("path"), F.lit(None).cast("map<string,string>").alias("header"), F.lit(3).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("channels"), "y", "x", "c", "v")
+    with pytest.raises(Exception, match="two tasks"):
+        px.repartitionByRange(2, "y").sortWithinPartitions("y", "x").write.format("fits").mode("append").save(str(tmp_path / "two"))
+    assert not list((tmp_path / "two").rglob("*.fits"))
+    with pytest.raises(Exception, match="out of order"):
+        px.coalesce(1).sortWithinPartitions(F.desc("y")).write.format("fits").mode("append").save(str(tmp_path / "bad"))
+
+
+def test_session_runs_from_files_to_files(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    sky = stars_at(PLACES)
+    save = lambda a, name: (tmp_path / name).write_bytes(fits.write_image(a.astype(np.float32)))
+    for i in range(3):
+        save(sky * 2 + 0.1, f"light{i}.fits")
+        save(np.full((64, 64), 0.1) + rng.normal(0, 1e-4, (64, 64)), f"dark{i}.fits")
+        save(np.full((64, 64), 0.5), f"flat{i}.fits")
+    paths = lambda kind, *more: [str(tmp_path / f"{kind}{i}.fits") for i in range(3)] + list(more)
+    text = session.save({"light_paths": paths("light", "/gone/away.fits"), "dark_paths": paths("dark"), "flat_paths": paths("flat"), "stacking_method": "median", "output_path": "done.fits"})
+    settings = session.load(text)
+    assert list(settings) == list(session.FIELDS) and len(settings) == 25 and session.load("{}") == session.FIELDS and session.load('{"sigma_low": 3, "drizzle": "x"}')["sigma_low"] == 3
+    out = session.run_session(spark, settings, align=False)
+    assert out == str(tmp_path / "done.fits") and (tmp_path / "master_dark.fits").exists() and (tmp_path / "master_flat.fits").exists()
+    _, image = fits.read_image((tmp_path / "done.fits").read_bytes())
+    assert np.abs(image[:, :, 0] - sky * 2).max() < 0.2
+    again = session.run_session(spark, {**settings, "master_dark_path": str(tmp_path / "master_dark.fits"), "dark_paths": [], "output_path": str(tmp_path / "again.fits")}, align=False)
+    assert np.allclose(fits.read_image(open(again, "rb").read())[1], image, atol=1e-5)
+    with pytest.raises(ValueError, match="light frame"):
+        session.run_session(spark, session.load("{}"))
+
+
+def test_mosaic_from_files_to_a_file(spark, tmp_path):
+    a = np.arange(40 * 60, dtype=np.float32).reshape(40, 60) / 100 + 1
+    wcs = lambda crpix1: {"CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CRPIX1": crpix1, "CRPIX2": 20.0, "CRVAL1": 100.0, "CRVAL2": 0.0, "CDELT1": -0.001, "CDELT2": 0.001}
+    (tmp_path / "p0.fits").write_bytes(fits.write_image(a[:, :40], wcs(30.0)))
+    (tmp_path / "p1.fits").write_bytes(fits.write_image(a[:, 20:], wcs(10.0)))
+    mosaic.mosaic_files(spark, [str(tmp_path / f"p{i}.fits") for i in (0, 1)], str(tmp_path / "out" / "m.fits"))
+    header, image = fits.read_image((tmp_path / "out" / "m.fits").read_bytes())
+    assert header["CTYPE1"] == "RA---TAN" and image.shape[1] > 55 and (image == 0).any()
+    # the same sky position has the same value, as the image is linear in x and y
+    x = (100.0 - header["CRVAL1"]) / header["CD1_1"] + header["CRPIX1"] - 1
+    y = (0.0 - header["CRVAL2"]) / header["CD2_2"] + header["CRPIX2"] - 1
+    near = [image[int(np.floor(y)) + j, int(np.floor(x)) + i, 0] for j in (0, 1) for i in (0, 1)]
+    fx, fy = x - np.floor(x), y - np.floor(y)
+    assert (1 - fy) * ((1 - fx) * near[0] + fx * near[1]) + fy * ((1 - fx) * near[2] + fx * near[3]) == pytest.approx(a[19, 29], abs=0.02)
+    (tmp_path / "p2.fits").write_bytes(fits.write_image(a))
+    with pytest.raises(Exception, match="no valid celestial"):
+        mosaic.panels_of(fits.read_stored(spark, str(tmp_path / "p2.fits")))[1].collect()
+
+
+def test_two_stacks_with_the_same_frame_ids(spark):
+    one = pixels(spark, np.ones((4, 2, 2)))
+    px = one.unionAll(one.withColumn("stack_id", F.lit(1)))
+    scores = spark.createDataFrame([(s, f, 2.0 + 0.1 * f + (9.0 if (s, f) == (1, 3) else 0), 0.1, 0.9) for s in (0, 1) for f in range(4)], "stack_id int, frame_id int, fwhm double, eccentricity double, roundness double")
+    judged = quality.score_frames(scores, sigma=1.5)
+    assert {(r.stack_id, r.frame_id) for r in judged.filter("not keep").collect()} == {(1, 3)}
+    assert quality.accepted(px, quality.guarded(judged)).count() == 28 and quality.rejected(px, judged).count() == 4
+    assert stacking.stack(px, "weighted", weights=quality.psf_weights(judged)).count() == 8
+    dark = calibration.combine(one.withColumn("v", F.lit(0.5)))
+    assert calibration.calibrate(px, dark).count() == px.count() and calibration.dark_scale(px, dark).count() == 8
+
+
+def test_corner_glow_goes_and_the_centre_stays(spark):
+    a = np.ones((1, 100, 100))
+    y, x = np.mgrid[:100, :100]
+    a[0] += 3 * np.exp(-(y + x) / 10) + np.exp(-0.5 * ((y - 50) ** 2 + (x - 50) ** 2) / 9)
+    out = image(background.clean_corners(pixels(spark, a), (100, 100)), 100, 100)
+    assert np.array_equal(out[30:70, 30:70], a[0, 30:70, 30:70]) and out[:20, :20].max() < 2.5 and np.median(out[:20, :20]) < 0.1 and out.min() >= 0
+    small = background.clean_corners(pixels(spark, np.ones((1, 20, 20))), (20, 20))
+    assert small.count() == 400 and small.agg(F.min("v")).first()[0] == 0.0
 
 
 def test_integer_fits_with_scale_and_blank():
@@ -201,11 +283,6 @@ def test_ordered_sets(spark):
     assert [tuple(r) for r in sets.append_new(have, new, "k", "n").collect()] == [("c", 1)]
 
 
-def test_session_keeps_defaults_for_missing_keys():
-    assert pipeline.load_session("{}").method == "sigma_clip" and pipeline.load_session('{"low": 3, "other": 1}').low == 3
-    assert pipeline.load_session(pipeline.save_session(pipeline.Config(method="mean"))).method == "mean"
-
-
 def test_whole_pipeline(spark):
     rng = np.random.default_rng(5)
     lights = pixels(spark, [stars_at(PLACES) + rng.normal(0, 0.002, (64, 64)) for _ in range(4)])
