@@ -121,8 +121,14 @@ def _image(s: SparkSession, d: str) -> DataFrame:
     return stacking.stack(V.line_px(s, d), "mean", prereject=False).withColumn("frame_id", F.lit(0))
 
 
-def _mono(s: SparkSession) -> DataFrame:
-    return V.synth_px(s).filter("c = 0")
+def _mono(s: SparkSession, d: str) -> DataFrame:
+    return V.synth_px(s, d).filter("c = 0")
+
+
+def _filled(s: SparkSession, d: str) -> DataFrame:
+    """The mean image with 0.5 where no frame has a pixel."""
+    places = s.range(V.SIDE * V.SIDE).select((F.col("id") / V.SIDE).cast("int").alias("y"), (F.col("id") % V.SIDE).cast("int").alias("x"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("c"))
+    return places.join(_image(s, d).select("y", "x", "c", "v"), ["y", "x", "c"], "left").select(F.lit(0).alias("stack_id"), F.lit(0).alias("frame_id"), "y", "x", "c", F.coalesce("v", F.lit(0.5)).alias("v"))
 
 
 def _axis(n: int, to: int) -> str:
@@ -140,13 +146,16 @@ query("resize_bilinear", O.query(O.LINE, _IMAGE, select=_resized("img", 32, 48,
 query("zoom_before_solve", O.query(O.LINE, _IMAGE, select=_resized("(SELECT stack_id, frame_id, y, x, 0 AS c, avg(v) AS v FROM img GROUP BY ALL)", 32, 38, 38)))(
     lambda s, d: N.resize(_image(s, d).groupBy("stack_id", "frame_id", "y", "x").agg(F.lit(0).alias("c"), F.avg("v").alias("v")), LINE_SIZE, (38, 38))
 )
-query("zoom_cubic")(lambda s, d: N.resize(_image(s, d), LINE_SIZE, (48, 40), 3))
+_ZOOMED = """zy(o, i, w) AS ({0}), zx(o, i, w) AS ({1}),
+down AS (SELECT stack_id, frame_id, c, x, o AS y, sum(w * v) / sum(w) AS v FROM full_img JOIN zy ON y = i GROUP BY ALL)"""
+query("zoom_cubic", O.query(O.LINE, _IMAGE, "full_img AS (SELECT 0 AS stack_id, 0 AS frame_id, y, x, c, coalesce(v, 0.5) AS v FROM (SELECT y::INT AS y, x::INT AS x, c FROM range(32) a(y), range(32) b(x), (SELECT unnest([0, 1, 2]) AS c)) LEFT JOIN img USING (y, x, c))",
+  _ZOOMED.format(O.spline_table(32, 48), O.spline_table(32, 40)), select=f"SELECT {IMG}, y, o AS x, round(sum(w * v) / sum(w), 6) AS v FROM down JOIN zx ON x = i GROUP BY ALL"))(lambda s, d: N.resize(_filled(s, d), LINE_SIZE, (48, 40), 3))
 for _pattern, _sites in N.PATTERNS.items():
     _of = lambda y, x, p=_sites: f"CASE WHEN {y} % 2 = 0 THEN CASE WHEN {x} % 2 = 0 THEN {p[0]} ELSE {p[1]} END ELSE CASE WHEN {x} % 2 = 0 THEN {p[2]} ELSE {p[3]} END END"
-    _sql = f"""SELECT 0 AS stack_id, 0 AS frame_id, col AS c, oy::INT AS y, ox::INT AS x, round(avg(v) FILTER (WHERE {_of('y', 'x')} = col), 6) AS v
+    _sql = f"""SELECT 0 AS stack_id, frame_id, col AS c, oy::INT AS y, ox::INT AS x, round(avg(v) FILTER (WHERE {_of('y', 'x')} = col), 6) AS v
       FROM (SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
-      JOIN (SELECT y, x, v FROM px WHERE c = {_of('y', 'x')}) USING (y, x), (SELECT unnest([0, 1, 2]) AS col) GROUP BY ALL"""
-    query(f"debayer_{_pattern.lower()}", O.query(O.SYNTH, select=_sql))(lambda s, d, p=_pattern: N.debayer(V.synth_mosaic(s, pattern=p), SYNTH_SIZE, p))
+      JOIN (SELECT frame_id, y, x, v FROM px WHERE c = {_of('y', 'x')}) USING (y, x), (SELECT unnest([0, 1, 2]) AS col) GROUP BY ALL"""
+    query(f"debayer_{_pattern.lower()}", O.query(O.SYNTH, select=_sql))(lambda s, d, p=_pattern: N.debayer(V.synth_mosaic(s, d, pattern=p), SYNTH_SIZE, p))
 
 _OUT = f"SELECT {IMG}, y, x, round(v, 6) AS v FROM "
 query("gaussian_blur", O.query(O.LINE, _IMAGE, O.blur("img", "b", "2.5", 32, IMG), select=_OUT + "b"))(lambda s, d: N.gaussian_blur(_image(s, d), LINE_SIZE, 2.5))
@@ -155,19 +164,19 @@ for _name, _amount in P.SHARPEN.items():
     query(f"sharpen_{_name}", O.query(O.LINE, _IMAGE, O.blur("img", "b", "(3.5 / 2.3548)", 32, IMG), select=_sql))(lambda s, d, k=_name: P.sharpen(_image(s, d), LINE_SIZE, 3.5, k))
 query("median3x3", O.query(O.MONO, select=f"""SELECT {IMG}, oy::INT AS y, ox::INT AS x, round(median(v), 6) AS v FROM (
   SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
-  JOIN mono USING (y, x) GROUP BY ALL"""))(lambda s, d: N.window_3x3(_mono(s), SYNTH_SIZE, F.median("v")))
-query("local_maxima", O.query(O.MONO, O.maxima("mono", "p", 3, 64), select="SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM p WHERE v > 0.15"))(lambda s, d: N.local_maxima(_mono(s), SYNTH_SIZE, 3, 0.15))
-_DETECT = """flat AS MATERIALIZED (SELECT stack_id, frame_id, y, x, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS v FROM mono)"""
+  JOIN mono USING (y, x) GROUP BY ALL"""))(lambda s, d: N.window_3x3(_mono(s, d), SYNTH_SIZE, F.median("v")))
+query("local_maxima", O.query(O.MONO, O.maxima("mono", "p", 3, 64), select="SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM p WHERE v > 0.15"))(lambda s, d: N.local_maxima(_mono(s, d), SYNTH_SIZE, 3, 0.15))
+_DETECT = """flat AS MATERIALIZED (SELECT stack_id, frame_id, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS v FROM mono WINDOW w AS (PARTITION BY frame_id))"""
 query("source_detect", O.query(O.MONO, _DETECT, O.blur("flat", "b", "2.5", 64, "stack_id, frame_id"), O.maxima("b", "p", 5, 64), select="""SELECT stack_id, frame_id, x, y, round(f.v, 6) AS v
-  FROM p JOIN flat f USING (stack_id, frame_id, y, x), (SELECT greatest(median(v) + 0.9 * stddev_pop(v), 0.01) AS t FROM b) WHERE p.v > t"""))(lambda s, d: N.detect_sources(_mono(s).drop("c"), SYNTH_SIZE))
+  FROM p JOIN flat f USING (stack_id, frame_id, y, x) JOIN (SELECT frame_id, greatest(median(v) + 0.9 * stddev_pop(v), 0.01) AS t FROM b GROUP BY 1) USING (frame_id) WHERE p.v > t"""))(lambda s, d: N.detect_sources(_mono(s, d).drop("c"), SYNTH_SIZE))
 
 # Background, colour, crops.
 
-query("background_grid", O.query(O.SYNTH, O.background("px", "bg", 64, 6), select=f"SELECT {IMG}, cy AS y, cx AS x, round(v, 6) AS v FROM bg_g"))(lambda s, d: B.cell_sky(V.synth_px(s), SYNTH_SIZE))
+query("background_grid", O.query(O.SYNTH, O.background("px", "bg", 64, 6), select=f"SELECT {IMG}, cy AS y, cx AS x, round(v, 6) AS v FROM bg_g"))(lambda s, d: B.cell_sky(V.synth_px(s, d), SYNTH_SIZE))
 _FLAT = f"flat AS MATERIALIZED (SELECT {IMG}, y, x, v - bg AS v FROM px JOIN bg USING ({IMG}, y, x))"
 _PED = f"ped AS MATERIALIZED (SELECT {IMG}, list_sort(list(v))[count(*) // 1000 + 1] AS p FROM flat GROUP BY ALL)"
 query("remove_gradient_mono", O.query(O.MONO.replace("mono AS", "all_px AS").replace("px AS", "rgb AS", 1).replace("all_rgb", "all_px").replace("FROM px WHERE", "FROM rgb WHERE").replace("all_px AS", "px AS"), O.background("px", "bg", 64, 6), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
-    lambda s, d: B.remove_gradient(_mono(s), SYNTH_SIZE)
+    lambda s, d: B.remove_gradient(_mono(s, d), SYNTH_SIZE)
 )
 _RGB = f"""light AS MATERIALIZED (SELECT stack_id, frame_id, y, x, avg(v) AS v FROM flat GROUP BY ALL),
 ped AS (SELECT stack_id, frame_id, list_sort(list(v))[count(*) // 1000 + 1] AS p FROM light GROUP BY ALL),
@@ -175,7 +184,7 @@ low AS MATERIALIZED (SELECT {IMG}, y, x, greatest(v - p, 0) AS v FROM flat JOIN
 {{corners}},
 sky AS (SELECT {IMG}, coalesce(s, 0) AS s FROM (SELECT DISTINCT {IMG} FROM low) LEFT JOIN (SELECT {IMG}, median(v) AS s FROM cor WHERE v >= 0 GROUP BY ALL) USING ({IMG}))"""
 _RGB_OUT = f"SELECT {IMG}, y, x, round(greatest(v - (s - m), 0), 6) AS v FROM low JOIN sky USING ({IMG}) JOIN (SELECT stack_id, frame_id, min(s) AS m FROM sky GROUP BY ALL) USING (stack_id, frame_id)"
-query("remove_gradient_rgb", O.query(O.SYNTH, O.background("px", "bg", 64, 6), _FLAT, _RGB.format(corners=O.corners("low", "cor", 64)), select=_RGB_OUT))(lambda s, d: B.remove_gradient(V.synth_px(s), SYNTH_SIZE, colour=True))
+query("remove_gradient_rgb", O.query(O.SYNTH, O.background("px", "bg", 64, 6), _FLAT, _RGB.format(corners=O.corners("low", "cor", 64)), select=_RGB_OUT))(lambda s, d: B.remove_gradient(V.synth_px(s, d), SYNTH_SIZE, colour=True))
 query("local_normalise", O.query(O.LINE, O.background("px", "bg", 32, 12), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
     lambda s, d: B.local_normalise(V.line_px(s, d), LINE_SIZE)
 )
@@ -184,23 +193,23 @@ fac AS MATERIALIZED (SELECT {IMG}, CASE WHEN m < 1e-8 THEN 1 ELSE m / greatest(s
   SELECT *, avg(s) OVER (PARTITION BY stack_id, frame_id) AS m FROM (
     SELECT {IMG}, CASE WHEN n < 10 THEN 0 ELSE sky END AS s FROM (SELECT DISTINCT {IMG}, n FROM low) LEFT JOIN cs USING ({IMG}))))"""
 _BAL = [O.SYNTH, O.corners("px", "cor", 64), O.sky("(SELECT * FROM cor WHERE v >= 0)", "cs", IMG, "2.5"), _FACTORS]
-query("colour_balance_factors", O.query(*_BAL, select=f"SELECT {IMG}, round(factor, 6) AS factor FROM fac"))(lambda s, d: B.balance_factors(V.synth_px(s), SYNTH_SIZE))
-query("colour_balance_auto", O.query(*_BAL, select=f"SELECT {IMG}, y, x, round(greatest(v * factor, 0), 6) AS v FROM px JOIN fac USING ({IMG})"))(lambda s, d: B.auto_balance(V.synth_px(s), SYNTH_SIZE))
+query("colour_balance_factors", O.query(*_BAL, select=f"SELECT {IMG}, round(factor, 6) AS factor FROM fac"))(lambda s, d: B.balance_factors(V.synth_px(s, d), SYNTH_SIZE))
+query("colour_balance_auto", O.query(*_BAL, select=f"SELECT {IMG}, y, x, round(greatest(v * factor, 0), 6) AS v FROM px JOIN fac USING ({IMG})"))(lambda s, d: B.auto_balance(V.synth_px(s, d), SYNTH_SIZE))
 query("colour_balance_manual", O.query(O.LINE, select="SELECT stack_id, frame_id, y, x, c, round(greatest(v * CASE c WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.75 END, 0), 6) AS v FROM px"))(
     lambda s, d: B.manual_balance(V.line_px(s, d), 1.5, 1.0, 0.75)
 )
 _FRAME = "edged AS MATERIALIZED (SELECT * EXCLUDE v, CASE WHEN y BETWEEN 5 AND 50 AND x BETWEEN 9 AND 60 THEN v WHEN y < 3 THEN 0 END AS v FROM px)"
 
 
-def _edged(s: SparkSession) -> DataFrame:
+def _edged(s: SparkSession, d: str) -> DataFrame:
     inside = F.col("y").between(5, 50) & F.col("x").between(9, 60)
-    return V.synth_px(s).withColumn("v", F.when(inside, F.col("v")).when(F.col("y") < 3, 0.0))
+    return V.synth_px(s, d).withColumn("v", F.when(inside, F.col("v")).when(F.col("y") < 3, 0.0))
 
 
 query("auto_crop", O.query(O.SYNTH, _FRAME, select="""SELECT stack_id, frame_id, (y - y0)::INT AS y, (x - x0)::INT AS x, c, round(v, 6) AS v FROM edged, (
-  SELECT min(y) + 2 AS y0, max(y) - 2 AS y1, min(x) + 2 AS x0, max(x) - 2 AS x1 FROM (SELECT y, x FROM edged GROUP BY ALL HAVING count(v) = 3 AND max(v) > 0))
-  WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"""))(lambda s, d: G.auto_crop(_edged(s), colour=True))
-query("manual_crop", O.query(O.SYNTH, select="SELECT stack_id, frame_id, (y - 8)::INT AS y, (x - 20)::INT AS x, c, round(v, 6) AS v FROM px WHERE y >= 8 AND y < 40 AND x >= 20 AND x < 44"))(lambda s, d: G.crop(V.synth_px(s), 8, 20, 32, 24))
+  SELECT min(y) + 2 AS y0, max(y) - 2 AS y1, min(x) + 2 AS x0, max(x) - 2 AS x1 FROM (SELECT y, x FROM edged GROUP BY ALL HAVING count(v) = count(*) AND max(v) > 0))
+  WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"""))(lambda s, d: G.auto_crop(_edged(s, d), colour=True))
+query("manual_crop", O.query(O.SYNTH, select="SELECT stack_id, frame_id, (y - 8)::INT AS y, (x - 20)::INT AS x, c, round(v, 6) AS v FROM px WHERE y >= 8 AND y < 40 AND x >= 20 AND x < 44"))(lambda s, d: G.crop(V.synth_px(s, d), 8, 20, 32, 24))
 query("trim_shapes", O.query(O.LINE, select="""SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM px, (
   SELECT min(h) AS h, min(w) AS w FROM (SELECT max(y) AS h, max(x) AS w FROM px WHERE y <= 20 + frame_id GROUP BY frame_id)) WHERE y <= 20 + frame_id AND y <= h AND x <= w"""))(
     lambda s, d: G.trim_frames(V.line_px(s, d).filter("y <= 20 + frame_id"))
@@ -253,22 +262,22 @@ _STARS = f"""light AS MATERIALIZED (SELECT stack_id, frame_id, y, x, avg(v) AS v
 {O.blur('light', 'lb', '3.0', 64, 'stack_id, frame_id')},
 hp AS MATERIALIZED (SELECT stack_id, frame_id, y, x, l.v - lb.v AS v FROM light l JOIN lb USING (stack_id, frame_id, y, x)),
 {O.maxima('hp', 'pk', 3, 64)},
-spot AS MATERIALIZED (SELECT stack_id, frame_id, y, x, CASE WHEN p.v > t THEN 1 ELSE 0 END::DOUBLE AS v FROM hp LEFT JOIN pk p USING (stack_id, frame_id, y, x),
-  (SELECT greatest(2 * 1.4826 * median(abs(v)), 0.002 * max(v)) AS t FROM hp)),
+spot AS MATERIALIZED (SELECT stack_id, frame_id, y, x, CASE WHEN p.v > t THEN 1 ELSE 0 END::DOUBLE AS v FROM hp LEFT JOIN pk p USING (stack_id, frame_id, y, x)
+  JOIN (SELECT frame_id, greatest(2 * 1.4826 * median(abs(v)), 0.002 * max(v)) AS t FROM hp GROUP BY 1) USING (frame_id)),
 {O.blur('spot', 'mk', '10.5', 64, 'stack_id, frame_id')},
 {O.blur('px', 'nb', '25.0', 64, IMG)},
 {O.blur('px', 'fb', '100.0', 64, IMG)}"""
 query("star_reduce", O.query(O.SYNTH, _STARS, select=f"""SELECT {IMG}, y, x, round(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0), 6) AS v FROM (
   SELECT {IMG}, y, x, px.v, nb.v AS n, fb.v AS f, least(greatest(mk.v * 2 * pi() * 10.5 * 10.5, 0), 1) AS m
-  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x))"""))(lambda s, d: P.reduce_stars(V.synth_px(s), SYNTH_SIZE, 0.5))
+  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x))"""))(lambda s, d: P.reduce_stars(V.synth_px(s, d), SYNTH_SIZE, 0.5))
 
-# Mosaic: two overlapping halves of the made-up frame as panels on the sky.
+# Mosaic: two overlapping halves of the mean of the made-up frames as panels on the sky.
 
 _SCALE = 0.001
 
 
-def _panels(s: SparkSession) -> tuple[DataFrame, DataFrame]:
-    px = V.synth_px(s)
+def _panels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    px = V.synth_px(s, d).groupBy("y", "x", "c").agg(F.avg("v").alias("v"))
     rows = [(0, 40, 64, [20.0, 32.0], [150.0, 20.0], [-_SCALE, 0.0, 0.0, _SCALE]), (1, 40, 64, [16.0, 30.0], [149.97, 20.002], [-_SCALE, 0.00002, 0.00002, _SCALE])]
     panels = s.createDataFrame(rows, "panel_id int, width int, height int, crpix array<double>, crval array<double>, cd array<double>")
     parts = [px.filter(F.col("x").between(24 * k, 24 * k + 39)).select(F.lit(k).alias("panel_id"), "y", (F.col("x") - 24 * k).alias("x"), "c", "v") for k in (0, 1)]
@@ -301,19 +310,19 @@ _MOSAIC = [O.SYNTH, _PANEL_SQL, f"""out AS (SELECT oy, ox, {_to_sky('ox', 'oy',
          CASE i WHEN 1 THEN ix - floor(ix) ELSE 1 - (ix - floor(ix)) END * CASE j WHEN 1 THEN iy - floor(iy) ELSE 1 - (iy - floor(iy)) END AS k
   FROM place, range(2) q(i), range(2) u(j) WHERE ix >= 0 AND ix < width - 1 AND iy >= 0 AND iy < height - 1)""", """rep AS (
   SELECT h.panel_id, oy, ox, c, sum(k * v) AS v, sum(k * least((h.y + 1) / 30, (height - h.y) / 30, (h.x + 1) / 30, (width - h.x) / 30, 1)) AS w
-  FROM hit h JOIN px ON px.y = h.y AND px.x = h.x + 24 * h.panel_id GROUP BY ALL)"""]
+  FROM hit h JOIN (SELECT y, x, c, avg(v) AS v FROM px GROUP BY ALL) px ON px.y = h.y AND px.x = h.x + 24 * h.panel_id GROUP BY ALL)"""]
 query("feather_weights", O.query(O.SYNTH, select="SELECT y, x, round(least((y + 1) / 30, (64 - y) / 30, (x + 1) / 30, (64 - x) / 30, 1), 6) AS w FROM px WHERE c = 0"))(
-    lambda s, d: _mono(s).select("y", "x", M.feather(F.col("y"), F.col("x"), F.lit(64), F.lit(64)).alias("w"))
+    lambda s, d: _mono(s, d).select("y", "x", M.feather(F.col("y"), F.col("x"), F.lit(64), F.lit(64)).alias("w"))
 )
 query("mosaic_grid", O.query(_PANEL_SQL, select="SELECT ow AS o_width, oh AS o_height, round(or0, 6) AS ra, round(od0, 6) AS dec, round(of * 1000, 6) AS step FROM grid"))(
-    lambda s, d: M.output_grid(_panels(s)[1]).select("o_width", "o_height", F.col("o_crval")[0].alias("ra"), F.col("o_crval")[1].alias("dec"), (F.col("o_cd")[3] * 1000).alias("step"))
+    lambda s, d: M.output_grid(_panels(s, d)[1]).select("o_width", "o_height", F.col("o_crval")[0].alias("ra"), F.col("o_crval")[1].alias("dec"), (F.col("o_cd")[3] * 1000).alias("step"))
 )
-query("mosaic_blend", O.query(*_MOSAIC, select="SELECT oy::INT AS y, ox::INT AS x, c, round(coalesce(sum(v * w) / nullif(sum(w), 0), 0), 6) AS v FROM rep GROUP BY ALL"))(lambda s, d: M.build_mosaic(*_panels(s)))
+query("mosaic_blend", O.query(*_MOSAIC, select="SELECT oy::INT AS y, ox::INT AS x, c, round(coalesce(sum(v * w) / nullif(sum(w), 0), 0), 6) AS v FROM rep GROUP BY ALL"))(lambda s, d: M.build_mosaic(*_panels(s, d)))
 
 # Selections and sets.
 
-query("top_stars", O.query(O.SYNTH, select="SELECT c, y, x, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY v DESC, y, x) AS rank FROM px) WHERE rank <= 60"))(
-    lambda s, d: sets.top_k(V.synth_px(s).select("c", "y", "x", "v"), ["c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
+query("top_stars", O.query(O.SYNTH, select="SELECT frame_id, c, y, x, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, c ORDER BY v DESC, y, x) AS rank FROM px) WHERE rank <= 60"))(
+    lambda s, d: sets.top_k(V.synth_px(s, d).select("frame_id", "c", "y", "x", "v"), ["frame_id", "c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
 )
 query("kth_pedestal", O.query(O.LINE, select="SELECT frame_id, c, round(list_sort(list(v))[count(*) // 100 + 1], 6) AS pedestal FROM px GROUP BY ALL"))(lambda s, d: B.kth_smallest(V.line_px(s, d), ["frame_id", "c"], per=100))
 query("ordered_distinct", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(
@@ -448,24 +457,22 @@ query("solve_summary", O.query(_NUMBERS, select=f"""SELECT p_partkey, array_to_s
 
 # Star profiles, denoising, registration: numerical kernels.
 
-_MOMENT = """cut AS (SELECT s.y AS sy, s.x AS sx, p.y - s.y AS dy, p.x - s.x AS dx, p.v - min(p.v) OVER (PARTITION BY s.y, s.x) AS f
-  FROM pk s JOIN (SELECT y, x, v FROM mono) p ON p.y BETWEEN s.y - 5 AND s.y + 5 AND p.x BETWEEN s.x - 5 AND s.x + 5),
-mom AS (SELECT sy, sx, sum(f) AS flux, sum(f*dx*dx)/sum(f) AS xx, sum(f*dy*dy)/sum(f) AS yy, sum(f*dx*dy)/sum(f) AS xy FROM cut GROUP BY ALL)"""
-query("moment_psf", O.query(O.MONO, "pk AS MATERIALIZED (" + O.maxima("mono", "p", 5, 64).split("AS MATERIALIZED (", 1)[1][:-1] + " AND v > 0.2)", _MOMENT, select="""SELECT 0 AS stack_id, 0 AS frame_id, sy AS y, sx AS x, round(flux, 6) AS flux,
+_MOMENT = """cut AS (SELECT s.frame_id, s.y AS sy, s.x AS sx, p.y - s.y AS dy, p.x - s.x AS dx, p.v - min(p.v) OVER (PARTITION BY s.frame_id, s.y, s.x) AS f
+  FROM pk s JOIN (SELECT frame_id, y, x, v FROM mono) p ON p.frame_id = s.frame_id AND p.y BETWEEN s.y - 5 AND s.y + 5 AND p.x BETWEEN s.x - 5 AND s.x + 5),
+mom AS (SELECT frame_id, sy, sx, sum(f) AS flux, sum(f*dx*dx)/sum(f) AS xx, sum(f*dy*dy)/sum(f) AS yy, sum(f*dx*dy)/sum(f) AS xy FROM cut GROUP BY ALL)"""
+query("moment_psf", O.query(O.MONO, "pk AS MATERIALIZED (" + O.maxima("mono", "p", 5, 64).split("AS MATERIALIZED (", 1)[1][:-1] + " AND v > 0.2)", _MOMENT, select="""SELECT 0 AS stack_id, frame_id, sy AS y, sx AS x, round(flux, 6) AS flux,
   round(sqrt((xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy)) * 2.3548, 6) AS major, round(sqrt(greatest((xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy), 0)) * 2.3548, 6) AS minor FROM mom"""))(
-    lambda s, d: psf.moment_psf(_mono(s).drop("c"), N.local_maxima(_mono(s).drop("c"), SYNTH_SIZE, 5, 0.2).select("stack_id", "frame_id", "y", "x"))
+    lambda s, d: psf.moment_psf(_mono(s, d).drop("c"), N.local_maxima(_mono(s, d).drop("c"), SYNTH_SIZE, 5, 0.2).select("stack_id", "frame_id", "y", "x"))
 )
-query("psf_fit")(lambda s, d: psf.fit_stars(_mono(s).drop("c"), SYNTH_SIZE))
-query("frame_psf")(lambda s, d: psf.frame_psf(_mono(s).drop("c"), SYNTH_SIZE))
+query("psf_fit")(lambda s, d: psf.fit_stars(_mono(s, d).drop("c"), SYNTH_SIZE))
+query("frame_psf")(lambda s, d: psf.frame_psf(_mono(s, d).drop("c"), SYNTH_SIZE))
 for _name in P.DENOISE:
-    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.synth_px(s), k, tile=32))
+    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.synth_px(s, d), k, tile=32))
 
 
-@query("align_frames")
+# A shift by whole pixels is undone: each frame has the first one's values where both reach.
+@query("align_frames", O.query(O.SYNTH, """first AS (SELECT y, x, c, v FROM px WHERE frame_id = 0)""", select="""SELECT 0 AS stack_id, f AS frame_id, c, count(v) AS n, round(sum(v), 3) AS v FROM (
+  SELECT s_suppkey::INT AS f FROM supplier) JOIN first ON y + f * 3 % 4 < 64 AND x - f * 5 % 4 >= 0 GROUP BY ALL"""))
 def _aligned(s: SparkSession, d: str) -> DataFrame:
-    px = V.synth_px(s)
-    moved = px.withColumns({"frame_id": F.lit(1), "y": F.col("y") + 3, "x": F.col("x") - 2}).filter("y < 64 and x >= 0")
-    return registration.align_frames(px.unionAll(moved), SYNTH_SIZE)[0]
-
-
-
+    out = registration.align_frames(V.synth_shifted(s, d), SYNTH_SIZE)[0]
+    return out.groupBy("stack_id", "frame_id", "c").agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("v"))

@@ -35,12 +35,14 @@ def luminance(px: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stretch_params(px: DataFrame, keys: list[str], target: float = 0.25) -> DataFrame:
-    """``keys, shadow, high, midtone``: from the valid values of each image."""
+    """``keys, shadow, high, midtone``: from the valid values of each image; the midtone of one without a range is the
+    target, and one without a valid value has the range 0 to 1."""
     sums = px.groupBy(*keys).agg(F.median("v").alias("med"), mad_sigma(F.col("v")).alias("sigma"), F.min("v").alias("low"), F.percentile("v", HIGHLIGHT).alias("high"))
     shadow = F.greatest(F.col("med") - F.col("sigma") * SHADOW_SIGMAS, F.col("low"))
     out = sums.withColumn("shadow", shadow)
     centre = _clip(F.try_divide(F.col("med") - F.col("shadow"), F.col("high") - F.col("shadow")), 0.001, 0.999)
-    return out.select(*keys, "shadow", "high", F.coalesce(midtone_balance(centre, target), F.lit(0.5)).alias("midtone"))
+    midtone = F.when(F.col("high") > F.col("shadow"), midtone_balance(centre, target)).otherwise(F.lit(float(target)))
+    return out.select(*keys, F.coalesce("shadow", F.lit(0.0)).alias("shadow"), F.coalesce("high", F.lit(1.0)).alias("high"), midtone.alias("midtone"))
 
 
 def to_byte(x: Column) -> Column:
@@ -79,6 +81,11 @@ def histogram(px: DataFrame, keys: list[str], bins: int = 256, limits: tuple[flo
     return rows.groupBy(*keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def shown(histogram: DataFrame) -> DataFrame:
+    """A histogram with ``height``, log(1 + n), as it is drawn."""
+    return histogram.withColumn("height", F.log1p("n"))
+
+
 def image_stats(px: DataFrame, keys: list[str]) -> DataFrame:
     return px.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("top"), F.avg("v").alias("mean"), F.median("v").alias("median"))
 

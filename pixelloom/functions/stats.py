@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: MAD to standard deviation, as most operators round it and exactly, and the floor of a scale.
@@ -92,3 +92,39 @@ def sky_level(values: Column, sigma: float = 3.0, rounds: int = 3, least: int =
 def mad_sigma(values: Column) -> Column:
     """Aggregate: MAD deviation of a group, NULL where it is empty."""
     return let(F.array_sort(F.collect_list(values)), lambda a: let(median_of(a), lambda m: mad_of(a, m))) * MAD_SCALE
+
+
+#: Parts into which the values of a group are dealt to find one of a given rank.
+PARTS = 32
+
+
+def ranked(rows: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """``keys, ranked``: the mean of the valid values at some ranks (an array of them, from 0, by the number of values).
+
+    No group is sorted whole: its values are dealt to ``PARTS`` parts of about equal number, by approximate quantiles
+    that are merged before the shuffle; the parts are counted, and only those that hold a wanted rank are sorted, each
+    by a task of its own.  The result is exact.  ``rows`` is read three times, so it should be cheap to read.
+    """
+    valid = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
+    shares = [i / PARTS for i in range(1, PARTS)]
+    ends = valid.groupBy(*keys).agg(F.percentile_approx("value", shares, 1000).alias("ends"), F.count(F.lit(1)).alias("n"))
+    part = sum(((F.col("value") > F.col("ends")[i]).cast("int") for i in range(1, PARTS - 1)), (F.col("value") > F.col("ends")[0]).cast("int"))
+    dealt = valid.join(ends, keys).select(*keys, "n", "value", part.alias("part"))
+    counts = dealt.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    counts = counts.withColumn("before", F.sum("m").over(Window.partitionBy(*keys).orderBy("part")) - F.col("m"))  # at most PARTS rows a group
+    wanted = counts.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
+    wanted = wanted.groupBy(*keys, "part", "before").agg(F.collect_set("rank").alias("ranks"))
+    inside = dealt.drop("n").join(wanted, [*keys, "part"])
+    at = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("value")) - 1 + F.col("before")
+    return inside.withColumn("at", at).filter(F.array_contains("ranks", F.col("at"))).groupBy(*keys).agg(F.avg("value").alias("ranked"))
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, ranked``: exact medians of large groups."""
+    return ranked(rows, keys, value, lambda n: F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+
+
+def mad_sigmas(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, sigma``: MAD deviations of large groups, as ``mad_sigma`` gives them for small ones."""
+    off = rows.join(medians(rows, keys, value), keys).withColumn("off", F.abs(F.col(value) - F.col("ranked"))).drop("ranked")
+    return medians(off, keys, "off").select(*keys, (F.col("ranked") * MAD_SCALE).alias("sigma"))

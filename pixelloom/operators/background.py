@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..sources.stage import staged
 from .neighbours import IMAGE, resize, window_3x3
 
 FRAME = ["stack_id", "frame_id"]
@@ -40,9 +41,7 @@ def background(px: DataFrame, size: tuple[int, int], grid: int = 6, keys: list[s
 
 def kth_smallest(rows: DataFrame, keys: list[str], value: str = "v", per: int = 1000) -> DataFrame:
     """``keys, pedestal``: the value at rank n // per (from 0) of the valid ones."""
-    valid = rows.filter(F.col(value).isNotNull())
-    ranked = valid.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).join(valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
-    return ranked.filter(F.col("r") == F.floor(F.col("n") / per) + 1).select(*keys, F.col(value).alias("pedestal"))
+    return S.ranked(rows, keys, value, lambda n: F.array(F.floor(n / per))).withColumnRenamed("ranked", "pedestal")
 
 
 def corner(size: tuple[int, int], share: float) -> list[Column]:
@@ -64,9 +63,10 @@ def remove_gradient(px: DataFrame, size: tuple[int, int], grid: int = 6, colour:
     In colour one shift serves all channels, and then each channel loses what its corners have over the darkest one's.
     """
     flat = px.join(background(px, size, grid).withColumnRenamed("v", "bg"), [*IMAGE, "y", "x"]).withColumn("v", F.col("v") - F.col("bg")).drop("bg")
+    flat = staged(flat, "flat")  # read several times for its ranks
     if not colour:
         return _shifted(flat.join(kth_smallest(flat, IMAGE), IMAGE))
-    light = flat.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v"))
+    light = staged(flat.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v")), "light")
     shifted = _shifted(flat.join(kth_smallest(light, FRAME), FRAME))
     sky = corners(shifted, size).filter(F.col("v") >= 0).groupBy(*IMAGE).agg(F.median("v").alias("sky"))
     sky = shifted.select(*IMAGE).distinct().join(sky, IMAGE, "left").withColumn("sky", F.coalesce("sky", F.lit(0.0)))

@@ -1,16 +1,18 @@
-"""Neighbourhoods: filters, resizing and maxima, one axis at a time by small weight tables.
+"""Neighbourhoods: filters, resizing and maxima, one axis at a time over the lines of an image.
 
-A table ``(out_i, in_i, w)`` says what each output row or column takes from which input.  It is made on the driver from
-the side of the image and the filter, so its size is known and it is broadcast; pixels are shuffled once for each axis,
-after partial sums.
+Spark gathers the pixels of each row or column (as many as the side of the image), and numpy filters a batch of lines
+inside the task: pixels are shuffled once for each axis, whatever the width of the filter, and no weight is joined to a
+pixel.  3 x 3 windows are plain aggregates over shifted pixels.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Colours (R 0, G 1, B 2) of the four sites of each filter pattern.
@@ -74,20 +76,91 @@ def cubic_weights(n_in: int, n_out: int) -> dict[tuple[int, int], float]:
     return {(i, j): float(w) for i, r in enumerate(full) for j, w in enumerate(r)}
 
 
-def axis_table(spark: SparkSession, weights: dict[tuple[int, int], float]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(i, j, float(w)) for (i, j), w in weights.items()], "out_i int, in_i int, w double"))
+#: Values of a batch of lines, and of a table of weights that is kept as a matrix, at most.
+LINE_VALUES, DENSE_WEIGHTS = 1 << 20, 1 << 22
+
+
+def along_lines(px: DataFrame, axis: str, side: int, to: int, kernel: Callable, keys: list[str]) -> DataFrame:
+    """``keys, y, x, v``: each line of an image along ``axis`` (``side`` places) through ``kernel``.
+
+    The kernel takes a matrix of lines with NaN for missing values and one that tells where there are pixels, and gives
+    ``to`` values a line (NaN for NULL) and where there is a pixel now.
+    """
+    other = "x" if axis == "y" else "y"
+    lines = px.groupBy(*keys, other).agg(F.collect_list(F.col(axis).cast("int")).alias("at"), F.collect_list(F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))).alias("vs"))
+    kinds = dict(px.dtypes)
+    named = [*keys, other]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, LINE_VALUES // max(side, to))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                line = np.repeat(np.arange(part.num_rows), part.column("at").value_lengths().to_numpy())
+                place = part.column("at").flatten().to_numpy()
+                values, there = np.full((part.num_rows, side), np.nan), np.zeros((part.num_rows, side), bool)
+                values[line, place] = part.column("vs").flatten().to_numpy()
+                there[line, place] = True
+                out, now = kernel(values, there)
+                line, place = np.nonzero(now)
+                rows = pa.array(line)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(k).take(rows) for k in named], pa.array(place, pa.int32()), pa.array(out[line, place], pa.float64(), from_pandas=True)], names=[*named, axis, "v"]
+                )
+
+    made = lines.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in named) + f", {axis} int, v double")
+    return made.select(*keys, "y", "x", "v")
+
+
+def _sums(weights: dict[tuple[int, int], float], side: int, to: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Weighted sums of lines: by a matrix, or where that is large by the weights of each place in turn."""
+    if side * to <= DENSE_WEIGHTS:
+        dense = np.zeros((side, to))
+        for (i, j), w in weights.items():
+            dense[j, i] = w
+        return lambda lines: lines @ dense
+    order = sorted(weights)
+    out, source, w = np.array([i for i, _ in order]), np.array([j for _, j in order]), np.array([weights[k] for k in order])
+    own, starts = np.unique(out, return_index=True)
+
+    def sums(lines: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(lines), to))
+        step = max(1, 4 * DENSE_WEIGHTS // len(w))
+        for lo in range(0, len(lines), step):
+            found[lo : lo + step, own] = np.add.reduceat(lines[lo : lo + step, source] * w, starts, axis=1)
+        return found
+
+    return sums
 
 
 def along(px: DataFrame, axis: str, weights: dict[tuple[int, int], float], keys: list[str] = IMAGE, strict: bool = False) -> DataFrame:
     """Weighted sums along ``y`` or ``x``.  Missing pixels are left out and the weights of the rest are scaled up;
     ``strict`` gives NULL there instead."""
-    other = "x" if axis == "y" else "y"
-    rows = px.join(axis_table(px.sparkSession, weights), F.col(axis) == F.col("in_i"))
-    seen = F.sum(F.when(F.col("v").isNotNull(), F.col("w")))
-    total = F.sum(F.col("w") * F.col("v"))
-    full = sum(w for (i, _), w in weights.items() if i == next(iter(weights))[0])
-    value = F.when(F.abs(seen - full) < 1e-9, total) if strict else total / seen * full
-    return rows.groupBy(*keys, other, F.col("out_i").alias(axis)).agg(value.alias("v"))
+    side, to = max(j for _, j in weights) + 1, max(i for i, _ in weights) + 1
+    full = sum(w for (i, _), w in weights.items() if i == 0)
+
+    def kernel(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums, met = _sums(weights, side, to), _sums(dict.fromkeys(weights, 1.0), side, to)
+        valid = np.isfinite(values)
+        total, seen = sums(np.where(valid, values, 0.0)), sums(valid.astype(float))
+        good = (met(valid.astype(float)) > 0) & (seen != 0)
+        if strict:
+            good &= np.abs(seen - full) < 1e-9
+        scale = 1.0 if strict else full / np.where(good, seen, 1.0)
+        return np.where(good, total * scale, np.nan), met(there.astype(float)) > 0
+
+    return along_lines(px, axis, side, to, kernel, keys)
+
+
+def largest_along(px: DataFrame, axis: str, side: int, distance: int, keys: list[str] = IMAGE) -> DataFrame:
+    """The largest value within ``distance`` along ``y`` or ``x``."""
+
+    def kernel(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = lambda m, fill: np.lib.stride_tricks.sliding_window_view(np.pad(m, ((0, 0), (distance, distance)), constant_values=fill), 2 * distance + 1, axis=1).max(-1)
+        top = wide(np.where(np.isfinite(values), values, -np.inf), -np.inf)
+        return np.where(np.isfinite(top), top, np.nan), wide(there, False)
+
+    return along_lines(px, axis, side, side, kernel, keys)
 
 
 def resize(px: DataFrame, size: tuple[int, int], to: tuple[int, int], order: int = 1, keys: list[str] = IMAGE) -> DataFrame:
@@ -115,23 +188,22 @@ def pattern_of_header(header: Column) -> Column:
     return F.coalesce(*[F.when(n.isin(*PATTERNS), n) for n in named])
 
 
+def _beside(axis: str, n: int) -> Column:
+    """The places that take a pixel into their 3-wide window, edges reflected: at an edge its own place counts twice."""
+    return F.explode(F.array(F.greatest(F.col(axis) - 1, F.lit(0)), F.col(axis), F.least(F.col(axis) + 1, F.lit(n - 1))))
+
+
 def debayer(px: DataFrame, size: tuple[int, int], pattern: str = "RGGB") -> DataFrame:
     """RGB from sensor values: the mean of the pixels of each colour in the 3 x 3 window, edges reflected."""
     rows = px.withColumn("c", site_colour(F.col("y"), F.col("x"), pattern)).withColumn("n", F.when(F.col("v").isNotNull(), 1.0))
     for axis, n in zip("yx", size):
-        other = "x" if axis == "y" else "y"
-        rows = rows.join(axis_table(px.sparkSession, folded(n, {-1: 1.0, 0: 1.0, 1: 1.0})), F.col(axis) == F.col("in_i"))
-        rows = rows.groupBy(*IMAGE, other, F.col("out_i").alias(axis)).agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.sum(F.col("w") * F.col("n")).alias("n"))
+        rows = rows.withColumn(axis, _beside(axis, n)).groupBy(*IMAGE, "y", "x").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     return rows.select(*IMAGE, "y", "x", F.try_divide("v", "n").alias("v"))
 
 
 def window_3x3(px: DataFrame, size: tuple[int, int], agg: Column, keys: list[str] = IMAGE) -> DataFrame:
     """An aggregate of ``v`` over the 3 x 3 window, edges reflected."""
-    rows = px
-    for axis, n in zip("yx", size):
-        table = axis_table(px.sparkSession, folded(n, {-1: 1.0, 0: 1.0, 1: 1.0}))
-        rows = rows.join(table, F.col(axis) == F.col("in_i")).withColumn(axis, F.col("out_i")).withColumn(f"n{axis}", F.col("w")).drop("out_i", "in_i", "w")
-    rows = rows.withColumn("v", F.explode(F.array_repeat("v", (F.col("ny") * F.col("nx")).cast("int"))))
+    rows = px.withColumn("y", _beside("y", size[0])).withColumn("x", _beside("x", size[1]))
     return rows.groupBy(*keys, "y", "x").agg(agg.alias("v"))
 
 
@@ -142,9 +214,7 @@ def local_maxima(px: DataFrame, size: tuple[int, int], distance: int, threshold:
     """
     top = px.select(*keys, "y", "x", "v")
     for axis, n in zip("yx", size):
-        near = {(i, j): 1.0 for i in range(n) for j in range(max(0, i - distance), min(n, i + distance + 1))}
-        other = "x" if axis == "y" else "y"
-        top = top.join(axis_table(px.sparkSession, near), F.col(axis) == F.col("in_i")).groupBy(*keys, other, F.col("out_i").alias(axis)).agg(F.max("v").alias("v"))
+        top = largest_along(top, axis, n, distance, keys)
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
     inside = F.col("y").between(distance, size[0] - 1 - distance) & F.col("x").between(distance, size[1] - 1 - distance)
     found = px.join(top.withColumnRenamed("v", "top"), [*keys, "y", "x"]).filter((F.col("v") == F.col("top")) & (F.col("v") > limit) & inside).drop("top")

@@ -49,7 +49,8 @@ def reduce_stars(px: DataFrame, size: tuple[int, int], strength: float = 0.5, de
 
 def noise_level(px: DataFrame, keys: list[str] = IMAGE) -> DataFrame:
     """``keys, sigma``: MAD deviation, 0 where nothing is valid."""
-    return px.groupBy(*keys).agg(F.coalesce(S.mad_sigma(F.col("v")), F.lit(0.0)).alias("sigma"))
+    found = S.mad_sigmas(px, keys, "v")
+    return px.select(keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("sigma", F.lit(0.0)).alias("sigma"))
 
 
 def nl_means(image: np.ndarray, h: float, patch: int = PATCH, search: int = SEARCH) -> np.ndarray:
@@ -96,9 +97,9 @@ def _tiles(tile: int) -> object:
 def denoise(px: DataFrame, strength: str = "medium", tile: int = 256) -> DataFrame:
     """Non-local means (5 x 5 patches, 13 x 13 search) of each channel, in tiles with a halo.
 
-    The filter strength is the noise of the whole channel times a factor; an image without noise is unchanged.
+    The filter strength is the noise of the whole channel times a factor (1 for an unknown name); an image without noise is unchanged.
     """
-    noise = noise_level(px).withColumns({"h": F.col("sigma") * DENOISE[strength], "w": F.lit(0)})
+    noise = noise_level(px).withColumns({"h": F.col("sigma") * DENOISE.get(strength, 1.0), "w": F.lit(0)})
     halo = PATCH + SEARCH
     spread = lambda a: F.sequence(F.floor((F.col(a) - halo) / tile), F.floor((F.col(a) + halo) / tile))
     rows = px.join(noise, IMAGE).withColumn("ty", F.explode(spread("y"))).withColumn("tx", F.explode(spread("x")))

@@ -1,20 +1,24 @@
-"""Registration: star triangles matched to a reference, a robust similarity, a bilinear warp for each frame."""
+"""Registration: star triangles matched to a reference, a robust similarity for each frame, a bilinear warp in tiles."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from .neighbours import detect_sources
 
 FRAME = ["stack_id", "frame_id"]
 #: Control points tried one after the other, strict to relaxed, as (sigma, least area, most points).
 PROFILES = [(5.0, 5, 50), (3.0, 4, 80), (1.5, 3, 100)]
 NEIGHBOURS, TOLERANCE, CLOSE = 5, 0.1, 2.0
+#: Pairs of triangles, by likeness, after which an agreement that has been found is taken.
+TRIED = 2000
 
 
 def triangles(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +60,9 @@ def match(source: np.ndarray, target: np.ndarray) -> np.ndarray:
             near = near[np.abs(ti[near, 1] - si[i, 1]) <= TOLERANCE]
             pairs += [(float(np.abs(ti[j] - si[i]).sum()), i, j) for j in near]
     best, most = None, 0
-    for _, i, j in sorted(pairs)[:2000]:
+    for k, (_, i, j) in enumerate(sorted(pairs)):
+        if k >= TRIED and most >= min(4, len(source)):
+            break  # the pairs come by likeness: once some have agreed, later ones do not agree better
         m = similarity(source[sc[i]], target[tc[j]])
         if not 0.5 < np.hypot(m[0, 0], m[1, 0]) < 2:
             continue
@@ -71,18 +77,25 @@ def match(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return similarity(*best)
 
 
-def warp(image: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Bilinear values at the places that the similarity (from image to output) takes to each pixel; NaN outside."""
-    h, w = image.shape
-    turn = np.linalg.inv(m[:, :2])
-    y, x = np.mgrid[:h, :w]
-    sx, sy = turn @ (np.stack([x.ravel(), y.ravel()]) - m[:, 2:])
+def warp(image: np.ndarray, m: np.ndarray, size: tuple[int, int], y: np.ndarray, x: np.ndarray, corner: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Bilinear values for output pixels by the similarity from image to output; NaN outside of an image of ``size``.
+
+    ``image`` is the part of it that starts at ``corner`` (y, x).
+    """
+    h, w = size
+    sx, sy = np.linalg.inv(m[:, :2]) @ (np.stack([x, y]) - m[:, 2:])
     inside = (sx >= -1e-9) & (sy >= -1e-9) & (sx <= w - 1 + 1e-9) & (sy <= h - 1 + 1e-9)
     sx, sy = np.clip(sx, 0, w - 1), np.clip(sy, 0, h - 1)
     x0, y0 = np.minimum(sx.astype(int), w - 2), np.minimum(sy.astype(int), h - 2)
     fx, fy = sx - x0, sy - y0
-    v = image[y0, x0] * (1 - fx) * (1 - fy) + image[y0, x0 + 1] * fx * (1 - fy) + image[y0 + 1, x0] * (1 - fx) * fy + image[y0 + 1, x0 + 1] * fx * fy
-    return np.where(inside, v, np.nan).reshape(h, w)
+    out = np.zeros(len(sx))
+    for j, wy in ((0, 1 - fy), (1, fy)):
+        for i, wx in ((0, 1 - fx), (1, fx)):
+            py, px = y0 + j - corner[0], x0 + i - corner[1]
+            held = (py >= 0) & (px >= 0) & (py < image.shape[0]) & (px < image.shape[1])
+            value = np.where(held, image[np.where(held, py, 0), np.where(held, px, 0)], np.nan)
+            out += np.where(wy * wx > 1e-9, wy * wx * value, 0.0)  # a place on a pixel asks for that pixel alone
+    return np.where(inside, out, np.nan)
 
 
 def control_points(mono: DataFrame, size: tuple[int, int]) -> DataFrame:
@@ -95,52 +108,60 @@ def control_points(mono: DataFrame, size: tuple[int, int]) -> DataFrame:
     return lists.select(*FRAME, F.array(*[F.coalesce(f"p{k}", F.array().cast("array<array<double>>")) for k in range(len(PROFILES))]).alias("lists"))
 
 
-def _aligner(size: tuple[int, int], target: list) -> object:
-    h, w = size
-    kinds = [("stack_id", pa.int32()), ("frame_id", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("c", pa.int32()), ("v", pa.float64()), ("error", pa.string())]
-
-    def align(left: pa.Table, right: pa.Table) -> pa.Table:
-        first = {k: left.column(k)[0].as_py() for k in FRAME} if left.num_rows else {}
-        error, transform = "no sources", None
-        lists = right.column("lists")[0].as_py() if right.num_rows else []
-        for own, theirs in zip(lists, target):
-            try:
-                transform = match(np.array(own, float).reshape(-1, 2), np.array(theirs, float).reshape(-1, 2))
-                break
-            except ValueError as e:
-                error = str(e)
-        if not left.num_rows:
-            return pa.schema(kinds).empty_table()
-        if transform is None:
-            row = {**first, "y": None, "x": None, "c": None, "v": None, "error": error}
-            return pa.Table.from_pylist([row], schema=pa.schema(kinds))
-        y, x, c = (left.column(k).to_numpy() for k in ("y", "x", "c"))
-        v = left.column("v").to_numpy(zero_copy_only=False).astype(float)
-        parts = []
-        for channel in np.unique(c):
-            image = np.full((h, w), np.nan)
-            own = c == channel
-            image[y[own], x[own]] = v[own]
-            out = warp(image, transform)
-            oy, ox = np.mgrid[:h, :w]
-            n = h * w
-            columns = [np.full(n, first["stack_id"]), np.full(n, first["frame_id"]), oy.ravel(), ox.ravel(), np.full(n, channel), out.ravel()]
-            parts.append(pa.table([pa.array(a, t, from_pandas=True) for a, (_, t) in zip(columns, kinds)] + [pa.nulls(n, pa.string())], schema=pa.schema(kinds)))
-        return pa.concat_tables(parts)
-
-    return align
-
-
-def align_frames(px: DataFrame, size: tuple[int, int], reference: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Frames warped onto the frame ``reference``, NULL outside of their footprint; and an error row for each failed frame.
-
-    One frame is one group; the control points of the reference (at most 100 a profile) go with the task.
+def transforms(points: DataFrame, target: list) -> DataFrame:
+    """``stack_id, frame_id, m, error``: the similarity (6 numbers, by rows) of each frame to the reference, or why there is none."""
+
+    @F.pandas_udf("m array<double>, error string")
+    def found(lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for own_lists in lists:
+            error, m = "no sources", None
+            for own, theirs in zip(own_lists if own_lists is not None else [], target):
+                try:
+                    m = match(np.array([list(p) for p in own], float).reshape(-1, 2), np.array(theirs, float).reshape(-1, 2)).ravel().tolist()
+                    break
+                except ValueError as e:
+                    error = str(e)
+            rows.append((m, None if m else error))
+        return pd.DataFrame(rows, columns=["m", "error"])
+
+    return points.select(*FRAME, found("lists").alias("t")).select(*FRAME, "t.m", "t.error")
+
+
+def _tile_warper(size: tuple[int, int], tile: int) -> object:
+    def warped(table: pa.Table) -> pa.Table:
+        first = {k: table.column(k)[0].as_py() for k in (*FRAME, "c", "ty", "tx", "m")}
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        corner = int(y.min()), int(x.min())
+        image = np.full((y.max() - corner[0] + 1, x.max() - corner[1] + 1), np.nan)
+        image[y - corner[0], x - corner[1]] = table.column("v").to_numpy(zero_copy_only=False).astype(float)
+        oy, ox = (a.ravel() for a in np.mgrid[first["ty"] * tile : min(size[0], (first["ty"] + 1) * tile), first["tx"] * tile : min(size[1], (first["tx"] + 1) * tile)])
+        out = warp(image, np.array(first["m"]).reshape(2, 3), size, oy, ox, corner)
+        n = len(oy)
+        columns = [np.full(n, first["stack_id"]), np.full(n, first["frame_id"]), oy, ox, np.full(n, first["c"])]
+        return pa.table([*[pa.array(a, pa.int32()) for a in columns], pa.array(out, pa.float64(), from_pandas=True)], names=["stack_id", "frame_id", "y", "x", "c", "v"])
+
+    return warped
+
+
+def align_frames(px: DataFrame, size: tuple[int, int], reference: int = 0, tile: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Frames warped onto the frame ``reference``, NULL or without a row outside of their footprint; and an error row for
+    each frame that could not be matched.
+
+    Sources are matched as short lists, one row a frame; those of the reference (at most 100 a profile) go with the task.
+    Pixels are then sent to the output tiles that they may reach, so that a task holds a tile and its surroundings.
     """
     mono = px.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v"))
-    points = control_points(mono, size)
+    points = staged(control_points(mono, size), "points")
     target = points.filter(F.col("frame_id") == reference).select("lists").first()
-    align = _aligner(size, target["lists"] if target else [])
-    schema = "stack_id int, frame_id int, y int, x int, c int, v double, error string"
-    plain = px.select(*[F.col(k).cast("int").alias(k) for k in ("stack_id", "frame_id", "y", "x", "c")], "v")
-    out = plain.groupBy(*FRAME).cogroup(points.select(*[F.col(k).cast("int").alias(k) for k in FRAME], "lists").groupBy(*FRAME)).applyInArrow(align, schema)
-    return out.filter(F.col("error").isNull()).drop("error"), out.filter(F.col("error").isNotNull()).select(*FRAME, "error")
+    rows = mono.select(FRAME).distinct().join(points, FRAME, "left")
+    found = staged(transforms(rows, [[list(p) for p in own] for own in target["lists"]] if target else []), "transforms")
+    plain = px.select(*[F.col(k).cast("int").alias(k) for k in ("stack_id", "frame_id", "y", "x", "c")], "v").join(found.filter("m is not null").drop("error"), FRAME)
+    m = F.col("m")
+    to_x, to_y = (m[i] * F.col("x") + m[i + 1] * F.col("y") + m[i + 2] for i in (0, 3))
+    reach = 3  # output pixels that a source pixel can bear on, as scales are below 2
+    spread = lambda at, n: F.sequence(F.greatest(F.floor((at - reach) / tile), F.lit(0)), F.least(F.floor((at + reach) / tile), F.lit((n - 1) // tile)))
+    on = (to_x > -reach) & (to_y > -reach) & (to_x < size[1] + reach) & (to_y < size[0] + reach)
+    sent = plain.filter(on).withColumn("ty", F.explode(spread(to_y, size[0]))).withColumn("tx", F.explode(spread(to_x, size[1])))
+    out = sent.withColumns({"ty": F.col("ty").cast("int"), "tx": F.col("tx").cast("int")}).groupBy(*FRAME, "c", "ty", "tx").applyInArrow(_tile_warper(size, tile), "stack_id int, frame_id int, y int, x int, c int, v double")
+    return out, found.filter("m is null").select(*FRAME, "error")

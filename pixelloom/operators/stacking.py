@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..sources.stage import staged
 
 PIXEL = ["stack_id", "y", "x", "c"]
 
 
-def with_frames(px: DataFrame) -> DataFrame:
-    """``px`` with ``frames``, the number of frames of its stack."""
-    frames = px.groupBy("stack_id").agg(F.count_distinct("frame_id").alias("frames"))
-    return px.join(frames, "stack_id")
+def with_frames(px: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """``px`` with ``frames``, the number of frames of its stack: by a table ``stack_id, frames`` where it is known
+    (one row a stack, so the join is broadcast), else counted over the pixels."""
+    if frames is None:
+        frames = px.groupBy("stack_id").agg(F.count_distinct("frame_id").alias("frames"))
+    return px.join(frames.select("stack_id", "frames"), "stack_id")
 
 
 def _values(own: Column, frames: Column, prereject: bool, threshold: float) -> Column:
@@ -33,15 +36,15 @@ def _values(own: Column, frames: Column, prereject: bool, threshold: float) -> C
     return F.when(frames < 3, own).otherwise(S.let(S.median_of(own), cut))
 
 
-def pixel_values(px: DataFrame, prereject: bool = True, threshold: float = 10.0) -> DataFrame:
+def pixel_values(px: DataFrame, prereject: bool = True, threshold: float = 10.0, frames: DataFrame | None = None) -> DataFrame:
     """``stack_id, y, x, c, vs, frames``: the sorted valid values of each pixel."""
-    rows = with_frames(px).groupBy(*PIXEL).agg(F.array_sort(F.collect_list("v")).alias("vs"), F.first("frames").alias("frames"))
+    rows = with_frames(px, frames).groupBy(*PIXEL).agg(F.array_sort(F.collect_list("v")).alias("vs"), F.first("frames").alias("frames"))
     return rows.withColumn("vs", _values(F.col("vs"), F.col("frames"), prereject, threshold))
 
 
-def reject_outliers(px: DataFrame, threshold: float = 10.0) -> DataFrame:
+def reject_outliers(px: DataFrame, threshold: float = 10.0, frames: DataFrame | None = None) -> DataFrame:
     """``px`` with NULL where a value lies above its pixel's median by ``threshold`` deviations."""
-    rows = with_frames(px).groupBy(*PIXEL).agg(F.array_sort(F.collect_list("v")).alias("vs"), F.collect_list(F.struct("frame_id", "v")).alias("own"), F.first("frames").alias("frames"))
+    rows = with_frames(px, frames).groupBy(*PIXEL).agg(F.array_sort(F.collect_list("v")).alias("vs"), F.collect_list(F.struct("frame_id", "v")).alias("own"), F.first("frames").alias("frames"))
     most = F.array_max(_values(F.col("vs"), F.col("frames"), True, threshold))
     out = rows.withColumn("most", most).select(*PIXEL, "most", F.inline("own"))
     return out.select("stack_id", "frame_id", "y", "x", "c", F.when(F.col("v") <= F.col("most"), F.col("v")).alias("v"))
@@ -56,8 +59,9 @@ def weighted_mean(px: DataFrame, weights: DataFrame, on: list[str]) -> DataFrame
 
 def frame_noise(px: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, noise``: MAD deviation of the channel mean, floored; 1 where nothing is valid."""
-    mono = px.groupBy("stack_id", "frame_id", "y", "x", *[k for k in keys if k not in ("stack_id", "frame_id")]).agg(F.avg("v").alias("m"))
-    return mono.groupBy(*keys).agg(F.coalesce(F.greatest(S.mad_sigma(F.col("m")), F.lit(S.SCALE_FLOOR)), F.lit(1.0)).alias("noise"))
+    mono = staged(px.groupBy("stack_id", "frame_id", "y", "x", *[k for k in keys if k not in ("stack_id", "frame_id")]).agg(F.avg("v").alias("m")), "mono")
+    found = mono.select(keys).distinct().join(S.mad_sigmas(mono, keys, "m"), keys, "left")
+    return found.select(*keys, F.when(F.col("sigma").isNull(), 1.0).otherwise(F.greatest("sigma", F.lit(S.SCALE_FLOOR))).alias("noise"))
 
 
 def noise_weighted(px: DataFrame, strip_rows: int = 128) -> DataFrame:
@@ -80,19 +84,20 @@ METHODS: dict[str, Callable[..., Column]] = {
 }
 
 
-def stack(px: DataFrame, method: str = "median", prereject: bool = True, threshold: float = 10.0, **params: float) -> DataFrame:
+def stack(px: DataFrame, method: str = "median", prereject: bool = True, threshold: float = 10.0, frames: DataFrame | None = None, **params: float) -> DataFrame:
     """``stack_id, y, x, c, v``: one image for each stack.
 
+    ``frames`` (``stack_id, frames``) saves a scan where the number of frames of each stack is known.
     ``noise_weighted`` takes ``strip_rows``; ``weighted`` takes a ``weights`` DataFrame (``stack_id, frame_id, w``).
     Pixels without a valid value are NULL (0 for the weighted means, where their weights sum to 0).
     """
     if method == "noise_weighted":
-        return noise_weighted(reject_outliers(px, threshold) if prereject else px, **params)
+        return noise_weighted(reject_outliers(px, threshold, frames) if prereject else px, **params)
     if method == "weighted":
-        return weighted_mean(reject_outliers(px, threshold) if prereject else px, params["weights"], ["stack_id", "frame_id"])
+        return weighted_mean(reject_outliers(px, threshold, frames) if prereject else px, params["weights"], ["stack_id", "frame_id"])
     if method not in METHODS:
         raise ValueError(f"unknown stacking method: {method!r}")
-    rows = pixel_values(px, prereject, threshold)
+    rows = pixel_values(px, prereject, threshold, frames)
     return rows.select(*PIXEL, METHODS[method](F.col("vs"), F.col("frames"), **params).alias("v"))
 
 

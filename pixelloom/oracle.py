@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators.neighbours import cubic_weights
+import math
 
 PIX = "stack_id, y, x, c"
 IMG = "stack_id, frame_id, c"
@@ -22,11 +22,12 @@ FRAMES = """frames AS MATERIALIZED (
   FROM events GROUP BY 1)"""
 SYNTH = """px AS MATERIALIZED (
   WITH grid AS (SELECT i, (i // 64)::INT AS y, (i % 64)::INT AS x FROM range(4096) t(i)),
-  stars AS (SELECT (k * 23 + 7) % 64 AS sx, (k * 41 + 11) % 64 AS sy, (k % 5 + 1) / 10 AS a FROM range(16) t(k)),
-  light AS (SELECT i, sum(CASE WHEN (x-sx)*(x-sx) + (y-sy)*(y-sy) <= 25 THEN a / (1e0 + (x-sx)*(x-sx) + (y-sy)*(y-sy)) ELSE 0 END) AS s
-            FROM grid, stars GROUP BY i)
-  SELECT 0 AS stack_id, 0 AS frame_id, y, x, c::INT AS c,
-         ((i * 7919 + 104729) % 1009 / 1009 * 2e-2 + (2 * x + y) / 192 * 1e-1 + s) * (10 - 2 * c) / 10 AS v
+  sky AS (SELECT s_suppkey::INT AS f FROM supplier),
+  stars AS (SELECT f, (f * 5 + k * 23 + 7) % 64 AS sx, (f * 3 + k * 41 + 11) % 64 AS sy, (k % 5 + 1) / 10 AS a FROM sky, range(16) t(k)),
+  light AS (SELECT f, i, sum(CASE WHEN (x-sx)*(x-sx) + (y-sy)*(y-sy) <= 25 THEN a / (1e0 + (x-sx)*(x-sx) + (y-sy)*(y-sy)) ELSE 0 END) AS s
+            FROM grid, stars GROUP BY f, i)
+  SELECT 0 AS stack_id, f AS frame_id, y, x, c::INT AS c,
+         ((i * 7919 + 104729 + f * 613) % 1009 / 1009 * 2e-2 + (2 * x + y) / 192 * 1e-1 + s) * (10 - 2 * c) / 10 AS v
   FROM grid JOIN light USING (i), range(3) r(c))"""
 MONO = SYNTH + ", mono AS MATERIALIZED (SELECT stack_id, frame_id, y, x, 0 AS c, v FROM px WHERE c = 0)"
 REJECT = f"""pr AS MATERIALIZED (
@@ -36,6 +37,31 @@ REJECT = f"""pr AS MATERIALIZED (
   JOIN (SELECT stack_id, count(DISTINCT frame_id) AS nf FROM px GROUP BY 1) USING (stack_id))"""
 
 
+def spline_table(n: int, to: int) -> str:
+    """Rows (o, i, w) of a cubic spline through ``n`` places, mirrored at its ends, at ``to`` places from end to end.
+
+    For each unit vector the coefficients are solved by elimination and the spline is read off its B-spline formula.
+    """
+    bump = lambda u: 2 / 3 - u * u + abs(u) ** 3 / 2 if abs(u) < 1 else (2 - abs(u)) ** 3 / 6 if abs(u) < 2 else 0.0
+    rows = []
+    for i in range(n):
+        below, on, above = [1 / 6] * n, [4 / 6] * n, [1 / 6] * n
+        above[0] = below[-1] = 2 / 6
+        right = [float(j == i) for j in range(n)]
+        for j in range(1, n):
+            k = below[j] / on[j - 1]
+            on[j] -= k * above[j - 1]
+            right[j] -= k * right[j - 1]
+        c = [0.0] * n
+        for j in range(n - 1, -1, -1):
+            c[j] = (right[j] - (above[j] * c[j + 1] if j + 1 < n else 0)) / on[j]
+        for o in range(to):
+            at = o * (n - 1) / (to - 1)
+            near = range(math.floor(at) - 2, math.floor(at) + 4)
+            rows.append((o, i, sum(bump(at - j) * c[abs(j) if abs(j) < n else 2 * (n - 1) - abs(j)] for j in near)))
+    return "VALUES " + ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, i, w in rows)
+
+
 def query(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
@@ -88,7 +114,6 @@ def background(source: str, name: str, n: int, grid: int, keys: str = IMG) -> st
     """Cell skies, 3 x 3 medians, and splines by the weight table written out."""
     side = max(1, n // grid)
     cells = -(-n // side)
-    table = ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for (i, j), w in cubic_weights(cells, n).items())
     return sky(f"(SELECT {keys}, (y // {side})::INT AS cy, (x // {side})::INT AS cx, v FROM {source} WHERE v > 0)", f"{name}_s", f"{keys}, cy, cx", "3") + f""",
 {name}_g AS MATERIALIZED (
   SELECT {keys}, cy::INT AS cy, cx::INT AS cx, CASE WHEN s > 0 THEN s ELSE whole END AS v
@@ -101,7 +126,7 @@ def background(source: str, name: str, n: int, grid: int, keys: str = IMG) -> st
   SELECT {keys}, oy, ox, median(v) AS v FROM (
     SELECT oy, ox, least(greatest(oy + dy, 0), {cells - 1}) AS cy, least(greatest(ox + dx, 0), {cells - 1}) AS cx
     FROM range({cells}) a(oy), range({cells}) b(ox), range(-1, 2) c(dy), range(-1, 2) d(dx)) JOIN {name}_g USING (cy, cx) GROUP BY ALL),
-{name}_w(o, i, w) AS (VALUES {table}),
+{name}_w(o, i, w) AS ({spline_table(cells, n)}),
 {name} AS MATERIALIZED (
   SELECT {keys}, wy.o::INT AS y, wx.o::INT AS x, sum(wy.w * wx.w * v) AS bg FROM {name}_m JOIN {name}_w wy ON oy = wy.i JOIN {name}_w wx ON ox = wx.i GROUP BY ALL)"""
 

@@ -42,21 +42,33 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.median("value").alias("fwhm"), F.count("value").alias("n_stars"), ecc.alias("eccentricity")).withColumn("roundness", 1 - F.col("eccentricity"))
 
 
-def synth_px(spark: SparkSession, side: int = SYNTH_SIDE, stars: int = 16) -> DataFrame:
-    """A made-up RGB frame: hashed noise, a gradient and planted stars, in rational arithmetic."""
-    grid = spark.range(side * side).select((F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"), F.col("id"))
-    total = F.pmod(F.col("id") * 7919 + 104729, F.lit(1009)) / 1009.0 * 0.02 + (F.col("x") * 2 + F.col("y")) / (3.0 * side) * 0.1
+def synth_px(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE, stars: int = 16) -> DataFrame:
+    """A made-up RGB frame for each supplier: hashed noise, a gradient and planted stars, in rational arithmetic."""
+    f, i = F.col("frame_id"), F.col("id")
+    grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id")).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    grid = grid.withColumns({"y": (i / side).cast("int"), "x": i % side})
+    total = F.pmod(i.cast("bigint") * 7919 + 104729 + f * 613, F.lit(1009)) / 1009.0 * 0.02 + (F.col("x") * 2 + F.col("y")) / (3.0 * side) * 0.1
     for k in range(stars):
-        sx, sy, amplitude = (k * 23 + 7) % side, (k * 41 + 11) % side, (k % 5 + 1) / 10
-        d = (F.col("x") - sx) * (F.col("x") - sx) + (F.col("y") - sy) * (F.col("y") - sy)
-        total = total + F.when(d <= 25, amplitude / (1.0 + d)).otherwise(0.0)
-    out = grid.select("y", "x", total.alias("t")).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    return out.select(F.lit(0).alias("stack_id"), F.lit(0).alias("frame_id"), "y", "x", "c", (F.col("t") * (10 - F.col("c") * 2) / 10.0).alias("v"))
+        dx, dy = F.col("x") - (f * 5 + k * 23 + 7) % side, F.col("y") - (f * 3 + k * 41 + 11) % side
+        d = dx * dx + dy * dy
+        total = total + F.when(d <= 25, (k % 5 + 1) / 10 / (1.0 + d)).otherwise(0.0)
+    out = grid.select("frame_id", "y", "x", total.alias("t")).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return out.select(F.lit(0).alias("stack_id"), "frame_id", "y", "x", "c", (F.col("t") * (10 - F.col("c") * 2) / 10.0).alias("v"))
 
 
-def synth_mosaic(spark: SparkSession, side: int = SYNTH_SIDE, pattern: str = "RGGB") -> DataFrame:
-    """The made-up frame as a sensor with a colour filter sees it: one value a pixel."""
+def synth_shifted(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> DataFrame:
+    """The first made-up frame as each supplier sees it, up to 3 pixels aside; the first is not shifted."""
+    first = synth_px(spark, sf_dir, side).filter("frame_id = 0").drop("frame_id")
+    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id"))
+    moved = first.crossJoin(frames)  # one frame of fixed size times the frames
+    f = F.col("frame_id")
+    moved = moved.withColumns({"y": F.col("y") + f * 3 % 4, "x": F.col("x") - f * 5 % 4})
+    return moved.filter((F.col("y") < side) & (F.col("x") >= 0)).select("stack_id", "frame_id", "y", "x", "c", "v")
+
+
+def synth_mosaic(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE, pattern: str = "RGGB") -> DataFrame:
+    """The made-up frames as a sensor with a colour filter sees them: one value a pixel."""
     from ..operators.neighbours import site_colour
 
-    px = synth_px(spark, side)
+    px = synth_px(spark, sf_dir, side)
     return px.filter(F.col("c") == site_colour(F.col("y"), F.col("x"), pattern)).withColumn("c", F.lit(0))

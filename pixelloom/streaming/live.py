@@ -26,7 +26,19 @@ def windowed_quality(frames: DataFrame, width: str = "10 minutes", late: str = "
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "fwhm")
 
 
-def run_to_table(px: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The running mean as a complete in-memory table, for all that has arrived."""
-    out = running_mean(px).writeStream.outputMode("complete").format("memory").queryName(name)
-    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_folder(px: DataFrame, folder: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """The running mean kept in a folder: each micro-batch writes the pixels that it has changed, so that nothing but
+    state passes from batch to batch and no image is gathered.  A batch that is repeated replaces what it wrote."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch}")
+
+    out = running_mean(px).writeStream.outputMode("update").foreachBatch(write)
+    return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The image as the last batches have left it: of each pixel the row of the largest batch."""
+    rows = spark.read.parquet(folder)
+    newest = rows.groupBy("stack_id", "y", "x", "c").agg(F.max_by(F.struct("n", "v"), "batch").alias("last"))
+    return newest.select("stack_id", "y", "x", "c", "last.n", "last.v")

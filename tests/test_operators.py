@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelloom.functions import display, stats
 from pixelloom.operators import background, calibration, geometry, mosaic, neighbours, postprocess, psf, quality, registration, sets, stacking
 from pixelloom.plans import pipeline, session
 from pixelloom.sources import fits
@@ -160,6 +161,67 @@ def test_denoise_in_tiles_equals_denoise_in_one(spark):
     assert np.allclose(one[9:-9, 9:-9], tiled[9:-9, 9:-9]) and one.std() < a.std()
 
 
+def test_nl_means_against_the_definition():
+    a = np.random.default_rng(4).normal(size=(9, 10))
+    h, patch, search = 0.8, postprocess.PATCH, postprocess.SEARCH
+    wide = np.pad(a, patch + search, mode="symmetric")
+    want = np.zeros_like(a)
+    at = lambda y, x: wide[y + search : y + search + 2 * patch + 1, x + search : x + search + 2 * patch + 1]
+    for y, x in np.ndindex(a.shape):
+        total = weight = 0.0
+        for dy in range(-search, search + 1):
+            for dx in range(-search, search + 1):
+                w = np.exp(-((at(y, x) - at(y + dy, x + dx)) ** 2).mean() / h**2)
+                total, weight = total + w * wide[y + dy + patch + search, x + dx + patch + search], weight + w
+        want[y, x] = total / weight
+    assert np.allclose(postprocess.nl_means(a, h), want)
+
+
+def test_unknown_strength_counts_as_one(spark):
+    px = pixels(spark, np.random.default_rng(1).normal(1, 0.1, (1, 12, 12)))
+    assert np.allclose(image(postprocess.denoise(px, "none such"), 12, 12), image(postprocess.denoise(px, "medium"), 12, 12))
+
+
+def test_ranks_of_large_groups_are_exact(spark):
+    rng = np.random.default_rng(6)
+    groups = {0: rng.normal(size=3000), 1: np.round(rng.normal(size=2001), 1), 2: np.array([5.0]), 3: np.full(400, 2.0), 4: np.r_[rng.normal(size=999), 1e12]}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [(0, None), (9, None)], "k int, v double")
+    got = {r.k: r.ranked for r in stats.medians(rows, ["k"], "v").collect()}
+    assert got == {k: pytest.approx(np.median(v)) for k, v in groups.items()}
+    spread = {r.k: r.sigma for r in stats.mad_sigmas(rows, ["k"], "v").collect()}
+    assert spread == {k: pytest.approx(1.4826 * np.median(np.abs(v - np.median(v)))) for k, v in groups.items()}
+    low = {r.k: r.pedestal for r in background.kth_smallest(rows, ["k"]).collect()}
+    assert low == {k: np.sort(v)[len(v) // 1000] for k, v in groups.items()}
+
+
+@pytest.mark.parametrize("dense", [1 << 22, 0])
+def test_filters_of_lines_against_numpy(spark, dense, monkeypatch):
+    monkeypatch.setattr(neighbours, "DENSE_WEIGHTS", dense or 1)
+    a = np.random.default_rng(7).normal(size=(9, 14))
+    a[3, 4:8] = np.nan
+    weights = neighbours.folded(14, neighbours.gaussian_taps(1.3))
+    w = np.zeros((14, 14))
+    for (i, j), x in weights.items():
+        w[i, j] = x
+    good = np.isfinite(a)
+    want = (np.where(good, a, 0) @ w.T) / (good @ w.T)
+    assert np.allclose(image(neighbours.along(pixels(spark, a[None]), "x", weights), 9, 14), want)
+    strict = image(neighbours.along(pixels(spark, a[None]), "x", weights, strict=True), 9, 14)
+    assert np.isnan(strict[3]).any() and np.allclose(strict[0], want[0])
+
+
+def test_stretch_of_images_without_a_range(spark):
+    flat = display.stretch_params(pixels(spark, np.ones((1, 3, 3))), ["stack_id"]).first()
+    none = display.stretch_params(pixels(spark, np.full((1, 3, 3), np.nan)), ["stack_id"]).first()
+    assert (flat.shadow, flat.high, flat.midtone) == (1, 1, 0.25) and (none.shadow, none.high, none.midtone) == (0, 1, 0.25)
+
+
+def test_known_numbers_of_frames(spark, cube):
+    known = spark.createDataFrame([(0, 7)], "stack_id int, frames long")
+    px = pixels(spark, cube)
+    assert sorted(map(str, stacking.stack(px, "max", frames=known).collect())) == sorted(map(str, stacking.stack(px, "max").collect()))
+
+
 def test_fits_round_trip(spark, tmp_path):
     for shape in ((6, 5), (4, 7, 3)):
         a = np.random.default_rng(2).normal(size=shape).astype(np.float32)
@@ -298,7 +360,7 @@ def test_live_stack_equals_batch(spark, tmp_path):
     for f in range(5):
         px.filter(F.col("frame_id") == f).coalesce(1).write.parquet(str(tmp_path / "in" / str(f)))
     stream = spark.readStream.schema(live.PX).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    live.run_to_table(stream, "live_stack", str(tmp_path / "ckpt")).awaitTermination(120)
-    got = {(r.y, r.x): r.v for r in spark.table("live_stack").collect()}
+    live.run_to_folder(stream, str(tmp_path / "live"), str(tmp_path / "ckpt")).awaitTermination(120)
+    got = {(r.y, r.x): r.v for r in live.latest(spark, str(tmp_path / "live")).collect()}
     want = {(r.y, r.x): r.v for r in stacking.stack(px, "mean", prereject=False).collect()}
     assert got == pytest.approx(want)

@@ -35,6 +35,6 @@ def test_same_rows(spark, duck, name):
         assert a == pytest.approx(b, abs=2e-6) if all(isinstance(x, (int, float)) for x in a) else a == b
 
 
-@pytest.mark.parametrize("name", ["psf_fit", "frame_psf", "nlm_medium", "zoom_cubic"])
+@pytest.mark.parametrize("name", ["psf_fit", "frame_psf", "nlm_medium"])
 def test_kernels_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
