@@ -122,7 +122,7 @@ def _image(s: SparkSession, d: str) -> DataFrame:
 
 
 def _mono(s: SparkSession, d: str) -> DataFrame:
-    return V.synth_px(s, d).filter("c = 0")
+    return V.synth_px(s).filter("c = 0")
 
 
 def _filled(s: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ for _pattern, _sites in N.PATTERNS.items():
     _sql = f"""SELECT 0 AS stack_id, frame_id, col AS c, oy::INT AS y, ox::INT AS x, round(avg(v) FILTER (WHERE {_of('y', 'x')} = col), 6) AS v
       FROM (SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
       JOIN (SELECT frame_id, y, x, v FROM px WHERE c = {_of('y', 'x')}) USING (y, x), (SELECT unnest([0, 1, 2]) AS col) GROUP BY ALL"""
-    query(f"debayer_{_pattern.lower()}", O.query(O.SYNTH, select=_sql))(lambda s, d, p=_pattern: N.debayer(V.synth_mosaic(s, d, pattern=p), SYNTH_SIZE, p))
+    query(f"debayer_{_pattern.lower()}", O.query(O.SYNTH, select=_sql))(lambda s, d, p=_pattern: N.debayer(V.synth_mosaic(s, pattern=p), SYNTH_SIZE, p))
 
 _OUT = f"SELECT {IMG}, y, x, round(v, 6) AS v FROM "
 query("gaussian_blur", O.query(O.LINE, _IMAGE, O.blur("img", "b", "2.5", 32, IMG), select=_OUT + "b"))(lambda s, d: N.gaussian_blur(_image(s, d), LINE_SIZE, 2.5))
@@ -172,7 +172,7 @@ query("source_detect", O.query(O.MONO, _DETECT, O.blur("flat", "b", "2.5", 64, "
 
 # Background, colour, crops.
 
-query("background_grid", O.query(O.SYNTH, O.background("px", "bg", 64, 6), select=f"SELECT {IMG}, cy AS y, cx AS x, round(v, 6) AS v FROM bg_g"))(lambda s, d: B.cell_sky(V.synth_px(s, d), SYNTH_SIZE))
+query("background_grid", O.query(O.SYNTH, O.background("px", "bg", 64, 6), select=f"SELECT {IMG}, cy AS y, cx AS x, round(v, 6) AS v FROM bg_g"))(lambda s, d: B.cell_sky(V.synth_px(s), SYNTH_SIZE))
 _FLAT = f"flat AS MATERIALIZED (SELECT {IMG}, y, x, v - bg AS v FROM px JOIN bg USING ({IMG}, y, x))"
 _PED = f"ped AS MATERIALIZED (SELECT {IMG}, list_sort(list(v))[count(*) // 1000 + 1] AS p FROM flat GROUP BY ALL)"
 query("remove_gradient_mono", O.query(O.MONO.replace("mono AS", "all_px AS").replace("px AS", "rgb AS", 1).replace("all_rgb", "all_px").replace("FROM px WHERE", "FROM rgb WHERE").replace("all_px AS", "px AS"), O.background("px", "bg", 64, 6), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
@@ -184,7 +184,7 @@ low AS MATERIALIZED (SELECT {IMG}, y, x, greatest(v - p, 0) AS v FROM flat JOIN
 {{corners}},
 sky AS (SELECT {IMG}, coalesce(s, 0) AS s FROM (SELECT DISTINCT {IMG} FROM low) LEFT JOIN (SELECT {IMG}, median(v) AS s FROM cor WHERE v >= 0 GROUP BY ALL) USING ({IMG}))"""
 _RGB_OUT = f"SELECT {IMG}, y, x, round(greatest(v - (s - m), 0), 6) AS v FROM low JOIN sky USING ({IMG}) JOIN (SELECT stack_id, frame_id, min(s) AS m FROM sky GROUP BY ALL) USING (stack_id, frame_id)"
-query("remove_gradient_rgb", O.query(O.SYNTH, O.background("px", "bg", 64, 6), _FLAT, _RGB.format(corners=O.corners("low", "cor", 64)), select=_RGB_OUT))(lambda s, d: B.remove_gradient(V.synth_px(s, d), SYNTH_SIZE, colour=True))
+query("remove_gradient_rgb", O.query(O.SYNTH, O.background("px", "bg", 64, 6), _FLAT, _RGB.format(corners=O.corners("low", "cor", 64)), select=_RGB_OUT))(lambda s, d: B.remove_gradient(V.synth_px(s), SYNTH_SIZE, colour=True))
 query("local_normalise", O.query(O.LINE, O.background("px", "bg", 32, 12), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
     lambda s, d: B.local_normalise(V.line_px(s, d), LINE_SIZE)
 )
@@ -193,8 +193,8 @@ fac AS MATERIALIZED (SELECT {IMG}, CASE WHEN m < 1e-8 THEN 1 ELSE m / greatest(s
   SELECT *, avg(s) OVER (PARTITION BY stack_id, frame_id) AS m FROM (
     SELECT {IMG}, CASE WHEN n < 10 THEN 0 ELSE sky END AS s FROM (SELECT DISTINCT {IMG}, n FROM low) LEFT JOIN cs USING ({IMG}))))"""
 _BAL = [O.SYNTH, O.corners("px", "cor", 64), O.sky("(SELECT * FROM cor WHERE v >= 0)", "cs", IMG, "2.5"), _FACTORS]
-query("colour_balance_factors", O.query(*_BAL, select=f"SELECT {IMG}, round(factor, 6) AS factor FROM fac"))(lambda s, d: B.balance_factors(V.synth_px(s, d), SYNTH_SIZE))
-query("colour_balance_auto", O.query(*_BAL, select=f"SELECT {IMG}, y, x, round(greatest(v * factor, 0), 6) AS v FROM px JOIN fac USING ({IMG})"))(lambda s, d: B.auto_balance(V.synth_px(s, d), SYNTH_SIZE))
+query("colour_balance_factors", O.query(*_BAL, select=f"SELECT {IMG}, round(factor, 6) AS factor FROM fac"))(lambda s, d: B.balance_factors(V.synth_px(s), SYNTH_SIZE))
+query("colour_balance_auto", O.query(*_BAL, select=f"SELECT {IMG}, y, x, round(greatest(v * factor, 0), 6) AS v FROM px JOIN fac USING ({IMG})"))(lambda s, d: B.auto_balance(V.synth_px(s), SYNTH_SIZE))
 query("colour_balance_manual", O.query(O.LINE, select="SELECT stack_id, frame_id, y, x, c, round(greatest(v * CASE c WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.75 END, 0), 6) AS v FROM px"))(
     lambda s, d: B.manual_balance(V.line_px(s, d), 1.5, 1.0, 0.75)
 )
@@ -203,13 +203,13 @@ _FRAME = "edged AS MATERIALIZED (SELECT * EXCLUDE v, CASE WHEN y BETWEEN 5 AND 5
 
 def _edged(s: SparkSession, d: str) -> DataFrame:
     inside = F.col("y").between(5, 50) & F.col("x").between(9, 60)
-    return V.synth_px(s, d).withColumn("v", F.when(inside, F.col("v")).when(F.col("y") < 3, 0.0))
+    return V.synth_px(s).withColumn("v", F.when(inside, F.col("v")).when(F.col("y") < 3, 0.0))
 
 
 query("auto_crop", O.query(O.SYNTH, _FRAME, select="""SELECT stack_id, frame_id, (y - y0)::INT AS y, (x - x0)::INT AS x, c, round(v, 6) AS v FROM edged, (
   SELECT min(y) + 2 AS y0, max(y) - 2 AS y1, min(x) + 2 AS x0, max(x) - 2 AS x1 FROM (SELECT y, x FROM edged GROUP BY ALL HAVING count(v) = count(*) AND max(v) > 0))
   WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"""))(lambda s, d: G.auto_crop(_edged(s, d), colour=True))
-query("manual_crop", O.query(O.SYNTH, select="SELECT stack_id, frame_id, (y - 8)::INT AS y, (x - 20)::INT AS x, c, round(v, 6) AS v FROM px WHERE y >= 8 AND y < 40 AND x >= 20 AND x < 44"))(lambda s, d: G.crop(V.synth_px(s, d), 8, 20, 32, 24))
+query("manual_crop", O.query(O.SYNTH, select="SELECT stack_id, frame_id, (y - 8)::INT AS y, (x - 20)::INT AS x, c, round(v, 6) AS v FROM px WHERE y >= 8 AND y < 40 AND x >= 20 AND x < 44"))(lambda s, d: G.crop(V.synth_px(s), 8, 20, 32, 24))
 query("trim_shapes", O.query(O.LINE, select="""SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM px, (
   SELECT min(h) AS h, min(w) AS w FROM (SELECT max(y) AS h, max(x) AS w FROM px WHERE y <= 20 + frame_id GROUP BY frame_id)) WHERE y <= 20 + frame_id AND y <= h AND x <= w"""))(
     lambda s, d: G.trim_frames(V.line_px(s, d).filter("y <= 20 + frame_id"))
@@ -269,7 +269,7 @@ spot AS MATERIALIZED (SELECT stack_id, frame_id, y, x, CASE WHEN p.v > t THEN 1
 {O.blur('px', 'fb', '100.0', 64, IMG)}"""
 query("star_reduce", O.query(O.SYNTH, _STARS, select=f"""SELECT {IMG}, y, x, round(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0), 6) AS v FROM (
   SELECT {IMG}, y, x, px.v, nb.v AS n, fb.v AS f, least(greatest(mk.v * 2 * pi() * 10.5 * 10.5, 0), 1) AS m
-  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x))"""))(lambda s, d: P.reduce_stars(V.synth_px(s, d), SYNTH_SIZE, 0.5))
+  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x))"""))(lambda s, d: P.reduce_stars(V.synth_px(s), SYNTH_SIZE, 0.5))
 
 # Mosaic: two overlapping halves of the mean of the made-up frames as panels on the sky.
 
@@ -277,7 +277,7 @@ _SCALE = 0.001
 
 
 def _panels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    px = V.synth_px(s, d).groupBy("y", "x", "c").agg(F.avg("v").alias("v"))
+    px = V.synth_px(s).groupBy("y", "x", "c").agg(F.avg("v").alias("v"))
     rows = [(0, 40, 64, [20.0, 32.0], [150.0, 20.0], [-_SCALE, 0.0, 0.0, _SCALE]), (1, 40, 64, [16.0, 30.0], [149.97, 20.002], [-_SCALE, 0.00002, 0.00002, _SCALE])]
     panels = s.createDataFrame(rows, "panel_id int, width int, height int, crpix array<double>, crval array<double>, cd array<double>")
     parts = [px.filter(F.col("x").between(24 * k, 24 * k + 39)).select(F.lit(k).alias("panel_id"), "y", (F.col("x") - 24 * k).alias("x"), "c", "v") for k in (0, 1)]
@@ -322,7 +322,7 @@ query("mosaic_blend", O.query(*_MOSAIC, select="SELECT oy::INT AS y, ox::INT AS
 # Selections and sets.
 
 query("top_stars", O.query(O.SYNTH, select="SELECT frame_id, c, y, x, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, c ORDER BY v DESC, y, x) AS rank FROM px) WHERE rank <= 60"))(
-    lambda s, d: sets.top_k(V.synth_px(s, d).select("frame_id", "c", "y", "x", "v"), ["frame_id", "c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
+    lambda s, d: sets.top_k(V.synth_px(s).select("frame_id", "c", "y", "x", "v"), ["frame_id", "c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
 )
 query("kth_pedestal", O.query(O.LINE, select="SELECT frame_id, c, round(list_sort(list(v))[count(*) // 100 + 1], 6) AS pedestal FROM px GROUP BY ALL"))(lambda s, d: B.kth_smallest(V.line_px(s, d), ["frame_id", "c"], per=100))
 query("ordered_distinct", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(
@@ -467,7 +467,7 @@ query("moment_psf", O.query(O.MONO, "pk AS MATERIALIZED (" + O.maxima("mono", "p
 query("psf_fit")(lambda s, d: psf.fit_stars(_mono(s, d).drop("c"), SYNTH_SIZE))
 query("frame_psf")(lambda s, d: psf.frame_psf(_mono(s, d).drop("c"), SYNTH_SIZE))
 for _name in P.DENOISE:
-    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.synth_px(s, d), k, tile=32))
+    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.synth_px(s), k, tile=32))
 
 
 # A shift by whole pixels is undone: each frame has the first one's values where both reach.
@@ -476,3 +476,18 @@ for _name in P.DENOISE:
 def _aligned(s: SparkSession, d: str) -> DataFrame:
     out = registration.align_frames(V.synth_shifted(s, d), SYNTH_SIZE)[0]
     return out.groupBy("stack_id", "frame_id", "c").agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("v"))
+
+
+# The same kernels over many frames, one for each supplier, summed up by frame: their work grows with the table.
+
+_sums = lambda df: df.groupBy("stack_id", "frame_id").agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("v"))
+query("frames_sources", O.query(O.MONO_FRAMES, _DETECT, O.blur("flat", "b", "2.5", 64, "stack_id, frame_id"), O.maxima("b", "p", 5, 64), select="""SELECT stack_id, frame_id, count(f.v) AS n, round(sum(f.v), 3) AS v
+  FROM p JOIN flat f USING (stack_id, frame_id, y, x) JOIN (SELECT frame_id, greatest(median(v) + 0.9 * stddev_pop(v), 0.01) AS t FROM b GROUP BY 1) USING (frame_id) WHERE p.v > t GROUP BY ALL"""))(
+    lambda s, d: _sums(N.detect_sources(V.synth_px(s, d).filter("c = 0").drop("c"), SYNTH_SIZE))
+)
+query("frames_median3x3", O.query(O.MONO_FRAMES, select="""SELECT stack_id, frame_id, count(v) AS n, round(sum(v), 3) AS v FROM (
+  SELECT stack_id, frame_id, oy, ox, median(v) AS v FROM (
+    SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
+  JOIN mono USING (y, x) GROUP BY ALL) GROUP BY ALL"""))(lambda s, d: _sums(N.window_3x3(V.synth_px(s, d).filter("c = 0"), SYNTH_SIZE, F.median("v"))))
+query("frames_star_reduce")(lambda s, d: _sums(P.reduce_stars(V.synth_px(s, d), SYNTH_SIZE, 0.5)))
+query("frames_denoise")(lambda s, d: _sums(P.denoise(V.synth_px(s, d).filter("c = 0"), "medium", tile=64)))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 #: MAD to standard deviation, as most operators round it and exactly, and the floor of a scale.
 MAD_SCALE, MAD_SCALE_EXACT, SCALE_FLOOR = 1.4826, 1.482602218505602, 1e-10
 
@@ -126,5 +128,6 @@ def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def mad_sigmas(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, sigma``: MAD deviations of large groups, as ``mad_sigma`` gives them for small ones."""
-    off = rows.join(medians(rows, keys, value), keys).withColumn("off", F.abs(F.col(value) - F.col("ranked"))).drop("ranked")
+    off = rows.join(medians(rows, keys, value), keys).select(*keys, F.abs(F.col(value) - F.col("ranked")).alias("off"))
+    off = staged(off, "deviations")  # read three times
     return medians(off, keys, "off").select(*keys, (F.col("ranked") * MAD_SCALE).alias("sigma"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..sources.stage import staged
 from .neighbours import IMAGE, gaussian_blur, local_maxima
 
 FRAME = ["stack_id", "frame_id"]
@@ -99,7 +100,8 @@ def denoise(px: DataFrame, strength: str = "medium", tile: int = 256) -> DataFra
 
     The filter strength is the noise of the whole channel times a factor (1 for an unknown name); an image without noise is unchanged.
     """
-    noise = noise_level(px).withColumns({"h": F.col("sigma") * DENOISE.get(strength, 1.0), "w": F.lit(0)})
+    px = staged(px, "to-denoise")
+    noise = staged(noise_level(px), "noise").withColumns({"h": F.col("sigma") * DENOISE.get(strength, 1.0), "w": F.lit(0)})
     halo = PATCH + SEARCH
     spread = lambda a: F.sequence(F.floor((F.col(a) - halo) / tile), F.floor((F.col(a) + halo) / tile))
     rows = px.join(noise, IMAGE).withColumn("ty", F.explode(spread("y"))).withColumn("tx", F.explode(spread("x")))

@@ -22,14 +22,16 @@ FRAMES = """frames AS MATERIALIZED (
   FROM events GROUP BY 1)"""
 SYNTH = """px AS MATERIALIZED (
   WITH grid AS (SELECT i, (i // 64)::INT AS y, (i % 64)::INT AS x FROM range(4096) t(i)),
-  sky AS (SELECT s_suppkey::INT AS f FROM supplier),
+  sky AS (SELECT 0 AS f),
   stars AS (SELECT f, (f * 5 + k * 23 + 7) % 64 AS sx, (f * 3 + k * 41 + 11) % 64 AS sy, (k % 5 + 1) / 10 AS a FROM sky, range(16) t(k)),
   light AS (SELECT f, i, sum(CASE WHEN (x-sx)*(x-sx) + (y-sy)*(y-sy) <= 25 THEN a / (1e0 + (x-sx)*(x-sx) + (y-sy)*(y-sy)) ELSE 0 END) AS s
             FROM grid, stars GROUP BY f, i)
   SELECT 0 AS stack_id, f AS frame_id, y, x, c::INT AS c,
          ((i * 7919 + 104729 + f * 613) % 1009 / 1009 * 2e-2 + (2 * x + y) / 192 * 1e-1 + s) * (10 - 2 * c) / 10 AS v
   FROM grid JOIN light USING (i), range(3) r(c))"""
+SYNTH_FRAMES = SYNTH.replace("SELECT 0 AS f", "SELECT s_suppkey::INT AS f FROM supplier")
 MONO = SYNTH + ", mono AS MATERIALIZED (SELECT stack_id, frame_id, y, x, 0 AS c, v FROM px WHERE c = 0)"
+MONO_FRAMES = MONO.replace(SYNTH, SYNTH_FRAMES)
 REJECT = f"""pr AS MATERIALIZED (
   SELECT p.stack_id, frame_id, p.y, p.x, p.c,
          CASE WHEN nf < 3 OR v <= med + 10 * greatest(1.4826 * dev, 1e-10) THEN v END AS v

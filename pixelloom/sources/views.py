@@ -42,10 +42,12 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.median("value").alias("fwhm"), F.count("value").alias("n_stars"), ecc.alias("eccentricity")).withColumn("roundness", 1 - F.col("eccentricity"))
 
 
-def synth_px(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE, stars: int = 16) -> DataFrame:
-    """A made-up RGB frame for each supplier: hashed noise, a gradient and planted stars, in rational arithmetic."""
+def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, stars: int = 16) -> DataFrame:
+    """Made-up RGB frames: hashed noise, a gradient and planted stars, in rational arithmetic.  One frame for each
+    supplier of ``sf_dir``; without it the frame 0 alone."""
     f, i = F.col("frame_id"), F.col("id")
-    grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id")).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id")) if sf_dir else spark.range(1).select(F.lit(0).alias("frame_id"))
+    grid = frames.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
     grid = grid.withColumns({"y": (i / side).cast("int"), "x": i % side})
     total = F.pmod(i.cast("bigint") * 7919 + 104729 + f * 613, F.lit(1009)) / 1009.0 * 0.02 + (F.col("x") * 2 + F.col("y")) / (3.0 * side) * 0.1
     for k in range(stars):
@@ -58,7 +60,7 @@ def synth_px(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE, stars: in
 
 def synth_shifted(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> DataFrame:
     """The first made-up frame as each supplier sees it, up to 3 pixels aside; the first is not shifted."""
-    first = synth_px(spark, sf_dir, side).filter("frame_id = 0").drop("frame_id")
+    first = synth_px(spark, side=side).drop("frame_id")
     frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id"))
     moved = first.crossJoin(frames)  # one frame of fixed size times the frames
     f = F.col("frame_id")
@@ -66,7 +68,7 @@ def synth_shifted(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> D
     return moved.filter((F.col("y") < side) & (F.col("x") >= 0)).select("stack_id", "frame_id", "y", "x", "c", "v")
 
 
-def synth_mosaic(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE, pattern: str = "RGGB") -> DataFrame:
+def synth_mosaic(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, pattern: str = "RGGB") -> DataFrame:
     """The made-up frames as a sensor with a colour filter sees them: one value a pixel."""
     from ..operators.neighbours import site_colour
 
