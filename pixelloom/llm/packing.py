@@ -96,16 +96,21 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     """Configurations and how often to use each, so that ``demand`` is covered: linear programme by column generation, rounded down, and the rest by best configurations of what is left."""
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
+    inverse = np.diag(1.0 / (capacity // sizes))
+    # Plain sums: threads of a linear algebra library have stalled for minutes beside the driver's JVM.
     for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
-        prices = np.ones(k) @ inverse
+        prices = inverse.sum(0)
         column = best_configuration(sizes, prices, capacity)
-        if prices @ column <= 1 + 1e-6:
+        if (prices * column).sum() <= 1 + 1e-6:
             break
-        amounts, step = inverse @ demand, inverse @ column
+        amounts, step = (inverse * demand).sum(1), (inverse * column).sum(1)
         ratio = np.where(step > 1e-9, amounts / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, ratio.argmin()] = column
-    amounts = np.linalg.solve(basis, demand)
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        pivot = inverse[out] / step[out]
+        inverse -= step[:, None] * pivot
+        inverse[out] = pivot
+    amounts = (inverse * demand).sum(1)
     out, left = [], demand.astype(int).copy()
     for j in np.argsort(-amounts):
         pattern = basis[:, j].astype(int)
