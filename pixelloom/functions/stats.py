@@ -96,7 +96,7 @@ def mad_sigma(values: Column) -> Column:
     return let(F.array_sort(F.collect_list(values)), lambda a: let(median_of(a), lambda m: mad_of(a, m))) * MAD_SCALE
 
 
-#: Parts into which the values of a group are dealt to find one of a given rank.
+#: Parts into which the values of a group are dealt to find one of a given rank: a power of two.
 PARTS = 32
 
 
@@ -110,8 +110,11 @@ def ranked(rows: DataFrame, keys: list[str], value: str, ranks: Callable[[Column
     valid = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
     shares = [i / PARTS for i in range(1, PARTS)]
     ends = valid.groupBy(*keys).agg(F.percentile_approx("value", shares, 1000).alias("ends"), F.count(F.lit(1)).alias("n"))
-    part = sum(((F.col("value") > F.col("ends")[i]).cast("int") for i in range(1, PARTS - 1)), (F.col("value") > F.col("ends")[0]).cast("int"))
-    dealt = valid.join(ends, keys).select(*keys, "n", "value", part.alias("part"))
+    dealt = valid.join(ends, keys).withColumn("part", F.lit(0))
+    for step in (PARTS >> i for i in range(1, PARTS.bit_length())):  # bisection
+        beyond = F.when(F.col("value") > F.get("ends", F.col("part") + step - 1), step).otherwise(0)
+        dealt = dealt.withColumn("part", F.col("part") + beyond)
+    dealt = dealt.drop("ends")
     counts = dealt.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
     counts = counts.withColumn("before", F.sum("m").over(Window.partitionBy(*keys).orderBy("part")) - F.col("m"))  # at most PARTS rows a group
     wanted = counts.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))

@@ -13,7 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from ..functions import stats
+from ..sources.stage import staged
 
 #: Colours (R 0, G 1, B 2) of the four sites of each filter pattern.
 PATTERNS = {"RGGB": (0, 1, 1, 2), "GRBG": (1, 0, 2, 1), "GBRG": (1, 2, 0, 1), "BGGR": (2, 1, 1, 0)}
@@ -80,15 +85,17 @@ def cubic_weights(n_in: int, n_out: int) -> dict[tuple[int, int], float]:
 LINE_VALUES, DENSE_WEIGHTS = 1 << 20, 1 << 22
 
 
-def along_lines(px: DataFrame, axis: str, side: int, to: int, kernel: Callable, keys: list[str]) -> DataFrame:
+def along_lines(px: DataFrame, axis: str, side: int, to: int, kernel: Callable, keys: list[str], carry: str | None = None) -> DataFrame:
     """``keys, y, x, v``: each line of an image along ``axis`` (``side`` places) through ``kernel``.
 
     The kernel takes a matrix of lines with NaN for missing values and one that tells where there are pixels, and gives
-    ``to`` values a line (NaN for NULL) and where there is a pixel now.
+    ``to`` values a line (NaN for NULL) and where there is a pixel now.  ``carry`` is a struct column that stays with
+    its place (NULL where there was no pixel), so that nothing need be joined back; places must not change then.
     """
     other = "x" if axis == "y" else "y"
-    lines = px.groupBy(*keys, other).agg(F.collect_list(F.col(axis).cast("int")).alias("at"), F.collect_list(F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))).alias("vs"))
-    kinds = dict(px.dtypes)
+    gathered = [F.collect_list(F.col(axis).cast("int")).alias("at"), F.collect_list(F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))).alias("vs")]
+    carried = [carry] if carry else []
+    lines = px.groupBy(*keys, other).agg(*gathered, *[F.collect_list(F.struct(c)).alias("carried") for c in carried])
     named = [*keys, other]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +109,22 @@ def along_lines(px: DataFrame, axis: str, side: int, to: int, kernel: Callable,
                 values[line, place] = part.column("vs").flatten().to_numpy()
                 there[line, place] = True
                 out, now = kernel(values, there)
+                stays = []
+                if carried:
+                    held = part.column("carried").flatten()
+                    row = np.full((part.num_rows, side), -1)
+                    row[line, place] = np.arange(len(held))
                 line, place = np.nonzero(now)
                 rows = pa.array(line)
+                if carried:
+                    own = row[line, place]
+                    stays = [held.take(pa.array(own, mask=own < 0)).flatten()[0]]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k).take(rows) for k in named], pa.array(place, pa.int32()), pa.array(out[line, place], pa.float64(), from_pandas=True)], names=[*named, axis, "v"]
+                    [*[part.column(k).take(rows) for k in named], pa.array(place, pa.int32()), pa.array(out[line, place], pa.float64(), from_pandas=True), *stays], names=[*named, axis, "v", *carried]
                 )
 
-    made = lines.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in named) + f", {axis} int, v double")
-    return made.select(*keys, "y", "x", "v")
+    schema = StructType([*[px.schema[k] for k in named], StructField(axis, IntegerType()), StructField("v", DoubleType()), *[StructField(c, px.schema[c].dataType) for c in carried]])
+    return lines.mapInArrow(run, schema).select(*keys, "y", "x", "v", *carried)
 
 
 def _sums(weights: dict[tuple[int, int], float], side: int, to: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -133,7 +148,7 @@ def _sums(weights: dict[tuple[int, int], float], side: int, to: int) -> Callable
     return sums
 
 
-def along(px: DataFrame, axis: str, weights: dict[tuple[int, int], float], keys: list[str] = IMAGE, strict: bool = False) -> DataFrame:
+def along(px: DataFrame, axis: str, weights: dict[tuple[int, int], float], keys: list[str] = IMAGE, strict: bool = False, carry: str | None = None) -> DataFrame:
     """Weighted sums along ``y`` or ``x``.  Missing pixels are left out and the weights of the rest are scaled up;
     ``strict`` gives NULL there instead."""
     side, to = max(j for _, j in weights) + 1, max(i for i, _ in weights) + 1
@@ -149,10 +164,10 @@ def along(px: DataFrame, axis: str, weights: dict[tuple[int, int], float], keys:
         scale = 1.0 if strict else full / np.where(good, seen, 1.0)
         return np.where(good, total * scale, np.nan), met(there.astype(float)) > 0
 
-    return along_lines(px, axis, side, to, kernel, keys)
+    return along_lines(px, axis, side, to, kernel, keys, carry)
 
 
-def largest_along(px: DataFrame, axis: str, side: int, distance: int, keys: list[str] = IMAGE) -> DataFrame:
+def largest_along(px: DataFrame, axis: str, side: int, distance: int, keys: list[str] = IMAGE, carry: str | None = None) -> DataFrame:
     """The largest value within ``distance`` along ``y`` or ``x``."""
 
     def kernel(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +175,7 @@ def largest_along(px: DataFrame, axis: str, side: int, distance: int, keys: list
         top = wide(np.where(np.isfinite(values), values, -np.inf), -np.inf)
         return np.where(np.isfinite(top), top, np.nan), wide(there, False)
 
-    return along_lines(px, axis, side, side, kernel, keys)
+    return along_lines(px, axis, side, side, kernel, keys, carry)
 
 
 def resize(px: DataFrame, size: tuple[int, int], to: tuple[int, int], order: int = 1, keys: list[str] = IMAGE) -> DataFrame:
@@ -169,9 +184,9 @@ def resize(px: DataFrame, size: tuple[int, int], to: tuple[int, int], order: int
     return along(along(px, "y", make(size[0], to[0]), keys), "x", make(size[1], to[1]), keys)
 
 
-def gaussian_blur(px: DataFrame, size: tuple[int, int], sigma: float, keys: list[str] = IMAGE) -> DataFrame:
+def gaussian_blur(px: DataFrame, size: tuple[int, int], sigma: float, keys: list[str] = IMAGE, carry: str | None = None) -> DataFrame:
     taps = gaussian_taps(sigma)
-    return along(along(px, "y", folded(size[0], taps), keys), "x", folded(size[1], taps), keys)
+    return along(along(px, "y", folded(size[0], taps), keys, carry=carry), "x", folded(size[1], taps), keys, carry=carry)
 
 
 def site_colour(y: Column, x: Column, pattern: str) -> Column:
@@ -212,16 +227,15 @@ def local_maxima(px: DataFrame, size: tuple[int, int], distance: int, threshold:
 
     Of more, those of the largest ``order`` column are taken, ties by y and x.
     """
-    top = px.select(*keys, "y", "x", "v")
+    own = [c for c in px.columns if c not in {*keys, "y", "x"}]
+    top = px.select(*keys, "y", "x", "v", F.struct(*own).alias("own"))
     for axis, n in zip("yx", size):
-        top = largest_along(top, axis, n, distance, keys)
+        top = largest_along(top, axis, n, distance, keys, "own")
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
     inside = F.col("y").between(distance, size[0] - 1 - distance) & F.col("x").between(distance, size[1] - 1 - distance)
-    found = px.join(top.withColumnRenamed("v", "top"), [*keys, "y", "x"]).filter((F.col("v") == F.col("top")) & (F.col("v") > limit) & inside).drop("top")
+    found = top.filter((F.col("own.v") == F.col("v")) & inside).select(*keys, "y", "x", "own.*").filter(F.col("v") > limit).select(*px.columns)
     if most is None:
         return found
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), "y", "x"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
@@ -239,8 +253,9 @@ def detect_sources(mono: DataFrame, size: tuple[int, int], sigma: float = 3.0, m
 
     Blur of half the area, threshold of median + 0.3 ``sigma`` standard deviations (0.01 at least).
     """
-    flat = min_max(mono, keys)
-    smooth = gaussian_blur(flat, size, max(1.0, min_area / 2), keys)
-    limits = smooth.groupBy(*keys).agg(F.greatest(F.median("v") + 0.3 * sigma * F.stddev_pop("v"), F.lit(0.01)).alias("limit"))
+    flat = min_max(mono, keys).withColumn("sharp", F.struct("v"))
+    smooth = staged(gaussian_blur(flat, size, max(1.0, min_area / 2), keys, "sharp"), "smooth")  # read for the limits and for the peaks
+    spread = smooth.groupBy(*keys).agg(F.stddev_pop("v").alias("spread"))
+    limits = spread.join(stats.medians(smooth, keys, "v"), keys, "left").select(*keys, F.greatest(F.col("ranked") + 0.3 * sigma * F.col("spread"), F.lit(0.01)).alias("limit"))
     peaks = local_maxima(smooth.join(limits, keys), size, max(3, min_area), F.col("limit"), most, keys=keys)
-    return peaks.drop("v", "limit").join(flat.select(*keys, "y", "x", "v"), [*keys, "y", "x"]).select(*keys, "x", "y", "v")
+    return peaks.filter(F.col("sharp").isNotNull()).select(*keys, "x", "y", "sharp.v")

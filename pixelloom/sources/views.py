@@ -42,16 +42,24 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.median("value").alias("fwhm"), F.count("value").alias("n_stars"), ecc.alias("eccentricity")).withColumn("roundness", 1 - F.col("eccentricity"))
 
 
+def _supplier_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each supplier, dealt over all cores: a file of few keys is one task, the pixels made of them are many."""
+    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id"))
+    return frames.repartition(4 * spark.sparkContext.defaultParallelism, "frame_id")
+
+
 def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, stars: int = 16) -> DataFrame:
     """Made-up RGB frames: hashed noise, a gradient and planted stars, in rational arithmetic.  One frame for each
     supplier of ``sf_dir``; without it the frame 0 alone."""
     f, i = F.col("frame_id"), F.col("id")
-    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id")) if sf_dir else spark.range(1).select(F.lit(0).alias("frame_id"))
-    grid = frames.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    frames = _supplier_frames(spark, sf_dir) if sf_dir else spark.range(1).select(F.lit(0).alias("frame_id"))
+    # Places of the stars are found once a frame and kept as doubles: the pixels' own code must stay short to be compiled.
+    places = {f"{a}{k}": ((f * p + k * q + r) % side).cast("double") for k in range(stars) for a, p, q, r in (("sy", 3, 41, 11), ("sx", 5, 23, 7))}
+    grid = frames.withColumns(places).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
     grid = grid.withColumns({"y": (i / side).cast("int"), "x": i % side})
     total = F.pmod(i.cast("bigint") * 7919 + 104729 + f * 613, F.lit(1009)) / 1009.0 * 0.02 + (F.col("x") * 2 + F.col("y")) / (3.0 * side) * 0.1
     for k in range(stars):
-        dx, dy = F.col("x") - (f * 5 + k * 23 + 7) % side, F.col("y") - (f * 3 + k * 41 + 11) % side
+        dx, dy = F.col("x") - F.col(f"sx{k}"), F.col("y") - F.col(f"sy{k}")
         d = dx * dx + dy * dy
         total = total + F.when(d <= 25, (k % 5 + 1) / 10 / (1.0 + d)).otherwise(0.0)
     out = grid.select("frame_id", "y", "x", total.alias("t")).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
@@ -61,7 +69,7 @@ def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_S
 def synth_shifted(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> DataFrame:
     """The first made-up frame as each supplier sees it, up to 3 pixels aside; the first is not shifted."""
     first = synth_px(spark, side=side).drop("frame_id")
-    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id"))
+    frames = _supplier_frames(spark, sf_dir)
     moved = first.crossJoin(frames)  # one frame of fixed size times the frames
     f = F.col("frame_id")
     moved = moved.withColumns({"y": F.col("y") + f * 3 % 4, "x": F.col("x") - f * 5 % 4})

@@ -364,3 +364,22 @@ def test_live_stack_equals_batch(spark, tmp_path):
     got = {(r.y, r.x): r.v for r in live.latest(spark, str(tmp_path / "live")).collect()}
     want = {(r.y, r.x): r.v for r in stacking.stack(px, "mean", prereject=False).collect()}
     assert got == pytest.approx(want)
+
+
+def test_carried_columns_stay_with_their_pixels(spark):
+    rows = [(0, 0, y, x, 0, None if (y, x) == (2, 2) else float(y * x), f"{y}-{x}") for y in range(4) for x in range(5) if (y, x) != (1, 1)]
+    px = spark.createDataFrame(rows, "stack_id int, frame_id int, y int, x int, c int, v double, name string").withColumn("own", F.struct("name", "v"))
+    got = {(r["y"], r["x"]): r["own"] for r in neighbours.gaussian_blur(px, (4, 5), 1.0, carry="own").collect()}
+    assert got[1, 1] is None and len(got) == 20
+    assert all(got[y, x] == (name, v) for _, _, y, x, _, v, name in rows)
+    assert [(r["name"], r["v"]) for r in neighbours.local_maxima(px.drop("own"), (4, 5), 1, 0.0).collect()] == []
+    peak = px.drop("own").withColumn("v", F.when((F.col("y") == 2) & (F.col("x") == 2), 9.0).otherwise(F.col("v")))
+    assert [(r["name"], r["v"]) for r in neighbours.local_maxima(peak, (4, 5), 1, 0.0).collect()] == [("2-2", 9.0)]
+
+
+@pytest.mark.parametrize(
+    "values, want", [([5.0], 5.0), ([1.0, 2.0], 1.5), ([3.0] * 70 + [1.0] * 10, 3.0), ([float(i * 37 % 101) for i in range(101)], 50.0), ([0.0, float("nan"), 1.0], 1.0)]
+)
+def test_medians_of_few_and_many_values(spark, values, want):
+    rows = spark.createDataFrame([(1, v) for v in [*values, None]], "k int, v double")
+    assert stats.medians(rows, ["k"], "v").first()["ranked"] == want
