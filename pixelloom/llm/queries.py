@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op1_byte_bpe
+from .centroids import OP13_SQL, op13_centroid_clustering
 from .embedding_dedup import op5_embedding_dedup
 from .html_extract import op8_html_extraction
 from .jaccard_join import op9_jaccard_join
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_centroid_clustering": OP13_SQL}
