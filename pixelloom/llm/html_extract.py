@@ -22,7 +22,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is text up to their end tag, and none of it is shown as running text.
 RAW = frozenset("script style title textarea xmp noembed noframes iframe".split())
 #: Elements whose content is never main text.
-DROPPED = RAW | frozenset("head nav footer aside button select template noscript svg math canvas object audio video map dialog menu datalist label".split())
+DROPPED = RAW | frozenset("head nav footer aside select template noscript svg math canvas object audio video map dialog menu datalist".split())
+#: Controls that may stand in running text: a block that has no other text is dropped.
+CONTROLS = frozenset(["label", "button"])
 #: Elements that hold either a control or a whole page.
 FORMS = frozenset(["form", "fieldset"])
 BLOCK = frozenset(
@@ -43,6 +45,9 @@ PLAIN = frozenset(
     "left link links list main module no outer overlay page panel posts primary region right row secondary section signup site slot sticky stories strip the thread top unit user wrap wrapper".split()
 )
 _TITLED = frozenset("post entry article content title story".split())
+#: Of these marks, words of readers, which may be longer than the article, and adverts.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising banner banners promo promos promotion promotions sponsored sponsor sponsors".split())
 #: Blocks longer than this are running text, unless over LINKED of it lies in links.
 RUNNING, LINKED = 60, 0.3
 #: An open element is closed by a start tag of these.
@@ -55,7 +60,7 @@ _CLOSES = {
 class Element:
     """An open or closed element; ``first`` to ``last`` are the blocks it holds, ``order`` to ``end`` the elements."""
 
-    __slots__ = ("name", "marks", "parent", "path", "depth", "block", "cell", "inside", "hidden", "soft", "first", "last", "order", "end")
+    __slots__ = ("name", "marks", "parent", "path", "depth", "block", "cell", "inside", "hidden", "level", "readers", "control", "first", "last", "order", "end")
 
     def __init__(self, name: str, marks: str, parent: Element | None):
         self.name, self.marks, self.parent = name, marks, parent
@@ -64,10 +69,12 @@ class Element:
         self.cell = self.depth if name in CELLS else parent.cell if parent else 0
         words = set(marks.split())
         self.inside = name in ("article", "main") or "article" in words or "main" in words or bool(parent and parent.inside)
-        level = 0 if name in ("article", "main", "body", "html") else marked(words, self.inside)
-        hard = name in DROPPED or (name == "header" and not (parent and parent.inside)) or level == 2
-        self.hidden = bool(parent and parent.hidden) or hard
-        self.soft = not hard and (level == 1 or name in FORMS)
+        self.hidden = bool(parent and parent.hidden) or name in DROPPED or (name == "header" and not (parent and parent.inside))
+        self.level = marked(words, bool(parent and parent.inside))
+        self.readers = self.level == 2 and any(READERS & set(re.split(r"[-_:]+", w)) for w in words if mark_level(w) == 2)
+        if name in ("body", "html", "main") or (name == "article" and not self.readers):
+            self.level = 0
+        self.control = name not in BLOCK and (name in CONTROLS or self.level == 2 or bool(parent and parent.control))
 
     @property
     def kind(self) -> str:
@@ -85,7 +92,16 @@ def mark_level(word: str) -> int:
 
 
 def marked(words: set[str], inside: bool) -> int:
-    return max((mark_level(w) for w in words if not (inside and w in ("header", "headers"))), default=0)
+    """The highest level of some words.  Inside of an article its header is its own, and a class that also speaks of
+    content (``related-content``) marks no more than other words would, but for adverts and readers' words."""
+
+    def level(word: str) -> int:
+        if inside and word in ("header", "headers"):
+            return 0
+        parts = set(re.split(r"[-_:]+", word))
+        return min(1, mark_level(word)) if inside and _TITLED & parts and not (READERS | ADVERTS) & parts else mark_level(word)
+
+    return max(map(level, words), default=0)
 
 
 def marks_of(attributes: str) -> str:
@@ -101,8 +117,8 @@ class Page:
 
     A block is the text between two block tags, references decoded, white space as one space.  Each is kept once, in
     page order, and a container is an interval of them, so that time and memory follow the length of the page however
-    deep it nests.  End tags without a start are left aside, open elements end with the page.  What is marked in
-    doubt (``soft``) is judged by its content once the page has been read.
+    deep it nests.  End tags without a start are left aside, open elements end with the page.  What is marked is
+    judged by its content once the page has been read; words alone hide nothing.
     """
 
     def __init__(self, html: str):
@@ -114,6 +130,7 @@ class Page:
         self.open: dict[str, list[int]] = {}  # depths of open elements by name
         self.pieces: list[str] = []
         self.linked, self.in_link = 0, False
+        self.some, self.plain = False, False  # whether the open block has text, and text outside of controls
         self.push("body", "")
         self.read(html)
         self.pop_to(0)
@@ -122,36 +139,40 @@ class Page:
     def push(self, name: str, marks: str) -> None:
         parent = self.stack[-1] if self.stack else None
         new = Element(name, marks, parent)
-        new.first, new.last, new.order = len(self.blocks), -1, len(self.elements)
+        pending = name not in BLOCK and self.some  # text before it, which is no part of it
+        new.first, new.last, new.order = len(self.blocks) + pending, -1, len(self.elements)
         new.path = self.paths.setdefault((parent.path if parent else -1, new.kind), len(self.paths))
         self.elements.append(new)
         self.stack.append(new)
         self.open.setdefault(name, []).append(new.depth)
 
     def pop_to(self, depth: int) -> None:
-        """Close elements from ``depth`` on; text is cut off where one of them is a block or dropped."""
-        if any(e.name in BLOCK or e.hidden or e.soft for e in self.stack[depth:]):
+        """Close elements from ``depth`` on; text is cut off where one of them is a block."""
+        if any(e.name in BLOCK for e in self.stack[depth:]):
             self.flush()
         for e in self.stack[depth:]:
             self.open[e.name].pop()
-            e.last, e.end = len(self.blocks), len(self.elements)
+            e.last, e.end = max(e.first, len(self.blocks)), len(self.elements)
         del self.stack[depth:]
 
     def flush(self) -> None:
         if self.pieces:
             text = " ".join(unescape("".join(self.pieces)).split())
             self.pieces = []
-            if text:
+            if text and self.plain:
                 self.blocks.append(text)
                 self.links.append(min(len(text), self.linked))
-        self.linked = 0
+        self.linked, self.some, self.plain = 0, False, False
 
     def text(self, text: str) -> None:
         if self.stack[-1].name == "head" and text.strip():
             self.pop_to(self.stack[-1].depth)
-        if text and not self.stack[-1].hidden:
+        top = self.stack[-1]
+        if text and not top.hidden:
             self.pieces.append(text)
             self.linked += len(text) * self.in_link
+            if not self.plain and not text.isspace():
+                self.some, self.plain = True, not top.control
 
     def read(self, html: str) -> None:
         at, seen, last = 0, 0, html.rfind(">")
@@ -207,8 +228,7 @@ class Page:
         if name in ("svg", "math") and attributes.endswith("/"):
             return at
         marks = marks_of(attributes)
-        if name in BLOCK or name in DROPPED or (marks and marked(set(marks.split()), True)):
-            self.flush() if name in DROPPED else None
+        if name in BLOCK or name in DROPPED or name in CONTROLS or (marks and marked(set(marks.split()), True)):
             self.push(name, marks)
         return at
 
@@ -219,11 +239,22 @@ class Page:
         running = (size > RUNNING) & (links <= LINKED * size)
         before = lambda x: np.concatenate([[0], np.cumsum(x)])
         chars, linked, runs = before(size), before(links), before(running * size)
+        weight = running * size if runs[-1] else size - links  # a page of short lines alone has its text in them
+        marked_ = [e for e in self.elements if (e.level or e.name in FORMS) and e.last > e.first]
         gone = np.zeros(len(size) + 1, np.int64)
-        for e in self.elements:
-            if e.soft and e.last > e.first:
-                own, text = runs[e.last] - runs[e.first], chars[e.last] - chars[e.first]
-                if 2 * own <= runs[-1] if e.name in FORMS else not own or linked[e.last] - linked[e.first] > LINKED * text:
+        # Readers' words first: what they say does not count as text of the page when other parts are judged.
+        for readers in (True, False):
+            sums = before(weight * (np.cumsum(gone)[:-1] == 0))
+            own = lambda e: int(sums[e.last] - sums[e.first])  # noqa: E731, B023
+            body = max((e for e in self.elements if e.name in ("article", "main") and e.level == 0 and not e.hidden and own(e)), key=own, default=None)
+            for e in marked_:
+                if e.readers != readers:
+                    continue
+                if e.level == 2 or e.name in FORMS:  # stays where it wraps the page: its largest article, or most of its text
+                    stays = (body and e.order < body.order < e.end) or (own(e) == sums[-1] > 0 if readers else 2 * own(e) > sums[-1])
+                else:
+                    stays = runs[e.last] > runs[e.first] and linked[e.last] - linked[e.first] <= LINKED * (chars[e.last] - chars[e.first])
+                if not stays:
                     gone[e.first] += 1
                     gone[e.last] -= 1
         self.stays = np.cumsum(gone)[:-1] == 0

@@ -30,7 +30,7 @@ def docs_of(spark, rows):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "documents embeddings pages labels".split():
+    for t in "documents embeddings pages labels benchmark".split():
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     return con
 
@@ -288,6 +288,61 @@ def test_text_of_odd_pages(html, want):
     assert html_extract.Page(html).text_at(None) == want
 
 
+WORDS_OF_LAYOUT = ["sidebar-right", "sidebar-left", "no-sidebar", "search", "skip", "share", "tags", "notice-sticky", "page sidebar-right"]
+BODY = ["The first paragraph of the page, which is long enough to count as running text.", "A second paragraph of the page, of which the same can be said without doubt."]
+
+
+@pytest.mark.parametrize("word", WORDS_OF_LAYOUT)
+def test_layout_words_hide_no_page(word):
+    body = "".join(f"<p>{b}</p>" for b in BODY)
+    side = f'<div class="{word}"><p>A side part, which has running text as well, but is not what the page is about.</p><a href=x>Link</a></div>'
+    want = "\n".join(BODY)
+    text = lambda html: html_extract.Page(html).text_at(None)
+    assert text(f'<body><div class="{word}">{body}</div></body>') == want  # the only wrapper
+    assert text(f'<div class="{word}"><div class="content">{body}</div></div><footer>foot</footer>') == want  # an outer one
+    assert text(f'<div class="{word}"><article>{body}</article></div><nav><a href=x>Home</a></nav>') == want
+    assert text(f'<div id="{word}"><main>{body}{side}</main></div>') == want  # a wrapper and a real side part
+    assert text(f'<div class="x">{body}{side}</div>') == want and text(f"<article>{side}{body}</article>") == want
+    assert text(f'<div class="{word}"><p>Short.</p></div>') == "Short."
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<main><p>" + BODY[0] + '</p><section id="related-content"><p>' + BODY[1] + "</p></section></main>", "\n".join(BODY)),
+    ("<main><p>" + BODY[0] + '</p><section id="related-content"><a href=x>' + BODY[1] + "</a></section></main>", BODY[0]),
+    ("<div><p>" + BODY[0] + '</p></div><div class="comments"><p>' + BODY[1] * 3 + "</p></div>", BODY[0]),
+    ("<article><p>" + BODY[0] + '</p><div class="comments"><article class="comment"><p>' + BODY[1] * 3 + "</p></article></div></article>", BODY[0]),
+    ("<div class=comments-open><p>" + BODY[0] + '</p><ol class="commentlist"><li>' + BODY[1] * 3 + "</li></ol></div>", BODY[0]),
+    ("<div class=wrap><p>" + BODY[0] + "</p><p>" + BODY[1] + '</p><div class="ad-content"><p>Buy this, buy that, and buy all of it before it is gone for good, today.</p></div></div>', "\n".join(BODY)),
+    ("<p>The <label>label</label> element and the <button>Save</button> button.</p><p><button>Share</button> <label>Name</label></p>", "The label element and the Save button."),
+    ('<p>An <svg><text>i</text></svg>icon and a <span class="notice">notice</span> in it.</p><p><span class="share">Share</span></p>', "An icon and a notice in it."),
+    ('<p>Before <span class="sidebar-right"><p>' + BODY[0] + "</p></span>", "Before\n" + BODY[0]),
+    ('<form><label>Name</label><input></form><p>' + BODY[0] + "</p>", BODY[0]),
+])
+def test_marked_parts_are_judged_by_content(html, want):
+    assert html_extract.Page(html).text_at(None) == want
+
+
+def test_pages_without_article(spark):
+    """Made-up pages of common layouts, without ``<article>``, against the text they were made of."""
+    rng = random.Random(8)
+    words = "stone river light under winter market every paper silent garden copper window north engine".split()
+    line = lambda n: " ".join(rng.choices(words, k=n)).capitalize() + "."
+    rows, want = [], {}
+    for i in range(60):
+        host = i % 6
+        blocks = [line(rng.randint(12, 40)) for _ in range(rng.randint(3, 9))]
+        outer = ["page sidebar-right", "no-sidebar", "site search", "layout share", "wrap tags-on", "skip-link-target"][host]
+        body = f"<h1>{line(4)}</h1>" + "".join(f"<p>{b}</p>" for b in blocks)
+        side = f'<div class="sidebar"><h3>More</h3><p>{line(14)}</p><a href="/x">{line(6)}</a></div>'
+        notes = "".join(f'<div class="comment"><p>{line(30)}</p></div>' for _ in range(rng.randint(0, 3)))
+        html = f'<html><head><title>{line(3)}</title></head><body class="{outer}"><header><a href="/">Home</a></header><ul class="menu"><li><a href="/a">{line(2)}</a></ul>'
+        html += f'<div class="{outer}"><div class="content">{body}</div>{side}</div><div id="comments">{notes}</div><div class="cookie-notice">We use cookies. {line(12)}</div><footer>{line(9)}</footer></body></html>'
+        rows.append((i, f"http://host{host}.org/{i}", html))
+        want[i] = [html.split("<h1>")[1].split("</h1>")[0], *blocks]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n") for r in got} == want
+
+
 @pytest.mark.parametrize("page", ["<div>" * 8000 + "x" + "</span>" * 8000, "<div>" * 8000 + "</p>" * 8000 + "x", "<div class='a1 b'>" * 8000 + "x" + "</div>" * 8000, "<span class=share>" * 8000 + "</b>" * 8000, "<p <p " * 8000, '<a href="' * 8000, "<!--" * 8000, "<ul><li>" * 8000 + "</ol>" * 8000])
 def test_bad_pages_take_no_long_time(page):
     began = time.process_time()
