@@ -87,23 +87,42 @@ def _parted(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, own, np.append(first, len(part)).astype(np.int32)
 
 
-_BLOCK = "block long, kind int, part long, grams array<long>, n array<long>, words array<binary>, c array<long>, text binary"
-_NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
-DOC, GRAMS, WORDS = 0, 1, 2
+#: What a row holds: documents, or a block's n-grams or words of one part; ``data`` is compressed, as sorted keys shrink well.
+_ROW = "block long, kind int, part long, data binary"
+DOCS, GRAMS, WORDS = 0, 1, 2
+_OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def _rows(size: int, doc: pa.DataType | pa.Array, **columns: pa.Array) -> pa.RecordBatch:
-    """A batch of ``_BLOCK`` and the documents' own columns, with nulls in the columns that are not given."""
-    own = doc if isinstance(doc, pa.Array) else pa.nulls(size, doc)
-    return pa.RecordBatch.from_arrays([*(columns[c].cast(t) if c in columns else pa.nulls(size, t) for c, t in zip(_NAMES, _TYPES)), own], names=[*_NAMES, "doc"])
+def shrunk(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=_OPTIONS) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def grown(data: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+
+
+def key_batch(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys, as differences, and a value each."""
+    return pa.RecordBatch.from_arrays([pa.array(np.diff(keys, prepend=0)), pa.array(values)], names=["key", "value"])
+
+
+def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.asarray(batch.column(0))), np.asarray(batch.column(1))
+
+
+def _rows(block: int, kind: int, parts: list[int | None], data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], names=["block", "kind", "part", "data"])
 
 
 def _blocks(order: int, parts: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents (doc, trains, text) dealt into blocks as they come, and each block's n-grams and words, by part, with
     their counts in its training documents (0 for those of others alone)."""
 
-    def closed(block: int, doc: pa.DataType, texts: dict[bool, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def closed(block: int, texts: dict[bool, list[bytes]]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for trains, own in texts.items():
             for grams, _ in pieces(own, order):
@@ -111,8 +130,8 @@ def _blocks(order: int, parts: int, block_bytes: int) -> Callable[[Iterator[pa.R
                 tally.add(keys, n * trains)
         keys, n = tally.settle()
         at, own, ends = _parted(keys % parts, parts)
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[at])) for x in (keys, n)]
-        yield _rows(len(own), doc, block=pa.array(np.full(len(own), block)), kind=pa.array(np.full(len(own), GRAMS)), part=pa.array(own), grams=lists[0], n=lists[1])
+        keys, n = keys[at], n[at]
+        yield _rows(block, GRAMS, own.tolist(), [shrunk(key_batch(keys[lo:hi], n[lo:hi])) for lo, hi in zip(ends, ends[1:])])
         count: Counter[bytes] = Counter()
         for t in texts[True]:
             count.update(t.split())
@@ -120,35 +139,31 @@ def _blocks(order: int, parts: int, block_bytes: int) -> Callable[[Iterator[pa.R
         for t in texts[False]:
             for word in t.split():
                 count.setdefault(word, 0)
-        words = np.array(list(count), object)
+        words = np.array(sorted(count), object)
         at, own, ends = _parted(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts, parts)
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(words[at], pa.binary()), pa.array(np.fromiter(count.values(), np.int64, len(words))[at]))]
-        yield _rows(len(own), doc, block=pa.array(np.full(len(own), block)), kind=pa.array(np.full(len(own), WORDS)), part=pa.array(own), words=lists[0], c=lists[1])
+        words = words[at]
+        lists = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([count[w] for w in words], pa.int64())], names=["key", "value"])
+        yield _rows(block, WORDS, own.tolist(), [shrunk(lists.slice(lo, hi - lo)) for lo, hi in zip(ends.tolist(), ends[1:].tolist())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, texts, doc = TaskContext.get().partitionId() << 32, 0, {True: [], False: []}, None
+        block, size, texts = TaskContext.get().partitionId() << 32, 0, {True: [], False: []}
         for batch in sliced(batches):
             own = [normal(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             for trains, text in zip(batch.column("trains").to_pylist(), own):
                 texts[trains].append(text)
-            doc = batch.column("doc").type
-            yield _rows(len(own), batch.column("doc"), block=pa.array([block] * len(own)), kind=pa.array([DOC] * len(own)), text=pa.array(own, pa.binary()))
+            yield _rows(block, DOCS, [None], [shrunk(pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(own, pa.binary())], names=["doc", "text"]))])
             size += sum(map(len, own))
             if size >= block_bytes:
-                yield from closed(block, doc, texts)
+                yield from closed(block, texts)
                 block, size, texts = block + 1, 0, {True: [], False: []}
         if texts[True] or texts[False]:
-            yield from closed(block, doc, texts)
+            yield from closed(block, texts)
 
     return blocks
 
 
-def _arrays(batch: pa.RecordBatch, keys: str, values: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(batch.column(keys).flatten()), np.asarray(batch.column(values).flatten())
-
-
 def _gram_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums (gram, n) of rows (part, grams, n) sorted by part."""
+    """Sums (gram, n) of rows (part, data) sorted by part."""
 
     def out(tally: Tally) -> Iterator[pa.RecordBatch]:
         keys, n = tally.settle()
@@ -157,11 +172,12 @@ def _gram_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part, tally = None, Tally()
     for whole in batches:
-        for lo, batch in _runs(whole, "part"):
-            if lo != part:
+        for now, batch in _runs(whole, "part"):
+            if now != part:
                 yield from out(tally)
-                part, tally = lo, Tally()
-            tally.add(*_arrays(batch, "grams", "n"))
+                part, tally = now, Tally()
+            for data in batch.column("data"):
+                tally.add(*keys_of(grown(data)))
     yield from out(tally)
 
 
@@ -174,30 +190,33 @@ def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.RecordBa
 
 
 def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, part, words, c) sorted by part, with the sums of all blocks in place of their own counts; for each
-    part also a row without a block: how many words occur in training, and how often in all."""
+    """Rows (block, part, data) of words sorted by part, with the sums of all blocks in place of their own counts; for
+    each part also a row without a block: how many words occur in training, and how often in all."""
+    names = ["block", "data", "distinct", "tokens"]
 
     def out(rows: list[tuple[int, list[bytes]]], total: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         for block, words in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([words], pa.list_(pa.binary())), pa.array([[total[w] for w in words]], pa.list_(pa.int64()))], names=["block", "words", "c"])
+            data = shrunk(pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([total[w] for w in words], pa.int64())], names=["key", "value"]))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
         if rows:
             sums = [sum(map(bool, total.values())), sum(total.values())]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([[]], pa.list_(pa.binary())), pa.array([sums], pa.list_(pa.int64()))], names=["block", "words", "c"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *[pa.array([x], pa.int64()) for x in sums]], names=names)
 
     part, rows, total = None, [], defaultdict(int)
     for batch in batches:
-        for block, now, words, c in zip(*(batch.column(x).to_pylist() for x in ("block", "part", "words", "c"))):
+        for block, now, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data")):
             if now != part:
                 yield from out(rows, total)
                 part, rows, total = now, [], defaultdict(int)
+            words, counts = (c.to_pylist() for c in grown(data).columns)
             rows.append((block, words))
-            for w, n in zip(words, c):
+            for w, n in zip(words, counts):
                 total[w] += n
     yield from out(rows, total)
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, block, grams, gram, cost) sorted by part, the table's (block null) first: each block's costs."""
+    """Rows (part, block, data, gram, cost) sorted by part, the table's (block null) first: each block's costs."""
     part, keys, costs, table_ = None, [], [], None
     for whole in batches:
         for now, batch in _runs(whole, "part"):
@@ -208,47 +227,43 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(np.asarray(own.column("gram")))
                 costs.append(np.asarray(own.column("cost")))
             asked = batch.filter(batch.column("block").is_valid())
-            if asked.num_rows:
-                if table_ is None:
-                    flat = np.concatenate(keys)
-                    order = np.argsort(flat)
-                    table_, keys = (flat[order], np.concatenate(costs)[order]), []
-                found = table_[1][np.searchsorted(table_[0], np.asarray(asked.column("grams").flatten()))]
-                ends = np.concatenate([[0], np.cumsum(np.asarray(asked.column("grams").value_lengths()))])
-                yield pa.RecordBatch.from_arrays([asked.column("block"), asked.column("grams"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))], names=["block", "grams", "costs"])
+            if asked.num_rows and table_ is None:
+                flat = np.concatenate(keys)
+                order = np.argsort(flat)
+                table_, keys = (flat[order], np.concatenate(costs)[order]), []
+            for block, data in zip(asked.column("block"), asked.column("data")):
+                grams, _ = keys_of(grown(data))
+                found = shrunk(key_batch(grams, table_[1][np.searchsorted(table_[0], grams)]))
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([GRAMS], pa.int32()), pa.array([found], pa.binary())], names=["block", "kind", "data"])
 
 
 def _scores(order: int, distinct: int, tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (block, text, grams, costs, words, c, doc) sorted by block, the documents last: figures of each document."""
+    """Rows (block, kind, data) sorted by block, the documents last: figures of each document."""
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, costs, ready, count = None, [], [], None, {}
-        for whole in batches:
-            for block, batch in _runs(whole, "block"):
+        now, found, ready, count = None, [], None, {}
+        for batch in batches:
+            for block, kind, data in zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
                 if block != now:
-                    now, keys, costs, ready, count = block, [], [], None, {}
-                grams = batch.filter(batch.column("grams").is_valid())
-                if grams.num_rows:
-                    for into, x in zip((keys, costs), _arrays(grams, "grams", "costs")):
-                        into.append(x)
-                words = batch.filter(batch.column("words").is_valid())
-                if words.num_rows:
-                    count.update(zip(words.column("words").flatten().to_pylist(), words.column("c").flatten().to_pylist()))
-                docs = batch.filter(batch.column("text").is_valid())
-                if docs.num_rows:
+                    now, found, ready, count = block, [], None, {}
+                own = grown(data)
+                if kind == GRAMS:
+                    found.append(keys_of(own))
+                elif kind == WORDS:
+                    count.update(zip(*(c.to_pylist() for c in own.columns)))
+                else:
                     if ready is None:
-                        flat = np.concatenate(keys)
-                        at = np.argsort(flat)
-                        ready, keys, costs = (flat[at], np.concatenate(costs)[at]), [], []
-                    yield figures(docs, ready, count)
+                        keys, costs = (np.concatenate(x) for x in zip(*found))
+                        at = np.argsort(keys)
+                        ready, found = (keys[at], costs[at]), []
+                    yield figures(own, ready, count)
 
     def figures(docs: pa.RecordBatch, ready: tuple[np.ndarray, np.ndarray], count: dict[bytes, int]) -> pa.RecordBatch:
         texts = docs.column("text").to_pylist()
         score = [np.add.reduceat(ready[1][np.searchsorted(ready[0], grams)], np.cumsum(n) - n) for grams, n in pieces(texts, order)]
         n_tokens, n_known, base = [], [], []
         for text in texts:
-            found = [count[w] for w in text.split()]
-            c = np.array([*found, count[bytes([END])]])
+            c = np.array([*map(count.__getitem__, text.split()), count[bytes([END])]])
             n_tokens.append(len(c))
             n_known.append(int((c > 0).sum()))
             base.append(float(np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))).sum()))
@@ -330,27 +345,23 @@ def score(docs: DataFrame, trains: Column, order: int = ORDER, text_col: str = "
     doc = rows.schema["doc"].dataType
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = next(p for p in range(max(LEAST_PARTS, size // part_bytes) | 1, 1 << 62, 2) if all(p % d for d in range(3, math.isqrt(p) + 1, 2)))
-    made = scratch.store(rows.mapInArrow(_blocks(order, parts, block_bytes), StructType.fromDDL(_BLOCK).add("doc", doc)), "blocks")
-    of_grams = made.filter(F.col("kind") == GRAMS)
+    made = scratch.store(rows.mapInArrow(_blocks(order, parts, block_bytes), _ROW), "blocks")
+    kind = F.col("kind")
 
-    by_part = of_grams.select("part", "grams", "n").repartition("part").sortWithinPartitions("part")
+    by_part = made.filter(kind == GRAMS).select("part", "data").repartition("part").sortWithinPartitions("part")
     totals = scratch.store(by_part.mapInArrow(_gram_totals, "gram long, n long"), "totals")
     costs = code_lengths(totals, order, scratch)
-    ask = of_grams.select("part", "block", "grams", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("cost"))
-    ask = ask.unionAll(costs.select(F.pmod("gram", F.lit(parts)).alias("part"), F.lit(None).cast("long"), F.lit(None).cast("array<long>"), "gram", "cost"))
+    ask = made.filter(kind == GRAMS).select("part", "block", "data", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("cost"))
+    ask = ask.unionAll(costs.select(F.pmod("gram", F.lit(parts)).alias("part"), F.lit(None).cast("long"), F.lit(None).cast("binary"), "gram", "cost"))
     ask = ask.repartition("part").sortWithinPartitions("part", "block")
-    answers = ask.mapInArrow(_answers, "block long, grams array<long>, costs array<double>")
-
-    by_part = made.filter(F.col("kind") == WORDS).select("block", "part", "words", "c").repartition("part").sortWithinPartitions("part")
-    words = scratch.store(by_part.mapInArrow(_word_totals, "block long, words array<binary>, c array<long>"), "words")
-    distinct, tokens = words.filter(F.col("block").isNull()).agg(F.sum(F.col("c")[0]), F.sum(F.col("c")[1])).first()
-
-    none = lambda kind: F.lit(None).cast(kind)
-    texts = (none("binary").alias("text"), none(doc).alias("doc"))
-    joined = answers.select("block", "grams", "costs", none("array<binary>").alias("words"), none("array<long>").alias("c"), *texts)
-    joined = joined.unionAll(words.filter(F.col("block").isNotNull()).select("block", none("array<long>"), none("array<double>"), "words", "c", *texts))
-    joined = joined.unionAll(made.filter(F.col("kind") == DOC).select("block", none("array<long>"), none("array<double>"), none("array<binary>"), none("array<long>"), "text", "doc"))
-    joined = joined.repartition("block").sortWithinPartitions("block", F.col("text").isNotNull())
+    answers = ask.mapInArrow(_answers, "block long, kind int, data binary")
+
+    by_part = made.filter(kind == WORDS).select("block", "part", "data").repartition("part").sortWithinPartitions("part")
+    words = scratch.store(by_part.mapInArrow(_word_totals, "block long, data binary, distinct long, tokens long"), "words")
+    distinct, tokens = words.agg(F.sum("distinct"), F.sum("tokens")).first()
+
+    joined = answers.unionAll(words.filter(F.col("block").isNotNull()).select("block", F.lit(WORDS), "data")).unionAll(made.filter(kind == DOCS).select("block", "kind", "data"))
+    joined = joined.repartition("block").sortWithinPartitions("block", F.desc("kind"))
     figures = StructType().add("doc", doc).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
     out = joined.mapInArrow(_scores(order, distinct or 0, tokens or 0), figures)
     scratch.keep(made, costs, words)
