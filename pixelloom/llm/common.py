@@ -7,8 +7,10 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells rows apart and is the same whenever it is read, and its name, a free one.
+
+    Rows of files that are read as they are have their place there: file and index.  Where they come in another way,
+    have no such index, or the session does not show how they come (Spark Connect), they are stored with a number.
+    """
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    plan = getattr(docs, "_jdf", None)
+    if plan is not None and plan.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        with suppress(AnalysisException):
+            return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), name
+    return stored(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered"), name
+
+
 class Scratch:
     """The intermediate tables of one job in the shared folder, each removed once nothing reads it any more.
 

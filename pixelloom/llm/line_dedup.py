@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, ascii_lower, others, stored, table
+from .common import WORD_SPACE, ascii_lower, numbered, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -20,8 +20,21 @@ def _digest(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``dedup_n_lines``, ``dedup_n_dropped`` and ``dedup_text`` added.
+def _without(lines: Column, gone: Column) -> Column:
+    """An array without the places ``gone`` (from 0, rising): the stretches between them, so time follows its length."""
+
+    def stretches(of: Column) -> Column:
+        ends = F.slice(of["bounds"], 2, F.size(of["bounds"]) - 1)
+        return F.flatten(F.transform(ends, lambda end, k: F.slice(of["lines"], F.get(of["bounds"], k) + 2, end - F.get(of["bounds"], k) - 1)))
+
+    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    both = F.array(F.struct(lines.alias("lines"), bounds.alias("bounds")))
+    return F.element_at(F.transform(both, stretches), 1)  # what a lambda only names would be made again for each stretch
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", in_place: bool = False) -> DataFrame:
+    """``docs`` with the columns ``dedup_n_lines``, ``dedup_n_dropped`` and ``dedup_text`` added, or with the text
+    replaced where ``in_place``.
 
     A key of at least ``min_chars`` code points that at least ``min_docs`` documents hold loses its lines in all
     of them but the one with the largest id.  Documents are told apart by id: rows that repeat an id are one
@@ -29,31 +42,34 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     A null or empty text is one empty line.  Columns of the input pass through unchanged, whatever their names; those
     of the three added names are replaced.
 
-    Only digests of keys are shuffled for the counts, combined before the shuffle; a text is shuffled once, by id.
-    The common keys, one row each, are stored before lines are joined to them: the join is then broadcast, or its
-    sides have shuffles of their own and adaptive execution splits a very common line.
+    Lines are exploded with their row and position, and only digests of their keys are shuffled for the counts,
+    combined before the shuffle.  The common keys, one row each, are stored before lines are joined to them: the join
+    is then broadcast, or its sides have shuffles of their own and adaptive execution splits a very common line.  The
+    positions that go are gathered by row (so rows of null ids never meet), and a text is shuffled once, to theirs.
+    Time follows the number of lines, however many of a text's lines are common.
     """
-    doc = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("bigint"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    long_keys = F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars)
-    held = docs.select(doc.alias("id"), F.explode(F.array_distinct(F.transform(long_keys, _digest))).alias("k"))
-    held = held.select("id", "k.a", "k.b")
+    rows, _ = numbered(docs)
+    plain = rows.toDF(*[f"c{i}" for i in range(len(docs.columns))], "row")  # names that clash with none
+    where = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    doc, lines = F.coalesce(where[id_col], F.lit(-(2**63)).cast("bigint")), F.split(F.coalesce(where[text_col], F.lit("")), "\n", -1)
+    keys = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), line_key(x).alias("key"))), lambda e: F.char_length(e["key"]) >= min_chars)
+    held = plain.select("row", doc.alias("id"), F.explode(F.transform(keys, lambda e: F.struct(e["pos"].alias("pos"), _digest(e["key"]).alias("k")))).alias("l"))
+    held = held.select("row", "id", "l.pos", "l.k.a", "l.k.b")
     common = held.groupBy("a", "b").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
     common = stored(common, "common-lines")
-    drop = held.join(common, ["a", "b"]).filter(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    gone = held.join(common, ["a", "b"]).filter(F.col("id") != F.col("keeper")).groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
 
-    # Keys are made again here from the text: cheaper than to shuffle them with it.
-    rows = docs.select(F.struct(*others(docs)).alias("row"), doc.alias("id")).join(drop, "id", "left")
-    rows = rows.withColumn("lines", F.split(F.coalesce(F.col("row")[text_col], F.lit("")), "\n", -1))
-    lost = lambda x: (F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("gone"), _digest(line_key(x)))
-    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~lost(x))))
-    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("dedup_n_lines", "dedup_n_dropped", "dedup_text")]
-    n = F.size("lines").cast("long")
-    return rows.select(*kept, n.alias("dedup_n_lines"), (n - F.size("left")).alias("dedup_n_dropped"), F.array_join("left", "\n").alias("dedup_text"))
+    out = plain.join(gone, "row", "left").withColumn("n", F.size(lines).cast("long"))
+    text = F.when(F.col("gone").isNull(), F.coalesce(where[text_col], F.lit(""))).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
+    if in_place:
+        return out.select(*[(text if c == text_col else where[c]).alias(c) for c in docs.columns])
+    kept = [where[c].alias(c) for c in docs.columns if c.lower() not in ("dedup_n_lines", "dedup_n_dropped", "dedup_text")]
+    dropped = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return out.select(*kept, F.col("n").alias("dedup_n_lines"), dropped.alias("dedup_n_dropped"), text.alias("dedup_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("dedup_n_lines").alias("n_lines"), F.col("dedup_n_dropped").alias("n_dropped"), F.sha2("dedup_text", 256).alias("kept_sha256"))
 
 
