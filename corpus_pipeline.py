@@ -6,14 +6,11 @@ The stages that select do so by row, so that rows of null or repeated ids each h
 
 from __future__ import annotations
 
-from contextlib import suppress
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import jaccard_join, language_id, line_dedup, packing, quality_rules
-from pixelloom.llm.common import crc_mod, others, stored, table
+from pixelloom.llm.common import crc_mod, numbered, others, stored, table
 
 #: A text unlike all that was learned scores about a quarter.
 MIN_LANGUAGE_SCORE = 0.3
@@ -21,31 +18,18 @@ MIN_LANGUAGE_SCORE = 0.3
 MIN_WORDS = 5
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a column that tells rows apart and is the same whenever it is read, and its name, a free one.
-
-    Rows of files that are read as they are have their place there: file and index.  Where they come in another way
-    or have no such index, they are stored with a number.
-    """
-    name = "row"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        with suppress(AnalysisException):
-            return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), name
-    return stored(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered"), name
-
-
 def with_rows(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """Rows of ``docs`` (of ``numbered``) whose number is in ``rows``, without it."""
     return docs.join(rows.select(name), name, "left_semi").drop(name)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that some learned language claims; texts without a letter, and those that no language claims, go."""
+    """Documents that some learned language claims; texts without a letter, and those that no language claims, go.
+
+    Where no document to learn from names a language there is nothing to judge by, and all documents stay."""
     model = language_id.train(docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"))
     if model is None:
-        return docs.filter(F.lit(False))
+        return docs
     rows = docs.select(F.struct(*others(docs)).alias("doc"), language_id.language_of(model)(F.col("text")).alias("language"))
     claimed = (F.col("language.lang_pred") != language_id.UNKNOWN) & (F.col("language.score") >= MIN_LANGUAGE_SCORE)
     return rows.filter(claimed).select("doc.*")
@@ -60,11 +44,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that recur across them; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*others(docs)).alias("doc")))
-    new = {"text": F.col("dedup_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("dedup_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    out = line_dedup.dedup_lines(docs, in_place=True)
+    if "n_chars" not in docs.columns:
+        return out
+    chars = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[chars if c == "n_chars" else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
