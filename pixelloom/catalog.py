@@ -122,7 +122,7 @@ def _image(s: SparkSession, d: str) -> DataFrame:
 
 
 def _mono(s: SparkSession, d: str) -> DataFrame:
-    return V.synth_px(s).filter("c = 0")
+    return V.sky_px(s, d).filter("c = 0")
 
 
 def _filled(s: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ for _pattern, _sites in N.PATTERNS.items():
     _sql = f"""SELECT 0 AS stack_id, frame_id, col AS c, oy::INT AS y, ox::INT AS x, round(avg(v) FILTER (WHERE {_of('y', 'x')} = col), 6) AS v
       FROM (SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
       JOIN (SELECT frame_id, y, x, v FROM px WHERE c = {_of('y', 'x')}) USING (y, x), (SELECT unnest([0, 1, 2]) AS col) GROUP BY ALL"""
-    query(f"debayer_{_pattern.lower()}", O.query(O.SYNTH, select=_sql))(lambda s, d, p=_pattern: N.debayer(V.synth_mosaic(s, pattern=p), SYNTH_SIZE, p))
+    query(f"debayer_{_pattern.lower()}", O.query(O.SKY, select=_sql))(lambda s, d, p=_pattern: N.debayer(V.sky_mosaic(s, d, p), SYNTH_SIZE, p))
 
 _OUT = f"SELECT {IMG}, y, x, round(v, 6) AS v FROM "
 query("gaussian_blur", O.query(O.LINE, _IMAGE, O.blur("img", "b", "2.5", 32, IMG), select=_OUT + "b"))(lambda s, d: N.gaussian_blur(_image(s, d), LINE_SIZE, 2.5))
@@ -172,7 +172,7 @@ query("source_detect", O.query(O.MONO, _DETECT, O.blur("flat", "b", "2.5", 64, "
 
 # Background, colour, crops.
 
-query("background_grid", O.query(O.SYNTH, O.background("px", "bg", 64, 6), select=f"SELECT {IMG}, cy AS y, cx AS x, round(v, 6) AS v FROM bg_g"))(lambda s, d: B.cell_sky(V.synth_px(s), SYNTH_SIZE))
+query("background_grid", O.query(O.SKY, O.background("px", "bg", 64, 6), select=f"SELECT {IMG}, cy AS y, cx AS x, round(v, 6) AS v FROM bg_g"))(lambda s, d: B.cell_sky(V.sky_px(s, d), SYNTH_SIZE))
 _FLAT = f"flat AS MATERIALIZED (SELECT {IMG}, y, x, v - bg AS v FROM px JOIN bg USING ({IMG}, y, x))"
 _PED = f"ped AS MATERIALIZED (SELECT {IMG}, list_sort(list(v))[count(*) // 1000 + 1] AS p FROM flat GROUP BY ALL)"
 query("remove_gradient_mono", O.query(O.MONO.replace("mono AS", "all_px AS").replace("px AS", "rgb AS", 1).replace("all_rgb", "all_px").replace("FROM px WHERE", "FROM rgb WHERE").replace("all_px AS", "px AS"), O.background("px", "bg", 64, 6), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
@@ -184,7 +184,7 @@ low AS MATERIALIZED (SELECT {IMG}, y, x, greatest(v - p, 0) AS v FROM flat JOIN
 {{corners}},
 sky AS (SELECT {IMG}, coalesce(s, 0) AS s FROM (SELECT DISTINCT {IMG} FROM low) LEFT JOIN (SELECT {IMG}, median(v) AS s FROM cor WHERE v >= 0 GROUP BY ALL) USING ({IMG}))"""
 _RGB_OUT = f"SELECT {IMG}, y, x, round(greatest(v - (s - m), 0), 6) AS v FROM low JOIN sky USING ({IMG}) JOIN (SELECT stack_id, frame_id, min(s) AS m FROM sky GROUP BY ALL) USING (stack_id, frame_id)"
-query("remove_gradient_rgb", O.query(O.SYNTH, O.background("px", "bg", 64, 6), _FLAT, _RGB.format(corners=O.corners("low", "cor", 64)), select=_RGB_OUT))(lambda s, d: B.remove_gradient(V.synth_px(s), SYNTH_SIZE, colour=True))
+query("remove_gradient_rgb", O.query(O.SKY, O.background("px", "bg", 64, 6), _FLAT, _RGB.format(corners=O.corners("low", "cor", 64)), select=_RGB_OUT))(lambda s, d: B.remove_gradient(V.sky_px(s, d), SYNTH_SIZE, colour=True))
 query("local_normalise", O.query(O.LINE, O.background("px", "bg", 32, 12), _FLAT, _PED, select=f"SELECT {IMG}, y, x, round(greatest(v - p, 0), 6) AS v FROM flat JOIN ped USING ({IMG})"))(
     lambda s, d: B.local_normalise(V.line_px(s, d), LINE_SIZE)
 )
@@ -192,9 +192,9 @@ _FACTORS = f"""low AS (SELECT *, count(*) FILTER (WHERE v >= 0) OVER (PARTITION
 fac AS MATERIALIZED (SELECT {IMG}, CASE WHEN m < 1e-8 THEN 1 ELSE m / greatest(s, 1e-8) END AS factor FROM (
   SELECT *, avg(s) OVER (PARTITION BY stack_id, frame_id) AS m FROM (
     SELECT {IMG}, CASE WHEN n < 10 THEN 0 ELSE sky END AS s FROM (SELECT DISTINCT {IMG}, n FROM low) LEFT JOIN cs USING ({IMG}))))"""
-_BAL = [O.SYNTH, O.corners("px", "cor", 64), O.sky("(SELECT * FROM cor WHERE v >= 0)", "cs", IMG, "2.5"), _FACTORS]
-query("colour_balance_factors", O.query(*_BAL, select=f"SELECT {IMG}, round(factor, 6) AS factor FROM fac"))(lambda s, d: B.balance_factors(V.synth_px(s), SYNTH_SIZE))
-query("colour_balance_auto", O.query(*_BAL, select=f"SELECT {IMG}, y, x, round(greatest(v * factor, 0), 6) AS v FROM px JOIN fac USING ({IMG})"))(lambda s, d: B.auto_balance(V.synth_px(s), SYNTH_SIZE))
+_BAL = [O.SKY, O.corners("px", "cor", 64), O.sky("(SELECT * FROM cor WHERE v >= 0)", "cs", IMG, "2.5"), _FACTORS]
+query("colour_balance_factors", O.query(*_BAL, select=f"SELECT {IMG}, round(factor, 6) AS factor FROM fac"))(lambda s, d: B.balance_factors(V.sky_px(s, d), SYNTH_SIZE))
+query("colour_balance_auto", O.query(*_BAL, select=f"SELECT {IMG}, y, x, round(greatest(v * factor, 0), 6) AS v FROM px JOIN fac USING ({IMG})"))(lambda s, d: B.auto_balance(V.sky_px(s, d), SYNTH_SIZE))
 query("colour_balance_manual", O.query(O.LINE, select="SELECT stack_id, frame_id, y, x, c, round(greatest(v * CASE c WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.75 END, 0), 6) AS v FROM px"))(
     lambda s, d: B.manual_balance(V.line_px(s, d), 1.5, 1.0, 0.75)
 )
@@ -203,13 +203,13 @@ _FRAME = "edged AS MATERIALIZED (SELECT * EXCLUDE v, CASE WHEN y BETWEEN 5 AND 5
 
 def _edged(s: SparkSession, d: str) -> DataFrame:
     inside = F.col("y").between(5, 50) & F.col("x").between(9, 60)
-    return V.synth_px(s).withColumn("v", F.when(inside, F.col("v")).when(F.col("y") < 3, 0.0))
+    return V.sky_px(s, d).withColumn("v", F.when(inside, F.col("v")).when(F.col("y") < 3, 0.0))
 
 
-query("auto_crop", O.query(O.SYNTH, _FRAME, select="""SELECT stack_id, frame_id, (y - y0)::INT AS y, (x - x0)::INT AS x, c, round(v, 6) AS v FROM edged, (
+query("auto_crop", O.query(O.SKY, _FRAME, select="""SELECT stack_id, frame_id, (y - y0)::INT AS y, (x - x0)::INT AS x, c, round(v, 6) AS v FROM edged, (
   SELECT min(y) + 2 AS y0, max(y) - 2 AS y1, min(x) + 2 AS x0, max(x) - 2 AS x1 FROM (SELECT y, x FROM edged GROUP BY ALL HAVING count(v) = count(*) AND max(v) > 0))
   WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"""))(lambda s, d: G.auto_crop(_edged(s, d), colour=True))
-query("manual_crop", O.query(O.SYNTH, select="SELECT stack_id, frame_id, (y - 8)::INT AS y, (x - 20)::INT AS x, c, round(v, 6) AS v FROM px WHERE y >= 8 AND y < 40 AND x >= 20 AND x < 44"))(lambda s, d: G.crop(V.synth_px(s), 8, 20, 32, 24))
+query("manual_crop", O.query(O.SKY, select="SELECT stack_id, frame_id, (y - 8)::INT AS y, (x - 20)::INT AS x, c, round(v, 6) AS v FROM px WHERE y >= 8 AND y < 40 AND x >= 20 AND x < 44"))(lambda s, d: G.crop(V.sky_px(s, d), 8, 20, 32, 24))
 query("trim_shapes", O.query(O.LINE, select="""SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM px, (
   SELECT min(h) AS h, min(w) AS w FROM (SELECT max(y) AS h, max(x) AS w FROM px WHERE y <= 20 + frame_id GROUP BY frame_id)) WHERE y <= 20 + frame_id AND y <= h AND x <= w"""))(
     lambda s, d: G.trim_frames(V.line_px(s, d).filter("y <= 20 + frame_id"))
@@ -245,16 +245,30 @@ query("locked_stretch", O.query(O.LINE, "img AS (SELECT * FROM px WHERE frame_id
 )
 query("linear_stretch", O.query(O.LINE, _IMAGE, select="""SELECT stack_id, y, x, c, CASE WHEN b > a THEN floor(least(greatest((v - a) / nullif(b - a, 0), 0), 1) * 255)::INT ELSE 0 END AS v
   FROM img JOIN (SELECT stack_id, quantile_cont(v, 0.005) AS a, quantile_cont(v, 0.995) AS b FROM img GROUP BY 1) USING (stack_id)"""))(lambda s, d: D.linear_stretch(_stack(s, d), ["stack_id"]))
-query("mtf", """WITH g AS (SELECT i, (i % 100 + 0.5::DOUBLE) / 100 AS x, (i // 100 * 2 + 1) / 20 AS m FROM range(1000) t(i))
-SELECT i AS id, round(least(greatest((m - 1) * x / ((m * 2 - 1) * x - m), 0), 1), 6) AS v, round(least(greatest(x * (m - 1) / (m * x * 2 - m - x), 0.001), 0.999), 6) AS b FROM g""")(
-    lambda s, d: s.range(1000).select("id", ((F.col("id") % 100 + 0.5) / 100).alias("x"), ((F.floor(F.col("id") / 100) * 2 + 1) / 20).alias("m")).select("id", D.midtone_transfer(F.col("x"), F.col("m")).alias("v"), D.midtone_balance(F.col("x"), F.col("m")).alias("b"))
+query("mtf", """WITH g AS (SELECT p_partkey, (p_retailprice % 100 + 0.5::DOUBLE) / 101 AS x, (p_size % 10 * 2 + 1) / 20 AS m FROM part)
+SELECT p_partkey, round(least(greatest((m - 1) * x / ((m * 2 - 1) * x - m), 0), 1), 6) AS v, round(least(greatest(x * (m - 1) / (m * x * 2 - m - x), 0.001), 0.999), 6) AS b FROM g""")(
+    lambda s, d: V.table(s, d, "part").select("p_partkey", ((F.col("p_retailprice") % 100 + 0.5) / 101).alias("x"), ((F.col("p_size") % 10 * 2 + 1) / 20).alias("m"))
+    .select("p_partkey", D.midtone_transfer(F.col("x"), F.col("m")).alias("v"), D.midtone_balance(F.col("x"), F.col("m")).alias("b"))
 )
 query("histogram_mono", O.query(O.EMB, select="""SELECT stack_id, least(floor((v - a) / (b - a) * 256), 255)::INT AS bin, count(*) AS n
   FROM px JOIN (SELECT stack_id, min(v) AS a, max(v) AS b FROM px GROUP BY 1) USING (stack_id) WHERE b > a GROUP BY ALL"""))(lambda s, d: D.histogram(V.emb_px(s, d), ["stack_id"]))
 query("histogram_rgb", O.query(O.LINE, select="SELECT c, least(floor(v * 256), 255)::INT AS bin, count(*) AS n FROM px WHERE v BETWEEN 0 AND 1 GROUP BY ALL"))(lambda s, d: D.histogram(V.line_px(s, d), ["c"], limits=(0.0, 1.0)))
 query("image_stats", O.query(O.LINE, select="SELECT frame_id, c, round(min(v), 6) AS low, round(max(v), 6) AS top, round(avg(v), 6) AS mean, round(median(v), 6) AS median FROM px GROUP BY ALL"))(lambda s, d: D.image_stats(V.line_px(s, d), ["frame_id", "c"]))
-query("moffat_kernel", """WITH k AS (SELECT dy, dx, pow(1 + (dy*dy + dx*dx) / pow(3.2 / (2 * sqrt(pow(2, 1 / 3.5) - 1)), 2), -3.5) AS w FROM range(-6, 7) a(dy), range(-6, 7) b(dx))
-SELECT dy::INT AS dy, dx::INT AS dx, round(w / sum(w) OVER (), 6) AS w FROM k""")(lambda s, d: s.range(1).select(F.inline(D.moffat_kernel(3.2))))
+# Each user's width of a star, rounded, as a kernel: its peak, its sum about the peak and its size.
+query("moffat_kernel", O.query(O.FRAMES, """w AS (SELECT frame_id, 1 + floor(fwhm) % 5 + 2e-1 AS width FROM frames),
+k AS (SELECT frame_id, dy, dx, pow(1 + (dy*dy + dx*dx) / pow(width / (2 * sqrt(pow(2, 1 / 3.5) - 1)), 2), -3.5) AS v FROM w, range(-12, 13) a(dy), range(-12, 13) b(dx)
+  WHERE greatest(abs(dy), abs(dx)) <= greatest(7, CASE WHEN floor(4 * width) % 2 = 1 THEN floor(4 * width) ELSE floor(4 * width) + 1 END) // 2)""", select="""SELECT frame_id, count(*) AS n, round(max(v) / sum(v), 6) AS peak,
+  round(sum(v) FILTER (WHERE dy*dy + dx*dx <= 4) / sum(v), 6) AS near FROM k GROUP BY 1"""))(lambda s, d: _kernels(s, d))
+
+
+def _kernels(s: SparkSession, d: str) -> DataFrame:
+    kernel = F.lit(None).cast("array<struct<dy:int,dx:int,w:double>>")
+    for k in range(5):
+        kernel = F.when(F.floor("fwhm") % 5 == k, D.moffat_kernel(k + 1.2)).otherwise(kernel)
+    cells = V.event_frames(s, d).select("frame_id", F.inline(kernel))
+    near = F.when(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= 4, F.col("w"))
+    return cells.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("peak"), F.sum(near).alias("near"))
+
 
 # Star reduction.
 
@@ -267,23 +281,12 @@ spot AS MATERIALIZED (SELECT stack_id, frame_id, y, x, CASE WHEN p.v > t THEN 1
 {O.blur('spot', 'mk', '10.5', 64, 'stack_id, frame_id')},
 {O.blur('px', 'nb', '25.0', 64, IMG)},
 {O.blur('px', 'fb', '100.0', 64, IMG)}"""
-query("star_reduce", O.query(O.SYNTH, _STARS, select=f"""SELECT {IMG}, y, x, round(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0), 6) AS v FROM (
+query("star_reduce", O.query(O.SKY, _STARS, select=f"""SELECT {IMG}, y, x, round(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0), 6) AS v FROM (
   SELECT {IMG}, y, x, px.v, nb.v AS n, fb.v AS f, least(greatest(mk.v * 2 * pi() * 10.5 * 10.5, 0), 1) AS m
-  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x))"""))(lambda s, d: P.reduce_stars(V.synth_px(s), SYNTH_SIZE, 0.5))
+  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x))"""))(lambda s, d: P.reduce_stars(V.sky_px(s, d), SYNTH_SIZE, 0.5))
 
 # Mosaic: two overlapping halves of the mean of the made-up frames as panels on the sky.
 
-_SCALE = 0.001
-
-
-def _panels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    px = V.synth_px(s).groupBy("y", "x", "c").agg(F.avg("v").alias("v"))
-    rows = [(0, 40, 64, [20.0, 32.0], [150.0, 20.0], [-_SCALE, 0.0, 0.0, _SCALE]), (1, 40, 64, [16.0, 30.0], [149.97, 20.002], [-_SCALE, 0.00002, 0.00002, _SCALE])]
-    panels = s.createDataFrame(rows, "panel_id int, width int, height int, crpix array<double>, crval array<double>, cd array<double>")
-    parts = [px.filter(F.col("x").between(24 * k, 24 * k + 39)).select(F.lit(k).alias("panel_id"), "y", (F.col("x") - 24 * k).alias("x"), "c", "v") for k in (0, 1)]
-    return parts[0].unionAll(parts[1]), panels
-
-
 def _to_sky(x: str, y: str, p: str) -> str:
     """SQL for ra, dec of a pixel; ``p`` prefixes the columns px0, px1, r0, d0, a, b, e, f of a panel."""
     xi = f"radians(({x} + 1 - {p}px0) * {p}a + ({y} + 1 - {p}px1) * {p}b)"
@@ -294,9 +297,7 @@ def _to_sky(x: str, y: str, p: str) -> str:
     return f"{ra} AS ra, {dec} AS dec"
 
 
-_PANEL_SQL = f"""panels(panel_id, width, height, px0, px1, r0, d0, a, b, e, f) AS (VALUES
-  (0, 40, 64, 20e0, 32e0, 150e0, 20e0, -{_SCALE}::DOUBLE, 0e0, 0e0, {_SCALE}::DOUBLE), (1, 40, 64, 16e0, 30e0, 149.97::DOUBLE, 20.002::DOUBLE, -{_SCALE}::DOUBLE, 2e-5, 2e-5, {_SCALE}::DOUBLE)),
-sky AS (SELECT {_to_sky('cx', 'cy', '')} FROM (SELECT *, i * (width - 1) AS cx, j * (height - 1) AS cy FROM panels, range(2) q(i), range(2) u(j))),
+_PANEL_SQL = f"""sky AS (SELECT {_to_sky('cx', 'cy', '')} FROM (SELECT *, i * (width - 1) AS cx, j * (height - 1) AS cy FROM panels, range(2) q(i), range(2) u(j))),
 step AS (SELECT min(sqrt(pow((n.ra - h.ra) * cos(radians(h.dec)), 2) + pow(n.dec - h.dec, 2))) AS s
   FROM (SELECT panel_id, {_to_sky('width / 2', 'height / 2', '')} FROM panels) h JOIN (SELECT panel_id, {_to_sky('(width / 2 + 1)', 'height / 2', '')} FROM panels) n USING (panel_id)),
 grid AS MATERIALIZED (SELECT ow, oh, ow / 2 AS opx0, oh / 2 AS opx1, or0, od0, -s AS oa, 0e0 AS ob, 0e0 AS oe, s AS of FROM (
@@ -305,24 +306,24 @@ grid AS MATERIALIZED (SELECT ow, oh, ow / 2 AS opx0, oh / 2 AS opx1, or0, od0, -
 _BACK = """place AS MATERIALIZED (SELECT *, px0 - 1 + (xi * f - eta * b) / (a * f - b * e) AS ix, px1 - 1 + (eta * a - xi * e) / (a * f - b * e) AS iy FROM (
   SELECT *, degrees(cos(radians(dec)) * sin(radians(ra - r0)) / below) AS xi, degrees((sin(radians(dec)) * cos(radians(d0)) - cos(radians(dec)) * sin(radians(d0)) * cos(radians(ra - r0))) / below) AS eta FROM (
     SELECT *, sin(radians(dec)) * sin(radians(d0)) + cos(radians(dec)) * cos(radians(d0)) * cos(radians(ra - r0)) AS below FROM out, panels)))"""
-_MOSAIC = [O.SYNTH, _PANEL_SQL, f"""out AS (SELECT oy, ox, {_to_sky('ox', 'oy', 'o')} FROM (SELECT *, unnest(range(oh)) AS oy FROM grid) CROSS JOIN (SELECT unnest(range(ow)) AS ox FROM grid))""", _BACK, """hit AS MATERIALIZED (
+_MOSAIC = [O.PANELS, _PANEL_SQL, f"""out AS (SELECT oy, ox, {_to_sky('ox', 'oy', 'o')} FROM (SELECT *, unnest(range(oh)) AS oy FROM grid) CROSS JOIN (SELECT unnest(range(ow)) AS ox FROM grid))""", _BACK, """hit AS MATERIALIZED (
   SELECT panel_id, oy, ox, width, height, (floor(iy) + j)::INT AS y, (floor(ix) + i)::INT AS x,
          CASE i WHEN 1 THEN ix - floor(ix) ELSE 1 - (ix - floor(ix)) END * CASE j WHEN 1 THEN iy - floor(iy) ELSE 1 - (iy - floor(iy)) END AS k
   FROM place, range(2) q(i), range(2) u(j) WHERE ix >= 0 AND ix < width - 1 AND iy >= 0 AND iy < height - 1)""", """rep AS (
   SELECT h.panel_id, oy, ox, c, sum(k * v) AS v, sum(k * least((h.y + 1) / 30, (height - h.y) / 30, (h.x + 1) / 30, (width - h.x) / 30, 1)) AS w
-  FROM hit h JOIN (SELECT y, x, c, avg(v) AS v FROM px GROUP BY ALL) px ON px.y = h.y AND px.x = h.x + 24 * h.panel_id GROUP BY ALL)"""]
-query("feather_weights", O.query(O.SYNTH, select="SELECT y, x, round(least((y + 1) / 30, (64 - y) / 30, (x + 1) / 30, (64 - x) / 30, 1), 6) AS w FROM px WHERE c = 0"))(
+  FROM hit h JOIN px ON px.panel_id = h.panel_id AND px.y = h.y AND px.x = h.x GROUP BY ALL)"""]
+query("feather_weights", O.query(O.SKY, select="SELECT y, x, round(least((y + 1) / 30, (64 - y) / 30, (x + 1) / 30, (64 - x) / 30, 1), 6) AS w FROM px WHERE c = 0"))(
     lambda s, d: _mono(s, d).select("y", "x", M.feather(F.col("y"), F.col("x"), F.lit(64), F.lit(64)).alias("w"))
 )
-query("mosaic_grid", O.query(_PANEL_SQL, select="SELECT ow AS o_width, oh AS o_height, round(or0, 6) AS ra, round(od0, 6) AS dec, round(of * 1000, 6) AS step FROM grid"))(
-    lambda s, d: M.output_grid(_panels(s, d)[1]).select("o_width", "o_height", F.col("o_crval")[0].alias("ra"), F.col("o_crval")[1].alias("dec"), (F.col("o_cd")[3] * 1000).alias("step"))
+query("mosaic_grid", O.query(O.PANELS, _PANEL_SQL, select="SELECT ow AS o_width, oh AS o_height, round(or0, 6) AS ra, round(od0, 6) AS dec, round(of * 1000, 6) AS step FROM grid"))(
+    lambda s, d: M.output_grid(V.nation_panels(s, d)[1]).select("o_width", "o_height", F.col("o_crval")[0].alias("ra"), F.col("o_crval")[1].alias("dec"), (F.col("o_cd")[3] * 1000).alias("step"))
 )
-query("mosaic_blend", O.query(*_MOSAIC, select="SELECT oy::INT AS y, ox::INT AS x, c, round(coalesce(sum(v * w) / nullif(sum(w), 0), 0), 6) AS v FROM rep GROUP BY ALL"))(lambda s, d: M.build_mosaic(*_panels(s, d)))
+query("mosaic_blend", O.query(*_MOSAIC, select="SELECT oy::INT AS y, ox::INT AS x, c, round(coalesce(sum(v * w) / nullif(sum(w), 0), 0), 6) AS v FROM rep GROUP BY ALL"))(lambda s, d: M.build_mosaic(*V.nation_panels(s, d)))
 
 # Selections and sets.
 
-query("top_stars", O.query(O.SYNTH, select="SELECT frame_id, c, y, x, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, c ORDER BY v DESC, y, x) AS rank FROM px) WHERE rank <= 60"))(
-    lambda s, d: sets.top_k(V.synth_px(s).select("frame_id", "c", "y", "x", "v"), ["frame_id", "c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
+query("top_stars", O.query(O.SKY, select="SELECT frame_id, c, y, x, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, c ORDER BY v DESC, y, x) AS rank FROM px) WHERE rank <= 60"))(
+    lambda s, d: sets.top_k(V.sky_px(s, d).select("frame_id", "c", "y", "x", "v"), ["frame_id", "c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
 )
 query("kth_pedestal", O.query(O.LINE, select="SELECT frame_id, c, round(list_sort(list(v))[count(*) // 100 + 1], 6) AS pedestal FROM px GROUP BY ALL"))(lambda s, d: B.kth_smallest(V.line_px(s, d), ["frame_id", "c"], per=100))
 query("ordered_distinct", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(
@@ -467,7 +468,7 @@ query("moment_psf", O.query(O.MONO, "pk AS MATERIALIZED (" + O.maxima("mono", "p
 query("psf_fit")(lambda s, d: psf.fit_stars(_mono(s, d).drop("c"), SYNTH_SIZE))
 query("frame_psf")(lambda s, d: psf.frame_psf(_mono(s, d).drop("c"), SYNTH_SIZE))
 for _name in P.DENOISE:
-    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.synth_px(s), k, tile=32))
+    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.sky_px(s, d), k, tile=32))
 
 
 # A shift by whole pixels is undone: each frame has the first one's values where both reach.

@@ -30,8 +30,24 @@ SYNTH = """px AS MATERIALIZED (
          ((i * 7919 + 104729 + f * 613) % 1009 / 1009 * 2e-2 + (2 * x + y) / 192 * 1e-1 + s) * (10 - 2 * c) / 10 AS v
   FROM grid JOIN light USING (i), range(3) r(c))"""
 SYNTH_FRAMES = SYNTH.replace("SELECT 0 AS f", "SELECT s_suppkey::INT AS f FROM supplier")
-MONO = SYNTH + ", mono AS MATERIALIZED (SELECT stack_id, frame_id, y, x, 0 AS c, v FROM px WHERE c = 0)"
-MONO_FRAMES = MONO.replace(SYNTH, SYNTH_FRAMES)
+SKY = """px AS MATERIALIZED (
+  WITH grid AS (SELECT i, (i // 64)::INT AS y, (i % 64)::INT AS x FROM range(4096) t(i)),
+  lines AS (SELECT (l_orderkey % 64)::INT AS y, (l_partkey % 64)::INT AS x, sum(round(l_extendedprice * 100)::BIGINT) / (count(*) * 1e2) / 104729 AS noise FROM lineitem GROUP BY ALL),
+  stars AS (SELECT (n_nationkey * 23 + 7) % 64 AS sx, (n_nationkey * 41 + 11) % 64 AS sy, (n_regionkey + 1) / 10 AS a FROM nation),
+  light AS (SELECT i, sum(CASE WHEN (x-sx)*(x-sx) + (y-sy)*(y-sy) <= 25 THEN a / (1e0 + (x-sx)*(x-sx) + (y-sy)*(y-sy)) ELSE 0 END) AS s
+            FROM grid, stars GROUP BY i)
+  SELECT 0 AS stack_id, 0 AS frame_id, grid.y, grid.x, c::INT AS c,
+         ((i * 7919 + 104729) % 1009 / 1009 * 2e-2 + coalesce(noise, 0) * 2e-2 + (2 * grid.x + grid.y) / 192 * 1e-1 + s) * (10 - 2 * c) / 10 AS v
+  FROM grid JOIN light USING (i) LEFT JOIN lines ON lines.y = grid.y AND lines.x = grid.x, range(3) r(c))"""
+_RED = ", mono AS MATERIALIZED (SELECT stack_id, frame_id, y, x, 0 AS c, v FROM px WHERE c = 0)"
+MONO, MONO_FRAMES = SKY + _RED, SYNTH_FRAMES + _RED
+PANELS = """panels AS MATERIALIZED (
+  SELECT n_nationkey AS panel_id, 24 AS width, 24 AS height, 12e0 AS px0, 12e0 AS px1, 150 - (n_nationkey % 5) * 2e-2 AS r0, 20 + (n_nationkey // 5) * 2e-2 AS d0,
+         -1e-3 AS a, (n_nationkey % 3 - 1) * 2e-5 AS b, (n_nationkey % 3 - 1) * 2e-5 AS e, 1e-3 AS f FROM nation),
+px AS MATERIALIZED (
+  SELECT panel_id, y, x, 0 AS c, coalesce(v, 0) AS v FROM (SELECT panel_id, y::INT AS y, x::INT AS x FROM panels, range(24) q(y), range(24) u(x))
+  LEFT JOIN (SELECT s_nationkey AS panel_id, (l_orderkey % 24)::INT AS y, (l_partkey % 24)::INT AS x, sum(round(l_extendedprice * 100)::BIGINT) / (count(*) * 1e2) / 104729 AS v
+             FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL) USING (panel_id, y, x))"""
 REJECT = f"""pr AS MATERIALIZED (
   SELECT p.stack_id, frame_id, p.y, p.x, p.c,
          CASE WHEN nf < 3 OR v <= med + 10 * greatest(1.4826 * dev, 1e-10) THEN v END AS v

@@ -66,6 +66,44 @@ def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_S
     return out.select(F.lit(0).alias("stack_id"), "frame_id", "y", "x", "c", (F.col("t") * (10 - F.col("c") * 2) / 10.0).alias("v"))
 
 
+def sky_px(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> DataFrame:
+    """One RGB frame of tables: order lines give each pixel its noise, nations are stars; hashed noise and a gradient besides."""
+    i = F.col("id")
+    grid = spark.range(side * side).select("id", (i / side).cast("int").alias("y"), (i % side).cast("int").alias("x"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % side).cast("int").alias("y"), (F.col("l_partkey") % side).cast("int").alias("x"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    noise = lines.groupBy("y", "x").agg((F.sum("cents") / (F.count("cents") * 100.0) / PRICE_UNIT).alias("noise"))
+    k, span = F.col("n_nationkey"), F.sequence(F.lit(-5), F.lit(5))
+    stars = table(spark, sf_dir, "nation").select(((k * 41 + 11) % side).alias("sy"), ((k * 23 + 7) % side).alias("sx"), ((F.col("n_regionkey") + 1) / 10).alias("a"))
+    near = stars.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span)).withColumn("d", F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).filter(F.col("d") <= 25)
+    light = near.groupBy((F.col("sy") + F.col("dy")).alias("y"), (F.col("sx") + F.col("dx")).alias("x")).agg(F.sum(F.col("a") / (1.0 + F.col("d"))).alias("light"))
+    seen = grid.join(noise, ["y", "x"], "left").join(light, ["y", "x"], "left")
+    total = F.pmod(i * 7919 + 104729, F.lit(1009)) / 1009.0 * 0.02 + F.coalesce("noise", F.lit(0.0)) * 0.02 + (F.col("x") * 2 + F.col("y")) / (3.0 * side) * 0.1 + F.coalesce("light", F.lit(0.0))
+    out = seen.select("y", "x", total.alias("t")).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return out.select(F.lit(0).alias("stack_id"), F.lit(0).alias("frame_id"), "y", "x", "c", (F.col("t") * (10 - F.col("c") * 2) / 10.0).alias("v"))
+
+
+def sky_mosaic(spark: SparkSession, sf_dir: str, pattern: str = "RGGB") -> DataFrame:
+    """``sky_px`` as a sensor with a colour filter sees it: one value a pixel."""
+    from ..operators.neighbours import site_colour
+
+    return sky_px(spark, sf_dir).filter(F.col("c") == site_colour(F.col("y"), F.col("x"), pattern)).withColumn("c", F.lit(0))
+
+
+def nation_panels(spark: SparkSession, sf_dir: str, side: int = 24) -> tuple[DataFrame, DataFrame]:
+    """``px`` and ``panels``: a panel for each nation, five a row on the sky with some overlap and a little turned, whose
+    pixels are the order lines of its suppliers; a pixel without a line is 0."""
+    k = F.col("n_nationkey")
+    centre = F.array(150 - (k % 5) * 0.02, 20 + F.floor(k / 5) * 0.02)
+    turn = (k % 3 - 1) * 0.00002
+    panels = table(spark, sf_dir, "nation").select(
+        k.alias("panel_id"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.array(F.lit(side / 2), F.lit(side / 2)).alias("crpix"), centre.alias("crval"), F.array(F.lit(-0.001), turn, turn, F.lit(0.001)).alias("cd"))
+    of = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("panel_id"))
+    lines = table(spark, sf_dir, "lineitem").join(of, "l_suppkey").select("panel_id", (F.col("l_orderkey") % side).cast("int").alias("y"), (F.col("l_partkey") % side).cast("int").alias("x"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    found = lines.groupBy("panel_id", "y", "x").agg((F.sum("cents") / (F.count("cents") * 100.0) / PRICE_UNIT).alias("v"))
+    places = panels.select("panel_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    return places.join(found, ["panel_id", "y", "x"], "left").select("panel_id", "y", "x", F.lit(0).alias("c"), F.coalesce("v", F.lit(0.0)).alias("v")), panels
+
+
 def synth_shifted(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> DataFrame:
     """The first made-up frame as each supplier sees it, up to 3 pixels aside; the first is not shifted."""
     first = synth_px(spark, side=side).drop("frame_id")
