@@ -75,7 +75,8 @@ def search(
     2. The heads of the lists, ``top`` postings each, give partial sums; exact scores of the ``probes`` best documents
        of each item give a bound from below, that of the ``top``-th of them.
     3. A document among the best holds a part of at least that bound over the number of the item's lists.  All such
-       postings are read; what a document may have besides is bounded by the threshold and by the best of each list.
+       postings are read and go to their documents, each once for all items; what a document may have besides is
+       bounded by the threshold and by the best of each list, and those that cannot reach the bound go at once.
     4. Documents that can still reach the bound get their exact scores by a join with their counts.
 
     Nothing is left out: ``probes`` only bears on how soon lists end.  Equal scores rank by ascending id (null ids
@@ -109,9 +110,12 @@ def search(
     weight = F.floor(1000 * F.log((F.lit(2 * docs_n + 2) / (2 * F.col("df") + 1)).cast("double")))
     weights = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", weight.alias("w"))
     asked = scratch.store(asked.join(scratch.store(weights, "weights"), "term").filter(F.col("w") > 0), "weighted")
-    each = counts.select("row", "n", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("row", "n", "t.terms", "t.tf").withColumnRenamed("terms", "term")
     part = _score(docs_n, total)
-    postings = each.join(asked.select("term", "w").distinct(), "term").select("term", part.alias("part"), "row")
+
+    def each(of: DataFrame) -> DataFrame:
+        return of.select("row", "n", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("row", "n", F.col("t.terms").alias("term"), "t.tf")
+
+    postings = each(counts).join(asked.select("term", "w").distinct(), "term").select("term", part.alias("part"), "row")
     postings = scratch.store(postings.repartitionByRange("term", "part", "row").sortWithinPartitions("term", F.desc("part"), "row"), "postings")
 
     heads = postings.withColumn("at", F.row_number().over(W.partitionBy("term").orderBy(F.desc("part"), "row"))).filter(F.col("at") <= top)
@@ -120,8 +124,8 @@ def search(
 
     def exact(pairs: DataFrame) -> DataFrame:
         """Scores of (item, row) pairs, from the counts of their documents."""
-        near = each.join(pairs.select("row").distinct(), "row", "left_semi").join(pairs, "row")
-        return near.join(asked, ["item", "term"]).groupBy("item", "row").agg(F.sum(part).alias("score"))
+        near = each(counts.join(pairs.select("row").distinct(), "row", "left_semi"))
+        return near.join(pairs, "row").join(asked, ["item", "term"]).groupBy("item", "row").agg(F.sum(part).alias("score"))
 
     sums = heads.join(asked.select("item", "term"), "term").groupBy("item", "row").agg(F.sum("part").alias("sum"))
     probed = scratch.store(_best(sums, [F.desc("sum"), F.col("row")], probes).select("item", "row"), "probes")
@@ -130,14 +134,17 @@ def search(
     bars = bars.withColumn("bar", F.expr("(bound + lists - 1) div lists"))
     lists = lists.join(bars, "item").withColumn("rest", F.greatest(F.least(F.col("bar") - 1, "most"), F.lit(0)))
     lists = scratch.store(lists.select("item", "term", "bar", "bound", "rest"), "lists")
-    whole = lists.groupBy("item", "bound").agg(F.sum("rest").alias("rests"))
 
+    # A posting that is high enough for any item goes to its document; items are met there, without another shuffle.
     least = lists.groupBy("term").agg(F.min("bar").alias("least"))
-    high = postings.join(least, "term").filter(F.col("part") >= F.col("least")).drop("least")
+    high = postings.join(least, "term").filter(F.col("part") >= F.col("least")).select("row", "term", "part").repartition("row")
     high = high.join(lists.select("item", "term", "bar", "rest"), "term").filter(F.col("part") >= F.col("bar"))
-    seen = scratch.store(high.groupBy("item", "row").agg(F.sum("part").alias("sum"), F.sum(F.col("part") - F.col("rest")).alias("over")), "seen")
+    seen = high.groupBy("item", "row").agg(F.sum("part").alias("sum"), F.sum(F.col("part") - F.col("rest")).alias("over"))
+    whole = lists.groupBy("item", "bound").agg(F.sum("rest").alias("rests"))
+    seen = seen.join(whole, "item").withColumn("most", F.col("over") + F.col("rests")).filter(F.col("most") >= F.col("bound"))
+    seen = scratch.store(seen.select("item", "row", "sum", "most"), "seen")
     again = _best(seen, [F.desc("sum"), F.col("row")], top).filter(F.col("rank") == top).select("item", F.col("sum").alias("again"))
-    open_rows = seen.join(whole, "item").join(again, "item", "left").filter(F.col("over") + F.col("rests") >= F.greatest("bound", "again"))
+    open_rows = seen.join(again, "item", "left").filter(F.col("most") >= F.coalesce("again", F.lit(0)))
     open_rows = scratch.store(open_rows.select("item", "row"), "open")
 
     scores = exact(open_rows).filter(F.col("score") > 0)
