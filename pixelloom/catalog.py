@@ -112,6 +112,24 @@ query("dark_scale", O.query(O.LINE, _MASTERS, select="SELECT frame_id, round(k,
 query("calibrate_light", O.query(O.LINE, _MASTERS, select="""SELECT stack_id, frame_id, y, x, c, round((v - k * coalesce(d, 0)) / CASE WHEN f > 0.01 THEN f ELSE 1 END, 6) AS v
   FROM px JOIN scale USING (frame_id) LEFT JOIN dark USING (y, x, c) LEFT JOIN flat USING (y, x, c)"""))(lambda s, d: C.calibrate(*_parts(s, d), least=100))
 
+# A mono dark of 24 x 24 and a colour flat of 40 x 40, made of other frames, are brought to the size of the lights.
+_SMALL = """small AS MATERIALIZED (SELECT y % 24 AS y, x % 24 AS x, 0 AS stack_id, 0 AS frame_id, 0 AS c, avg(v) AS v FROM px WHERE frame_id < 3 GROUP BY ALL),
+large AS MATERIALIZED (SELECT y + 8 * d AS y, x + 8 * d AS x, 0 AS stack_id, 0 AS frame_id, c, avg(v) AS v FROM px, range(2) r(d) WHERE frame_id IN (3, 4) GROUP BY ALL),
+dark AS (SELECT y, x, v AS d FROM ({small})), flat AS (SELECT y, x, c, v / (SELECT avg(v) FROM large) AS f FROM ({large})),
+pair AS (SELECT frame_id, v, d FROM px JOIN dark USING (y, x) WHERE frame_id > 4 AND v > 0 AND d > 0),
+fit AS (SELECT frame_id, CASE WHEN any_value(n) >= 100 AND count(*) >= 100 AND var_pop(d) >= 1e-6 THEN least(greatest(regr_slope(v, d), 0.5), 2) ELSE 1 END AS k
+  FROM pair JOIN (SELECT frame_id, quantile_cont(v, 0.4) AS cut, count(*) AS n FROM pair GROUP BY 1) USING (frame_id) WHERE v <= cut GROUP BY 1)"""
+
+
+def _other_sizes(s: SparkSession, d: str) -> DataFrame:
+    px = V.line_px(s, d)
+    dark = px.filter("frame_id < 3").groupBy((F.col("y") % 24).alias("y"), (F.col("x") % 24).alias("x")).agg(F.avg("v").alias("v"))
+    moved = px.filter("frame_id in (3, 4)").withColumn("d", F.explode(F.array(F.lit(0), F.lit(8)))).select((F.col("y") + F.col("d")).alias("y"), (F.col("x") + F.col("d")).alias("x"), "c", "v")
+    large = moved.groupBy("y", "x", "c").agg(F.avg("v").alias("v"))
+    flat = large.crossJoin(F.broadcast(large.agg(F.avg("v").alias("mean")))).select("y", "x", "c", (F.col("v") / F.col("mean")).alias("v"))
+    return C.calibrate(px.filter("frame_id > 4"), dark, flat, least=100)
+
+
 # Neighbourhoods.
 
 _IMAGE = "img AS MATERIALIZED (SELECT stack_id, 0 AS frame_id, y, x, c, avg(v) AS v FROM px GROUP BY ALL)"
@@ -137,15 +155,19 @@ def _axis(n: int, to: int) -> str:
     return f"(SELECT o, ({low} + k)::INT AS i, CASE k WHEN 0 THEN 1 - ({at} - {low}) ELSE {at} - {low} END AS w FROM range({to}) a(o), range(2) b(k))"
 
 
-def _resized(source: str, n: int, h: int, w: int) -> str:
+def _resized(source: str, n: int, h: int, w: int, rounded: bool = True) -> str:
     y = f"(SELECT {IMG}, x, o::INT AS y, sum(w * v) / sum(w) AS v FROM {source} JOIN {_axis(n, h)} ON y = i WHERE w > 0 GROUP BY ALL)"
-    return f"SELECT {IMG}, y, o::INT AS x, round(sum(w * v) / sum(w), 6) AS v FROM {y} JOIN {_axis(n, w)} ON x = i WHERE w > 0 GROUP BY ALL"
+    value = "round(sum(w * v) / sum(w), 6)" if rounded else "sum(w * v) / sum(w)"
+    return f"SELECT {IMG}, y, o::INT AS x, {value} AS v FROM {y} JOIN {_axis(n, w)} ON x = i WHERE w > 0 GROUP BY ALL"
 
 
 query("resize_bilinear", O.query(O.LINE, _IMAGE, select=_resized("img", 32, 48, 40)))(lambda s, d: N.resize(_image(s, d), LINE_SIZE, (48, 40)))
 query("zoom_before_solve", O.query(O.LINE, _IMAGE, select=_resized("(SELECT stack_id, frame_id, y, x, 0 AS c, avg(v) AS v FROM img GROUP BY ALL)", 32, 38, 38)))(
     lambda s, d: N.resize(_image(s, d).groupBy("stack_id", "frame_id", "y", "x").agg(F.lit(0).alias("c"), F.avg("v").alias("v")), LINE_SIZE, (38, 38))
 )
+query("calibrate_other_sizes", O.query(O.LINE, _SMALL.replace("{small}", _resized("small", 24, 32, 32, False)).replace("{large}", _resized("large", 40, 32, 32, False)), select="""SELECT stack_id, frame_id, y, x, c,
+  round((v - coalesce(k, 1) * coalesce(d, 0)) / CASE WHEN f > 0.01 THEN f ELSE 1 END, 6) AS v
+  FROM (SELECT * FROM px WHERE frame_id > 4) LEFT JOIN fit USING (frame_id) LEFT JOIN dark USING (y, x) LEFT JOIN flat USING (y, x, c)"""))(lambda s, d: _other_sizes(s, d))
 _ZOOMED = """zy(o, i, w) AS ({0}), zx(o, i, w) AS ({1}),
 down AS (SELECT stack_id, frame_id, c, x, o AS y, sum(w * v) / sum(w) AS v FROM full_img JOIN zy ON y = i GROUP BY ALL)"""
 query("zoom_cubic", O.query(O.LINE, _IMAGE, "full_img AS (SELECT 0 AS stack_id, 0 AS frame_id, y, x, c, coalesce(v, 0.5) AS v FROM (SELECT y::INT AS y, x::INT AS x, c FROM range(32) a(y), range(32) b(x), (SELECT unnest([0, 1, 2]) AS c)) LEFT JOIN img USING (y, x, c))",
@@ -479,6 +501,14 @@ def _aligned(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy("stack_id", "frame_id", "c").agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("v"))
 
 
+# Two stacks of different stars whose frames have the same ids: each is matched to its own first frame.
+@query("align_stacks", O.query(O.SYNTH.replace("SELECT 0 AS f", "SELECT unnest([0, 17]) AS f"), select="""SELECT s AS stack_id, f AS frame_id, c, count(v) AS n, round(sum(v), 3) AS v FROM (
+  SELECT (s_suppkey % 2)::INT AS s, (s_suppkey // 2)::INT AS f FROM supplier) k JOIN px ON px.frame_id = 17 * s AND y + f * 3 % 4 < 64 AND x - f * 5 % 4 >= 0 GROUP BY ALL"""))
+def _aligned_stacks(s: SparkSession, d: str) -> DataFrame:
+    out = registration.align_frames(V.synth_stacks(s, d), SYNTH_SIZE)[0]
+    return out.groupBy("stack_id", "frame_id", "c").agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("v"))
+
+
 # The same kernels over many frames, one for each supplier, summed up by frame: their work grows with the table.
 
 _sums = lambda df: df.groupBy("stack_id", "frame_id").agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("v"))

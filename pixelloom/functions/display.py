@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import MAD_SCALE, let, mad_sigma
+from ..sources.stage import staged
+from .stats import let, mad_sigmas, quantiles
 
 #: Shadows lie so many deviations below the median, highlights at this quantile.
 SHADOW_SIGMAS, HIGHLIGHT = 2.8, 0.999
@@ -37,7 +38,9 @@ def luminance(px: DataFrame, keys: list[str]) -> DataFrame:
 def stretch_params(px: DataFrame, keys: list[str], target: float = 0.25) -> DataFrame:
     """``keys, shadow, high, midtone``: from the valid values of each image; the midtone of one without a range is the
     target, and one without a valid value has the range 0 to 1."""
-    sums = px.groupBy(*keys).agg(F.median("v").alias("med"), mad_sigma(F.col("v")).alias("sigma"), F.min("v").alias("low"), F.percentile("v", HIGHLIGHT).alias("high"))
+    px = staged(px.select(*keys, "v"), "to-stretch")  # read for its ends, ranks and deviations
+    ranks = staged(quantiles(px, keys, "v", 0.5, HIGHLIGHT).select(*keys, F.col("q0").alias("ranked"), F.col("q1").alias("high")), "ranks")
+    sums = px.groupBy(*keys).agg(F.min("v").alias("low")).join(ranks, keys, "left").join(mad_sigmas(px, keys, "v", ranks.drop("high")), keys, "left").withColumnRenamed("ranked", "med")
     shadow = F.greatest(F.col("med") - F.col("sigma") * SHADOW_SIGMAS, F.col("low"))
     out = sums.withColumn("shadow", shadow)
     centre = _clip(F.try_divide(F.col("med") - F.col("shadow"), F.col("high") - F.col("shadow")), 0.001, 0.999)
@@ -64,10 +67,10 @@ def auto_stretch(px: DataFrame, keys: list[str], target: float = 0.25, colour: b
 
 def linear_stretch(px: DataFrame, keys: list[str]) -> DataFrame:
     """Bytes between the 0.5 % and 99.5 % quantiles."""
-    ends = px.groupBy(*keys).agg(F.percentile("v", 0.005).alias("low"), F.percentile("v", 0.995).alias("top"))
+    ends = quantiles(px, keys, "v", 0.005, 0.995).select(*keys, F.col("q0").alias("low"), F.col("q1").alias("top"))
     scaled = _clip((F.col("v") - F.col("low")) / (F.col("top") - F.col("low")), 0.0, 1.0)
     value = F.when((F.col("top") > F.col("low")) & F.col("v").isNotNull(), to_byte(scaled)).otherwise(0)
-    return px.join(ends, keys).withColumn("v", value).select(*px.columns)
+    return px.join(ends, keys, "left").withColumn("v", value).select(*px.columns)
 
 
 def histogram(px: DataFrame, keys: list[str], bins: int = 256, limits: tuple[float, float] | None = None) -> DataFrame:
@@ -87,7 +90,8 @@ def shown(histogram: DataFrame) -> DataFrame:
 
 
 def image_stats(px: DataFrame, keys: list[str]) -> DataFrame:
-    return px.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("top"), F.avg("v").alias("mean"), F.median("v").alias("median"))
+    sums = px.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("top"), F.avg("v").alias("mean"))
+    return sums.join(quantiles(px, keys, "v", 0.5).withColumnRenamed("ranked", "median"), keys, "left")
 
 
 def moffat_kernel(fwhm: float, beta: float = 3.5, size: int = 0) -> Column:

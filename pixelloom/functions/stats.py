@@ -91,37 +91,67 @@ def sky_level(values: Column, sigma: float = 3.0, rounds: int = 3, least: int =
     return median_of(_repeat(F.struct(values.alias("kept"), F.lit(False).alias("done")), rounds, step)["kept"])
 
 
-def mad_sigma(values: Column) -> Column:
-    """Aggregate: MAD deviation of a group, NULL where it is empty."""
-    return let(F.array_sort(F.collect_list(values)), lambda a: let(median_of(a), lambda m: mad_of(a, m))) * MAD_SCALE
-
-
 #: Parts into which the values of a group are dealt to find one of a given rank: a power of two.
 PARTS = 32
 
 
-def ranked(rows: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
-    """``keys, ranked``: the mean of the valid values at some ranks (an array of them, from 0, by the number of values).
+def weighted_ranks(rows: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """``keys, n, at``: the number of valid values, and an array with the value at each rank that ``ranks`` names (an
+    array of them, from 0, by the number of values; NULL beyond it).  Groups without a valid value give no row.
 
-    No group is sorted whole: its values are dealt to ``PARTS`` parts of about equal number, by approximate quantiles
-    that are merged before the shuffle; the parts are counted, and only those that hold a wanted rank are sorted, each
-    by a task of its own.  The result is exact.  ``rows`` is read three times, so it should be cheap to read.
+    No group is sorted whole and none is gathered: values are counted first, with partial sums, so that equal ones are
+    one row however many there are; then the distinct values are dealt to ``PARTS`` parts by approximate quantiles,
+    which are merged before the shuffle, the parts' counts are summed, and only the parts that hold a wanted rank are
+    walked by running sums, each by a task of its own.  The result is exact.  The counts are stored.
     """
     valid = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
+    counted = staged(valid.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("times")), "counted")
     shares = [i / PARTS for i in range(1, PARTS)]
-    ends = valid.groupBy(*keys).agg(F.percentile_approx("value", shares, 1000).alias("ends"), F.count(F.lit(1)).alias("n"))
-    dealt = valid.join(ends, keys).withColumn("part", F.lit(0))
+    ends = counted.groupBy(*keys).agg(F.percentile_approx("value", shares, 1000).alias("ends"), F.sum("times").alias("n"))
+    dealt = counted.join(ends, keys).withColumn("part", F.lit(0)) if keys else counted.crossJoin(F.broadcast(ends)).withColumn("part", F.lit(0))
     for step in (PARTS >> i for i in range(1, PARTS.bit_length())):  # bisection
         beyond = F.when(F.col("value") > F.get("ends", F.col("part") + step - 1), step).otherwise(0)
         dealt = dealt.withColumn("part", F.col("part") + beyond)
     dealt = dealt.drop("ends")
-    counts = dealt.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    counts = dealt.groupBy(*keys, "part").agg(F.sum("times").alias("m"), F.first("n").alias("n"))
     counts = counts.withColumn("before", F.sum("m").over(Window.partitionBy(*keys).orderBy("part")) - F.col("m"))  # at most PARTS rows a group
-    wanted = counts.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
-    wanted = wanted.groupBy(*keys, "part", "before").agg(F.collect_set("rank").alias("ranks"))
+    asked = counts.select(*keys, "part", "n", "before", "m", F.posexplode(ranks(F.col("n"))).alias("place", "rank"))
+    asked = asked.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
+    wanted = asked.groupBy(*keys, "part", "before").agg(F.collect_list(F.struct("place", "rank")).alias("ranks"))
     inside = dealt.drop("n").join(wanted, [*keys, "part"])
-    at = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("value")) - 1 + F.col("before")
-    return inside.withColumn("at", at).filter(F.array_contains("ranks", F.col("at"))).groupBy(*keys).agg(F.avg("value").alias("ranked"))
+    upto = F.sum("times").over(Window.partitionBy(*keys, "part").orderBy("value")) + F.col("before")
+    met = inside.withColumn("upto", upto).withColumn("ranks", F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("times"))))
+    met = met.filter(F.size("ranks") > 0).select(*keys, F.explode("ranks").alias("r"), "value").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r.place", "value"))).alias("found"))
+    most = ends.select(*keys, "n", F.size(ranks(F.col("n"))).alias("size"))
+    met = most.join(met, keys, "left") if keys else most.crossJoin(F.broadcast(met))
+    return met.select(*keys, "n", F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.try_element_at("found", i)).alias("at"))
+
+
+def ranked(rows: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """``keys, ranked``: the mean of the valid values at some ranks (an array of them, from 0, by the number of values)."""
+    found = weighted_ranks(rows, keys, value, lambda n: F.array_distinct(ranks(n)))
+    mean = F.aggregate("at", F.lit(0.0), lambda t, v: t + v) / F.size("at")
+    return found.select(*keys, mean.alias("ranked"))
+
+
+def between(n: Column, share: float) -> Column:
+    """The two ranks (from 0) that a quantile lies between, as ``percentile`` interpolates."""
+    at = (n - 1) * F.lit(float(share))
+    return F.array(F.floor(at), F.ceil(at))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, *shares: float) -> DataFrame:
+    """``keys`` and exact quantiles of large groups, linear between ranks: ``ranked`` for one share, else ``q0, q1, ...``."""
+    found = weighted_ranks(rows, keys, value, lambda n: F.concat(*[between(n, s) for s in shares]))
+
+    def one(k: int) -> Column:
+        at = (F.col("n") - 1) * F.lit(float(shares[k]))
+        low, high = F.get("at", F.lit(2 * k)), F.get("at", F.lit(2 * k + 1))
+        part = at - F.floor(at)
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    names = ["ranked"] if len(shares) == 1 else [f"q{k}" for k in range(len(shares))]
+    return found.select(*keys, *[one(k).alias(name) for k, name in enumerate(names)])
 
 
 def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -129,8 +159,9 @@ def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return ranked(rows, keys, value, lambda n: F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
 
 
-def mad_sigmas(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, sigma``: MAD deviations of large groups, as ``mad_sigma`` gives them for small ones."""
-    off = rows.join(medians(rows, keys, value), keys).select(*keys, F.abs(F.col(value) - F.col("ranked")).alias("off"))
-    off = staged(off, "deviations")  # read three times
+def mad_sigmas(rows: DataFrame, keys: list[str], value: str, centres: DataFrame | None = None) -> DataFrame:
+    """``keys, sigma``: MAD deviations of large groups, 0 for a constant one, about their medians
+    (``centres`` where they are known: ``keys, ranked``)."""
+    centres = medians(rows, keys, value) if centres is None else centres
+    off = rows.join(centres, keys).select(*keys, F.abs(F.col(value) - F.col("ranked")).alias("off"))
     return medians(off, keys, "off").select(*keys, (F.col("ranked") * MAD_SCALE).alias("sigma"))

@@ -23,7 +23,8 @@ def cell_sky(px: DataFrame, size: tuple[int, int], grid: int = 6, keys: list[str
     found = cells.agg(F.array_sort(F.collect_list(F.when(F.col("v") > 0, F.col("v")))).alias("pos"), F.median("v").alias("all"))
     sky = F.when(F.size("pos") < 5, F.coalesce("all", F.lit(0.0))).otherwise(S.sky_level(F.col("pos")))
     rows, columns = grid_size(size, grid)
-    whole = px.groupBy(*keys).agg(F.median("v").alias("whole")).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    middle = S.medians(px, keys, "v").withColumnRenamed("ranked", "whole")
+    whole = px.select(*keys).distinct().join(middle, keys, "left").withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     out = whole.withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).join(found.withColumn("sky", sky), [*keys, "cy", "cx"], "left")
     return out.select(*keys, F.col("cy").alias("y"), F.col("cx").alias("x"), F.when(F.col("sky") > 0, F.col("sky")).otherwise(F.col("whole")).alias("v"))
 
@@ -68,7 +69,7 @@ def remove_gradient(px: DataFrame, size: tuple[int, int], grid: int = 6, colour:
         return _shifted(flat.join(kth_smallest(flat, IMAGE), IMAGE))
     light = staged(flat.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v")), "light")
     shifted = _shifted(flat.join(kth_smallest(light, FRAME), FRAME))
-    sky = corners(shifted, size).filter(F.col("v") >= 0).groupBy(*IMAGE).agg(F.median("v").alias("sky"))
+    sky = S.medians(corners(shifted, size).filter(F.col("v") >= 0), IMAGE, "v").withColumnRenamed("ranked", "sky")
     sky = shifted.select(*IMAGE).distinct().join(sky, IMAGE, "left").withColumn("sky", F.coalesce("sky", F.lit(0.0)))
     darkest = sky.groupBy(*FRAME).agg(F.min("sky").alias("least"))
     out = shifted.join(sky.join(darkest, FRAME), IMAGE)

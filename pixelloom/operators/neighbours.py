@@ -167,6 +167,43 @@ def along(px: DataFrame, axis: str, weights: dict[tuple[int, int], float], keys:
     return along_lines(px, axis, side, to, kernel, keys, carry)
 
 
+#: Filters of a larger radius go through a Fourier transform.
+DIRECT_RADIUS = 24
+
+
+def smoothed(taps: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A kernel for ``along_lines``: a symmetric filter with the edges reflected.  No weight is kept for a pair of places:
+    lines are padded by their mirror and convolved, tap by tap where the filter is narrow, else by Fourier transforms."""
+    radius = len(taps) // 2
+
+    def convolved(lines: np.ndarray) -> np.ndarray:
+        wide = np.pad(lines, ((0, 0), (radius, radius)), mode="symmetric")
+        n = lines.shape[1]
+        if radius <= DIRECT_RADIUS:
+            out = taps[radius] * lines
+            for d in range(1, radius + 1):
+                out += taps[radius + d] * (wide[:, radius - d : radius - d + n] + wide[:, radius + d : radius + d + n])
+            return out
+        size = 1 << (wide.shape[1] + 2 * radius - 1).bit_length()
+        found = np.fft.irfft(np.fft.rfft(wide, size) * np.fft.rfft(taps, size), size)
+        return found[:, 2 * radius : 2 * radius + n]
+
+    def met(there: np.ndarray) -> np.ndarray:
+        """Whether any place of the window is there."""
+        sums = np.pad(np.pad(there, ((0, 0), (radius, radius)), mode="symmetric").astype(np.int64).cumsum(1), ((0, 0), (1, 0)))
+        return sums[:, 2 * radius + 1 :] > sums[:, : -2 * radius - 1]
+
+    def kernel(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        valid = np.isfinite(values)
+        total = convolved(np.where(valid, values, 0.0))
+        if valid.all():
+            return total, np.ones_like(valid)
+        good, seen = met(valid), convolved(valid.astype(float))
+        return np.where(good, total * (taps.sum() / np.where(good, seen, 1.0)), np.nan), met(there)
+
+    return kernel
+
+
 def largest_along(px: DataFrame, axis: str, side: int, distance: int, keys: list[str] = IMAGE, carry: str | None = None) -> DataFrame:
     """The largest value within ``distance`` along ``y`` or ``x``."""
 
@@ -185,8 +222,9 @@ def resize(px: DataFrame, size: tuple[int, int], to: tuple[int, int], order: int
 
 
 def gaussian_blur(px: DataFrame, size: tuple[int, int], sigma: float, keys: list[str] = IMAGE, carry: str | None = None) -> DataFrame:
-    taps = gaussian_taps(sigma)
-    return along(along(px, "y", folded(size[0], taps), keys, carry=carry), "x", folded(size[1], taps), keys, carry=carry)
+    kernel = smoothed(np.array(list(gaussian_taps(sigma).values())))
+    out = along_lines(px, "y", size[0], size[0], kernel, keys, carry)
+    return along_lines(out, "x", size[1], size[1], kernel, keys, carry)
 
 
 def site_colour(y: Column, x: Column, pattern: str) -> Column:

@@ -34,9 +34,12 @@ def reduce_stars(px: DataFrame, size: tuple[int, int], strength: float = 0.5, de
     and a far blur as background.  An image without peaks is unchanged."""
     if strength <= 0:
         return px
+    px = staged(px, "to-reduce")
     light = px.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v"))
     high = light.join(gaussian_blur(light, size, detect, FRAME).withColumnRenamed("v", "b"), [*FRAME, "y", "x"]).select(*FRAME, "y", "x", (F.col("v") - F.col("b")).alias("v"))
-    limits = high.groupBy(*FRAME).agg(F.greatest(F.median(F.abs("v")) * S.MAD_SCALE * 2.0, F.max("v") * 0.002).alias("limit"))
+    high = staged(high, "high-pass")  # read for its limits, its peaks and the places of the mask
+    spread = S.medians(high.withColumn("v", F.abs("v")), FRAME, "v")
+    limits = high.groupBy(*FRAME).agg(F.max("v").alias("top")).join(spread, FRAME, "left").select(*FRAME, F.greatest(F.col("ranked") * S.MAD_SCALE * 2.0, F.col("top") * 0.002).alias("limit"))
     peaks = local_maxima(high.join(limits, FRAME), size, 3, F.col("limit"), most)
     spots = high.select(*FRAME, "y", "x").join(peaks.select(*FRAME, "y", "x", F.lit(1.0).alias("v")), [*FRAME, "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     sigma = detect * mask

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import staged
@@ -17,8 +17,8 @@ FRAME = ["stack_id", "frame_id"]
 #: Control points tried one after the other, strict to relaxed, as (sigma, least area, most points).
 PROFILES = [(5.0, 5, 50), (3.0, 4, 80), (1.5, 3, 100)]
 NEIGHBOURS, TOLERANCE, CLOSE = 5, 0.1, 2.0
-#: Pairs of triangles, by likeness, after which an agreement that has been found is taken.
-TRIED = 2000
+#: Pairs of triangles, by likeness, after which an agreement of this share of the fewer sources is taken.
+TRIED, AGREED = 2000, 0.25
 
 
 def triangles(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def match(source: np.ndarray, target: np.ndarray) -> np.ndarray:
             pairs += [(float(np.abs(ti[j] - si[i]).sum()), i, j) for j in near]
     best, most = None, 0
     for k, (_, i, j) in enumerate(sorted(pairs)):
-        if k >= TRIED and most >= min(4, len(source)):
+        if k >= TRIED and most >= max(min(4, len(source)), AGREED * min(len(source), len(target))):
             break  # the pairs come by likeness: once some have agreed, later ones do not agree better
         m = similarity(source[sc[i]], target[tc[j]])
         if not 0.5 < np.hypot(m[0, 0], m[1, 0]) < 2:
@@ -108,24 +108,33 @@ def control_points(mono: DataFrame, size: tuple[int, int]) -> DataFrame:
     return lists.select(*FRAME, F.array(*[F.coalesce(f"p{k}", F.array().cast("array<array<double>>")) for k in range(len(PROFILES))]).alias("lists"))
 
 
-def transforms(points: DataFrame, target: list) -> DataFrame:
-    """``stack_id, frame_id, m, error``: the similarity (6 numbers, by rows) of each frame to the reference, or why there is none."""
+def reference_frames(frames: DataFrame, place: int = 0) -> DataFrame:
+    """``stack_id, frame_id``: in each stack the frame at a place in the order of ids, the last one where it has fewer."""
+    order = Window.partitionBy("stack_id").orderBy("frame_id")
+    ranks = frames.select(FRAME).distinct().withColumn("rank", F.row_number().over(order))  # one row a frame
+    return ranks.filter(F.col("rank") <= max(0, place) + 1).groupBy("stack_id").agg(F.max("frame_id").alias("frame_id"))
+
+
+def transforms(points: DataFrame) -> DataFrame:
+    """``stack_id, frame_id, m, error``: the similarity (6 numbers, by rows) of each frame with ``lists`` to its stack's
+    reference, whose lists are ``target``, or why there is none."""
 
     @F.pandas_udf("m array<double>, error string")
-    def found(lists: pd.Series) -> pd.DataFrame:
+    def found(lists: pd.Series, targets: pd.Series) -> pd.DataFrame:
         rows = []
-        for own_lists in lists:
+        arrays = lambda p: np.array([list(q) for q in p], float).reshape(-1, 2)
+        for own_lists, target in zip(lists, targets):
             error, m = "no sources", None
-            for own, theirs in zip(own_lists if own_lists is not None else [], target):
+            for own, theirs in zip(own_lists if own_lists is not None else [], target if target is not None else []):
                 try:
-                    m = match(np.array([list(p) for p in own], float).reshape(-1, 2), np.array(theirs, float).reshape(-1, 2)).ravel().tolist()
+                    m = match(arrays(own), arrays(theirs)).ravel().tolist()
                     break
                 except ValueError as e:
                     error = str(e)
             rows.append((m, None if m else error))
         return pd.DataFrame(rows, columns=["m", "error"])
 
-    return points.select(*FRAME, found("lists").alias("t")).select(*FRAME, "t.m", "t.error")
+    return points.select(*FRAME, found("lists", "target").alias("t")).select(*FRAME, "t.m", "t.error")
 
 
 def _tile_warper(size: tuple[int, int], tile: int) -> object:
@@ -145,17 +154,18 @@ def _tile_warper(size: tuple[int, int], tile: int) -> object:
 
 
 def align_frames(px: DataFrame, size: tuple[int, int], reference: int = 0, tile: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Frames warped onto the frame ``reference``, NULL or without a row outside of their footprint; and an error row for
-    each frame that could not be matched.
+    """Frames warped onto the reference of their own stack, NULL or without a row outside of their footprint; and an
+    error row for each frame that could not be matched.  The reference is the frame at the place ``reference`` in the
+    order of the stack's ids (its last one where it has fewer).
 
-    Sources are matched as short lists, one row a frame; those of the reference (at most 100 a profile) go with the task.
+    Sources are matched as short lists (at most 100 a profile), one row a frame, to which its stack's reference is joined.
     Pixels are then sent to the output tiles that they may reach, so that a task holds a tile and its surroundings.
     """
     mono = px.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v"))
     points = staged(control_points(mono, size), "points")
-    target = points.filter(F.col("frame_id") == reference).select("lists").first()
-    rows = mono.select(FRAME).distinct().join(points, FRAME, "left")
-    found = staged(transforms(rows, [[list(p) for p in own] for own in target["lists"]] if target else []), "transforms")
+    frames = staged(mono.select(FRAME).distinct(), "frames")
+    target = points.join(reference_frames(frames, reference), FRAME).select("stack_id", F.col("lists").alias("target"))
+    found = staged(transforms(frames.join(points, FRAME, "left").join(target, "stack_id", "left")), "transforms")
     plain = px.select(*[F.col(k).cast("int").alias(k) for k in ("stack_id", "frame_id", "y", "x", "c")], "v").join(found.filter("m is not null").drop("error"), FRAME)
     m = F.col("m")
     to_x, to_y = (m[i] * F.col("x") + m[i + 1] * F.col("y") + m[i + 2] for i in (0, 3))

@@ -55,9 +55,7 @@ def run(lights: DataFrame, size: tuple[int, int], config: Config, dark: DataFram
     if config.normalise:
         px = staged(background.local_normalise(px, size, colour), "normalised")
     if config.align:
-        chosen = px.select("frame_id").distinct().orderBy("frame_id").limit(max(0, config.reference) + 1).agg(F.max("frame_id")).first()[0]
-        if chosen is not None:
-            px = staged(registration.align_frames(px, size, chosen)[0], "aligned")
+        px = staged(registration.align_frames(px, size, config.reference)[0], "aligned")
     if config.drizzle:
         image, size = stacking.drizzle(px, config.scale, config.fraction), (size[0] * config.scale, size[1] * config.scale)
     elif config.method == "weighted":

@@ -48,11 +48,11 @@ def _supplier_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.repartition(4 * spark.sparkContext.defaultParallelism, "frame_id")
 
 
-def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, stars: int = 16) -> DataFrame:
+def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, stars: int = 16, frame: int = 0) -> DataFrame:
     """Made-up RGB frames: hashed noise, a gradient and planted stars, in rational arithmetic.  One frame for each
-    supplier of ``sf_dir``; without it the frame 0 alone."""
+    supplier of ``sf_dir``; without it ``frame`` alone."""
     f, i = F.col("frame_id"), F.col("id")
-    frames = _supplier_frames(spark, sf_dir) if sf_dir else spark.range(1).select(F.lit(0).alias("frame_id"))
+    frames = _supplier_frames(spark, sf_dir) if sf_dir else spark.range(1).select(F.lit(frame).alias("frame_id"))
     # Places of the stars are found once a frame and kept as doubles: the pixels' own code must stay short to be compiled.
     places = {f"{a}{k}": ((f * p + k * q + r) % side).cast("double") for k in range(stars) for a, p, q, r in (("sy", 3, 41, 11), ("sx", 5, 23, 7))}
     grid = frames.withColumns(places).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
@@ -114,6 +114,17 @@ def synth_shifted(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> D
     return moved.filter((F.col("y") < side) & (F.col("x") >= 0)).select("stack_id", "frame_id", "y", "x", "c", "v")
 
 
+def synth_stacks(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> DataFrame:
+    """Two stacks of different star fields with frame ids of their own, a frame for each supplier, up to 3 pixels aside."""
+    fields = synth_px(spark, side=side).unionAll(synth_px(spark, side=side, frame=17))
+    fields = fields.select(F.when(F.col("frame_id") == 17, 1).otherwise(0).alias("stack_id"), "y", "x", "c", "v")
+    key = F.col("frame_id")
+    frames = _supplier_frames(spark, sf_dir).select((key % 2).alias("stack_id"), F.floor(key / 2).cast("int").alias("frame_id"))
+    moved = fields.join(frames, "stack_id")  # a field of fixed size to each frame
+    moved = moved.withColumns({"y": F.col("y") + key * 3 % 4, "x": F.col("x") - key * 5 % 4})
+    return moved.filter((F.col("y") < side) & (F.col("x") >= 0)).select("stack_id", "frame_id", "y", "x", "c", "v")
+
+
 def synth_mosaic(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, pattern: str = "RGGB") -> DataFrame:
     """The made-up frames as a sensor with a colour filter sees them: one value a pixel."""
     from ..operators.neighbours import site_colour
