@@ -32,7 +32,8 @@ def add_sky(df: DataFrame, x: Column, y: Column, prefix: str = "", names: tuple[
     out = df.withColumns({"_dx": x + 1 - pix[0], "_dy": y + 1 - pix[1], "_d0": F.radians(val[1])})
     if prefix + "sip_a" in df.columns:
         off = lambda n: F.coalesce(F.aggregate(n, F.lit(0.0), lambda t, e: t + e["k"] * F.pow("_dx", e["p"]) * F.pow("_dy", e["q"])), F.lit(0.0))
-        out = out.withColumns({"_dx": F.col("_dx") + off(F.col(prefix + "sip_a")), "_dy": F.col("_dy") + off(F.col(prefix + "sip_b"))})
+        out = out.withColumn("_offx", off(F.col(prefix + "sip_a"))).withColumn("_offy", off(F.col(prefix + "sip_b")))  # both before either place moves
+        out = out.withColumn("_dx", F.col("_dx") + F.col("_offx")).withColumn("_dy", F.col("_dy") + F.col("_offy")).drop("_offx", "_offy")
     out = out.withColumns({"_xi": F.radians(F.col("_dx") * cd[0] + F.col("_dy") * cd[1]), "_eta": F.radians(F.col("_dx") * cd[2] + F.col("_dy") * cd[3])})
     out = out.withColumn("_below", F.cos("_d0") - F.col("_eta") * F.sin("_d0"))
     ra = F.pmod(val[0] + F.degrees(F.atan2("_xi", "_below")), F.lit(360.0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calibration
-from ..sources import fits
+from ..sources import images
 from ..sources.stage import staged
 from .pipeline import Config, run
 
@@ -65,7 +65,7 @@ def _bare(path: Column) -> Column:
 def frames_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Pixels of a list of files, ``stack_id, frame_id, y, x, c, v``: the frame is the place in the list."""
     names = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "frame_id int, name string")
-    px = fits.read_stored(spark, paths).join(F.broadcast(names), _bare(F.col("path")) == _bare(F.col("name")))  # as long as the list
+    px = images.load_images(spark, paths).join(F.broadcast(names), _bare(F.col("path")) == _bare(F.col("name")))  # as long as the list
     return px.select(F.lit(0).alias("stack_id"), "frame_id", "y", "x", "c", "v")
 
 
@@ -86,12 +86,12 @@ def run_session(spark: SparkSession, settings: dict[str, object], align: bool =
 
     def master(path: str, name: str, make: object) -> DataFrame | None:
         if path:
-            return fits.load_image(spark, path).select("y", "x", "c", "v")
+            return images.load_image(spark, path).select("y", "x", "c", "v")
         made = make()
         if made is None:
             return None
         made = staged(made, name)
-        fits.save_image(made, f"{folder}/{name}.fits")
+        images.save_image(made, f"{folder}/{name}.fits")
         return made
 
     frames = {r: frames_of(spark, p) if p else None for r, p in lists.items()}
@@ -102,5 +102,5 @@ def run_session(spark: SparkSession, settings: dict[str, object], align: bool =
     config = config_of(settings)
     config.align = align and len(lists["light_paths"]) > 1
     image = staged(run(lights, (ends[0] + 1, ends[1] + 1), config, dark, flat), "finished")
-    fits.save_image(image, out)
+    images.save_image(image, out)
     return out

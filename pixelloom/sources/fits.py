@@ -142,10 +142,6 @@ def typed(value: str) -> object:
     return value
 
 
-def header_lines(header: dict[str, object]) -> list[str]:
-    return [f"{k:<8} = {v!r}" for k, v in header.items() if k]
-
-
 def _batches(path: str, data: bytes) -> Iterator[pa.RecordBatch]:
     """The pixels of one file, row by row of the image, in batches of bounded size."""
     header, image = read_image(data)
@@ -308,21 +304,6 @@ def save_images(px: DataFrame, folder: str, fill: float = float("nan")) -> None:
     rows.select("path", "header", "height", "width", "channels", "y", "x", "c", "v").write.format("fits").option("fill", fill).mode("append").save(folder)
 
 
-def save_image(px: DataFrame, path: str, header: Column | None = None) -> None:
-    """Write one image (``y, x, c, v``) to ``path``, whose suffix names the format."""
-    folder, _, name = path.rpartition("/")
-    if not name.lower().endswith(SUFFIXES):
-        raise ValueError(f"unsupported output format: {name!r}; supported: {', '.join(SUFFIXES)}")
-    save_images(px.select(F.lit(name).alias("path"), "y", "x", "c", "v", *([header.alias("header")] if header is not None else [])), folder or ".")
-
-
-def load_image(spark: SparkSession, path: str) -> DataFrame:
-    """One image; an unsupported suffix is an error, as is a file without an image."""
-    if not path.lower().endswith(SUFFIXES):
-        raise ValueError(f"unsupported format: {path!r}; supported: {', '.join(SUFFIXES)}")
-    return read_stored(spark, path)
-
-
 def read_stored(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """FITS files in any store that Spark reads (``binaryFile``): ``path, header, y, x, c, v``."""
 
@@ -335,20 +316,6 @@ def read_stored(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.mapInArrow(pixels, SCHEMA)
 
 
-def rewrite_headers(spark: SparkSession, folder: str, headers: DataFrame) -> None:
-    """Put keywords (``path, extra``: last part of a path and a map of text) over those of the files they name, in place."""
-    px = read_stored(spark, folder).withColumn("path", F.regexp_extract("path", r"([^/]+)$", 1))
-    heads = px.filter(F.col("header").isNotNull()).select("path", "header").join(headers, "path")
-    new = heads.select("path", F.map_concat(F.map_filter("header", lambda k, _: ~F.map_contains_key(F.col("extra"), k)), F.col("extra")).alias("header"))
-    save_images(px.drop("header").join(new, "path"), folder)
-
-
 def header_text(header: Column) -> Column:
     """A map of ``struct<number, text>`` as the map of text that files take."""
     return F.transform_values(header, lambda _, v: F.coalesce(v["text"], v["number"].cast("string")))
-
-
-def collect_files(spark: SparkSession, path: str) -> DataFrame:
-    """Supported files of a folder, one level deep, in order of their path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    return files.filter(F.lower("path").rlike(r"\.(fits|fit|fts)$")).orderBy("path")

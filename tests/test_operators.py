@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import display, stats
 from pixelloom.operators import background, calibration, geometry, mosaic, neighbours, postprocess, psf, quality, registration, sets, stacking
 from pixelloom.plans import pipeline, session
-from pixelloom.sources import fits
+from pixelloom.sources import fits, headers, images
 from pixelloom.streaming import live
 
 PX = "stack_id int, frame_id int, y int, x int, c int, v double"
@@ -237,14 +237,14 @@ def test_fits_round_trip(spark, tmp_path):
         got = {(r.path[-6], r.y, r.x): r.v for r in back.collect()}
         assert got == {(str(f), y, x): None if (y == 1 and x > 1) or (y, x, f) == (0, 0, 1) else 12.0 * f + 4 * y + x for f in range(3) for y in range(3) for x in range(4)}
         assert [(h.header["OBJECT"], h.header["GAIN"], h.header["NAXIS1"]) for h in back.filter("header is not null").collect()] == [("M31", "1.5", "4")] * 3
-    assert fits.collect_files(spark, out).count() == 3 and sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["0.fits", "1.fits", "2.fits", "_temporary"]
-    fits.rewrite_headers(spark, out, spark.createDataFrame([("1.fits", {"OBJECT": "M33", "CRVAL1": "10.5"})], "path string, extra map<string,string>"))
+    assert images.collect_files(spark, out).count() == 3 and sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["0.fits", "1.fits", "2.fits", "_temporary"]
+    headers.patch_headers(spark.createDataFrame([("1.fits", {"OBJECT": "M33", "CRVAL1": "10.5"})], "path string, extra map<string,string>"), out)
     heads = {h.path[-6]: h.header for h in fits.read_stored(spark, out).filter("header is not null").collect()}
     assert heads["1"]["OBJECT"] == "M33" and float(heads["1"]["CRVAL1"]) == 10.5 and heads["1"]["GAIN"] == "1.5" and heads["0"]["OBJECT"] == "M31"
     with pytest.raises(ValueError):
         fits.read_image(b"nothing")
     with pytest.raises(ValueError, match="unsupported"):
-        fits.save_image(px, f"{out}/x.tiff")
+        images.save_image(px, f"{out}/x.tiff")
 
 
 def test_an_image_dealt_to_two_tasks_is_refused_and_leaves_nothing(spark, tmp_path):
