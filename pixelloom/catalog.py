@@ -19,7 +19,7 @@ from .operators import neighbours as N
 from .operators import postprocess as P
 from .operators import psf, quality, registration, sets, stacking
 from .plans import session
-from .sources import fits
+from .sources import fits, headers, xisf
 from .sources import views as V
 from .sources.stage import shared_folder
 
@@ -347,6 +347,10 @@ query("mosaic_blend", O.query(*_MOSAIC, select="SELECT oy::INT AS y, ox::INT AS
 query("top_stars", O.query(O.SKY, select="SELECT frame_id, c, y, x, round(v, 6) AS v, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, c ORDER BY v DESC, y, x) AS rank FROM px) WHERE rank <= 60"))(
     lambda s, d: sets.top_k(V.sky_px(s, d).select("frame_id", "c", "y", "x", "v"), ["frame_id", "c"], [F.desc("v"), F.col("y"), F.col("x")], 60)
 )
+_CORNERS = """inside AS MATERIALIZED (SELECT stack_id, frame_id, c, k AS corner, (y - ty)::INT AS y, (x - lx)::INT AS x, ty, lx, v
+  FROM px JOIN (VALUES (0, 0, 0), (1, 0, 48), (2, 48, 0), (3, 48, 48)) q(k, ty, lx) ON y BETWEEN ty AND ty + 15 AND x BETWEEN lx AND lx + 15)"""
+query("corner_glow", O.query(O.SKY, _CORNERS, O.background("inside", "bg", 16, 8, f"{IMG}, corner"), select=f"""SELECT {IMG}, (y + ty)::INT AS y, (x + lx)::INT AS x, round(greatest(v - bg, 0), 6) AS v FROM inside JOIN bg USING ({IMG}, corner, y, x)
+  UNION ALL SELECT {IMG}, y, x, round(v, 6) FROM px WHERE y BETWEEN 16 AND 47 OR x BETWEEN 16 AND 47"""))(lambda s, d: B.clean_corners(V.sky_px(s, d), SYNTH_SIZE))
 query("kth_pedestal", O.query(O.LINE, select="SELECT frame_id, c, round(list_sort(list(v))[count(*) // 100 + 1], 6) AS pedestal FROM px GROUP BY ALL"))(lambda s, d: B.kth_smallest(V.line_px(s, d), ["frame_id", "c"], per=100))
 query("ordered_distinct", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(
     lambda s, d: sets.ordered_distinct(V.table(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
@@ -461,6 +465,40 @@ def _roundtrip(s: SparkSession, d: str) -> DataFrame:
     return back.select(F.regexp_extract("path", r"(\d+)\.fits$", 1).cast("int").alias("frame_id"), "y", "x", "c", "v")
 
 
+@query("xisf_roundtrip", O.query(O.LINE, select="SELECT frame_id, y, x, c, round(v::FLOAT::DOUBLE, 6) AS v FROM px UNION ALL SELECT frame_id, y, x, c, NULL FROM (SELECT DISTINCT frame_id, y::INT AS y, x::INT AS x, c FROM (SELECT DISTINCT frame_id FROM px), range(32) a(y), range(32) b(x), range(3) k(c)) ANTI JOIN px USING (frame_id, y, x, c)"))
+def _xisf_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Frames written as compressed XISF files and read back: 32-bit values, missing pixels NULL."""
+    folder = shared_folder(s, "xisf-roundtrip")
+    px = V.line_px(s, d).select(F.concat(F.col("frame_id").cast("string"), F.lit(".xisf")).alias("path"), "y", "x", "c", "v", *[F.lit(n).alias(k) for k, n in (("height", V.SIDE), ("width", V.SIDE), ("channels", 3))])
+    xisf.save_images(px, folder)
+    return xisf.read_stored(s, folder).select(F.regexp_extract("path", r"(\d+)\.xisf$", 1).cast("int").alias("frame_id"), "y", "x", "c", "v")
+
+
+@query("header_patch", O.query(O.LINE, select="""SELECT frame_id, k AS key, CASE k WHEN 'OBJECT' THEN n_name WHEN 'REGION' THEN n_regionkey::VARCHAR WHEN 'BITPIX' THEN '-32' ELSE 'kept' END AS value, n, v
+  FROM (SELECT frame_id, count(v) AS n, round(sum(v::FLOAT::DOUBLE), 3) AS v FROM px GROUP BY 1) JOIN nation ON n_nationkey = frame_id, (SELECT unnest(['OBJECT', 'REGION', 'BITPIX', 'OBSERVER']) AS k)"""))
+def _patched(s: SparkSession, d: str) -> DataFrame:
+    """Nations' names and regions put into the headers of files that stay as they are otherwise."""
+    folder = shared_folder(s, "header-patch")
+    old = F.create_map(F.lit("OBSERVER"), F.lit("kept"), F.lit("OBJECT"), F.lit("old"))
+    px = V.line_px(s, d).select(F.concat(F.col("frame_id").cast("string"), F.lit(".fits")).alias("path"), old.alias("header"), "y", "x", "c", "v")
+    fits.save_images(px, folder)
+    frames = V.line_px(s, d).select("frame_id").distinct()
+    extra = F.create_map(F.lit("OBJECT"), F.col("n_name"), F.lit("REGION"), F.col("n_regionkey").cast("string"), F.lit("BITPIX"), F.lit("8"))
+    named = V.table(s, d, "nation").join(frames, F.col("frame_id") == F.col("n_nationkey")).select(F.concat(F.col("frame_id").cast("string"), F.lit(".fits")).alias("path"), extra.alias("extra"))
+    headers.patch_headers(named, folder)
+    frame = F.regexp_extract("path", r"(\d+)\.fits$", 1).cast("int").alias("frame_id")
+    heads = headers.read_headers(s, folder).select(frame, F.explode("header").alias("key", "value")).filter(F.col("key").isin("OBJECT", "REGION", "BITPIX", "OBSERVER"))
+    sums = fits.read_stored(s, folder).groupBy(frame).agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("v"))
+    return heads.join(sums, "frame_id")
+
+
+query("bayer_of_header", """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'GBRG' WHEN 1 THEN 'BGGR' WHEN 2 THEN 'RGGB' WHEN 3 THEN 'RGGB' END AS pattern FROM part""")(
+    lambda s, d: V.table(s, d, "part").select("p_partkey", N.pattern_of_header(F.element_at(F.array(*[F.create_map(*[F.lit(x) for x in kv]) for kv in (
+        ("BAYERPAT", " gbrg "), ("COLORTYP", "RGB", "BAYER", "BGGR"), ("BAYERPAT", "none", "CFA-PATT", "RGGB"), ("BAYERPAT", "RGGB", "COLORTYP", "BGGR"), ("OBJECT", "RGGB"), ("BAYERPAT", "RGBG"))]),
+        F.col("p_size") % 6 + 1)).alias("pattern"))
+)
+
+
 query("wcs_merge", """SELECT n_nationkey, k, arg_max(v, over) AS v FROM (
   SELECT n_nationkey, unnest(['A', 'B']) AS k, unnest([n_name, 'old']) AS v, 0 AS over FROM nation
   UNION ALL SELECT n_nationkey, unnest(['B', 'C']), unnest([n_regionkey::VARCHAR, n_nationkey::VARCHAR]), 1 FROM nation) GROUP BY ALL""")(
@@ -489,8 +527,17 @@ query("moment_psf", O.query(O.MONO, "pk AS MATERIALIZED (" + O.maxima("mono", "p
 )
 query("psf_fit")(lambda s, d: psf.fit_stars(_mono(s, d).drop("c"), SYNTH_SIZE))
 query("frame_psf")(lambda s, d: psf.frame_psf(_mono(s, d).drop("c"), SYNTH_SIZE))
-for _name in P.DENOISE:
-    query(f"nlm_{_name}")(lambda s, d, k=_name: P.denoise(V.sky_px(s, d), k, tile=32))
+# Non-local means by shifts: squared differences of the mirrored image, box sums by two windows, weighted means of the shifted.
+_NLM = """mad_ AS (SELECT stack_id, frame_id, c, 1.4826 * mad(v) * {k} AS h FROM mono GROUP BY ALL),
+mirror AS (SELECT i, CASE WHEN i < 0 THEN -1 - i WHEN i > 63 THEN 127 - i ELSE i END AS j FROM range(-8, 72) t(i)),
+wide AS MATERIALIZED (SELECT stack_id, frame_id, c, a.i::INT AS y, b.i::INT AS x, v FROM mono JOIN mirror a ON a.j = y JOIN mirror b ON b.j = x),
+diff AS MATERIALIZED (SELECT w.stack_id, w.frame_id, w.c, w.y, w.x, dy, dx, pow(w.v - o.v, 2) AS d, o.v AS other
+  FROM wide w, range(-6, 7) p(dy), range(-6, 7) q(dx), wide o WHERE w.y BETWEEN -2 AND 65 AND w.x BETWEEN -2 AND 65 AND o.y = w.y + dy AND o.x = w.x + dx AND o.c = w.c AND o.frame_id = w.frame_id AND o.stack_id = w.stack_id),
+box AS (SELECT *, sum(s) OVER (PARTITION BY stack_id, frame_id, c, dy, dx, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS t FROM (
+  SELECT *, sum(d) OVER (PARTITION BY stack_id, frame_id, c, dy, dx, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM diff)),
+weighed AS (SELECT stack_id, frame_id, c, y, x, other, exp(-t / (25 * h * h)) AS w FROM box JOIN mad_ USING (stack_id, frame_id, c) WHERE y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63)"""
+for _name, _k in P.DENOISE.items():
+    query(f"nlm_{_name}", O.query(O.MONO, _NLM.format(k=_k), select=f"SELECT {IMG}, y, x, round(sum(w * other) / sum(w), 6) AS v FROM weighed GROUP BY ALL"))(lambda s, d, k=_name: P.denoise(_mono(s, d), k, tile=32))
 
 
 # A shift by whole pixels is undone: each frame has the first one's values where both reach.
@@ -520,5 +567,7 @@ query("frames_median3x3", O.query(O.MONO_FRAMES, select="""SELECT stack_id, fram
   SELECT stack_id, frame_id, oy, ox, median(v) AS v FROM (
     SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
   JOIN mono USING (y, x) GROUP BY ALL) GROUP BY ALL"""))(lambda s, d: _sums(N.window_3x3(V.synth_px(s, d).filter("c = 0"), SYNTH_SIZE, F.median("v"))))
-query("frames_star_reduce")(lambda s, d: _sums(P.reduce_stars(V.synth_px(s, d), SYNTH_SIZE, 0.5)))
+query("frames_star_reduce", O.query(O.SYNTH_FRAMES, _STARS, select=f"""SELECT stack_id, frame_id, count(v) AS n, round(sum(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0)), 3) AS v FROM (
+  SELECT {IMG}, y, x, px.v, nb.v AS n, fb.v AS f, least(greatest(mk.v * 2 * pi() * 10.5 * 10.5, 0), 1) AS m
+  FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x)) GROUP BY ALL"""))(lambda s, d: _sums(P.reduce_stars(V.synth_px(s, d), SYNTH_SIZE, 0.5)))
 query("frames_denoise")(lambda s, d: _sums(P.denoise(V.synth_px(s, d).filter("c = 0"), "medium", tile=64)))

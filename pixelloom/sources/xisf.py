@@ -122,10 +122,10 @@ def read_stored(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.mapInArrow(_pixels, SCHEMA)
 
 
-def _stretches(codec: str, most: int) -> object:
+def _stretches(codec: str, most: int, fill: float) -> object:
     """Rows (path, size, stretch, offset, v) sorted, as parts: for each stretch of pixels the four byte planes."""
 
-    def part(path: str, stretch: int, size: int, at: np.ndarray, v: np.ndarray, fill: float) -> pa.RecordBatch:
+    def part(path: str, stretch: int, size: int, at: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         values = np.full(min(most, size - stretch * most), fill, "<f4")
         values[at - stretch * most] = v
         planes = values.view(np.uint8).reshape(-1, 4).T
@@ -142,16 +142,16 @@ def _stretches(codec: str, most: int) -> object:
             starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
             for lo, hi in zip(starts, [*starts[1:], len(keys)]):
                 own = batch.slice(lo, hi - lo)
-                key = (*keys[lo], own.column("size")[0].as_py(), own.column("fill")[0].as_py())
+                key = (*keys[lo], own.column("size")[0].as_py())
                 if key != now:
                     if now:
-                        yield part(now[0], now[1], now[2], np.concatenate(at), np.concatenate(v), now[3])
+                        yield part(now[0], now[1], now[2], np.concatenate(at), np.concatenate(v))
                     now, at, v = key, [], []
                 there = own.filter(own.column("offset").is_valid())
                 at.append(there.column("offset").to_numpy())
                 v.append(there.column("v").to_numpy(zero_copy_only=False))
         if now:
-            yield part(now[0], now[1], now[2], np.concatenate(at), np.concatenate(v), now[3])
+            yield part(now[0], now[1], now[2], np.concatenate(at), np.concatenate(v))
 
     return parts
 
@@ -201,14 +201,14 @@ def save_images(px: DataFrame, folder: str, codec: str = "lz4", fill: float = fl
     # Every stretch has a row, so that one without a pixel is written too.
     every = sizes.select("path", size.alias("size")).withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / stretch))))
     rows = rows.withColumn("stretch", F.floor(F.col("offset") / stretch)).unionByName(every.withColumns({"offset": F.lit(None).cast("long"), "v": F.lit(None).cast("double")}))
-    rows = rows.withColumn("fill", F.lit(float(fill))).repartition("path", "stretch").sortWithinPartitions("path", "stretch", "offset")
+    rows = rows.repartition("path", "stretch").sortWithinPartitions("path", "stretch", "offset")
     if codec == "none":  # without compression there are no planes: whole items, in order
         def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for four in _stretches("none", stretch)(batches):
+            for four in _stretches("none", stretch, fill)(batches):
                 planes = np.stack([np.frombuffer(d.as_py(), np.uint8) for d in four.column("data")])
                 yield pa.RecordBatch.from_arrays([*[c.slice(0, 1) for c in four.columns[:4]], pa.array([planes.T.tobytes()], pa.binary())], names=four.schema.names)
     else:
-        plain = _stretches(codec, stretch)
+        plain = _stretches(codec, stretch, fill)
     parts = staged(rows.mapInArrow(plain, "path string, plane int, stretch long, plain long, data binary"), "xisf-parts")
     lists = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("plane", "stretch", F.octet_length("data").alias("packed"), "plain"))).alias("blocks"))  # some tens of bytes for a stretch
 

@@ -88,6 +88,12 @@ def test_xisf_round_trip(spark, tmp_path, codec):
         assert np.array_equal(got.squeeze(), a[0], equal_nan=True) and header["OBJECT"] == "it's <M31>" and header["GAIN"] == "1.5"
         rows = {(r.y, r.x, r.c): r.v for r in back.filter(F.col("path").endswith(f"{name}.xisf")).collect()}
         assert rows == {k[:2] + (k[2] if len(k) > 2 else 0,): None if np.isnan(v) else float(v) for k, v in np.ndenumerate(a[0])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # stretches that begin in one batch and end in another
+    try:
+        xisf.save_images(px, str(tmp_path / "again"), codec, stretch=64)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (tmp_path / "again/rgb.xisf").read_bytes() == (tmp_path / "rgb.xisf").read_bytes()
     if codec != "none":
         assert (tmp_path / "mono.xisf").stat().st_size < 16_000
 
