@@ -12,12 +12,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, others, sliced, table
+from .common import crc_mod, others, sliced, stored, table
 
 #: Lengths of the character n-grams of the blended spectrum, and hash cells for each document's presence vector.
 GRAMS, CELLS = (1, 2, 3), 1 << 14
 #: Bounds of the labelled sample: documents a language to learn from, and landmarks in all.
 TRAIN_PER_LANGUAGE, LANDMARKS, RIDGE = 500, 256, 1e-2
+#: Languages that are learned at most, the most frequent ones.
+MOST_LANGUAGES = 256
 #: Documents scored in one matrix product.
 BATCH = 64
 UNKNOWN = "und"
@@ -25,7 +27,7 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def presence(text: str) -> np.ndarray:
-    """Hash cells of the n-grams of the whole text, lower-cased, without digits and signs; sorted, each once."""
+    """Hash cells of the n-grams of the whole text, lower-cased, white space as one space; sorted, each once."""
     code = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le"), np.uint32)
     found = np.zeros(CELLS, bool)
     mixed = np.zeros(len(code), np.uint32)
@@ -101,22 +103,21 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.int32())), batch.column(2)], names=["lang", "cells", "turn"])
 
 
-def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
-    """Learn from ``docs`` (``doc_id, text, lang``): of each language about ``per_language`` rows, those of the lowest
+def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS, most: int = MOST_LANGUAGES) -> Model | None:
+    """Learn from ``docs`` (``doc_id, text, lang``): of each of the ``most`` most frequent languages (ties by name) about ``per_language`` rows, those of the lowest
     hash of id and text, of equal rows one; never more than twice as many for all languages together.  Only their
     presence vectors (at most CELLS cells each) come to the driver.  None if no row has a language and a letter."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most), "languages")
+    found = counts.count()
+    if not found:
         return None
     turn = F.xxhash64(F.lit("train"), "doc_id", "text")
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
+    rows = rows.join(F.broadcast(counts.select("lang", (per_language / F.col("n")).alias("share"))), "lang")  # at most ``most`` rows
     # A hash lies below its share of the range for about per_language documents, whatever the size of the input.
-    chosen = rows.withColumn("turn", turn).filter((F.col("turn") / 2.0**64 + 0.5) <= share)
+    chosen = rows.withColumn("turn", turn).filter((F.col("turn") / 2.0**64 + 0.5) <= F.col("share"))
     cells = chosen.select("lang", "text", "turn").mapInArrow(_cells, "lang string, cells array<int>, turn long").dropDuplicates(["lang", "turn"])
-    got = cells.orderBy("turn", "lang").limit(2 * per_language * len(counts)).toPandas().sort_values(["turn", "lang"], kind="stable")
+    got = cells.orderBy("turn", "lang").limit(2 * per_language * found).toPandas().sort_values(["turn", "lang"], kind="stable")
     if got.empty:
         return None
     return fit([np.asarray(c) for c in got["cells"]], got["lang"].tolist(), landmarks)

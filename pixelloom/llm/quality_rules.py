@@ -92,7 +92,8 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, depleted_percent: int = D
     """Figures and a verdict for each row of ``docs`` (``doc_id, source, text``; other columns are left aside).
 
     ``base_failed`` is true below ``min_words`` words or with over ``repeat_percent`` % repeated words.  Then the
-    normalised lines of all documents are hashed and counted for each host (``source``), each row as a document.  A
+    normalised lines of all documents are hashed and counted for each host (``source``); rows that repeat an id are one
+    document (with ``row_col`` each row is one).  A
     line that over ``line_docs`` documents of the host hold is removed from all of them but the one with the smallest
     id (so a group of copies is never removed whole).  A document that loses over ``depleted_percent`` % of its words,
     or of which fewer than ``min_words`` stay, is depleted and rejected.  The limit is a count, so it is the same in
@@ -117,6 +118,9 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, depleted_percent: int = D
     lines = lines.select("row", "id", "l.keys.a", "l.keys.b", F.col("l.key_words").alias("words"))
     often = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("holder")).filter(F.col("n") > line_docs).drop("n")
     often = scratch.store(often, "frequent-lines")
+    if not row_col:  # of the lines of so many rows those of so many documents, as rows may repeat an id
+        several = lines.join(often, ["a", "b"]).groupBy("a", "b", "holder").agg(F.count_distinct("id").alias("n"))
+        often = scratch.store(several.filter(F.col("n") > line_docs).drop("n"), "frequent-lines")
     lost = lines.join(often, ["a", "b"]).filter(F.col("id") != F.col("holder")).groupBy("row").agg(F.sum("words").alias("lost"))
     out = rows.drop("keys", "key_words").join(lost, "row", "left").withColumn("n_lost", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,8 @@ from .common import LOWER, UPPER, Scratch, others, table
 
 #: (action, canonical URL): what op4 applies first; the longest that fits wins.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Names of unwanted sites, fixed values, and the zones under which each of them is listed: all that ``pages`` uses.
-#: Where no rule fits, pages of these sites and of their subdomains are blocked.
-SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-ZONES = ["example.com", "example.net", "example.org"]
-LISTED = [f"{site}.{zone}/" for site in SITES for zone in ZONES]
+#: The list that op4 applies where no rule fits, read by the query and by its SQL.
+BLOCKED = Path(__file__).with_name("blocked_urls.txt")
 
 WORDS, BITS_PER_KEY = 4, 16
 #: The filter is broadcast up to this many blocks of WORDS * 64 bits (some 20 MB); a larger one is joined by block.
@@ -95,6 +94,12 @@ def match_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url") -> Data
     return out.join(best, ["host", "path"], "left").select(*own, "host", "path", "entry")
 
 
+def read_list(path: Path = BLOCKED) -> list[str]:
+    """The canonical URLs of a file: one a line, lines of ``#`` and empty ones left out."""
+    lines = map(str.strip, path.read_text(encoding="utf-8").splitlines())
+    return [canonical(line) for line in lines if line and not line.startswith("#")]
+
+
 def entries(spark: SparkSession, rules: list[tuple[str, str]], blocked: list[str]) -> DataFrame:
     """A list table of short literal lists: rules (rank 0), then blocked sites (rank 1).  Large lists are read from files."""
     rows = [(canonical(u), a, 0) for a, u in rules] + [(canonical(u), "block", 1) for u in blocked]
@@ -108,11 +113,12 @@ def list_table(rows: DataFrame) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = match_urls(table(spark, sf_dir, "pages").select("page_id", "url"), entries(spark, RULES, LISTED))
+    out = match_urls(table(spark, sf_dir, "pages").select("page_id", "url"), entries(spark, RULES, read_list()))
     rule = F.when(F.col("entry.rank") == 0, F.col("entry.key"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("entry.action", F.lit("allow")).alias("verdict"))
 
 
+_VALUES = ", ".join(f"({rank}, '{action}', '{key.partition('/')[0]}', '/{key.partition('/')[2]}')" for rank, action, key in [*((0, a, u) for a, u in RULES), *((1, "block", u) for u in read_list())])
 OP4_SQL = r"""
 WITH split AS (
   SELECT page_id,
@@ -123,17 +129,11 @@ parts AS (
          translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          substr(rest, length(split_part(rest, '/', 1)) + 1) AS path
   FROM split),
-listed(rank, action, lhost, lpath) AS (
-  VALUES
-  (0, 'block', 'com', '/en/'), (0, 'allow', 'example.com', '/en/7'), (0, 'block', 'net', '/de/'),
-  (0, 'block', 'example.net', '/de/8'), (0, 'block', 'org', '/es/')
-  UNION ALL SELECT 1, 'block', site || '.example.' || zone, '/'
-  FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) AS s(site),
-       (VALUES ('com'), ('net'), ('org')) AS z(zone)),
+listed(rank, action, lhost, lpath) AS (VALUES {values}),
 fit AS (
   SELECT r, rank, action, lhost || lpath AS key,
          row_number() OVER (PARTITION BY r ORDER BY rank, length(lhost || lpath) DESC) AS n
   FROM parts JOIN listed ON (host = lhost OR ends_with(host, '.' || lhost)) AND starts_with(path, lpath))
 SELECT page_id, host, path, CASE WHEN rank = 0 THEN key END AS rule, coalesce(action, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fit WHERE n = 1) USING (r)
-"""
+""".replace("{values}", _VALUES)

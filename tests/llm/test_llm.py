@@ -173,7 +173,7 @@ def test_lines_above_the_limit_deplete_documents_of_a_large_host_but_not_their_f
 def test_urls(spark):
     urls = ["https://A.Example.com/en/7x?q", "http://net/de/1", "ftp://x.org/es/#f", None, "no scheme", "http://adult-x.example.com", "https://h:80/p?x/y", "://"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, entry string")
-    listed = url_filter.entries(spark, url_filter.RULES, url_filter.LISTED)
+    listed = url_filter.entries(spark, url_filter.RULES, url_filter.read_list())
     got = {r.page_id: r for r in url_filter.match_urls(pages, listed).collect()}
     assert len(got) == len(urls) and (got[0].host, got[0].path) == ("a.example.com", "/en/7x") and got[0].entry.action == "allow"
     assert got[1].entry.key == "net/de/" and got[2].entry.key == "org/es/" and got[3].entry is None and got[4].host == ""

@@ -46,3 +46,58 @@ def test_pipeline_without_any_language(spark):
 
     docs = spark.createDataFrame([(i, f"text {i}", None, "s") for i in range(20)], "doc_id long, text string, lang string, source string")
     assert {r.doc_id for r in C.keep_languages(spark, docs, "").collect()} == set(range(20))
+
+
+def test_lines_are_counted_by_document(spark):
+    from pixelloom.llm import quality_rules
+
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    often = "a line that many documents of the host hold " * 9
+    rows = [(1, "h", f"{own(1)}\n{often}")] * 9 + [(i, "h", f"{own(i)}\n{often}") for i in range(2, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.n_lost for r in quality_rules.judge(docs).collect()} == {0}  # thirteen rows, five documents
+    more = docs.unionAll(spark.createDataFrame([(6, "h", f"{own(6)}\n{often}")], docs.schema))
+    assert {(r.doc_id, r.n_lost) for r in quality_rules.judge(more).collect()} == {(1, 0), *((i, 81) for i in range(2, 7))}
+
+
+def test_most_frequent_languages_are_learned(spark):
+    from pixelloom.llm import language_id
+
+    rows = [(i, f"text {i} {'abc' * (i % 9)}", f"l{i % 40}") for i in range(400)] + [(1000 + i, f"other words {i}", "z") for i in range(50)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
+    assert sorted(model.languages) == ["l0", "l1", "z"]
+
+
+def test_list_is_read_from_its_file(tmp_path):
+    from pixelloom.llm import url_filter
+
+    (tmp_path / "list.txt").write_text("# sites\n\nHTTP://Spam.Example.COM\nx.org/a?b#c\n")
+    assert url_filter.read_list(tmp_path / "list.txt") == ["spam.example.com/", "x.org/a"]
+    assert all(key in url_filter.OP4_SQL for key in (k.partition("/")[0] for k in url_filter.read_list()))
+
+
+def test_statistics_of_a_text_by_hand():
+    import math
+
+    from pixelloom.llm import quality_model
+
+    text = b"The cat sat.\nThe cat sat.\n- a Dog, 12 \xc3\xa9\n\nsupercalifragilistic #1 !"
+    got = dict(zip(quality_model.FEATURES, quality_model.statistics(text)))
+    words = text.split()
+    counts = {w: words.count(w) for w in words}
+    triples = list(zip(words, words[1:], words[2:]))
+    letters = sum(chr(b).isalpha() and b < 128 or b >= 128 for b in text)
+    lines = ["The cat sat.", "The cat sat.", "- a Dog, 12 \xc3\xa9", "supercalifragilistic #1 !"]
+    entropy = lambda c: -sum(n / sum(c) * math.log2(n / sum(c)) for n in c)
+    want = {
+        "log_words": math.log1p(len(words)), "mean_word": sum(map(len, words)) / len(words), "long_word_share": 1 / len(words), "distinct_share": len(counts) / len(words),
+        "top_word_share": 2 / len(words), "repeat_share": sum(triples.count(t) > 1 for t in triples) / len(triples), "symbol_share": text.count(b"#") / len(text),
+        "punctuation_share": sum(text.count(bytes([m])) for m in b".,;:!?'\"()-") / len(text), "upper_share": 3 / letters, "digit_share": 3 / len(text),
+        "space_share": sum(text.count(bytes([m])) for m in b" \n") / len(text), "wide_share": 2 / len(text), "alpha_word_share": sum(w.isalpha() for w in words) / len(words),
+        "mean_line": len(words) / 4, "dup_line_share": 1 / 4, "dup_line_chars": len("The cat sat.") / len(text), "end_mark_share": 3 / 4, "bullet_share": 1 / 4,
+        "byte_entropy": entropy([text.count(bytes([b])) for b in set(text)]), "word_entropy": entropy(list(counts.values())) / max(1.0, math.log2(len(words))),
+    }
+    assert len(lines) == 4 and set(got) == set(want)
+    for name, value in want.items():
+        assert abs(got[name] - value) < 1e-12, name
+    assert quality_model.statistics(b" \n") == [0.0] * len(quality_model.FEATURES)
