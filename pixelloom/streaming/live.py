@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.parts import store_of
+
 PX = "stack_id int, frame_id long, y int, x int, c int, v double"
 
 
@@ -26,12 +29,42 @@ def windowed_quality(frames: DataFrame, width: str = "10 minutes", late: str = "
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "fwhm")
 
 
-def run_to_folder(px: DataFrame, folder: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+def _batches(folder: str) -> tuple[fs.FileSystem, dict[str, str]]:
+    """The store and the folders below a place, by name."""
+    store, top = store_of(folder.rstrip("/"))
+    found = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
+    return store, {f.base_name: f.path for f in found if f.type == fs.FileType.Directory}
+
+
+def _finish(folder: str) -> int:
+    """End a merge that has been written whole: the batches it holds go, and it takes their place.  -1 without one."""
+    store, found = _batches(folder)
+    for name, path in found.items():
+        if name.startswith("_merged-") and store.get_file_info(f"{path}/_SUCCESS").is_file:
+            last = int(name.removeprefix("_merged-"))
+            for other, place in found.items():
+                if other.startswith("batch=") and int(other.removeprefix("batch=")) <= last:
+                    store.delete_dir(place)
+            store.move(path, f"{path.rpartition('/')[0]}/batch={last}")
+            return last
+    return -1
+
+
+def run_to_folder(px: DataFrame, folder: str, checkpoint: str, merge_every: int = 64, **trigger: object) -> StreamingQuery:
     """The running mean kept in a folder: each micro-batch writes the pixels that it has changed, so that nothing but
-    state passes from batch to batch and no image is gathered.  A batch that is repeated replaces what it wrote."""
+    state passes from batch to batch and no image is gathered.  A batch that is repeated replaces what it wrote.
+
+    After every ``merge_every`` batches what is newest of each pixel is written anew and replaces the batches so far,
+    so the folder holds an image and ``merge_every`` batches at most, however long the stream runs.  A merge that broke
+    off is ended, or written again, by the batch that is repeated."""
 
     def write(changed: DataFrame, batch: int) -> None:
+        if _finish(folder) >= batch:
+            return  # the batch is in it
         changed.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch}")
+        if (batch + 1) % merge_every == 0:
+            latest(changed.sparkSession, folder).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/_merged-{batch}")
+            _finish(folder)
 
     out = running_mean(px).writeStream.outputMode("update").foreachBatch(write)
     return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

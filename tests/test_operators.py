@@ -364,6 +364,14 @@ def test_live_stack_equals_batch(spark, tmp_path):
     got = {(r.y, r.x): r.v for r in live.latest(spark, str(tmp_path / "live")).collect()}
     want = {(r.y, r.x): r.v for r in stacking.stack(px, "mean", prereject=False).collect()}
     assert got == pytest.approx(want)
+    # merged after each two batches: one batch is left of the first four, and a fifth
+    slow = spark.readStream.schema(live.PX).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.run_to_folder(slow, str(tmp_path / "merged"), str(tmp_path / "ckpt2"), merge_every=2).awaitTermination(180)
+    assert sorted(p.name for p in (tmp_path / "merged").iterdir()) == ["batch=3", "batch=4"]
+    assert {(r.y, r.x): r.v for r in live.latest(spark, str(tmp_path / "merged")).collect()} == pytest.approx(want)
+    # a merge that broke off after it was written is ended by the batch that is repeated
+    (tmp_path / "merged/batch=4").rename(tmp_path / "merged/_merged-4")
+    assert live._finish(str(tmp_path / "merged")) == 4 and [p.name for p in (tmp_path / "merged").iterdir()] == ["batch=4"]
 
 
 def test_carried_columns_stay_with_their_pixels(spark):
