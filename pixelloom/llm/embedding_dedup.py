@@ -17,7 +17,7 @@ from .components import components
 
 COSINE = 0.95
 #: Vectors aimed at for each cell; most codes for a half; rows of the sample that codebooks are fitted on, at least and for each code.
-CELL_ROWS, MOST_CODES, SAMPLE, CODE_ROWS, KMEANS_ROUNDS = 400, 1024, 8192, 32, 12
+CELL_ROWS, MOST_CODES, SAMPLE, CODE_ROWS, KMEANS_ROUNDS = 100, 1024, 8192, 32, 12
 #: Cells are visited until this share of made-up neighbours at the very threshold is reached.
 RECALL, TRIALS = 0.95, 2048
 #: Rows of one side of a tile.
