@@ -36,6 +36,7 @@ def grid_size(size: tuple[int, int], grid: int) -> tuple[int, int]:
 def background(px: DataFrame, size: tuple[int, int], grid: int = 6, keys: list[str] = IMAGE) -> DataFrame:
     """The smooth background of each image: cell skies, a 3 x 3 median, cubic splines back to full size."""
     cells = grid_size(size, grid)
+    px = staged(px.select(*keys, "y", "x", "v"), "to-grid")  # read for the cells, the medians and the images there are
     smooth = window_3x3(cell_sky(px, size, grid, keys), cells, F.median("v"), keys)
     return resize(smooth, cells, size, 3, keys)
 
@@ -93,7 +94,7 @@ def clean_corners(px: DataFrame, size: tuple[int, int], share: float = 0.2, grid
         number = F.lit(None).cast("int")
         for k, (y, x) in enumerate(part):
             number = F.when(F.col("y").between(y, y + own[0] - 1) & F.col("x").between(x, x + own[1] - 1), k).otherwise(number)
-        marked = out.withColumn("corner", number)
+        marked = staged(out.withColumn("corner", number), "corners")
         top, left = (F.element_at(F.array(*[F.lit(p[i]) for p in part]), F.col("corner") + 1) for i in (0, 1))
         inside = marked.filter(F.col("corner").isNotNull()).withColumns({"y": F.col("y") - top, "x": F.col("x") - left})
         under = background(inside, own, grid, [*IMAGE, "corner"]).withColumnRenamed("v", "bg")
