@@ -52,6 +52,24 @@ def test_outlier_is_rejected_before_any_method(spark, cube):
     assert image(stacking.stack(px.filter("frame_id < 2"), "max"), 4, 5)[0, 0] == 1e4  # under 3 frames nothing is rejected
 
 
+@pytest.mark.parametrize(("method", "params"), [
+    ("median", {}), ("percentile_clip", {"low": 20, "high": 30}), ("percentile_clip", {"low": 50, "high": 50, "prereject": False}), ("weighted", {}),
+    ("sigma_clip", {"prereject": False, "rounds": 2}), ("winsorised", {"prereject": False, "rounds": 2}), ("max", {"prereject": False}),
+])
+def test_deep_stacks_are_as_shallow_ones(spark, method, params):
+    rng = np.random.default_rng(8)
+    a = np.round(rng.normal(10, 2, (40, 2, 3)), 1)  # with ties
+    a[rng.random(a.shape) < 0.1] = np.nan
+    a[3, 0, 0], a[:, 1, 1], a[:, 0, 2], a[5:, 1, 2] = 1e4, 5.0, np.nan, np.nan
+    a[::4, 0, 1] += 9
+    px = pixels(spark, a)
+    px = px.unionByName(px.filter("frame_id < 2").withColumn("stack_id", F.lit(1)))  # one stack of each kind
+    if method == "weighted":
+        params = {"weights": px.select("stack_id", "frame_id").distinct().withColumn("w", F.col("frame_id") + 0.5)}
+    want, got = ({tuple(r)[:4]: r.v for r in stacking.stack(px, method, most_frames=most, **params).collect()} for most in (1 << 20, 10))
+    assert len(want) == (10 if method == "weighted" else 12) and got == pytest.approx(want)
+
+
 def test_sigma_clip_with_no_spread_keeps_the_median(spark):
     a = np.ones((5, 1, 1))
     a[4] = 3
@@ -104,6 +122,14 @@ def test_blur_reflects_beyond_small_sides(spark):
 
 
 def test_cubic_zoom_keeps_grid_points_and_lines(spark):
+    for n, to in ((2, 5), (6, 64), (50, 33), (300, 40)):
+        sparse, dense = np.zeros((to, n)), np.zeros((n, n))
+        for (i, j), x in neighbours.cubic_weights(n, to).items():
+            sparse[i, j] = x
+        own = neighbours.cubic_weights(n, n)  # at the places themselves the spline is the value
+        for (i, j), x in own.items():
+            dense[i, j] = x
+        assert np.abs(dense - np.eye(n)).max() < 1e-12 and np.allclose(sparse.sum(1), 1) and len(own) <= n * (4 + 2 * neighbours.SPLINE_REACH)
     w = neighbours.cubic_weights(5, 9)
     line = [sum(w[i, j] * j for j in range(5)) for i in range(9)]
     assert line[::2] == pytest.approx(list(range(5)))
@@ -391,3 +417,29 @@ def test_carried_columns_stay_with_their_pixels(spark):
 def test_medians_of_few_and_many_values(spark, values, want):
     rows = spark.createDataFrame([(1, v) for v in [*values, None]], "k int, v double")
     assert stats.medians(rows, ["k"], "v").first()["ranked"] == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_star_fits_are_least_squares(seed):
+    """Without noise the star that was made is found; with noise no step away from the fit has less residue."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:25, :25].astype(float)
+
+    def star(x0, y0, fx, fy, a, b, t):
+        u, v = np.cos(t) * (x - x0) + np.sin(t) * (y - y0), np.cos(t) * (y - y0) - np.sin(t) * (x - x0)
+        return b + a * np.exp(-4 * np.log(2) * ((u / fx) ** 2 + (v / fy) ** 2))
+
+    made = (12 + rng.uniform(-1, 1), 12 + rng.uniform(-1, 1), rng.uniform(4.5, 6), rng.uniform(3, 4), rng.uniform(0.5, 1), 0.1, rng.uniform(-0.7, 0.7))
+    x0, y0, fx, fy, fwhm, ecc, _, a, b, _ = psf.fit_gaussian(star(*made))
+    assert (x0, y0, fx, fy, a, b) == pytest.approx(made[:6], rel=1e-4)
+    assert fwhm == pytest.approx(np.sqrt(made[2] * made[3]), rel=1e-4) and ecc == pytest.approx(np.sqrt(1 - (made[3] / made[2]) ** 2), rel=1e-3)
+    noisy = star(*made) + rng.normal(0, 0.01, x.shape)
+    x0, y0, fx, fy, _, _, _, a, b, t = psf.fit_gaussian(noisy)
+    found = min(([x0, y0, fx, fy, a, b, angle] for angle in (t, t + np.pi / 2)), key=lambda p: ((noisy - star(*p)) ** 2).sum())  # widths come sorted
+    least = ((noisy - star(*found)) ** 2).sum()
+    assert least <= ((noisy - star(*made)) ** 2).sum()
+    for k in range(7):
+        for step in (-1e-2, -1e-3, 1e-3, 1e-2):
+            other = [*found]
+            other[k] += step
+            assert ((noisy - star(*other)) ** 2).sum() > least
