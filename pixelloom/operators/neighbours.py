@@ -3,18 +3,23 @@
 Spark gathers the pixels of each row or column (as many as the side of the image), and numpy filters a batch of lines
 inside the task: pixels are shuffled once for each axis, whatever the width of the filter, and no weight is joined to a
 pixel.  3 x 3 windows are plain aggregates over shifted pixels.
+
+Images of up to ``WHOLE_PIXELS`` places are gathered once, one row each, for all steps of an operator: nothing is stored
+or shuffled between the steps, and frames that already lie together are not shuffled at all.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import stats
@@ -134,6 +139,61 @@ def along_lines(px: DataFrame, axis: str, side: int, to: int, kernel: Callable,
     return lines.mapInArrow(run, schema).select(*keys, "y", "x", "v", *carried)
 
 
+#: Places of an image up to which all its pixels are gathered in one row.
+WHOLE_PIXELS = 1 << 16
+
+
+def whole_images(px: DataFrame, size: tuple[int, int], keys: list[str], kernel: Callable, fields: list[StructField], beside: DataFrame | None = None) -> DataFrame:
+    """``keys`` and ``fields``: each image, gathered in one row, through ``kernel``.
+
+    The kernel takes arrays of images (image, channel, y, x) with NaN for missing values, one that tells where there are
+    pixels, the numbers of the channels, and the record batch of ``keys`` and of what ``beside`` has for them (images
+    without a row there are left out).  It gives the image of each row and the rows' ``fields``.
+    """
+    place = F.col("y").cast("bigint") * (1 << 20) + F.col("x")
+    if "c" in px.columns and "c" not in keys:
+        place = F.col("c").cast("bigint") * (1 << 40) + place
+    rows = px.groupBy(*keys).agg(F.collect_list(place).alias("at"), F.collect_list(F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))).alias("vs"))
+    rows = rows if beside is None else rows.join(beside, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, LINE_VALUES // (size[0] * size[1]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                image = np.repeat(np.arange(part.num_rows), part.column("at").value_lengths().to_numpy())
+                at = part.column("at").flatten().to_numpy()
+                channels, c = np.unique(at >> 40, return_inverse=True)
+                where = image, c, at >> 20 & (1 << 20) - 1, at & (1 << 20) - 1
+                values = np.full((part.num_rows, len(channels), *size), np.nan)
+                there = np.zeros(values.shape, bool)
+                values[where] = part.column("vs").flatten().to_numpy()
+                there[where] = True
+                own, columns = kernel(values, there, channels, part)
+                arrays = [a if isinstance(a, pa.Array) else pa.array(a, kinds.field(f.name).type, from_pandas=True) for a, f in zip(columns, fields)]
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(own)) for k in keys], *arrays], names=names)
+
+    schema, names, kinds = StructType([*[px.schema[k] for k in keys], *fields]), [*keys, *[f.name for f in fields]], to_arrow_schema(StructType(fields))
+    return rows.mapInArrow(run, schema)
+
+
+def both_ways(kernel: Callable, images: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A kernel of ``along_lines`` on arrays of images, along y, then along x."""
+    for axis in (-2, -1):
+        lines, held = images.swapaxes(axis, -1), there.swapaxes(axis, -1)
+        out, now = kernel(np.ascontiguousarray(lines).reshape(-1, lines.shape[-1]), np.ascontiguousarray(held).reshape(-1, lines.shape[-1]))
+        images, there = out.reshape(lines.shape).swapaxes(axis, -1), now.reshape(lines.shape).swapaxes(axis, -1)
+    return images, there
+
+
+def middle(values: np.ndarray) -> np.ndarray:
+    """Medians of the finite values along the last axis, NaN where there are none."""
+    ordered = np.sort(values, axis=-1)  # NaN comes last
+    n = np.isfinite(ordered).sum(-1, keepdims=True)
+    low, high = (np.take_along_axis(ordered, np.maximum(i, 0), -1) for i in ((n - 1) // 2, n // 2))
+    return ((low + high) / 2)[..., 0]
+
+
 def _sums(weights: dict[tuple[int, int], float], side: int, to: int) -> Callable[[np.ndarray], np.ndarray]:
     """Weighted sums of lines: by a matrix, or where that is large by the weights of each place in turn."""
     if side * to <= DENSE_WEIGHTS:
@@ -174,8 +234,19 @@ def along(px: DataFrame, axis: str, weights: dict[tuple[int, int], float], keys:
     return along_lines(px, axis, side, to, kernel, keys, carry)
 
 
-#: Filters of a larger radius go through a Fourier transform.
-DIRECT_RADIUS = 24
+#: Filters of a larger radius go through a Fourier transform, or on lines of up to so many places through a matrix.
+DIRECT_RADIUS, MATRIX_SIDE = 24, 256
+
+
+@lru_cache(maxsize=32)
+def _mirrored(taps: bytes, n: int) -> np.ndarray:
+    """A filter with reflected edges as a matrix for lines of ``n`` places."""
+    weights = np.frombuffer(taps)
+    dense = np.zeros((n, n))
+    for i in range(n):
+        near = (np.arange(len(weights)) - len(weights) // 2 + i) % (2 * n)
+        np.add.at(dense[:, i], np.where(near < n, near, 2 * n - 1 - near), weights)
+    return dense
 
 
 def smoothed(taps: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -184,6 +255,8 @@ def smoothed(taps: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.nd
     radius = len(taps) // 2
 
     def convolved(lines: np.ndarray) -> np.ndarray:
+        if radius > DIRECT_RADIUS and lines.shape[1] <= MATRIX_SIDE:
+            return lines @ _mirrored(taps.tobytes(), lines.shape[1])
         wide = np.pad(lines, ((0, 0), (radius, radius)), mode="symmetric")
         n = lines.shape[1]
         if radius <= DIRECT_RADIUS:
@@ -211,15 +284,36 @@ def smoothed(taps: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.nd
     return kernel
 
 
-def largest_along(px: DataFrame, axis: str, side: int, distance: int, keys: list[str] = IMAGE, carry: str | None = None) -> DataFrame:
-    """The largest value within ``distance`` along ``y`` or ``x``."""
+def largest(distance: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A kernel for ``along_lines``: the largest value within ``distance``."""
 
     def kernel(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide = lambda m, fill: np.lib.stride_tricks.sliding_window_view(np.pad(m, ((0, 0), (distance, distance)), constant_values=fill), 2 * distance + 1, axis=1).max(-1)
         top = wide(np.where(np.isfinite(values), values, -np.inf), -np.inf)
         return np.where(np.isfinite(top), top, np.nan), wide(there, False)
 
-    return along_lines(px, axis, side, side, kernel, keys, carry)
+    return kernel
+
+
+def largest_along(px: DataFrame, axis: str, side: int, distance: int, keys: list[str] = IMAGE, carry: str | None = None) -> DataFrame:
+    """The largest value within ``distance`` along ``y`` or ``x``."""
+    return along_lines(px, axis, side, side, largest(distance), keys, carry)
+
+
+def peaks_of(values: np.ndarray, there: np.ndarray, distance: int, limit: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``local_maxima`` of arrays of images (image, y, x) above the image's ``limit``: image, y and x of each peak, the
+    largest of an image first."""
+    top = both_ways(largest(distance), values, there)[0]
+    found = (values == top) & (values > limit[:, None, None])
+    inside = np.zeros(values.shape[1:], bool)
+    inside[distance : values.shape[1] - distance, distance : values.shape[2] - distance] = True
+    image, y, x = np.nonzero(found & inside)
+    order = np.lexsort((x, y, -values[image, y, x], image))
+    image, y, x = image[order], y[order], x[order]
+    if most is not None and len(image):
+        rank = np.arange(len(image)) - np.searchsorted(image, image)
+        image, y, x = image[rank < most], y[rank < most], x[rank < most]
+    return image, y, x
 
 
 def resize(px: DataFrame, size: tuple[int, int], to: tuple[int, int], order: int = 1, keys: list[str] = IMAGE) -> DataFrame:
@@ -267,6 +361,19 @@ def window_3x3(px: DataFrame, size: tuple[int, int], agg: Column, keys: list[str
     return rows.groupBy(*keys, "y", "x").agg(agg.alias("v"))
 
 
+def median_3x3(px: DataFrame, size: tuple[int, int], keys: list[str] = IMAGE, whole: int = WHOLE_PIXELS) -> DataFrame:
+    """``keys, y, x, v``: medians of the 3 x 3 window, edges reflected.  Images of more than ``whole`` places go pixel by pixel."""
+    if size[0] * size[1] > whole:
+        return window_3x3(px, size, F.median("v"), keys)
+
+    def kernel(values: np.ndarray, there: np.ndarray, _: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        near = lambda m: [w[:, dy : dy + size[0], dx : dx + size[1]] for w in [np.pad(m[:, 0], ((0, 0), (1, 1), (1, 1)), mode="edge")] for dy in range(3) for dx in range(3)]
+        image, y, x = np.nonzero(np.logical_or.reduce(near(there)))
+        return image, [y, x, middle(np.stack(near(values), -1))[image, y, x]]
+
+    return whole_images(px, size, keys, kernel, [StructField("y", IntegerType()), StructField("x", IntegerType()), StructField("v", DoubleType())])
+
+
 def local_maxima(px: DataFrame, size: tuple[int, int], distance: int, threshold: Column | float, most: int | None = None, order: str = "v", keys: list[str] = ["stack_id", "frame_id"]) -> DataFrame:  # noqa: B006
     """Pixels above ``threshold`` that are the largest of their window, off the border; at most ``most`` for each image.
 
@@ -293,11 +400,39 @@ def min_max(px: DataFrame, keys: list[str] = ["stack_id", "frame_id"]) -> DataFr
     return filled.join(ends, keys).withColumn("v", scaled).drop("lo", "hi")
 
 
-def detect_sources(mono: DataFrame, size: tuple[int, int], sigma: float = 3.0, min_area: int = 5, most: int = 200, keys: list[str] = ["stack_id", "frame_id"]) -> DataFrame:  # noqa: B006
+def brought_to_one(values: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """``min_max`` on arrays of images (image, y, x)."""
+    filled = np.where(there, np.where(np.isfinite(values), values, 0.0), np.nan)
+    lo, hi = np.nanmin(filled, axis=(1, 2), keepdims=True), np.nanmax(filled, axis=(1, 2), keepdims=True)
+    return np.where(hi > lo, (filled - lo) / np.where(hi > lo, hi - lo, 1.0), filled)
+
+
+def sources_of(values: np.ndarray, there: np.ndarray, sigma: float, min_area: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``detect_sources`` on arrays of images (image, y, x): image, y, x and v of each source, the brightest of the
+    smoothed image first."""
+    flat = brought_to_one(values, there)
+    smooth, now = both_ways(smoothed(np.array(list(gaussian_taps(max(1.0, min_area / 2)).values()))), flat, there)
+    places = smooth.reshape(len(smooth), -1)
+    limit = np.maximum(middle(places) + 0.3 * sigma * np.nanstd(places, axis=1), 0.01)
+    image, y, x = peaks_of(smooth, now, max(3, min_area), limit, most)
+    own = there[image, y, x]
+    image, y, x = image[own], y[own], x[own]
+    return image, y, x, flat[image, y, x]
+
+
+def detect_sources(mono: DataFrame, size: tuple[int, int], sigma: float = 3.0, min_area: int = 5, most: int = 200, keys: list[str] = ["stack_id", "frame_id"], whole: int = WHOLE_PIXELS) -> DataFrame:  # noqa: B006
     """``keys, x, y, v``: the brightest peaks of a single-channel image, ``v`` its value before smoothing.
 
-    Blur of half the area, threshold of median + 0.3 ``sigma`` standard deviations (0.01 at least).
+    Blur of half the area, threshold of median + 0.3 ``sigma`` standard deviations (0.01 at least).  Images of up to
+    ``whole`` places are gathered once and searched in their task; larger ones go by lines and ranks.
     """
+    if size[0] * size[1] <= whole:
+
+        def kernel(values: np.ndarray, there: np.ndarray, _: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+            image, y, x, v = sources_of(values[:, 0], there[:, 0], sigma, min_area, most)
+            return image, [x, y, v]
+
+        return whole_images(mono.select(*keys, "y", "x", "v"), size, keys, kernel, [StructField("x", IntegerType()), StructField("y", IntegerType()), StructField("v", DoubleType())])
     flat = min_max(mono, keys).withColumn("sharp", F.struct("v"))
     smooth = staged(gaussian_blur(flat, size, max(1.0, min_area / 2), keys, "sharp"), "smooth")  # read for the limits and for the peaks
     spread = smooth.groupBy(*keys).agg(F.stddev_pop("v").alias("spread"))

@@ -42,10 +42,18 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.median("value").alias("fwhm"), F.count("value").alias("n_stars"), ecc.alias("eccentricity")).withColumn("roundness", 1 - F.col("eccentricity"))
 
 
-def _supplier_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame for each supplier, dealt over all cores: a file of few keys is one task, the pixels made of them are many."""
-    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id"))
-    return frames.repartition(4 * spark.sparkContext.defaultParallelism, "frame_id")
+#: Frames that are made in one task, about: their pixels fit in its memory, however many frames there are.
+TASK_FRAMES = 96
+
+
+def _supplier_frames(spark: SparkSession, sf_dir: str, stacks: int = 1) -> DataFrame:
+    """``stack_id, frame_id``: a frame for each supplier, dealt by frame over all cores or more tasks where there are
+    many: a file of few keys is one task, the pixels made of them are many.  What is grouped by frame stays in its task."""
+    rows = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("int")
+    frames = rows.select((key % stacks).alias("stack_id"), F.floor(key / stacks).cast("int").alias("frame_id")) if stacks > 1 else rows.select(key.alias("frame_id"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(rows.count() / TASK_FRAMES) + 1)
+    return frames.repartition(tasks, *frames.columns)
 
 
 def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, stars: int = 16, frame: int = 0) -> DataFrame:
@@ -108,7 +116,7 @@ def synth_shifted(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> D
     """The first made-up frame as each supplier sees it, up to 3 pixels aside; the first is not shifted."""
     first = synth_px(spark, side=side).drop("frame_id")
     frames = _supplier_frames(spark, sf_dir)
-    moved = first.crossJoin(frames)  # one frame of fixed size times the frames
+    moved = frames.crossJoin(F.broadcast(first))  # one frame of fixed size times the frames, in the frames' tasks
     f = F.col("frame_id")
     moved = moved.withColumns({"y": F.col("y") + f * 3 % 4, "x": F.col("x") - f * 5 % 4})
     return moved.filter((F.col("y") < side) & (F.col("x") >= 0)).select("stack_id", "frame_id", "y", "x", "c", "v")
@@ -119,8 +127,8 @@ def synth_stacks(spark: SparkSession, sf_dir: str, side: int = SYNTH_SIDE) -> Da
     fields = synth_px(spark, side=side).unionAll(synth_px(spark, side=side, frame=17))
     fields = fields.select(F.when(F.col("frame_id") == 17, 1).otherwise(0).alias("stack_id"), "y", "x", "c", "v")
     key = F.col("frame_id")
-    frames = _supplier_frames(spark, sf_dir).select((key % 2).alias("stack_id"), F.floor(key / 2).cast("int").alias("frame_id"))
-    moved = fields.join(frames, "stack_id")  # a field of fixed size to each frame
+    frames = _supplier_frames(spark, sf_dir, 2)
+    moved = frames.join(F.broadcast(fields), "stack_id")  # a field of fixed size to each frame, in the frames' tasks
     moved = moved.withColumns({"y": F.col("y") + key * 3 % 4, "x": F.col("x") - key * 5 % 4})
     return moved.filter((F.col("y") < side) & (F.col("x") >= 0)).select("stack_id", "frame_id", "y", "x", "c", "v")
 
