@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from ..functions import stats as S
 from ..sources.stage import staged
-from .neighbours import IMAGE, gaussian_blur, local_maxima
+from .neighbours import IMAGE, WHOLE_PIXELS, both_ways, gaussian_blur, gaussian_taps, local_maxima, middle, peaks_of, smoothed, whole_images
 
 FRAME = ["stack_id", "frame_id"]
 #: Amounts of sharpening and filter strengths of denoising by name.
@@ -29,11 +30,15 @@ def sharpen(px: DataFrame, size: tuple[int, int], fwhm: float = 2.5, strength: s
     return px.join(blur, [*IMAGE, "y", "x"]).select(*IMAGE, "y", "x", F.when(F.col("v").isNotNull(), F.col("v") + detail * amount).alias("v"))
 
 
-def reduce_stars(px: DataFrame, size: tuple[int, int], strength: float = 0.5, detect: float = 3.0, mask: float = 3.5, near: float = 25.0, most: int = 50_000) -> DataFrame:
+def reduce_stars(px: DataFrame, size: tuple[int, int], strength: float = 0.5, detect: float = 3.0, mask: float = 3.5, near: float = 25.0, most: int = 50_000, whole: int = WHOLE_PIXELS) -> DataFrame:
     """Stars dimmed towards the background: peaks of a high-pass luminance, a soft mask around them, a blend of a near
-    and a far blur as background.  An image without peaks is unchanged."""
+    and a far blur as background.  An image without peaks is unchanged.  Images of up to ``whole`` places are gathered
+    once; larger ones go by lines and ranks."""
     if strength <= 0:
         return px
+    if size[0] * size[1] <= whole:
+        fields = [px.schema["c"], StructField("y", IntegerType()), StructField("x", IntegerType()), StructField("v", DoubleType())]
+        return whole_images(px, size, FRAME, _whole_reducer(strength, detect, mask, near, most), fields).select(*IMAGE, "y", "x", "v")
     px = staged(px, "to-reduce")
     light = px.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v"))
     high = light.join(gaussian_blur(light, size, detect, FRAME).withColumnRenamed("v", "b"), [*FRAME, "y", "x"]).select(*FRAME, "y", "x", (F.col("v") - F.col("b")).alias("v"))
@@ -51,6 +56,38 @@ def reduce_stars(px: DataFrame, size: tuple[int, int], strength: float = 0.5, de
     return out.select(*IMAGE, "y", "x", F.when(F.col("m") > 0, dimmed).otherwise(F.col("v")).alias("v"))
 
 
+def mean_light(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the channels (image, channel, y, x), NaN where none is valid, and where there is a pixel."""
+    valid = np.isfinite(values)
+    n = valid.sum(1)
+    return np.where(n > 0, np.where(valid, values, 0.0).sum(1) / np.maximum(n, 1), np.nan), there.any(1)
+
+
+def _whole_reducer(strength: float, detect: float, mask: float, near: float, most: int) -> object:
+    """``reduce_stars`` on arrays of images."""
+    sigma = detect * mask
+    blurs = {s: smoothed(np.array(list(gaussian_taps(s).values()))) for s in (detect, sigma, near, near * 4)}
+
+    def reduce(values: np.ndarray, there: np.ndarray, channels: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        light, lit = mean_light(values, there)
+        high = np.where(lit, light - both_ways(blurs[detect], light, lit)[0], np.nan)
+        places = high.reshape(len(high), -1)
+        top = np.fmax.reduce(places, axis=1)
+        limit = np.maximum(middle(np.abs(places)) * S.MAD_SCALE * 2.0, top * 0.002)
+        image, y, x = peaks_of(high, lit, 3, limit, most)
+        spots = np.where(lit, 0.0, np.nan)
+        spots[image, y, x] = 1.0
+        m = np.clip(both_ways(blurs[sigma], spots, lit)[0] * (2 * math.pi * sigma * sigma), 0.0, 1.0)[:, None]
+        close, far = (both_ways(blurs[s], values, there)[0] for s in (near, near * 4))
+        ground = close * (1 - m) + far * m
+        dimmed = np.fmax(values - strength * m * np.fmax(values - ground, 0.0), 0.0)
+        out = np.where(m > 0, dimmed, values)
+        image, c, y, x = np.nonzero(there)
+        return image, [channels[c], y, x, out[image, c, y, x]]
+
+    return reduce
+
+
 def noise_level(px: DataFrame, keys: list[str] = IMAGE) -> DataFrame:
     """``keys, sigma``: MAD deviation, 0 where nothing is valid."""
     found = S.mad_sigmas(px, keys, "v")
@@ -98,11 +135,33 @@ def _tiles(tile: int) -> object:
     return denoise
 
 
-def denoise(px: DataFrame, strength: str = "medium", tile: int = 256) -> DataFrame:
+def _whole_denoiser(factor: float) -> object:
+    """``denoise`` on arrays of images that are one tile."""
+
+    def denoise(values: np.ndarray, there: np.ndarray, _: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        values, there = values[:, 0], there[:, 0]
+        places = values.reshape(len(values), -1)
+        sigmas = middle(np.abs(places - middle(places)[:, None])) * S.MAD_SCALE
+        out = values.copy()
+        for k, sigma in enumerate(sigmas):
+            if sigma >= 1e-10:
+                box = tuple(slice(i.min(), i.max() + 1) for i in np.nonzero(there[k]))
+                out[k][box] = nl_means(np.where(np.isfinite(values[k][box]), values[k][box], 0.0), sigma * factor)
+        image, y, x = np.nonzero(there)
+        return image, [y, x, np.where(np.isfinite(values), out, np.nan)[image, y, x]]
+
+    return denoise
+
+
+def denoise(px: DataFrame, strength: str = "medium", tile: int = 256, size: tuple[int, int] | None = None) -> DataFrame:
     """Non-local means (5 x 5 patches, 13 x 13 search) of each channel, in tiles with a halo.
 
     The filter strength is the noise of the whole channel times a factor (1 for an unknown name); an image without noise is unchanged.
+    Images known to be of a ``size`` within one tile are gathered once, without their noise being found before.
     """
+    if size and max(size) <= tile and size[0] * size[1] <= WHOLE_PIXELS:
+        fields = [StructField("y", IntegerType()), StructField("x", IntegerType()), StructField("v", DoubleType())]
+        return whole_images(px, size, IMAGE, _whole_denoiser(DENOISE.get(strength, 1.0)), fields)
     px = staged(px, "to-denoise")
     noise = staged(noise_level(px), "noise").withColumns({"h": F.col("sigma") * DENOISE.get(strength, 1.0), "w": F.lit(0)})
     halo = PATCH + SEARCH

@@ -52,3 +52,9 @@ def test_frames_are_dealt_by_their_number(spark, monkeypatch):
     from pixelloom.sources import views
 
     assert views.synth_px(spark, SF).rdd.getNumPartitions() == 41  # 10 frames, 16 tasks at least
+
+
+def test_stars_of_whole_images_are_reduced(spark, holes):
+    whole, lines = (postprocess.reduce_stars(holes, SIZE, 0.5, whole=w) for w in (1 << 16, 0))
+    same(whole, lines, ["stack_id", "frame_id", "y", "x", "c"])
+    stays("frames_star_reduce", spark)
