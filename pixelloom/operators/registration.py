@@ -9,9 +9,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
 from ..sources.stage import staged
-from .neighbours import detect_sources
+from .neighbours import WHOLE_PIXELS, detect_sources, sources_of, whole_images
+from .postprocess import mean_light
 
 FRAME = ["stack_id", "frame_id"]
 #: Control points tried one after the other, strict to relaxed, as (sigma, least area, most points).
@@ -108,6 +110,52 @@ def control_points(mono: DataFrame, size: tuple[int, int]) -> DataFrame:
     return lists.select(*FRAME, F.array(*[F.coalesce(f"p{k}", F.array().cast("array<array<double>>")) for k in range(len(PROFILES))]).alias("lists"))
 
 
+def _whole_points(values: np.ndarray, there: np.ndarray, _: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+    """``control_points`` on arrays of images: a row for each, NULL where no profile has a source."""
+    light, lit = mean_light(values, there)
+    lists: list[list[list]] = [[[] for _ in PROFILES] for _ in light]
+    for k, (sigma, area, most) in enumerate(PROFILES):
+        image, y, x, v = sources_of(light, lit, sigma, area, most)
+        order = np.lexsort((x, y, -v, image))
+        for i, px, py in zip(image[order].tolist(), x[order].tolist(), y[order].tolist()):
+            lists[i][k].append([float(px), float(py)])
+    kind = pa.list_(pa.list_(pa.list_(pa.float64())))
+    return np.arange(len(light)), [pa.array([one if any(one) else None for one in lists], kind)]
+
+
+def _whole_warper(size: tuple[int, int], reach: int) -> object:
+    """Frames of one tile, warped by the ``m`` beside them."""
+    oy, ox = (a.ravel() for a in np.mgrid[0 : size[0], 0 : size[1]])
+
+    def warped(values: np.ndarray, there: np.ndarray, channels: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        frames, cs, out = [], [], []
+        for k, numbers in enumerate(part.column("m").to_pylist()):
+            m = np.array(numbers).reshape(2, 3)
+            for j in range(len(channels)):
+                y, x = np.nonzero(there[k, j])
+                to_x, to_y = m[:, :2] @ np.stack([x, y]) + m[:, 2:]
+                if ((to_x > -reach) & (to_y > -reach) & (to_x < size[1] + reach) & (to_y < size[0] + reach)).any():
+                    frames.append(k)
+                    cs.append(channels[j])
+                    out.append(warp(values[k, j], m, size, oy, ox))
+        n = len(oy)
+        return np.repeat(np.array(frames, int), n), [np.tile(oy, len(out)), np.tile(ox, len(out)), np.repeat(np.array(cs, int), n), np.concatenate(out) if out else np.zeros(0)]
+
+    return warped
+
+
+def _align_whole(px: DataFrame, size: tuple[int, int], reference: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """``align_frames`` of frames that are one tile: a frame is gathered for its sources, and once more to be warped."""
+    px = px.select(*FRAME, "y", "x", "c", "v")
+    lists = StructField("lists", ArrayType(ArrayType(ArrayType(DoubleType()))))
+    points = staged(whole_images(px, size, FRAME, _whole_points, [lists]), "points")
+    target = points.join(reference_frames(points, reference), FRAME).select("stack_id", F.col("lists").alias("target"))
+    found = staged(transforms(points.join(target, "stack_id", "left")), "transforms")
+    fields = [StructField("y", IntegerType()), StructField("x", IntegerType()), StructField("c", IntegerType()), StructField("v", DoubleType())]
+    out = whole_images(px, size, FRAME, _whole_warper(size, reach), fields, found.filter("m is not null").drop("error"))
+    return out.select(*[F.col(k).cast("int").alias(k) for k in FRAME], "y", "x", "c", "v"), found.filter("m is null").select(*FRAME, "error")
+
+
 def reference_frames(frames: DataFrame, place: int = 0) -> DataFrame:
     """``stack_id, frame_id``: in each stack the frame at a place in the order of ids, the last one where it has fewer."""
     order = Window.partitionBy("stack_id").orderBy("frame_id")
@@ -160,7 +208,11 @@ def align_frames(px: DataFrame, size: tuple[int, int], reference: int = 0, tile:
 
     Sources are matched as short lists (at most 100 a profile), one row a frame, to which its stack's reference is joined.
     Pixels are then sent to the output tiles that they may reach, so that a task holds a tile and its surroundings.
+    Frames of one tile of up to ``WHOLE_PIXELS`` places stay in their tasks instead.
     """
+    reach = 3  # output pixels that a source pixel can bear on, as scales are below 2
+    if max(size) <= tile and size[0] * size[1] <= WHOLE_PIXELS:
+        return _align_whole(px, size, reference, reach)
     mono = px.groupBy(*FRAME, "y", "x").agg(F.avg("v").alias("v"))
     points = staged(control_points(mono, size), "points")
     frames = staged(mono.select(FRAME).distinct(), "frames")
@@ -169,7 +221,6 @@ def align_frames(px: DataFrame, size: tuple[int, int], reference: int = 0, tile:
     plain = px.select(*[F.col(k).cast("int").alias(k) for k in ("stack_id", "frame_id", "y", "x", "c")], "v").join(found.filter("m is not null").drop("error"), FRAME)
     m = F.col("m")
     to_x, to_y = (m[i] * F.col("x") + m[i + 1] * F.col("y") + m[i + 2] for i in (0, 3))
-    reach = 3  # output pixels that a source pixel can bear on, as scales are below 2
     spread = lambda at, n: F.sequence(F.greatest(F.floor((at - reach) / tile), F.lit(0)), F.least(F.floor((at + reach) / tile), F.lit((n - 1) // tile)))
     on = (to_x > -reach) & (to_y > -reach) & (to_x < size[1] + reach) & (to_y < size[0] + reach)
     sent = plain.filter(on).withColumn("ty", F.explode(spread(to_y, size[0]))).withColumn("tx", F.explode(spread(to_x, size[1])))

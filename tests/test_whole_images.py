@@ -58,3 +58,14 @@ def test_stars_of_whole_images_are_reduced(spark, holes):
     whole, lines = (postprocess.reduce_stars(holes, SIZE, 0.5, whole=w) for w in (1 << 16, 0))
     same(whole, lines, ["stack_id", "frame_id", "y", "x", "c"])
     stays("frames_star_reduce", spark)
+
+
+def test_whole_frames_are_aligned_as_tiles(spark, holes, monkeypatch):
+    key = ["stack_id", "frame_id", "y", "x", "c"]
+    good, errors = registration.align_frames(holes, SIZE)
+    with monkeypatch.context() as small:
+        small.setattr(registration, "WHOLE_PIXELS", 0)
+        tiled, failed = registration.align_frames(holes, SIZE)
+    same(good, tiled, key)
+    assert sorted(errors.collect()) == sorted(failed.collect()) and errors.count() == 1
+    stays("align_frames", spark)
