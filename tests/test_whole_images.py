@@ -69,3 +69,11 @@ def test_whole_frames_are_aligned_as_tiles(spark, holes, monkeypatch):
     same(good, tiled, key)
     assert sorted(errors.collect()) == sorted(failed.collect()) and errors.count() == 1
     stays("align_frames", spark)
+
+
+def test_stacks_are_aligned_where_their_frames_lie(spark):
+    assert "hashpartitioning(stack_id" in stays("align_stacks", spark)
+    from pixelloom.sources import views
+
+    plan = views.synth_stacks(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1  # the two fields go to the frames, not the frames to two keys
