@@ -186,7 +186,7 @@ for _name, _amount in P.SHARPEN.items():
     query(f"sharpen_{_name}", O.query(O.LINE, _IMAGE, O.blur("img", "b", "(3.5 / 2.3548)", 32, IMG), select=_sql))(lambda s, d, k=_name: P.sharpen(_image(s, d), LINE_SIZE, 3.5, k))
 query("median3x3", O.query(O.MONO, select=f"""SELECT {IMG}, oy::INT AS y, ox::INT AS x, round(median(v), 6) AS v FROM (
   SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
-  JOIN mono USING (y, x) GROUP BY ALL"""))(lambda s, d: N.window_3x3(_mono(s, d), SYNTH_SIZE, F.median("v")))
+  JOIN mono USING (y, x) GROUP BY ALL"""))(lambda s, d: N.median_3x3(_mono(s, d), SYNTH_SIZE))
 query("local_maxima", O.query(O.MONO, O.maxima("mono", "p", 3, 64), select="SELECT stack_id, frame_id, y, x, c, round(v, 6) AS v FROM p WHERE v > 0.15"))(lambda s, d: N.local_maxima(_mono(s, d), SYNTH_SIZE, 3, 0.15))
 _DETECT = """flat AS MATERIALIZED (SELECT stack_id, frame_id, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS v FROM mono WINDOW w AS (PARTITION BY frame_id))"""
 query("source_detect", O.query(O.MONO, _DETECT, O.blur("flat", "b", "2.5", 64, "stack_id, frame_id"), O.maxima("b", "p", 5, 64), select="""SELECT stack_id, frame_id, x, y, round(f.v, 6) AS v
@@ -566,7 +566,7 @@ query("frames_sources", O.query(O.MONO_FRAMES, _DETECT, O.blur("flat", "b", "2.5
 query("frames_median3x3", O.query(O.MONO_FRAMES, select="""SELECT stack_id, frame_id, count(v) AS n, round(sum(v), 3) AS v FROM (
   SELECT stack_id, frame_id, oy, ox, median(v) AS v FROM (
     SELECT oy, ox, least(greatest(oy + dy, 0), 63) AS y, least(greatest(ox + dx, 0), 63) AS x FROM range(64) a(oy), range(64) b(ox), range(-1, 2) e(dy), range(-1, 2) f(dx))
-  JOIN mono USING (y, x) GROUP BY ALL) GROUP BY ALL"""))(lambda s, d: _sums(N.window_3x3(V.synth_px(s, d).filter("c = 0"), SYNTH_SIZE, F.median("v"))))
+  JOIN mono USING (y, x) GROUP BY ALL) GROUP BY ALL"""))(lambda s, d: _sums(N.median_3x3(V.synth_px(s, d).filter("c = 0"), SYNTH_SIZE)))
 query("frames_star_reduce", O.query(O.SYNTH_FRAMES, _STARS, select=f"""SELECT stack_id, frame_id, count(v) AS n, round(sum(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0)), 3) AS v FROM (
   SELECT {IMG}, y, x, px.v, nb.v AS n, fb.v AS f, least(greatest(mk.v * 2 * pi() * 10.5 * 10.5, 0), 1) AS m
   FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x)) GROUP BY ALL"""))(lambda s, d: _sums(P.reduce_stars(V.synth_px(s, d), SYNTH_SIZE, 0.5)))

@@ -77,3 +77,9 @@ def test_stacks_are_aligned_where_their_frames_lie(spark):
 
     plan = views.synth_stacks(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1  # the two fields go to the frames, not the frames to two keys
+
+
+def test_medians_of_whole_images(spark, holes):
+    whole, plain = neighbours.median_3x3(holes, SIZE), neighbours.median_3x3(holes, SIZE, whole=0)
+    same(whole, plain, ["stack_id", "frame_id", "c", "y", "x"])
+    assert "Generate explode(array(greatest(" not in stays("frames_median3x3", spark)
