@@ -570,4 +570,4 @@ query("frames_median3x3", O.query(O.MONO_FRAMES, select="""SELECT stack_id, fram
 query("frames_star_reduce", O.query(O.SYNTH_FRAMES, _STARS, select=f"""SELECT stack_id, frame_id, count(v) AS n, round(sum(greatest(v - 0.5 * m * greatest(v - (n * (1 - m) + f * m), 0), 0)), 3) AS v FROM (
   SELECT {IMG}, y, x, px.v, nb.v AS n, fb.v AS f, least(greatest(mk.v * 2 * pi() * 10.5 * 10.5, 0), 1) AS m
   FROM px JOIN nb USING ({IMG}, y, x) JOIN fb USING ({IMG}, y, x) JOIN mk USING (stack_id, frame_id, y, x)) GROUP BY ALL"""))(lambda s, d: _sums(P.reduce_stars(V.synth_px(s, d), SYNTH_SIZE, 0.5)))
-query("frames_denoise")(lambda s, d: _sums(P.denoise(V.synth_px(s, d).filter("c = 0"), "medium", tile=64)))
+query("frames_denoise")(lambda s, d: _sums(P.denoise(V.synth_px(s, d).filter("c = 0"), "medium", tile=64, size=SYNTH_SIZE)))

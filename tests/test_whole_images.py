@@ -83,3 +83,10 @@ def test_medians_of_whole_images(spark, holes):
     whole, plain = neighbours.median_3x3(holes, SIZE), neighbours.median_3x3(holes, SIZE, whole=0)
     same(whole, plain, ["stack_id", "frame_id", "c", "y", "x"])
     assert "Generate explode(array(greatest(" not in stays("frames_median3x3", spark)
+
+
+def test_whole_images_are_denoised_as_one_tile(spark, holes):
+    px = holes.withColumn("v", F.when(F.col("frame_id") == 1, 0.5).otherwise(F.col("v")))  # one without noise
+    whole, tiled = postprocess.denoise(px, size=SIZE), postprocess.denoise(px)
+    same(whole, tiled, ["stack_id", "frame_id", "c", "y", "x"])
+    stays("frames_denoise", spark)
