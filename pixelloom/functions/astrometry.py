@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stats import let
+
 #: Images are enlarged by this before they are solved; header keys that a solution does not carry over.
 SOLVE_ZOOM = 1.2
 STRUCTURAL = ["SIMPLE", "BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "EXTEND", "HISTORY", "COMMENT", "", "IMAGEW", "IMAGEH"]
@@ -66,8 +68,7 @@ def solution_header(ra: Column, dec: Column, orientation: Column, field_w: Colum
         "OBJCTRA": _text(ra_hms(ra)), "OBJCTDEC": _text(dec_dms(dec)), "RA": _number(ra), "DEC": _number(dec), "PLTSOLVD": _text("T"),
         "FLDWIDTH": _number(field_w), "FLDHGHT": _number(field_h), "PIXSCALE": _number(original), "PA": _number(orientation),
     })
-    has_cd = F.map_contains_key(wcs, F.lit("CD1_1"))
-    own = F.map_filter(wcs, lambda k, _: ~k.isin(*STRUCTURAL) & ~(k.isin("CDELT1", "CDELT2") & has_cd))
+    own = lambda w: let(F.map_contains_key(w, F.lit("CD1_1")), lambda has_cd: F.map_filter(w, lambda k, _: ~k.isin(*STRUCTURAL) & ~(k.isin("CDELT1", "CDELT2") & has_cd)))
 
     def value(k: Column, v: Column) -> Column:
         number = v.try_cast("double")
@@ -82,12 +83,12 @@ def solution_header(ra: Column, dec: Column, orientation: Column, field_w: Colum
         "CRPIX1": _number(side(width, field_w, 4000.0) / 2.0), "CRPIX2": _number(side(height, field_h, 3000.0) / 2.0),
     })
     # A solver's header without any key counts as none.
-    return merged(general, F.when(F.size(wcs) > 0, F.transform_values(own, value)).otherwise(derived))
+    return merged(general, let(wcs, lambda w: F.when(F.size(w) > 0, F.transform_values(own(w), value)).otherwise(derived)))
 
 
 def merged(header: Column, over: Column) -> Column:
-    """A header with the keys of another over its own."""
-    return F.map_concat(F.map_filter(header, lambda k, _: ~F.map_contains_key(over, k)), over)
+    """A header with the keys of another over its own; the other is made once, not again for each key."""
+    return let(over, lambda o: F.map_concat(F.map_filter(header, lambda k, _: ~F.map_contains_key(o, k)), o))
 
 
 def annotation_class(name: Column, kind: Column) -> Column:

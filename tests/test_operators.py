@@ -443,3 +443,28 @@ def test_star_fits_are_least_squares(seed):
             other = [*found]
             other[k] += step
             assert ((noisy - star(*other)) ** 2).sum() > least
+
+
+def test_other_header_is_made_once(spark):
+    """The keys of the other header are not made again for each key of the first."""
+    from pixelloom.functions import astrometry
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        calls.add(1)
+        return str(x)
+
+    first = F.create_map(*[F.lit(x) for i in range(15) for x in (f"K{i}", "old")])
+    out = spark.range(4).select(astrometry.merged(first, F.create_map(F.lit("K3"), told("id"))).alias("m")).collect()
+    assert [r.m["K3"] for r in out] == ["0", "1", "2", "3"] and all(len(r.m) == 15 for r in out) and calls.value == 4
+    plan = spark.range(1).select(astrometry.merged(first, F.create_map(F.lit("K3"), F.sha2(F.col("id").cast("string"), 256))).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
+@pytest.mark.parametrize("name", ["wcs_header", "solved_header"])
+def test_headers_of_a_small_file_are_made_by_all_cores(spark, name):
+    from pixelloom import catalog
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
