@@ -42,6 +42,12 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.median("value").alias("fwhm"), F.count("value").alias("n_stars"), ecc.alias("eccentricity")).withColumn("roundness", 1 - F.col("eccentricity"))
 
 
+def dealt(rows: DataFrame, number: int, most: float, *keys: str) -> DataFrame:
+    """``rows``, of which there are ``number``, dealt by ``keys`` over all cores, or more tasks of about ``most`` rows."""
+    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, int(number / most) + 1)
+    return rows.repartition(tasks, *keys)
+
+
 #: Frames that are made in one task, about: their pixels fit in its memory, however many frames there are.
 TASK_FRAMES = 96
 
@@ -52,8 +58,7 @@ def _supplier_frames(spark: SparkSession, sf_dir: str, stacks: int = 1) -> DataF
     rows = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey").cast("int")
     frames = rows.select((key % stacks).alias("stack_id"), F.floor(key / stacks).cast("int").alias("frame_id")) if stacks > 1 else rows.select(key.alias("frame_id"))
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(rows.count() / TASK_FRAMES) + 1)
-    return frames.repartition(tasks, *frames.columns)
+    return dealt(frames, rows.count(), TASK_FRAMES, *frames.columns)
 
 
 def synth_px(spark: SparkSession, sf_dir: str | None = None, side: int = SYNTH_SIDE, stars: int = 16, frame: int = 0) -> DataFrame:
