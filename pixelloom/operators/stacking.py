@@ -16,8 +16,8 @@ from ..functions import stats as S
 from ..sources.stage import staged
 
 PIXEL = ["stack_id", "y", "x", "c"]
-#: Frames of a stack up to which the values of a pixel are gathered in one array.
-MOST_FRAMES = 8192
+#: Frames of a stack up to which the values of a pixel are gathered in one array, of 1 MB then.
+MOST_FRAMES = 1 << 17
 
 
 def with_frames(px: DataFrame, frames: DataFrame | None = None) -> DataFrame:

@@ -468,3 +468,14 @@ def test_headers_of_a_small_file_are_made_by_all_cores(spark, name):
     from pixelloom import catalog
 
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
+
+
+def test_stacks_of_ten_thousand_frames_are_read_once(spark):
+    """One shuffle by pixel up to ``MOST_FRAMES`` frames, and the values that ranks by parts give."""
+    f = F.col("id")
+    px = spark.range(10_000).select(F.lit(0).alias("stack_id"), f.alias("frame_id"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0).alias("c"), F.pmod(f * 7919, F.lit(10_007)).cast("double").alias("v"))
+    out = stacking.stack(px, "percentile_clip")
+    assert stacking.by_depth(px, None, stacking.MOST_FRAMES)[2] is None
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(y") <= 1
+    deep = stacking.stack(px, "percentile_clip", most_frames=2).first().v
+    assert out.first().v == pytest.approx(deep)
