@@ -102,14 +102,23 @@ def nl_means(image: np.ndarray, h: float, patch: int = PATCH, search: int = SEAR
     total, weights = np.zeros_like(image), np.zeros_like(image)
     side = 2 * patch + 1
     core = wide[search : search + rows + 2 * patch, search : search + columns + 2 * patch]
+    sums = np.zeros((rows + side, columns + side))
+    inner = sums[1:, 1:]
     for dy in range(-search, search + 1):
         for dx in range(-search, search + 1):
-            other = wide[search + dy : search + dy + rows + 2 * patch, search + dx : search + dx + columns + 2 * patch]
-            sums = np.pad(((core - other) ** 2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-            box = sums[side:, side:] - sums[:-side, side:] - sums[side:, :-side] + sums[:-side, :-side]
-            w = np.exp(-np.maximum(box, 0) / (side * side * h * h))
+            off = core - wide[search + dy : search + dy + rows + 2 * patch, search + dx : search + dx + columns + 2 * patch]
+            off *= off
+            np.cumsum(off, 0, out=off)
+            np.cumsum(off, 1, out=inner)
+            w = sums[side:, side:] - sums[:-side, side:]
+            w -= sums[side:, :-side]
+            w += sums[:-side, :-side]
+            np.maximum(w, 0, out=w)
+            w /= -(side * side * h * h)
+            np.exp(w, out=w)
             weights += w
-            total += w * wide[pad + dy : pad + dy + rows, pad + dx : pad + dx + columns]
+            w *= wide[pad + dy : pad + dy + rows, pad + dx : pad + dx + columns]
+            total += w
     return total / weights
 
 
