@@ -153,11 +153,12 @@ def whole_images(px: DataFrame, size: tuple[int, int], keys: list[str], kernel:
     place = F.col("y").cast("bigint") * (1 << 20) + F.col("x")
     if "c" in px.columns and "c" not in keys:
         place = F.col("c").cast("bigint") * (1 << 40) + place
-    rows = px.groupBy(*keys).agg(F.collect_list(place).alias("at"), F.collect_list(F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))).alias("vs"))
+    plain = px.select(*keys, place.alias("at"), F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("vs"))  # lists take columns: expressions in them are not compiled
+    rows = plain.groupBy(*keys).agg(F.collect_list("at").alias("at"), F.collect_list("vs").alias("vs"))
     rows = rows if beside is None else rows.join(beside, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, LINE_VALUES // (size[0] * size[1]))
+        step = max(1, WHOLE_PIXELS // (size[0] * size[1]))  # images that stay in a core's cache from step to step
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
@@ -287,8 +288,15 @@ def smoothed(taps: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.nd
 def largest(distance: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """A kernel for ``along_lines``: the largest value within ``distance``."""
 
+    def wide(m: np.ndarray, fill: float | bool) -> np.ndarray:
+        top, n = np.pad(m, ((0, 0), (distance, distance)), constant_values=fill), 1
+        while n <= 2 * distance:  # of windows of n places those of up to twice as many
+            step = min(n, 2 * distance + 1 - n)
+            top = np.maximum(top[:, :-step], top[:, step:])
+            n += step
+        return top
+
     def kernel(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wide = lambda m, fill: np.lib.stride_tricks.sliding_window_view(np.pad(m, ((0, 0), (distance, distance)), constant_values=fill), 2 * distance + 1, axis=1).max(-1)
         top = wide(np.where(np.isfinite(values), values, -np.inf), -np.inf)
         return np.where(np.isfinite(top), top, np.nan), wide(there, False)
 

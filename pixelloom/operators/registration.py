@@ -82,7 +82,7 @@ def match(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 def warp(image: np.ndarray, m: np.ndarray, size: tuple[int, int], y: np.ndarray, x: np.ndarray, corner: tuple[int, int] = (0, 0)) -> np.ndarray:
     """Bilinear values for output pixels by the similarity from image to output; NaN outside of an image of ``size``.
 
-    ``image`` is the part of it that starts at ``corner`` (y, x).
+    ``image`` is the part of it that starts at ``corner`` (y, x), or several such parts that lie alike (channel, y, x).
     """
     h, w = size
     sx, sy = np.linalg.inv(m[:, :2]) @ (np.stack([x, y]) - m[:, 2:])
@@ -90,13 +90,17 @@ def warp(image: np.ndarray, m: np.ndarray, size: tuple[int, int], y: np.ndarray,
     sx, sy = np.clip(sx, 0, w - 1), np.clip(sy, 0, h - 1)
     x0, y0 = np.minimum(sx.astype(int), w - 2), np.minimum(sy.astype(int), h - 2)
     fx, fy = sx - x0, sy - y0
-    out = np.zeros(len(sx))
+    out = np.zeros((*image.shape[:-2], len(sx)))
     for j, wy in ((0, 1 - fy), (1, fy)):
         for i, wx in ((0, 1 - fx), (1, fx)):
+            weight = wy * wx
+            asked = weight > 1e-9  # a place on a pixel asks for that pixel alone
+            if not asked.any():
+                continue
             py, px = y0 + j - corner[0], x0 + i - corner[1]
-            held = (py >= 0) & (px >= 0) & (py < image.shape[0]) & (px < image.shape[1])
-            value = np.where(held, image[np.where(held, py, 0), np.where(held, px, 0)], np.nan)
-            out += np.where(wy * wx > 1e-9, wy * wx * value, 0.0)  # a place on a pixel asks for that pixel alone
+            held = (py >= 0) & (px >= 0) & (py < image.shape[-2]) & (px < image.shape[-1])
+            value = np.where(held, image[..., np.where(held, py, 0), np.where(held, px, 0)], np.nan)
+            out += np.where(asked, weight * value, 0.0)
     return np.where(inside, out, np.nan)
 
 
@@ -131,13 +135,12 @@ def _whole_warper(size: tuple[int, int], reach: int) -> object:
         frames, cs, out = [], [], []
         for k, numbers in enumerate(part.column("m").to_pylist()):
             m = np.array(numbers).reshape(2, 3)
-            for j in range(len(channels)):
-                y, x = np.nonzero(there[k, j])
-                to_x, to_y = m[:, :2] @ np.stack([x, y]) + m[:, 2:]
-                if ((to_x > -reach) & (to_y > -reach) & (to_x < size[1] + reach) & (to_y < size[0] + reach)).any():
-                    frames.append(k)
-                    cs.append(channels[j])
-                    out.append(warp(values[k, j], m, size, oy, ox))
+            to_x, to_y = m[:, :2] @ np.stack([ox, oy]) + m[:, 2:]
+            on = (to_x > -reach) & (to_y > -reach) & (to_x < size[1] + reach) & (to_y < size[0] + reach)
+            met = np.nonzero((there[k].reshape(len(channels), -1) & on).any(1))[0]
+            frames += [k] * len(met)
+            cs += channels[met].tolist()
+            out += list(warp(values[k, met], m, size, oy, ox))
         n = len(oy)
         return np.repeat(np.array(frames, int), n), [np.tile(oy, len(out)), np.tile(ox, len(out)), np.repeat(np.array(cs, int), n), np.concatenate(out) if out else np.zeros(0)]
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField
 from test_operators import PLACES, pixels, stars_at
 
 from pixelloom import catalog
@@ -79,6 +80,50 @@ def test_stacks_are_aligned_where_their_frames_lie(spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1  # the two fields go to the frames, not the frames to two keys
 
 
+def test_aligned_stacks_store_few_bytes_a_frame(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/supplier.parquet").crossJoin(spark.range(4)).withColumn("s_suppkey", F.col("s_suppkey") + 10 * F.col("id")).drop("id")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    frames, sc = rows.count(), spark.sparkContext
+    jvm = sc._gateway.jvm
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), None)
+    known = {(s.stageId(), s.attemptId()) for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages())}
+    got = catalog.QUERIES["align_stacks"](spark, str(tmp_path)).collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    own = [s for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages()) if (s.stageId(), s.attemptId()) not in known]
+    assert len(got) == 3 * frames and sum(r["n"] for r in got) > 3 * frames * 3000
+    stored = sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in own)
+    assert 0 < stored < 5000 * frames  # a frame has 12,288 pixels
+
+
+def test_channels_are_warped_at_once():
+    rng = np.random.default_rng(8)
+    image = rng.random((3, 20, 24))
+    y, x = (a.ravel() for a in np.mgrid[0:22, 0:26])
+    for m in (np.array([[1.0, 0, 3], [0, 1, -2]]), np.array([[0.9, -0.2, 1.5], [0.2, 0.9, 0.25]])):
+        alone = np.stack([registration.warp(c, m, (22, 26), y, x, (1, 2)) for c in image])
+        np.testing.assert_array_equal(registration.warp(image, m, (22, 26), y, x, (1, 2)), alone)
+        assert np.isfinite(alone).any() and np.isnan(alone).any()
+
+
+def test_images_are_gathered_by_columns_and_handed_on_in_small_batches(spark):
+    px = pixels(spark, np.random.default_rng(9).random((40, 64, 64)))
+    rows = neighbours.whole_images(px, (64, 64), ["stack_id", "frame_id"], lambda v, t, c, p: (np.arange(len(v)), [np.full(len(v), v.shape[0])]), [StructField("n", IntegerType())])
+    assert max(r["n"] for r in rows.collect()) == neighbours.WHOLE_PIXELS // 64**2
+    assert re.search(r"collect_list\(at#\d+L?, 0, 0\)", rows._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3, 5, 8])
+def test_largest_of_windows(distance):
+    rng = np.random.default_rng(distance)
+    lines = np.where(rng.random((4, 12)) < 0.3, np.nan, rng.random((4, 12)))
+    top, there = neighbours.largest(distance)(lines, np.isfinite(lines))
+    for i in range(12):
+        near = lines[:, max(0, i - distance) : i + distance + 1]
+        held = np.isfinite(near).any(1)
+        np.testing.assert_array_equal(there[:, i], held)
+        np.testing.assert_array_equal(top[:, i], np.where(held, np.where(np.isfinite(near), near, -np.inf).max(1), np.nan))
+
+
 def test_medians_of_whole_images(spark, holes):
     whole, plain = neighbours.median_3x3(holes, SIZE), neighbours.median_3x3(holes, SIZE, whole=0)
     same(whole, plain, ["stack_id", "frame_id", "c", "y", "x"])
