@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import jaccard_join, language_id, line_dedup, packing, quality_rules
-from pixelloom.llm.common import crc_mod, numbered, others, stored, table
+from pixelloom.llm.common import Scratch, crc_mod, numbered, others, table
 
 #: A text unlike all that was learned scores about a quarter.
 MIN_LANGUAGE_SCORE = 0.3
@@ -74,7 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's table is removed once the next one's is stored."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.store(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,5 +1,6 @@
 """What a job leaves on disk, and what it shuffles, must not be more than its steps need."""
 
+import glob
 import random
 import time
 
@@ -8,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pixelloom.llm import jaccard_join
-from pixelloom.llm.common import Scratch, stored
+from pixelloom.llm.common import Scratch, shared_dir, stored
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffle_files(spark):
@@ -32,6 +35,20 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert one.count() == other.count() == 1000 and {r["count"] for r in one.collect()} == {20}
 
 
+def test_pipeline_keeps_the_table_of_its_last_stage_alone(spark):
+    import corpus_pipeline as C
+
+    place = shared_dir(spark).removeprefix("file:")
+    tables = lambda: {x for x in glob.glob(f"{place}/**/_SUCCESS", recursive=True) if {"text", "lang"} <= set(spark.read.parquet(x.removesuffix("/_SUCCESS")).columns)}
+    before = tables()
+    rows = C.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect()
+    assert len(tables() - before) == 1
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in C.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
+
+
 def test_shingles_met_by_sets_in_reach():
     rng = np.random.default_rng(5)
     for _ in range(50):
